@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIMENSIONS = 384
-_TOKEN = r"[a-z0-9à-ÿ]+"
+_TOKEN = r"[a-z0-9ß-ÿ]+"
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -44,12 +44,12 @@ def grounded_institutions(recommendations: DataFrame, passages: DataFrame, keys:
     passage, so the whole document is never put together.
     """
     candidates = institution_candidates(recommendations, keys, designators)
-    names = candidates.select(scope, "name").distinct()
+    names = candidates.groupBy(scope).agg(F.collect_set("name").alias("_names"))
+    lowered = F.lower("text")
     present = (
-        passages.select(scope, F.lower("text").alias("_text"))
+        passages.select(scope, "text")
         .join(names, scope)
-        .filter(F.contains(F.col("_text"), F.lower("name")))
-        .select(scope, "name")
+        .select(scope, F.explode(F.filter("_names", lambda n: F.contains(lowered, F.lower(n)))).alias("name"))
         .distinct()
     )
     found = candidates.join(present, [scope, "name"])

@@ -363,24 +363,34 @@ def _letters(name: Column) -> Column:
 
 
 def known_source(claims: DataFrame, known: DataFrame, keys: Sequence[str], source: str = "source") -> DataFrame:
-    """Gate claimed sources to known names: either contains the other, letters only.
+    """Gate claimed sources to ``known(name, ord)``: either contains the other, letters only.
 
-    ``known(name, ord)`` is the list of frameworks and documents, a dimension
-    table; each distinct claimed name is matched once.
+    A name contained in a claim starts with one of the claim's 4-letter runs,
+    and a claim contained in a name starts with one of the name's 8-letter
+    runs, so both directions are equi-joins followed by the exact test.
     """
+    def runs(text: Column, width: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - width + 1))
+        return F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(width)))))
+
     names = known.select("name", "ord", _letters(F.col("name")).alias("_known")).filter(F.length("_known") >= 4)
     asked = (
         claims.select(F.col(source).alias("_claimed_name")).distinct()
         .withColumn("_claimed", _letters(F.col("_claimed_name")))
         .filter(F.length("_claimed") >= 8)
     )
-    matched = asked.join(
-        names, F.contains(F.col("_claimed"), F.col("_known")) | F.contains(F.col("_known"), F.col("_claimed"))
-    )
-    best = first_per_key(matched.select("_claimed_name", "ord", "name"), ["_claimed_name"], ["ord"])
-    return claims.join(best, claims[source] == best["_claimed_name"], "left").drop("_claimed_name", "ord").withColumnRenamed(
-        "name", "known_source"
+    inside_claim = asked.withColumn("_run", runs(F.col("_claimed"), 4)).join(
+        names.withColumn("_run", F.substring("_known", 1, 4)), "_run"
+    ).filter(F.contains(F.col("_claimed"), F.col("_known")))
+    inside_name = asked.withColumn("_run", F.substring("_claimed", 1, 8)).join(
+        names.withColumn("_run", runs(F.col("_known"), 8)), "_run"
+    ).filter(F.contains(F.col("_known"), F.col("_claimed")))
+    columns = ["_claimed_name", "ord", "name"]
+    best = first_per_key(
+        inside_claim.select(*columns).unionByName(inside_name.select(*columns)), ["_claimed_name"], ["ord"]
     )
+    joined = claims.join(best, claims[source] == best["_claimed_name"], "left")
+    return joined.drop("_claimed_name", "ord").withColumnRenamed("name", "known_source")
 
 
 def overview_labels(replies: DataFrame, keys: Sequence[str], text: str = "text", compound: bool = True) -> DataFrame:
@@ -389,27 +399,25 @@ def overview_labels(replies: DataFrame, keys: Sequence[str], text: str = "text",
     ``compound`` also reads ``[DOC-1, DOC-4]``; without it such markers give nothing.
     """
     marker = r"\[DOC-\d+(?:\s*,\s*DOC-\d+)*\]"
-    # text up to the marker, and after it, cut at the nearest full stop
-    whole = rf"(?s)(?=({marker}))(?<=(\A[^.]{{0,4000}}|\.[^.]{{0,4000}}))"
-    pieces = F.split(F.col(text), rf"(?={marker})")
-    exploded = replies.select(*keys, F.col(text).alias("_text"), F.posexplode(pieces).alias("_no", "_piece"))
-    group = F.regexp_extract("_piece", "^" + marker, 0)
-    before = F.array_join(F.slice(F.split(F.col("_text"), rf"(?={marker})"), F.lit(1), F.col("_no")), "")
-    left = F.element_at(F.split(before, r"\."), -1)
-    after = F.array_join(
-        F.slice(F.split(F.col("_text"), rf"(?={marker})"), F.col("_no") + 1,
-                F.size(F.split(F.col("_text"), rf"(?={marker})"))), "",
+    pieces = F.split(F.col(text), f"(?={marker})")
+    found = (
+        replies.filter(F.col(text).rlike(marker))
+        .select(*keys, pieces.alias("_pieces"), F.posexplode(pieces).alias("_no", "_piece"))
+        .filter(F.col("_piece").rlike("^" + marker))
+        .withColumn("_group", F.regexp_extract("_piece", "^" + marker, 0))
     )
-    right = F.substring(after, F.length(group) + 1, F.length("_text"))
-    sentence = F.concat(left, group, F.substring_index(right, ".", 1))
+    size = F.size("_pieces")
+    before = F.array_join(F.slice("_pieces", F.lit(1), F.col("_no")), "")
+    from_marker = F.array_join(F.slice("_pieces", F.col("_no") + 1, size - F.col("_no")), "")
+    after = F.substring(from_marker, F.length("_group") + 1, F.length(from_marker))
+    sentence = F.concat(F.substring_index(before, ".", -1), "_group", F.substring_index(after, ".", 1))
     claim = tx.strip(F.regexp_replace(tx.strip(sentence), r"^[\[\]]+|[\[\]]+$", ""))
-    found = exploded.filter(F.col("_piece").rlike("^" + marker)).withColumn("claim", claim).withColumn("_group", group)
-    labels = F.regexp_extract_all("_group", F.lit(r"DOC-(\d+)"), F.lit(1))
     if not compound:
         found = found.filter(~F.col("_group").contains(","))
+    labels = F.regexp_extract_all("_group", F.lit(r"DOC-(\d+)"), F.lit(1))
     return found.select(
         *keys, F.col("_no").alias("marker_no"), F.explode(labels).cast("int").alias("doc_no"),
-        F.substring("claim", 1, QUOTE_CHARS).alias("claim"),
+        F.substring(claim, 1, QUOTE_CHARS).alias("claim"),
     ).withColumn("usable", F.length("claim") >= 8)
 
 
