@@ -207,9 +207,19 @@ def key_terms(claim: Column) -> Column:
 def keyword_overlap(claim: Column, text: Column) -> Column:
     """Share of the claim's key terms found as substrings of the text."""
     terms = key_terms(claim)
-    lowered = F.lower(text)
-    found = F.size(F.filter(terms, lambda t: F.contains(lowered, t)))
-    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(found / F.size(terms))
+    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(count_contained(text, terms) / F.size(terms))
+
+
+def count_contained(text: Column, terms: Column) -> Column:
+    """How many of the terms are substrings of the lower-cased text.
+
+    The text is bound once as a lambda variable, so it is not lower-cased again
+    for every term.
+    """
+    counts = F.transform(
+        F.array(F.lower(text)), lambda lowered: F.size(F.filter(terms, lambda t: F.contains(lowered, t)))
+    )
+    return F.get(counts, F.lit(0))
 
 
 # -- roles and messages ------------------------------------------------------

@@ -11,8 +11,8 @@ from policyloom import lexicons as lx
 from policyloom.functions import text as tx
 from policyloom.operators.ordering import first_per_key, top_k
 
-_PHRASE = r"\b[A-Z][a-zA-Z&.'\-]+(?:\s+(?:of\s+)?[A-Z][a-zA-Z&.'\-]+){1,3}\b"
-_ACRONYM = r"\b[A-Z]{2,}[A-Za-z]*\b|\b[A-Z][a-z]+[A-Z][a-zA-Z]*\b"
+_PHRASE = r"(?U)\b[A-Z][a-zA-Z&.'\-]+(?:\s+(?:of\s+)?[A-Z][a-zA-Z&.'\-]+){1,3}\b"
+_ACRONYM = r"(?U)\b[A-Z]{2,}[A-Za-z]*\b|\b[A-Z][a-z]+[A-Z][a-zA-Z]*\b"
 
 
 def institution_candidates(recommendations: DataFrame, keys: Sequence[str],

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policyloom import lexicons as lx
-from policyloom.operators.ordering import first_per_key
 from policyloom.operators.rules import drift_score
 from policyloom.session import cut_lineage
 
@@ -17,118 +14,109 @@ SCORE_STEP = 0.15
 PENALTY = 0.8
 PENALTY_ABOVE = 0.5
 
-_COLUMNS = ("workspace_id", "dimension", "violation_type", "severity", "related")
-
-
 def edge_table(spark: SparkSession, edges=lx.GRAPH_EDGES) -> DataFrame:
-    rows = [(i, p, c, r) for i, (p, c, r) in enumerate(dict.fromkeys(edges))]
-    return spark.createDataFrame(rows, "ord int, parent string, child string, rel string")
+    return spark.createDataFrame(list(dict.fromkeys(edges)), "parent string, child string, rel string")
 
 
 def subset_table(spark: SparkSession, edges=lx.SUBSET_EDGES) -> DataFrame:
     return spark.createDataFrame(list(edges), "parent string, child string")
 
 
-def _violation(df: DataFrame, kind, severity, related: Column | str = "", dimension: str = "dimension") -> DataFrame:
-    return df.select(
-        "workspace_id", F.col(dimension).alias("dimension"),
-        (kind if isinstance(kind, Column) else F.lit(kind)).alias("violation_type"),
-        (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"),
-        (related if isinstance(related, Column) else F.lit(related)).alias("related"),
+def _violation(kind: str, severity: str, related: Column | None = None, dimension: Column | None = None) -> Column:
+    return F.struct(
+        (F.col("dimension") if dimension is None else dimension).alias("dimension"),
+        F.lit(kind).alias("violation_type"), F.lit(severity).alias("severity"),
+        (F.lit("") if related is None else related).alias("related"),
     )
 
 
-def _edge_ends(gaps: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with both ends judged in the same workspace: (workspace, parent, child, coverages)."""
-    parent = gaps.select("workspace_id", F.col("dimension").alias("parent"), F.col("coverage").alias("parent_coverage"))
-    child = gaps.select("workspace_id", F.col("dimension").alias("child"), F.col("coverage").alias("child_coverage"))
-    return parent.join(edges, "parent").join(child, ["workspace_id", "child"])
-
-
-def subset_violations(gaps: DataFrame, subsets: DataFrame) -> DataFrame:
-    ends = _edge_ends(gaps, subsets)
-    lower = F.col("parent_coverage").isin("Missing", "Partial")
-    uncovered_parent = _violation(
-        ends.filter((F.col("child_coverage") == "Covered") & lower), "subset_inconsistency", "error",
-        F.col("child"), "parent",
-    )
-    short = ends.filter((F.col("parent_coverage") == "Covered") & (F.col("child_coverage") != "Covered"))
-    listed = short.groupBy("workspace_id", "parent").agg(
-        F.array_join(F.array_sort(F.collect_set("child")), ", ").alias("_children")
+def _own_checks(lexicon: lx.Lexicon) -> list[Column]:
+    """Checks that read one dimension's row; null where it passes."""
+    coverage, risk = F.col("coverage"), F.col("risk_level")
+    incoherent = ((coverage == "Partial") & ~risk.isin("Low", "Medium")) | (
+        (coverage == "Missing") & ~risk.isin("Medium", "High")
     )
-    return uncovered_parent.unionByName(
-        _violation(listed, "missing_sub_elements", "warning", F.col("_children"), "parent")
+    judged = coverage != "Insufficient Evidence"
+    none = judged & (F.col("n_evidence") == 0)
+    some = judged & (F.col("n_evidence") > 0)
+    unnamed = some & coverage.isin("Missing", "Partial") & (F.col("n_named_evidence") == 0)
+    silent = some & (F.col("n_positions") > 0) & F.coalesce("recommendation", F.lit("")).isin(
+        "", "No recommendation provided."
     )
+    collision = (F.coalesce("synthesis", F.lit("")) != "") & (F.col("synthesis") == F.col("recommendation"))
+    drifted = (coverage == "Covered") & (drift_score(F.col("synthesis"), lexicon) > 0)
+    return [
+        F.when(incoherent, _violation("risk_coverage_mismatch", "error", risk)),
+        F.when(none, _violation("missing_evidence", "error")),
+        F.when(unnamed, _violation("missing_framework_evidence", "warning")),
+        F.when(silent, _violation("recommendation_missing", "warning")),
+        F.when(judged & (F.col("doc_chunks") == 0), _violation("zero_doc_retrieval", "warning")),
+        F.when(collision, _violation("synthesis_recommendation_collision", "warning")),
+        F.when(drifted, _violation("covered_synthesis_drift", "warning")),
+    ]
 
 
-def graph_violations(gaps: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edge rules, one per judged pair.
+def _edge_checks() -> tuple[Column, Column]:
+    """Checks of a dimension against its children, as arrays of violations.
 
-    A pair is looked at once, from the parent or the child, whichever dimension
-    comes first in the analysis (``ord``); only that side's rule applies.
+    ``_others`` maps the workspace's dimensions to (coverage, ord).  A graph
+    pair is judged once, from whichever end comes first in the analysis.
     """
-    orders = gaps.select("workspace_id", "dimension", "ord")
-    ends = first_per_key(
-        _edge_ends(gaps, edges.withColumnRenamed("ord", "edge_ord")), ["workspace_id", "parent", "child"], ["edge_ord"]
-    )
-    ends = ends.join(
-        orders.select("workspace_id", F.col("dimension").alias("parent"), F.col("ord").alias("_po")),
-        ["workspace_id", "parent"],
-    ).join(
-        orders.select("workspace_id", F.col("dimension").alias("child"), F.col("ord").alias("_co")),
-        ["workspace_id", "child"],
-    )
-    from_parent = F.col("_po") < F.col("_co")
-    parent_rule = from_parent & (F.col("parent_coverage") == "Covered") & (F.col("child_coverage") != "Covered")
-    child_rule = (
-        ~from_parent & (F.col("child_coverage") == "Covered") & F.col("parent_coverage").isin("Missing", "Partial")
-    )
-    above = _violation(ends.filter(parent_rule), "graph_child_not_covered", "warning", F.col("child"), "parent")
-    below = _violation(
-        ends.filter(child_rule), "graph_child_covered_but_parent_missing", "error", F.col("parent"), "child"
-    )
-    return above.unionByName(below)
-
-
-def risk_violations(gaps: DataFrame) -> DataFrame:
-    partial = (F.col("coverage") == "Partial") & ~F.col("risk_level").isin("Low", "Medium")
-    missing = (F.col("coverage") == "Missing") & ~F.col("risk_level").isin("Medium", "High")
-    return _violation(gaps.filter(partial | missing), "risk_coverage_mismatch", "error", F.col("risk_level"))
-
-
-def evidence_violations(gaps: DataFrame) -> DataFrame:
-    """Needs ``n_evidence``, ``n_named_evidence``, ``n_positions``, ``recommendation``, ``doc_chunks``."""
-    judged = gaps.filter(F.col("coverage") != "Insufficient Evidence")
-    none = F.col("n_evidence") == 0
-    unnamed = ~none & F.col("coverage").isin("Missing", "Partial") & (F.col("n_named_evidence") == 0)
-    silent = ~none & (F.col("n_positions") > 0) & F.coalesce("recommendation", F.lit("")).isin(
-        "", "No recommendation provided."
+    def other(child: Column) -> Column:
+        return F.element_at("_others", child)
+
+    coverage = F.col("coverage")
+    below = coverage.isin("Missing", "Partial")
+
+    def graph(child: Column) -> Column:
+        first = F.col("ord") < other(child)["ord"]
+        short = first & (coverage == "Covered") & (other(child)["coverage"] != "Covered")
+        orphan = ~first & (other(child)["coverage"] == "Covered") & below
+        return F.when(short, _violation("graph_child_not_covered", "warning", child)).when(
+            orphan, _violation("graph_child_covered_but_parent_missing", "error", F.col("dimension"), child)
+        )
+
+    def subset(child: Column) -> Column:
+        return F.when(
+            (other(child)["coverage"] == "Covered") & below, _violation("subset_inconsistency", "error", child)
+        )
+
+    uncovered = F.array_sort(F.filter("_subsets", lambda c: other(c)["coverage"] != "Covered"))
+    overestimated = F.when(
+        (coverage == "Covered") & (F.size(uncovered) > 0),
+        _violation("missing_sub_elements", "warning", F.array_join(uncovered, ", ")),
     )
     return (
-        _violation(judged.filter(none), "missing_evidence", "error")
-        .unionByName(_violation(judged.filter(unnamed), "missing_framework_evidence", "warning"))
-        .unionByName(_violation(judged.filter(silent), "recommendation_missing", "warning"))
-        .unionByName(_violation(judged.filter(F.col("doc_chunks") == 0), "zero_doc_retrieval", "warning"))
-    )
-
-
-def synthesis_violations(gaps: DataFrame, lexicon: lx.Lexicon = lx.DEFAULT) -> DataFrame:
-    same = (F.coalesce("synthesis", F.lit("")) != "") & (F.col("synthesis") == F.col("recommendation"))
-    drifted = (F.col("coverage") == "Covered") & (drift_score(F.col("synthesis"), lexicon) > 0)
-    return _violation(gaps.filter(same), "synthesis_recommendation_collision", "warning").unionByName(
-        _violation(gaps.filter(drifted), "covered_synthesis_drift", "warning")
+        F.transform("_children", graph),
+        F.concat(F.transform("_subsets", subset), F.array(overestimated)),
     )
 
 
 def violations(gaps: DataFrame, edges: DataFrame, subsets: DataFrame, lexicon: lx.Lexicon = lx.DEFAULT) -> DataFrame:
-    parts = (
-        subset_violations(gaps, subsets), risk_violations(gaps), evidence_violations(gaps),
-        synthesis_violations(gaps, lexicon), graph_violations(gaps, edges),
-    )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.select(*_COLUMNS)
+    """All violations in one pass over ``gaps``.
+
+    Needs ``workspace_id, dimension, ord, coverage, risk_level, n_evidence,
+    n_named_evidence, n_positions, recommendation, doc_chunks, synthesis``.
+    Each row gets its workspace's coverages by a window (a workspace has a
+    handful of dimensions) and its children by a join with the edge tables.
+    """
+    def children(table: DataFrame, name: str) -> DataFrame:
+        return table.groupBy(F.col("parent").alias("dimension")).agg(F.collect_set("child").alias(name))
+
+    same = Window.partitionBy("workspace_id")
+    entry = F.struct("dimension", F.struct("coverage", "ord").alias("state"))
+    none = F.array().cast("array<string>")
+    seen = (
+        gaps.withColumn("_others", F.map_from_entries(F.collect_list(entry).over(same)))
+        .join(children(edges, "_children"), "dimension", "left")
+        .join(children(subsets, "_subsets"), "dimension", "left")
+    )
+    for name in ("_children", "_subsets"):
+        known = F.filter(F.coalesce(name, none), lambda c: F.map_contains_key("_others", c))
+        seen = seen.withColumn(name, known)
+    graph, subset = _edge_checks()
+    found = F.array_compact(F.concat(F.array(*_own_checks(lexicon)), graph, subset))
+    return seen.select("workspace_id", F.explode(found).alias("_v")).select("workspace_id", "_v.*")
 
 
 def report(workspaces: DataFrame, found: DataFrame) -> DataFrame:

@@ -162,9 +162,7 @@ def reciprocal_rank_fusion(ranked: DataFrame, keys: Sequence[str], id_column: st
 
 def hybrid_score(query: Column, text: Column, dense: Column) -> Column:
     terms = tx.query_terms(query)
-    lowered = F.lower(text)
-    hits = F.size(F.filter(terms, lambda t: F.contains(lowered, t)))
-    lexical = hits / (F.size(tx.words(text)) + 1)
+    lexical = tx.count_contained(text, terms) / (F.size(tx.words(text)) + 1)
     return F.lit(DENSE_WEIGHT) * dense + (1.0 - F.lit(DENSE_WEIGHT)) * lexical
 
 

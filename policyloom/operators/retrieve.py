@@ -109,84 +109,86 @@ def fill_buckets_in_turn(candidates: DataFrame, caps: dict[str, int] | None = No
     """Second-pass budgets: buckets are filled one after the other.
 
     Ids looked at while filling a bucket are closed to later buckets; ids past
-    a bucket's cap are not.  Only the listed buckets drop repeated texts.
+    a bucket's cap are not.  Only the listed buckets drop repeated texts.  A
+    key's candidates are its retrieval cuts, some twenty rows, so each key is
+    one small group.
     """
     caps = SECOND_PASS_CAPS if caps is None else caps
-    prepared = candidates.withColumn("text", F.substring("text", 1, PROMPT_CHARS)).withColumn(
-        "_fragment", tx.is_fragment(F.col("text"))
+    prepared = (
+        candidates.withColumn("text", F.substring("text", 1, PROMPT_CHARS))
+        .withColumn("_fragment", tx.is_fragment(F.col("text")))
+        .withColumn("_text", tx.text_key(F.col("text")))
     )
-    position = Window.partitionBy(*keys).orderBy("_fragment", "rank", "chunk_id")
-    taken, seen = None, None
-    for bucket, cap in caps.items():
-        pool = prepared.filter(F.col("bucket") == bucket).withColumn("_at", F.row_number().over(position))
-        if seen is not None:
-            pool = pool.join(seen, [*keys, "chunk_id"], "left_anti")
-        eligible = pool
-        if bucket in text_unique:
-            keyed = pool.withColumn("_text", tx.text_key(F.col("text")))
-            eligible = first_per_key(keyed, [*keys, "_text"], ["_at"]).drop("_text")
-        filled = eligible.withColumn(
-            "slot", F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))
-        ).filter(F.col("slot") <= cap)
-        closing = filled.groupBy(*keys).agg(
-            F.when(F.count("*") >= cap, F.max("_at")).alias("_closed_at")
-        )
-        looked = (
-            pool.join(closing, list(keys))
-            .filter(F.col("_closed_at").isNull() | (F.col("_at") <= F.col("_closed_at")))
-            .select(*keys, "chunk_id")
-        )
-        seen = looked if seen is None else seen.unionByName(looked)
-        filled = filled.drop("_at", "_fragment")
-        taken = filled if taken is None else taken.unionByName(filled)
-    return taken
+    columns = candidates.columns
+    schema = _schema(prepared.select(*columns)) + ", slot int"
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        seen, picked, slots = set(), [], []
+        for bucket, cap in caps.items():
+            pool = group[group.bucket == bucket].sort_values(["_fragment", "rank", "chunk_id"])
+            texts, taken = set(), 0
+            for index, chunk, text in zip(pool.index, pool.chunk_id, pool._text):
+                if taken >= cap:
+                    break
+                if chunk in seen:
+                    continue
+                seen.add(chunk)
+                if bucket in text_unique and text in texts:
+                    continue
+                texts.add(text)
+                taken += 1
+                picked.append(index)
+                slots.append(taken)
+        return group.loc[picked, columns].assign(slot=slots)
+
+    return prepared.groupBy(*keys).applyInPandas(run, schema)
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def enforce_reserve(filled: DataFrame, reserved: DataFrame, budget: int, reserve: int = 1,
                     keys: Sequence[str] = ("workspace_id", "dimension")) -> DataFrame:
     """Guarantee ``reserve`` rows of one bucket to reserved sources.
 
-    ``filled``: the bucket's rows with ``slot`` and ``is_reserved``; ``reserved``
-    candidates carry the same columns with ``rank``.  Each inserted candidate
-    takes the slot of the last row that is not reserved, or a free slot.
+    ``filled`` is the budgeted bucket (with ``slot``), ``reserved`` the routed
+    sources' candidates (with ``rank``); both carry ``is_reserved``.  A
+    candidate whose text is not in the bucket yet takes the place of the last
+    row that is not reserved, or a free slot.
     """
-    state = filled.groupBy(*keys).agg(
-        F.count_if("is_reserved").alias("_have"), F.count("*").alias("_size"),
-        F.collect_set(tx.text_key(F.col("text"))).alias("_texts"),
-    )
-    fresh = (
-        reserved.withColumn("_text", tx.text_key(F.col("text")))
-        .join(state, list(keys), "left")
-        .withColumn("_have", F.coalesce("_have", F.lit(0)))
-        .withColumn("_size", F.coalesce("_size", F.lit(0)))
-        .filter(F.col("_texts").isNull() | ~F.array_contains("_texts", F.col("_text")))
-    )
-    fresh = first_per_key(fresh.drop("_texts"), [*keys, "_text"], ["rank", "chunk_id"])
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "chunk_id"))
-    wanted = fresh.withColumn("_turn", turn).filter(F.col("_turn") <= F.lit(reserve) - F.col("_have"))
-    from_tail = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("slot")))
-    evictable = (
-        filled.filter(~F.col("is_reserved"))
-        .withColumn("_turn", from_tail)
-        .select(*keys, "_turn", F.col("slot").alias("_freed"))
-    )
-    n_evictable = evictable.groupBy(*keys).agg(F.count("*").alias("_evictable"))
-    placed = (
-        wanted.drop("slot")
-        .join(evictable, [*keys, "_turn"], "left")
-        .join(n_evictable, list(keys), "left")
-        .withColumn(
-            "slot",
-            F.coalesce(
-                "_freed", F.col("_size") + F.col("_turn") - F.coalesce("_evictable", F.lit(0))
-            ).cast("int"),
-        )
-        .filter(F.col("_freed").isNotNull() | (F.col("slot") <= budget))
-        .withColumn("is_reserved", F.lit(True))
-    )
-    evicted = placed.filter(F.col("_freed").isNotNull()).select(*keys, F.col("_freed").alias("slot"))
-    stay = filled.join(evicted, [*keys, "slot"], "left_anti")
-    return stay.unionByName(placed.select(*stay.columns))
+    columns = filled.columns
+    both = filled.withColumn("_place", F.col("slot")).withColumn("_new", F.lit(False)).unionByName(
+        reserved.withColumn("_place", F.col("rank")).withColumn("_new", F.lit(True)).select(
+            *columns, "_place", "_new")
+    ).withColumn("_text", tx.text_key(F.col("text")))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group[~group._new].sort_values("_place")
+        bucket, texts = list(rows.index), set(rows._text)
+        missing = reserve - int(rows.is_reserved.sum())
+        fresh = group[group._new].sort_values(["_place", "chunk_id"])
+        protected = set(rows.index[rows.is_reserved])
+        for index, text in zip(fresh.index, fresh._text):
+            if missing <= 0:
+                break
+            if text in texts:
+                continue
+            open_slots = [i for i, kept in enumerate(bucket) if kept not in protected]
+            if open_slots:
+                bucket[open_slots[-1]] = index
+            elif len(bucket) < budget:
+                bucket.append(index)
+            else:
+                break
+            texts.add(text)
+            protected.add(index)
+            missing -= 1
+        out = group.loc[bucket, columns].assign(slot=range(1, len(bucket) + 1))
+        out["is_reserved"] = [i in protected for i in bucket]
+        return out
+
+    return both.groupBy(*keys).applyInPandas(run, _schema(filled))
 
 
 # -- whole-document overview -------------------------------------------------

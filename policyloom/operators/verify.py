@@ -207,75 +207,90 @@ def tally(verified: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _lists(df: DataFrame, keys: Sequence[str], name: str, order: Sequence[str], fields: Sequence) -> DataFrame:
+    """Rows of a key as one ordered array (a verdict's citations, a retrieval's passages: a handful)."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("row")))).alias(name))
+
+
+def _rows(column: Column) -> Column:
+    return F.transform(F.coalesce(column, F.array()), lambda x: x["row"])
+
+
 def minimum_citations(citations: DataFrame, fallback: DataFrame, keys: Sequence[str],
                       topics: dict | None = None) -> DataFrame:
     """Where every citation of a dimension is a decline, attach requirement passages.
 
-    ``fallback(keys, dimension, rank, chunk_id, text, framework)``: its first two
-    rows are looked at; a row needs a named source, substance and the topic.
+    ``fallback(keys, rank, chunk_id, text, framework)``: its first two rows are
+    looked at; a row needs a named source, substance and the topic.
     """
-    real = citations.filter(F.col("state") != "no_citation").select(*keys).distinct()
-    considered = fallback.filter(F.col("rank") <= FALLBACK_CITATIONS)
+    fields = ["chunk_id", "source", "quote", "state"]
     passage = F.substring("text", 1, QUOTE_CHARS)
     attached = (
-        considered.join(real, list(keys), "left_anti")
+        fallback.filter(F.col("rank") <= FALLBACK_CITATIONS)
         .withColumn("quote", passage)
         .filter(F.coalesce("framework", F.lit("")) != "")
         .filter(~tx.is_fragment(F.col("quote")))
         .filter(tx.on_topic(F.col("quote"), F.col("dimension"), topics))
-        .select(*keys, "chunk_id", F.col("framework").alias("source"), "quote",
-                F.lit("deterministic_fallback").alias("state"))
+        .withColumn("source", F.col("framework"))
+        .withColumn("state", F.lit("deterministic_fallback"))
     )
-    replaced = attached.select(*keys).distinct()
-    kept = citations.select(*keys, "chunk_id", "source", F.col("claim").alias("quote"), "state").join(
-        replaced, list(keys), "left_anti"
+    given = citations.withColumn("quote", F.col("claim"))
+    both = _lists(given, keys, "_given", ["chunk_id"], fields).join(
+        _lists(attached, keys, "_attached", ["rank"], fields), list(keys), "full"
     )
-    return kept.unionByName(attached)
+    rows, extra = _rows(F.col("_given")), _rows(F.col("_attached"))
+    has_real = F.exists(rows, lambda r: r["state"] != "no_citation")
+    chosen = F.when(has_real | (F.size(extra) == 0), rows).otherwise(extra)
+    return both.select(*keys, F.explode(chosen).alias("_r")).select(*keys, "_r.*")
 
 
 def implementation_citations(citations: DataFrame, pool: DataFrame, phases: DataFrame, chunks: DataFrame,
                              keys: Sequence[str], topics: dict | None = None) -> DataFrame:
     """Keep on-topic implementation citations and fill up to ``min(2, max(1, phases))``.
 
-    ``pool(keys, dimension, pool_rank, chunk_id, text)`` is in preference order.
+    ``pool(keys, pool_rank, chunk_id, text)`` is in preference order.
     """
+    fields = ["chunk_id", "source", "quote", "state"]
     stored = chunks.select("chunk_id", F.col("text").alias("_text"), F.col("framework").alias("_framework"),
                            F.col("document_name").alias("_document"))
-    joined = citations.join(stored, "chunk_id", "left")
     off_topic = (
         F.coalesce(F.col("_text") != "", F.lit(False))
         & ~tx.on_topic(F.col("_text"), F.col("dimension"), topics)
         & (F.col("state") != "no_citation")
     )
-    kept = joined.filter(~off_topic).withColumn(
-        "source", F.coalesce(F.nullif("source", F.lit("")), F.nullif("_document", F.lit("")), F.col("_framework"))
+    named = F.coalesce(F.nullif("source", F.lit("")), F.nullif("_document", F.lit("")), F.col("_framework"))
+    kept = (
+        citations.join(stored, "chunk_id", "left").filter(~off_topic)
+        .withColumn("source", named).withColumn("quote", F.col("claim"))
     )
-    real = kept.filter(F.col("state") != "no_citation")
-    have = real.groupBy(*keys).agg(F.count("*").alias("_have"))
-    target = F.least(F.lit(2), F.greatest(F.lit(1), F.coalesce("phases", F.lit(0))))
     head = F.ltrim(F.lower(F.substring("text", 1, 200)))
     fill = (
-        pool.join(real.select(*keys, "chunk_id"), [*keys, "chunk_id"], "left_anti")
-        .join(stored, "chunk_id")
-        .filter(~tx.is_fragment(F.substring("text", 1, QUOTE_CHARS)))
+        pool.join(stored, "chunk_id")
+        .withColumn("quote", F.substring("text", 1, QUOTE_CHARS))
+        .filter(~tx.is_fragment(F.col("quote")))
         .filter(~F.contains(head, F.lit("table of contents")) & ~head.startswith("title page"))
         .filter(tx.on_topic(F.col("text"), F.col("dimension"), topics))
         .withColumn("source", F.coalesce(F.nullif("_framework", F.lit("")), F.nullif("_document", F.lit(""))))
         .filter(F.col("source").isNotNull())
+        .withColumn("state", F.lit("deterministic_fallback"))
     )
-    fill = first_per_key(fill, [*keys, "chunk_id"], ["pool_rank"])
-    ranked = top_k(fill, list(keys), [F.asc("pool_rank"), F.asc("chunk_id")], 2, "_turn")
-    added = (
-        ranked.join(have, list(keys), "left")
+    fill = first_per_key(fill.select(*keys, "pool_rank", *fields), [*keys, "chunk_id"], ["pool_rank"])
+    both = (
+        _lists(kept, keys, "_kept", ["chunk_id"], fields)
+        .join(_lists(fill, keys, "_fill", ["pool_rank"], fields), list(keys), "full")
         .join(phases, list(keys), "left")
-        .filter(F.col("_turn") + F.coalesce("_have", F.lit(0)) <= target)
-        .select(*keys, "chunk_id", "source", F.substring("text", 1, QUOTE_CHARS).alias("quote"),
-                F.lit("deterministic_fallback").alias("state"))
     )
-    satisfied = real.select(*keys).unionByName(added.select(*keys)).distinct()
-    declines = kept.filter(F.col("state") == "no_citation").join(satisfied, list(keys), "left_anti")
-    columns = [*keys, "chunk_id", "source", F.col("claim").alias("quote"), "state"]
-    return real.select(*columns).unionByName(declines.select(*columns)).unionByName(added)
+    rows = _rows(F.col("_kept"))
+    split = both.withColumn("_real", F.filter(rows, lambda r: r["state"] != "no_citation")).withColumn(
+        "_declined", F.filter(rows, lambda r: r["state"] == "no_citation")
+    )
+    used = F.transform("_real", lambda r: r["chunk_id"])
+    target = F.least(F.lit(2), F.greatest(F.lit(1), F.coalesce("phases", F.lit(0))))
+    fresh = F.filter(_rows(F.col("_fill")), lambda r: ~F.array_contains(used, r["chunk_id"]))
+    wanted = F.greatest(F.lit(0), target - F.size("_real")).cast("int")
+    found = F.concat("_real", F.slice(fresh, F.lit(1), wanted))
+    chosen = F.when(F.size(found) > 0, found).otherwise(F.col("_declined"))
+    return split.select(*keys, F.explode(chosen).alias("_r")).select(*keys, "_r.*")
 
 
 def existing_examples(examples: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -365,13 +380,17 @@ def _letters(name: Column) -> Column:
 def known_source(claims: DataFrame, known: DataFrame, keys: Sequence[str], source: str = "source") -> DataFrame:
     """Gate claimed sources to ``known(name, ord)``: either contains the other, letters only.
 
-    A name contained in a claim starts with one of the claim's 4-letter runs,
-    and a claim contained in a name starts with one of the name's 8-letter
-    runs, so both directions are equi-joins followed by the exact test.
+    A text that contains another contains its first 16 letters (or all of a
+    shorter one), so both directions are equi-joins on such runs, followed by
+    the exact test.
     """
-    def runs(text: Column, width: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - width + 1))
-        return F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(width)))))
+    def runs(text: Column, shortest: int) -> Column:
+        def of_width(width: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - width + 1))
+            return F.transform(starts, lambda i: F.substring(text, i, width))
+
+        widths = F.sequence(F.lit(shortest), F.lit(16))
+        return F.explode(F.array_distinct(F.flatten(F.transform(widths, of_width))))
 
     names = known.select("name", "ord", _letters(F.col("name")).alias("_known")).filter(F.length("_known") >= 4)
     asked = (
@@ -380,9 +399,9 @@ def known_source(claims: DataFrame, known: DataFrame, keys: Sequence[str], sourc
         .filter(F.length("_claimed") >= 8)
     )
     inside_claim = asked.withColumn("_run", runs(F.col("_claimed"), 4)).join(
-        names.withColumn("_run", F.substring("_known", 1, 4)), "_run"
+        names.withColumn("_run", F.substring("_known", 1, 16)), "_run"
     ).filter(F.contains(F.col("_claimed"), F.col("_known")))
-    inside_name = asked.withColumn("_run", F.substring("_claimed", 1, 8)).join(
+    inside_name = asked.withColumn("_run", F.substring("_claimed", 1, 16)).join(
         names.withColumn("_run", runs(F.col("_known"), 8)), "_run"
     ).filter(F.contains(F.col("_known"), F.col("_claimed")))
     columns = ["_claimed_name", "ord", "name"]
@@ -416,9 +435,9 @@ def overview_labels(replies: DataFrame, keys: Sequence[str], text: str = "text",
         found = found.filter(~F.col("_group").contains(","))
     labels = F.regexp_extract_all("_group", F.lit(r"DOC-(\d+)"), F.lit(1))
     return found.select(
-        *keys, F.col("_no").alias("marker_no"), F.explode(labels).cast("int").alias("doc_no"),
-        F.substring(claim, 1, QUOTE_CHARS).alias("claim"),
-    ).withColumn("usable", F.length("claim") >= 8)
+        *keys, F.col("_no").alias("marker_no"), F.explode(labels).alias("doc_no"),
+        F.substring(claim, F.lit(1), F.lit(QUOTE_CHARS)).alias("claim"),
+    ).withColumn("doc_no", F.col("doc_no").cast("int")).withColumn("usable", F.length("claim") >= 8)
 
 
 def match_quotes(quotes: DataFrame, hits: DataFrame, keys: Sequence[str], similarity: bool = True) -> DataFrame:
@@ -432,8 +451,7 @@ def match_quotes(quotes: DataFrame, hits: DataFrame, keys: Sequence[str], simila
     terms = F.array_distinct(tx.words(F.lower(tx.strip(F.col("quote")))))
     long_terms = F.filter(terms, lambda t: F.length(t) > 3)
     used = F.when(F.size(long_terms) > 0, long_terms).otherwise(terms)
-    lowered = F.lower("text")
-    overlap = F.size(F.filter(used, lambda t: F.contains(lowered, t))) / F.size(used)
+    overlap = tx.count_contained(F.col("text"), used) / F.size(used)
     scored = joined.withColumn("overlap", F.round(F.coalesce(overlap, F.lit(0.0)), 6)).withColumn(
         "_order", -F.col("overlap")
     )

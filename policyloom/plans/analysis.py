@@ -13,6 +13,7 @@ from policyloom.operators import analytics, consistency, retrieve, rules
 from policyloom.operators.nearest import ROLE_HEADROOM, hybrid_rerank, nearest
 from policyloom.operators.ordering import first_per_key, top_k
 from policyloom.operators.segment import ingest_pages
+from policyloom.session import cut_lineage
 
 
 def passages_per_dimension(pages: DataFrame, workspaces: DataFrame, queries: DataFrame) -> DataFrame:
@@ -92,6 +93,7 @@ def judge(spark: SparkSession, verdicts: DataFrame, doc_chunks: DataFrame, evide
     for name in ("n_evidence", "n_named_evidence", "doc_chunks"):
         gaps = gaps.withColumn(name, F.coalesce(name, F.lit(0)))
     gaps = gaps.withColumn("n_positions", F.lit(0)).withColumn("recommendation", F.get("recommendations", F.lit(0)))
+    gaps = cut_lineage(gaps)  # read by the checks, the penalty and the roll-ups
     found = consistency.violations(gaps, consistency.edge_table(spark), consistency.subset_table(spark), lexicon)
     final = consistency.apply_penalty(gaps, found)
     return Judged(final, found, analytics.decision_analytics(final), analytics.summaries(final))

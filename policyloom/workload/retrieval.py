@@ -150,7 +150,7 @@ def bucket_reserve(spark, sf):
     ).filter(_tagged())
     pool = nn.top_k(dense.drop("rank"), ["dimension"], [F.desc("similarity"), F.asc("chunk_id")], 15)
     reserved = nn.hybrid_rerank(pool, ["dimension"], 3).withColumn("bucket", F.lit(lx.PRACTICAL)).withColumn(
-        "text", F.substring("text", 1, rt.PROMPT_CHARS)).withColumn("slot", F.lit(0))
+        "text", F.substring("text", 1, rt.PROMPT_CHARS)).withColumn("slot", F.lit(0)).withColumn("is_reserved", F.lit(True))
     reserved = rt.substantive_first(reserved).withColumn(
         "rank", F.col("rank") + F.when(F.col("_fragment"), 1000).otherwise(0)
     )
@@ -439,8 +439,8 @@ im2 AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY frag, rank,
   FROM (SELECT * EXCLUDE (text), substr(text, 1, 800) AS text FROM im))),
 im3 AS (SELECT * FROM im2 QUALIFY row_number() OVER (PARTITION BY dimension, tk ORDER BY pos) = 1),
 im4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY pos) AS slot FROM im3) WHERE slot <= 3),
-closed AS (SELECT dimension, CASE WHEN count(*) >= 3 THEN max(pos) END AS at FROM im4 GROUP BY 1),
-looked AS (SELECT im2.dimension, chunk_id FROM im2 JOIN closed USING (dimension) WHERE at IS NULL OR pos <= at),
+closed AS (SELECT dimension, CASE WHEN count(*) >= 3 THEN max(pos) END AS closed_at FROM im4 GROUP BY 1),
+looked AS (SELECT im2.dimension, chunk_id FROM im2 JOIN closed USING (dimension) WHERE closed_at IS NULL OR pos <= closed_at),
 inc2 AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY frag, rank, chunk_id) AS slot FROM (
   SELECT *, {b.fragment_sql('substr(text, 1, 800)')} AS frag FROM inc ANTI JOIN looked USING (dimension, chunk_id)))"""
 
