@@ -97,16 +97,16 @@ def has_commitment(
 ) -> Column:
     """True where a phrase occurs that none of the two words before it denies.
 
-    The look-behind captures the 16 characters ahead of each hit; the match
-    itself is empty, so phrases that overlap are all seen.
+    The match itself is empty, so phrases that overlap are all seen; only where
+    a phrase begins does the look-behind capture the 16 characters ahead of it.
+    Texts with no phrase at all are settled by the plain test.
     """
     window = lx.NEGATION_WINDOW
-    hit = (
-        r"(?sU)(?<=(\A.{0,%d}|.{%d}))(?=" % (window, window) + _word_pattern(phrases) + ")"
-    )
+    pattern = _word_pattern(phrases)
+    hit = r"(?sU)(?=" + pattern + r")(?<=(\A.{0,%d}|.{%d}))" % (window, window)
     denied = r"(?:^|\s)(?:" + alternation(negators) + r")(?:\s+\S+)?\s*$"
     before = F.regexp_extract_all(text, F.lit(hit), F.lit(1))
-    return F.exists(before, lambda w: ~w.rlike(denied))
+    return F.when(text.rlike("(?U)" + pattern), F.exists(before, lambda w: ~w.rlike(denied))).otherwise(False)
 
 
 # -- passage filters ---------------------------------------------------------
