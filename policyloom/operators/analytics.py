@@ -48,7 +48,7 @@ def decision_analytics(gaps: DataFrame, workspace: str = "workspace_id") -> Data
         F.count_if((F.col("coverage") == "Insufficient Evidence") & ~failed).alias("insufficient_evidence"),
         F.count_if(failed).alias("analysis_failed"),
         n.alias("assessed_dimensions"),
-        F.coalesce(F.element_at(stages, F.min(rank) + 1), F.lit("Not Assessed")).alias("overall_governance_maturity"),
+        F.coalesce(F.get(stages, F.min(rank)), F.lit("Not Assessed")).alias("overall_governance_maturity"),
         F.coalesce(F.round(100.0 * F.sum(rank) / (4 * n), 1), F.lit(0.0)).alias("maturity_index"),
         *[
             F.count_if(assessed & (stage == i)).alias("stage_" + name.lower().replace(" ", "_"))

@@ -216,8 +216,8 @@ def interleave(picks: DataFrame, sweep: DataFrame, top: int = OVERVIEW_K,
                scope: str = "workspace_id") -> DataFrame:
     """Alternate section picks and sweep hits; ids and 220-character openings count once.
 
-    Inputs: scope, position, chunk_id, text.  Repeats inside one list are
-    dropped first; then at most two rows of a list can be blocked by each row
+    Inputs: scope, position, chunk_id, text (an id always has the same text).
+    Repeats inside one list are dropped first; then at most two rows of a list can be blocked by each row
     accepted from the other, so ``3 * top`` rows of each list are enough.
     """
     def lead(df: DataFrame, side: int) -> DataFrame:
@@ -233,7 +233,7 @@ def interleave(picks: DataFrame, sweep: DataFrame, top: int = OVERVIEW_K,
     scope_type = dict(picks.dtypes)[scope]
     id_type = dict(picks.dtypes)["chunk_id"]
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         queues = [
             list(part.sort_values("rank")[["chunk_id", "opening", "text"]].itertuples(index=False))
             for part in (group[group.side == 0], group[group.side == 1])

@@ -327,8 +327,9 @@ def confidence(evidence: DataFrame, verdicts: DataFrame, keys: Sequence[str] = K
 
 
 def _settled(value: Column, digits: int) -> Column:
-    """Rounded so that the order in which a sum was added up does not show."""
-    return F.round(F.round(value, 9), digits)
+    """Rounded half up on the binary value, the order of summation taken out first."""
+    scale = 10**digits
+    return F.floor(F.round(value, 9) * scale + 0.5) / scale
 
 
 def stability_factor(semantic_stability: Column, is_stable: Column) -> Column:

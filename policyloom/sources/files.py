@@ -15,6 +15,8 @@ MIN_CHARS_PER_PAGE = 10
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Files with length and content.  Spark's file scan leaves out files of zero
+    bytes; an upload table that lists them gets them judged as empty."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
