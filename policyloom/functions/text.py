@@ -37,8 +37,13 @@ def is_header_line(line: Column, strict_caps: bool = False) -> Column:
     return line.rlike("(?i)^" + header_pattern(strict_caps))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once per row, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def words(text: Column) -> Column:
@@ -81,7 +86,7 @@ def mechanism_flags(mechanisms: Column, lexicon: lx.Lexicon = lx.DEFAULT) -> dic
     """Which kinds of operational mechanism a list of descriptions names."""
     real = F.filter(
         F.coalesce(mechanisms, F.array().cast("array<string>")),
-        lambda m: m.isNotNull() & (strip(m) != ""),
+        lambda m: F.coalesce(m.rlike(r"\S"), F.lit(False)),
     )
     flags = {
         "has_named_body": F.exists(real, lambda m: has_keyword(m, lexicon.named_body)),
@@ -113,39 +118,44 @@ def has_commitment(
 
 def is_preamble(text: Column, page: Column) -> Column:
     """Cover page, contents or copyright boilerplate; no page counts as page 0."""
-    lowered = strip(F.lower(F.coalesce(text, F.lit(""))))
-    size = F.length(lowered)
-    return (
-        (size < 150)
-        | ((F.coalesce(page, F.lit(0)) <= 1) & (size < 400))
-        | ((size < 400) & contains_any(lowered, lx.PREAMBLE_MARKERS))
-    )
+    early = F.coalesce(page, F.lit(0)) <= 1
+
+    def judge(lowered: Column) -> Column:
+        size = F.length(lowered)
+        return (size < 150) | ((size < 400) & (early | contains_any(lowered, lx.PREAMBLE_MARKERS)))
+
+    return bind(strip(F.lower(F.coalesce(text, F.lit("")))), judge)
 
 
 def is_fragment(text: Column) -> Column:
     """Glossary entry or bare heading: no sentence in it."""
-    flat = normalized(F.coalesce(text, F.lit("")))
-    heading = (
-        (F.length(flat) <= 50)
-        & ~flat.rlike(r"[.!?;:]")
-        & ~flat.rlike(r"(?:^|\s)\p{Ll}\S{3,}")
-    )
-    return (flat == "") | flat.rlike(_GLOSSARY_ENTRY) | heading
+    def judge(flat: Column) -> Column:
+        heading = (
+            (F.length(flat) <= 50)
+            & ~flat.rlike(r"[.!?;:]")
+            & ~flat.rlike(r"(?:^|\s)\p{Ll}\S{3,}")
+        )
+        return (flat == "") | flat.rlike(_GLOSSARY_ENTRY) | heading
+
+    return bind(normalized(F.coalesce(text, F.lit(""))), judge)
 
 
 def is_foreign(text: Column) -> Column:
     """At least 15 words, and a foreign language's stop words beat English's."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(WORD_CHARS), F.lit(0))
+    def count(tokens: Column) -> Column:
+        def hits(stop_words) -> Column:
+            return F.size(F.filter(tokens, lambda t: t.isin(*stop_words)))
 
-    def hits(stop_words) -> Column:
-        return F.size(F.filter(tokens, lambda t: t.isin(*stop_words)))
+        return F.struct(
+            F.size(tokens).alias("words"), hits(lx.ENGLISH_STOP_WORDS).alias("english"),
+            F.greatest(*[hits(stop) for stop in lx.FOREIGN_STOP_WORDS.values()]).alias("foreign"),
+        )
 
-    english = hits(lx.ENGLISH_STOP_WORDS)
-    foreign = [hits(stop) for stop in lx.FOREIGN_STOP_WORDS.values()]
-    beaten = F.lit(False)
-    for count in foreign:
-        beaten = beaten | ((count >= 4) & (count > english))
-    return (F.size(tokens) >= 15) & beaten
+    def judge(c: Column) -> Column:
+        return (c["words"] >= 15) & (c["foreign"] >= 4) & (c["foreign"] > c["english"])
+
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(WORD_CHARS), F.lit(0))
+    return bind(bind(tokens, count), judge)
 
 
 def on_topic(text: Column, dimension: Column, topics: dict | None = None) -> Column:
@@ -199,15 +209,21 @@ def is_no_citation(chunk_id: Column, quote: Column) -> Column:
 
 def key_terms(claim: Column) -> Column:
     """Claim words longer than three letters, or all words if there are few."""
-    tokens = words(F.lower(claim))
-    long_terms = F.filter(tokens, lambda t: F.length(t) > 3)
-    return F.when(F.size(long_terms) <= 3, tokens).otherwise(long_terms)
+    def choose(tokens: Column) -> Column:
+        return bind(
+            F.filter(tokens, lambda t: F.length(t) > 3),
+            lambda long_terms: F.when(F.size(long_terms) <= 3, tokens).otherwise(long_terms),
+        )
+
+    return bind(words(F.lower(claim)), choose)
 
 
 def keyword_overlap(claim: Column, text: Column) -> Column:
     """Share of the claim's key terms found as substrings of the text."""
-    terms = key_terms(claim)
-    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(count_contained(text, terms) / F.size(terms))
+    return bind(
+        key_terms(claim),
+        lambda terms: F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(count_contained(text, terms) / F.size(terms)),
+    )
 
 
 def count_contained(text: Column, terms: Column) -> Column:
@@ -216,10 +232,7 @@ def count_contained(text: Column, terms: Column) -> Column:
     The text is bound once as a lambda variable, so it is not lower-cased again
     for every term.
     """
-    counts = F.transform(
-        F.array(F.lower(text)), lambda lowered: F.size(F.filter(terms, lambda t: F.contains(lowered, t)))
-    )
-    return F.get(counts, F.lit(0))
+    return bind(F.lower(text), lambda lowered: F.size(F.filter(terms, lambda t: F.contains(lowered, t))))
 
 
 # -- roles and messages ------------------------------------------------------

@@ -27,6 +27,7 @@ DENSE_HEADROOM = 3
 ROLE_HEADROOM = 5
 
 QUERY_BYTES_LIMIT = 64 << 20
+BROADCAST_ROWS = 100_000
 BLOCK_ROWS = 8192
 
 
@@ -75,6 +76,7 @@ def nearest(
     id_column: str = "chunk_id",
     scope: str | None = None,
     carry: Sequence[str] = (),
+    attach: Sequence[str] = (),
     embedder: BatchEmbedder | None = None,
     stored_vectors: bool = False,
     bytes_limit: int = QUERY_BYTES_LIMIT,
@@ -82,8 +84,9 @@ def nearest(
     """Top ``k`` chunks per query, or per scope value and query.
 
     ``source`` names the column that holds the text (or, with
-    ``stored_vectors``, the vector) on both sides.  ``carry`` columns come along
-    for the winners.
+    ``stored_vectors``, the vector) on both sides.  Narrow ``carry`` columns
+    travel with the scores; wide ``attach`` columns (texts, vectors) are joined
+    to the winners afterwards, so a text is never copied once per query.
     """
     embedder = None if stored_vectors else (embedder or HashingEmbedder())
     queries = queries.select(*query_keys, source)
@@ -100,7 +103,8 @@ def nearest(
     if len(rows) > limit:
         partial = _blockwise(chunks.select(*columns), queries, k, query_keys, source, id_column,
                              scope, kept, embedder, schema)
-        return top_k(partial, keys, order, k, spread_by=None if scope else id_column)
+        found = top_k(partial, keys, order, k, spread_by=None if scope else id_column)
+        return attach_columns(found, chunks, id_column, attach)
 
     frame = pd.DataFrame([r.asDict() for r in rows], columns=[*query_keys, source])
     query_matrix = _matrix(frame, source, embedder) if len(frame) else np.zeros((0, 1))
@@ -112,7 +116,22 @@ def nearest(
                 yield _score(batch, query_matrix, labels, k, source, id_column, scope, kept, embedder)
 
     partial = chunks.select(*columns).mapInPandas(run, schema)
-    return top_k(partial, keys, order, k, spread_by=None if scope else id_column)
+    found = top_k(partial, keys, order, k, spread_by=None if scope else id_column)
+    return attach_columns(found, chunks, id_column, attach, None if scope else len(rows) * k)
+
+
+def attach_columns(hits: DataFrame, chunks: DataFrame, id_column: str, columns: Sequence[str],
+                   most: int | None = None) -> DataFrame:
+    """Columns of the chunk table for the winners.
+
+    ``most`` is the proven number of hits (queries times k).  Up to a limit they
+    are sent to the chunk scan; without a bound, or past it, Spark picks the join.
+    """
+    if not columns:
+        return hits
+    small = most is not None and most <= BROADCAST_ROWS
+    wide = chunks.select(id_column, *columns)
+    return wide.join(F.broadcast(hits) if small else hits, id_column)
 
 
 def _score(batch, query_matrix, labels, k, source, id_column, scope, kept, embedder) -> pd.DataFrame:
@@ -208,12 +227,12 @@ def retrieve(
     keys = [*([scope] if scope else []), *query_keys]
     if not hybrid:
         return nearest(chunks, queries, k, query_keys=query_keys, id_column=id_column, scope=scope,
-                       carry=carry, embedder=embedder)
+                       attach=carry, embedder=embedder)
     headroom = ROLE_HEADROOM if roles else DENSE_HEADROOM
     asked = queries.select(*query_keys, "text", F.col("text").alias("query_text"))
     dense = nearest(
         chunks, asked, k * headroom, query_keys=[*query_keys, "query_text"], id_column=id_column,
-        scope=scope, carry=list(dict.fromkeys(["text", *carry])), embedder=embedder,
+        scope=scope, attach=[c for c in dict.fromkeys(["text", *carry]) if c != scope], embedder=embedder,
     )
     return hybrid_rerank(dense, keys, k, id_column=id_column)
 

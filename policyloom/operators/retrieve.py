@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from policyloom import lexicons as lx
 from policyloom.functions import text as tx
-from policyloom.operators.nearest import nearest, reciprocal_rank_fusion, retrieve
+from policyloom.operators.nearest import attach_columns, nearest, reciprocal_rank_fusion, retrieve
 from policyloom.operators.ordering import first_per_key, top_k
 
 # --- fixed values: budgets --------------------------------------------------
@@ -44,17 +44,11 @@ def document_candidates(
     Keeps the fused best ``candidates`` per workspace and dimension, each with
     its best similarity over the queries.
     """
-    ranked = nearest(
-        chunks, queries, candidates, query_keys=["dimension", "query_no"], scope=scope,
-        carry=carry, id_column=id_column,
-    )
+    ranked = nearest(chunks, queries, candidates, query_keys=["dimension", "query_no"], scope=scope, id_column=id_column)
     keys = [scope, "dimension"]
-    fused = ranked.groupBy(*keys, id_column).agg(
-        F.round(F.sum(1.0 / (F.lit(60) + F.col("rank") - 1)), 10).alias("rrf_score"),
-        F.max("similarity").alias("similarity"),
-        *[F.first(c).alias(c) for c in carry],
-    )
-    return top_k(fused, keys, [F.desc("rrf_score"), F.asc(id_column)], candidates)
+    fused = reciprocal_rank_fusion(ranked, keys, id_column).withColumnRenamed("best_similarity", "similarity")
+    best = top_k(fused, keys, [F.desc("rrf_score"), F.asc(id_column)], candidates)
+    return attach_columns(best, chunks, id_column, carry)
 
 
 def full_profile(chunks: DataFrame, queries: DataFrame, id_column: str = "chunk_id") -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from policyloom import lexicons as lx
 from policyloom.functions import text as tx
 from policyloom.operators import analytics, consistency, retrieve, rules
-from policyloom.operators.nearest import ROLE_HEADROOM, hybrid_rerank, nearest
+from policyloom.operators.nearest import ROLE_HEADROOM, attach_columns, hybrid_rerank, nearest
 from policyloom.operators.ordering import first_per_key, top_k
 from policyloom.operators.segment import ingest_pages
-from policyloom.session import cut_lineage
+from policyloom.session import cut_lineage, materialize
 
 
 def passages_per_dimension(pages: DataFrame, workspaces: DataFrame, queries: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def passages_per_dimension(pages: DataFrame, workspaces: DataFrame, queries: Dat
 
     ``workspaces(doc_id, workspace_id)`` says whose document a page belongs to.
     """
-    chunks = ingest_pages(pages).join(workspaces, "doc_id")
+    chunks = materialize(ingest_pages(pages).join(workspaces, "doc_id"))
     return best_passages(chunks, queries)
 
 
@@ -45,18 +45,20 @@ def bucket_candidates(chunks: DataFrame, requests: DataFrame, routed: DataFrame
     is applied before its final cut and costs no second scan.
     """
     asked = requests.select("dimension", "text", F.col("text").alias("query_text"))
+    n_requests = requests.count()
     out = None
     for bucket in [b for b in caps if b != "document"]:
         k = caps[bucket] * headroom
         scoped = chunks.filter(tx.has_role(F.col("roles"), [bucket]))
         dense = nearest(
-            scoped, asked, k * ROLE_HEADROOM, query_keys=["dimension", "query_text"], scope="framework", carry=["text"],
+            scoped, asked, k * ROLE_HEADROOM, query_keys=["dimension", "query_text"], scope="framework",
         ).drop("rank")
         if routed is not None and bucket == lx.NORMATIVE:
             allowed = routed.select("dimension", F.col("name").alias("framework")).distinct()
             dense = dense.join(allowed, ["dimension", "framework"], "left_semi")
         cut = top_k(dense, ["dimension"], [F.desc("similarity"), F.asc("chunk_id")], k * ROLE_HEADROOM, spread_by="chunk_id")
-        hits = hybrid_rerank(cut, ["dimension"], k).withColumn("bucket", F.lit(bucket)).drop("query_text")
+        worded = attach_columns(cut, scoped, "chunk_id", ["text"], n_requests * k * ROLE_HEADROOM)
+        hits = hybrid_rerank(worded, ["dimension"], k).withColumn("bucket", F.lit(bucket)).drop("query_text")
         out = hits if out is None else out.unionByName(hits)
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table that is read more than once to the shared folder, and read it back.
+
+    Unlike a checkpoint the result is columnar, so later scans are pruned.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from policyloom import lexicons as lx
 from policyloom.operators.segment import ingest_pages, pages_from_lines
+from policyloom.sources.tables import spread
 
 DIMS = lx.DIMENSIONS
 
@@ -61,7 +62,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir):
-    return read(spark, sf_dir, "documents")
+    return spread(read(spark, sf_dir, "documents"))
 
 
 def pages(spark, sf_dir):

@@ -27,7 +27,7 @@ def _evidence(spark, sf, k=BUDGET):
         F.col("doc_id").alias("chunk_id"), F.substring_index("text", "\n", 1).alias("text"), "source"
     )
     hits = nn.nearest(_vectors(spark, sf), rq.label_centroids(spark, sf), k, query_keys=["label"], source="embedding",
-                      stored_vectors=True, carry=["own_label", "embedding"])
+                      stored_vectors=True, attach=["own_label", "embedding"])
     return hits.join(texts, "chunk_id", "left").select(
         F.col("label").cast("string").alias("dimension"), F.col("rank").alias("ord"), "rank", "chunk_id",
         F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"),

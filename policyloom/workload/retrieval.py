@@ -146,7 +146,7 @@ def bucket_reserve(spark, sf):
     dense = nn.nearest(
         corpus.filter(F.array_contains("roles", lx.PRACTICAL)),
         b.definitions(spark).withColumn("query_text", F.col("text")), 15,
-        query_keys=["dimension", "query_text"], scope="framework", carry=["text"],
+        query_keys=["dimension", "query_text"], scope="framework", attach=["text"],
     ).filter(_tagged())
     pool = nn.top_k(dense.drop("rank"), ["dimension"], [F.desc("similarity"), F.asc("chunk_id")], 15)
     reserved = nn.hybrid_rerank(pool, ["dimension"], 3).withColumn("bucket", F.lit(lx.PRACTICAL)).withColumn(

@@ -121,8 +121,11 @@ def quote_match(spark, sf):
     asked = quotes.select("item_id", F.col("quote").alias("text"))
     corpus = b.corpus(spark, sf)
     columns = ["item_id", "rank", "chunk_id", "text", "framework"]
-    inside = nn.retrieve(corpus, asked, 5, query_keys=["item_id"], scope="framework").select(*columns)
-    own = inside.join(quotes.select("item_id", F.col("source").alias("framework")), ["item_id", "framework"], "left_semi")
+    dense = nn.nearest(
+        corpus, asked.withColumn("query_text", F.col("text")), 15, query_keys=["item_id", "query_text"], scope="framework"
+    ).join(quotes.select("item_id", F.col("source").alias("framework")), ["item_id", "framework"], "left_semi")
+    worded = nn.attach_columns(dense, corpus, "chunk_id", ["text"])
+    own = nn.hybrid_rerank(worded, ["framework", "item_id"], 5)
     broad = nn.retrieve(corpus, asked, 5, query_keys=["item_id"], carry=["framework"]).select(*columns)
     hits = own.select(*columns).unionByName(broad.join(own.select("item_id").distinct(), "item_id", "left_anti"))
     return vf.match_quotes(quotes, hits, ["item_id"]).select(
