@@ -96,7 +96,7 @@ def carry_forward(df: DataFrame, keys: Sequence[str], position: str, value: str,
 
 
 def session_state(messages: DataFrame, session: str = "conv_id", turn: str = "turn", text: str = "text",
-                  aliases: dict | None = None, block: int | None = None) -> DataFrame:
+                  aliases: dict | None = None, block: int | None = 4096) -> DataFrame:
     """Dimension a message names, and the one active when it arrives."""
     named = messages.withColumn("named_dimension", named_dimension(F.col(text), aliases))
     return carry_forward(named, [session], turn, "named_dimension", "active_dimension", block)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policyloom.functions import text as tx
-from policyloom.functions.vectors import round_half_up, unit_rows
+from policyloom.functions.vectors import dot, l2_normalize, round_half_up, unit_rows
 from policyloom.operators.ordering import first_per_key, top_k
 
 # --- fixed values: thresholds -----------------------------------------------
@@ -131,14 +131,19 @@ def merge_near_duplicates(items: DataFrame, keys: Sequence[str], threshold: floa
     return items.groupBy(*keys).applyInPandas(run, schema)
 
 
-def best_aspect(items: DataFrame, aspects: DataFrame, dimension: str = "dimension") -> DataFrame:
+def best_aspect(items: DataFrame, aspects: DataFrame, dimension: str = "dimension",
+                most_aspects: int = 10_000) -> DataFrame:
     """Closest aspect of the item's dimension at 0.35 or more, else the first aspect.
 
-    ``aspects(dimension, aspect_no, aspect, vector)`` is the profile table; its
-    rows go to every task and each batch is one matrix product per dimension.
+    ``aspects(dimension, aspect_no, aspect, vector)`` is the profile table.  Up
+    to ``most_aspects`` its rows go to every task and each batch is one matrix
+    product per dimension; past that each item is joined to its dimension's list.
     """
+    listed = aspects.limit(most_aspects + 1).collect()
+    if len(listed) > most_aspects:
+        return _best_aspect_joined(items, aspects, dimension)
     table: dict = {}
-    for row in aspects.orderBy(dimension, "aspect_no").collect():
+    for row in sorted(listed, key=lambda r: (r[dimension], r["aspect_no"])):
         table.setdefault(row[dimension], []).append((row["aspect"], list(row["vector"])))
     names = {d: [a for a, _ in rows] for d, rows in table.items()}
     matrices = {d: unit_rows(np.array([v for _, v in rows], dtype=float)) for d, rows in table.items()}
@@ -166,6 +171,24 @@ def best_aspect(items: DataFrame, aspects: DataFrame, dimension: str = "dimensio
     return items.mapInPandas(run, schema + ", aspect string, relevance double")
 
 
+def _best_aspect_joined(items: DataFrame, aspects: DataFrame, dimension: str) -> DataFrame:
+    unit = aspects.withColumn("vector", l2_normalize(F.transform("vector", lambda x: x.cast("double"))))
+    packed = unit.groupBy(dimension).agg(
+        F.array_sort(F.collect_list(F.struct("aspect_no", "aspect", "vector"))).alias("_aspects")
+    )
+    own = l2_normalize(F.transform("vector", lambda x: x.cast("double")))
+    scored = items.join(packed, dimension, "left").withColumn(
+        "_scored",
+        F.transform("_aspects", lambda a: F.struct(
+            F.round(dot(own, a["vector"]), 6).alias("s"), (-a["aspect_no"]).alias("o"), a["aspect"].alias("aspect"))),
+    )
+    best = F.array_max("_scored")
+    near = best["s"] >= ASPECT_AT
+    return scored.withColumn("aspect", F.when(near, best["aspect"]).otherwise(F.col("_aspects")[0]["aspect"])).withColumn(
+        "relevance", F.when(near, best["s"]).otherwise(0.0)
+    ).drop("_aspects", "_scored")
+
+
 def group_quality(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Quality and coverage estimate of each aspect group.
 

@@ -111,9 +111,17 @@ def nearest(
     labels = {c: frame[c].to_numpy(dtype=object) for c in query_keys}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
         for batch in batches:
-            if len(batch) and len(query_matrix):
-                yield _score(batch, query_matrix, labels, k, source, id_column, scope, kept, embedder)
+            if not len(batch) or not len(query_matrix):
+                continue
+            found = _score(batch, query_matrix, labels, k, source, id_column, scope, kept, embedder)
+            if scope is not None:
+                yield found
+            else:  # few queries, no scopes: keep the task's best and send them once
+                best = found if best is None else _best_of(best, found, list(labels), id_column, k)
+        if best is not None:
+            yield best
 
     partial = chunks.select(*columns).mapInPandas(run, schema)
     found = top_k(partial, keys, order, k, spread_by=None if scope else id_column)
@@ -145,6 +153,12 @@ def _score(batch, query_matrix, labels, k, source, id_column, scope, kept, embed
     return out
 
 
+def _best_of(left: pd.DataFrame, right: pd.DataFrame, keys: list, id_column: str, k: int) -> pd.DataFrame:
+    both = pd.concat([left, right], ignore_index=True)
+    order = both.sort_values(["similarity", id_column], ascending=[False, True], kind="stable")
+    return order[order.groupby(keys, sort=False).cumcount() < k].reset_index(drop=True)
+
+
 def _blockwise(chunks, queries, k, query_keys, source, id_column, scope, kept, embedder, schema):
     """Many queries: blocks of chunks meet blocks of queries, each pair one bounded group."""
     chunk_blocks = max(1, -(-chunks.count() // BLOCK_ROWS))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policyloom.functions import text as tx
@@ -62,5 +62,5 @@ def upload_log(judged: DataFrame) -> DataFrame:
     per_type = judged.groupBy(F.coalesce("error_type", F.lit("accepted")).alias("outcome")).agg(
         F.count("*").alias("uploads"), F.sum("length").alias("bytes")
     )
-    total = judged.agg(F.count("*").alias("n")).scalar()
-    return per_type.withColumn("share", F.round(F.col("uploads") / total, 4))
+    every = F.sum("uploads").over(Window.partitionBy())  # one row per outcome
+    return per_type.withColumn("share", F.round(F.col("uploads") / every, 4))

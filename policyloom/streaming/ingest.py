@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from policyloom.operators.segment import ingest_pages
 
@@ -23,25 +22,21 @@ def read_pages(spark: SparkSession, path: str, files_per_trigger: int | None = N
 def ingest_stream(pages: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Pages to chunks, each chunk written once.
 
-    A micro-batch writes its own partition and overwrites it when replayed; a
-    document that arrives again in a later batch adds nothing, because chunk
-    ids are deterministic and known ids are left out.
+    Pages seen before are dropped by streaming state, so a document that arrives
+    again adds nothing and the stored chunks are never searched.  A micro-batch
+    writes its own partition and overwrites it when it is replayed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunks = ingest_pages(batch).dropDuplicates(["chunk_id"])
-        try:
-            stored = batch.sparkSession.read.parquet(target).filter(F.col("batch") != batch_id).select("chunk_id")
-            chunks = chunks.join(stored, "chunk_id", "left_anti")
-        except AnalysisException:
-            pass  # first batch: nothing stored yet
         (
-            chunks.withColumn("batch", F.lit(batch_id))
+            ingest_pages(batch)
+            .withColumn("batch", F.lit(batch_id))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch")
             .parquet(target)
         )
 
-    writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    fresh = pages.dropDuplicates(["doc_id", "page_number"])
+    writer = fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -61,14 +61,13 @@ def evidence_items(spark, sf):
 
 def aspects(spark, sf):
     """Five aspects per label: the mean of the vectors of each fifth of its ids."""
-    spread = b.read(spark, sf, "embeddings").select(
+    fifths = b.read(spark, sf, "embeddings").select(
         F.col("label").cast("string").alias("dimension"), F.pmod("vec_id", F.lit(5)).cast("int").alias("aspect_no"),
-        F.posexplode("embedding").alias("i", "v"),
+        F.col("embedding").alias("vector"),
+    )
+    return rq.mean_vectors(fifths, ["dimension", "aspect_no"], "vector").withColumn(
+        "aspect", F.concat(F.lit("aspect "), F.col("aspect_no").cast("string"))
     )
-    means = spread.groupBy("dimension", "aspect_no", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    return means.groupBy("dimension", "aspect_no").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector")
-    ).withColumn("aspect", F.concat(F.lit("aspect "), F.col("aspect_no").cast("string")))
 
 
 def _labelled(spark, sf):
@@ -84,7 +83,7 @@ def aspect_argmax(spark, sf):
 
 def near_duplicates(spark, sf):
     """Evidence merged greedily where vectors nearly agree."""
-    merged = ed.merge_near_duplicates(_evidence(spark, sf).drop("rank"), ["dimension"], threshold=0.5)
+    merged = ed.merge_near_duplicates(_evidence(spark, sf).drop("rank"), ["dimension"], threshold=0.25)
     return merged.select("dimension", "ord", "chunk_id", "similarity", "merged")
 
 

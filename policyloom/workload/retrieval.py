@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from policyloom import lexicons as lx
@@ -19,11 +21,14 @@ CORE = ("src0", "src4", "src8")
 
 def label_centroids(spark, sf):
     """One query vector per label: the mean of its vectors."""
-    spread = b.read(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
-    means = spread.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    return means.groupBy("label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding")
-    )
+    return mean_vectors(b.read(spark, sf, "embeddings"), ["label"], "embedding")
+
+
+def mean_vectors(df, keys, column):
+    """Mean vector per key, combined before the shuffle and without exploding the vectors."""
+    vector = array_to_vector(F.transform(column, lambda x: x.cast("double")))
+    means = df.select(*keys, vector.alias("_v")).groupBy(*keys).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    return means.select(*keys, vector_to_array("_m").alias(column))
 
 
 def knn_hits(spark, sf, k=10, carry=()):

@@ -69,6 +69,8 @@ def test_aspects_and_quality(spark):
     placed = ed.best_aspect(items(spark, data), aspects)
     got = {r.chunk_id: (r.aspect, r.relevance) for r in placed.collect()}
     assert got["a"][0] == "A" and got["b"] == ("B", 1.0) and got["c"] == ("A", 0.0)
+    joined = ed.best_aspect(items(spark, data), aspects, most_aspects=1)
+    assert rows(joined, "chunk_id", "aspect", "relevance") == rows(placed, "chunk_id", "aspect", "relevance")
     ready = placed.withColumn("verified", F.lit(False)).withColumn("score", F.lit(0.5))
     groups = ed.group_quality(ready, ["dimension"])
     quality = dict(rows(groups, "aspect", "coverage_quality"))
