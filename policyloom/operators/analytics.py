@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policyloom import lexicons as lx
+from policyloom.functions.numbers import settled
 
 RADAR = {"Covered": 100, "Partial": 66, "Missing": 33}
 
@@ -54,7 +55,7 @@ def decision_analytics(gaps: DataFrame, workspace: str = "workspace_id") -> Data
             F.count_if(assessed & (stage == i)).alias("stage_" + name.lower().replace(" ", "_"))
             for i, name in enumerate(lx.MATURITY_STAGES)
         ],
-        F.coalesce(F.round(F.sum(F.when(assessed, F.col("confidence_score"))) / n, 3), F.lit(0.0)).alias("average_confidence"),
+        F.coalesce(settled(F.sum(F.when(assessed, F.col("confidence_score"))) / n, 3), F.lit(0.0)).alias("average_confidence"),
         _names(F.col("priority").isin("Critical", "High"), urgency).alias("highest_priority_dimensions"),
         F.coalesce(strongest, F.lit("")).alias("strongest_dimension"),
         _names(F.col("synthesis_drift_downgraded"), F.lit(0)).alias("synthesis_drift_downgraded"),
@@ -220,7 +221,7 @@ def methodology(disclaimer: Column, frameworks: Column, documents: Column, n_dim
 def run_telemetry(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return scores.groupBy(*by).agg(
         F.count("*").alias("retrieval_count"),
-        F.round(F.avg("similarity"), 6).alias("avg_similarity"),
+        settled(F.avg("similarity"), 6).alias("avg_similarity"),
         F.min("similarity").alias("min_similarity"),
         F.max("similarity").alias("max_similarity"),
     )

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from policyloom.functions.numbers import settled
+
 CUTOFFS = (1, 3, 5, 10)
 STABLE_AT = 0.5
 DUPLICATE_CHARS = 200
@@ -98,7 +100,7 @@ def result_quality(ranked: DataFrame, keys: Sequence[str], relevant_total: DataF
         F.count("*").alias("returned"),
         F.round(F.count_distinct(F.nullif("framework", F.lit(""))) / F.count("*"), 6).alias("evidence_diversity"),
         F.round((F.count("*") - F.count_distinct(opening)) / F.count("*"), 6).alias("duplicate_rate"),
-        F.round(F.avg("similarity"), 6).alias("avg_retrieval_similarity"),
+        settled(F.avg("similarity"), 6).alias("avg_retrieval_similarity"),
     )
     if relevant_total is None:
         return measured
@@ -177,4 +179,4 @@ def compare_configs(queries: DataFrame, retrievers: dict[str, Retriever], qrels:
         metrics = ranking_metrics(ranked, judged, keys).withColumn("config", F.lit(name))
         per_query = metrics if per_query is None else per_query.unionByName(metrics)
     measures = [c for c in per_query.columns if c not in (*keys, "config")]
-    return per_query, per_query.groupBy("config").agg(*[F.round(F.avg(m), 4).alias(m) for m in measures])
+    return per_query, per_query.groupBy("config").agg(*[settled(F.avg(m), 4).alias(m) for m in measures])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policyloom.functions import text as tx
+from policyloom.functions.numbers import settled
 from policyloom.functions.vectors import dot, l2_normalize, round_half_up, unit_rows
 from policyloom.operators.ordering import first_per_key, top_k
 
@@ -98,7 +99,7 @@ def agreement_score(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         .otherwise(0.1)
     )
     clamp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.avg(value) + 1) / 2))
-    return pairs.groupBy(*keys).agg(F.round(clamp, 3).alias("agreement"), F.count("*").alias("pairs"))
+    return pairs.groupBy(*keys).agg(settled(clamp, 3).alias("agreement"), F.count("*").alias("pairs"))
 
 
 def merge_near_duplicates(items: DataFrame, keys: Sequence[str], threshold: float = SAME_EVIDENCE) -> DataFrame:

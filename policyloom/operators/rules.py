@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from policyloom import lexicons as lx
 from policyloom.functions import text as tx
+from policyloom.functions.numbers import settled
 
 KEYS = ("workspace_id", "dimension")
 
@@ -299,7 +300,7 @@ def confidence(evidence: DataFrame, verdicts: DataFrame, keys: Sequence[str] = K
     joined = joined.join(stability, list(keys), "left") if stability is not None else joined.withColumn("stability", half)
     completeness = F.create_map(*[F.lit(v) for pair in COMPLETENESS.items() for v in pair])[F.col("coverage")]
     factors = {
-        "quality": F.when(F.col("_scored") > 0, _settled(F.col("_sum") / F.col("_scored"), 3)).otherwise(0.3),
+        "quality": F.when(F.col("_scored") > 0, settled(F.col("_sum") / F.col("_scored"), 3)).otherwise(0.3),
         "diversity": F.round(F.least(F.lit(1.0), F.col("_sources") / F.greatest(F.lit(5), F.col("n")) * 2), 3),
         "agreement": F.coalesce("agreement", half),
         "stability": F.coalesce("stability", half),
@@ -326,12 +327,6 @@ def confidence(evidence: DataFrame, verdicts: DataFrame, keys: Sequence[str] = K
     )
 
 
-def _settled(value: Column, digits: int) -> Column:
-    """Rounded half up on the binary value, the order of summation taken out first."""
-    scale = 10**digits
-    return F.floor(F.round(value, 9) * scale + 0.5) / scale
-
-
 def stability_factor(semantic_stability: Column, is_stable: Column) -> Column:
     return F.when(is_stable, semantic_stability).otherwise(F.greatest(F.lit(0.1), semantic_stability * 0.5))
 

@@ -336,8 +336,8 @@ ORACLE = {
     "evidence_pairs": f"WITH {_pairs_sql(_DOT)} SELECT dimension, item_a, item_b, agreement, score FROM pj",
     "evidence_pairs_by_words": f"WITH {_pairs_sql(_WORDS)} SELECT dimension, item_a, item_b, agreement, score FROM pj",
     "agreement_scores": f"""WITH {_pairs_sql(_DOT)}
-SELECT dimension, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (avg(CASE agreement WHEN 'supporting' THEN score WHEN 'conflicting' THEN -score
-  WHEN 'duplicate' THEN 0.5::DOUBLE WHEN 'independent' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END) + 1) / 2)), 3) AS agreement, count(*) AS pairs
+SELECT dimension, round(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (avg(CASE agreement WHEN 'supporting' THEN score WHEN 'conflicting' THEN -score
+  WHEN 'duplicate' THEN 0.5::DOUBLE WHEN 'independent' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END) + 1) / 2)), 9), 3) AS agreement, count(*) AS pairs
 FROM pj GROUP BY dimension""",
     "evidence_items": f"""WITH {b.PASSAGES_SQL},
 i AS (
@@ -382,7 +382,7 @@ SELECT workspace_id, framework, length(ctx) AS chars, md5(ctx) AS digest FROM c"
     "result_quality": f"""WITH {rq._CORPUS_DEFS}, {rq.hybrid_sql('f_sims', rq._ROLES.format(b.lx.PRACTICAL), 50, 10, 'h')}
 SELECT dimension, count(*) AS returned, round(count(DISTINCT framework)::DOUBLE / count(*), 6) AS evidence_diversity,
        round((count(*) - count(DISTINCT substr(text, 1, 200)))::DOUBLE / count(*), 6) AS duplicate_rate,
-       round(avg(similarity), 6) AS avg_retrieval_similarity FROM h GROUP BY dimension""",
+       round(round(avg(similarity), 9), 6) AS avg_retrieval_similarity FROM h GROUP BY dimension""",
     "error_rates": f"""WITH {rq._KNN_SQL},
 w AS (SELECT label, count(*) AS t, count(*) FILTER (own_label <> label) AS fp FROM ranked WHERE rank <= 10 GROUP BY 1),
 r AS (SELECT label, count(*) AS rel FROM embeddings GROUP BY 1),
@@ -414,6 +414,6 @@ dn AS (SELECT * FROM (SELECT dimension, chunk_id, row_number() OVER (PARTITION B
 {rq.hybrid_sql('f_sims', 'true', 30, 10, 'hy')},
 cq AS (SELECT dimension, chunk_id, 2.0::DOUBLE AS gain FROM dn WHERE rank <= 3),
 {_config_part('d', 'dn')}, {_config_part('h', 'hy')}
-SELECT 'dense' AS config, {', '.join(f'round(avg({m}), 4) AS {m}' for m in _MEASURES)} FROM met_d
-UNION ALL SELECT 'hybrid', {', '.join(f'round(avg({m}), 4)' for m in _MEASURES)} FROM met_h""",
+SELECT 'dense' AS config, {', '.join(f'round(round(avg({m}), 9), 4) AS {m}' for m in _MEASURES)} FROM met_d
+UNION ALL SELECT 'hybrid', {', '.join(f'round(round(avg({m}), 9), 4)' for m in _MEASURES)} FROM met_h""",
 }

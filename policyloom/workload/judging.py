@@ -633,7 +633,7 @@ SELECT workspace_id, count(*) FILTER (coverage = 'Covered') AS covered, count(*)
   count(*) FILTER (assessed AND sr = 0) AS stage_ad_hoc, count(*) FILTER (assessed AND sr = 1) AS stage_developing,
   count(*) FILTER (assessed AND sr = 2) AS stage_defined, count(*) FILTER (assessed AND sr = 3) AS stage_managed,
   count(*) FILTER (assessed AND sr = 4) AS stage_optimized,
-  coalesce(round(sum(confidence_score) FILTER (assessed) / count(*) FILTER (assessed), 3), 0) AS average_confidence,
+  coalesce(round(round(sum(confidence_score) FILTER (assessed) / count(*) FILTER (assessed), 9), 3), 0) AS average_confidence,
   {_names(_URGENT, 'pr, ord')} AS highest_priority_dimensions,
   coalesce(arg_max(dimension, sr * 1000000.0 + confidence_score * 10000 - ord / 10.0) FILTER (assessed), '') AS strongest_dimension,
   {_names('drifted', 'ord')} AS synthesis_drift_downgraded, count(*) FILTER (drifted) AS synthesis_drift_downgraded_count
@@ -676,7 +676,7 @@ SELECT workspace_id, md5(concat_ws(chr(10) || chr(10), disclaimer, 'This brief s
   CASE WHEN len(docs) > 0 THEN 'Source input(s): ' || array_to_string(docs, ', ') || '.' END)) AS digest FROM sc JOIN u USING (workspace_id)""",
     "run_telemetry": f"""WITH {b.PASSAGES_SQL},
 l AS (SELECT workspace_id, round(length(text) / 400.0::DOUBLE, 6) AS s FROM passages)
-SELECT workspace_id, count(*) AS retrieval_count, round(avg(s), 6) AS avg_similarity, min(s) AS min_similarity, max(s) AS max_similarity
+SELECT workspace_id, count(*) AS retrieval_count, round(round(avg(s), 9), 6) AS avg_similarity, min(s) AS min_similarity, max(s) AS max_similarity
 FROM l GROUP BY 1""",
     "flat_findings": f"""WITH {_GAPS_SQL}
 SELECT workspace_id, dimension, coverage, stage AS governance_maturity, risk_level, priority, len(string_split(text, chr(10))) AS recommendations FROM g""",

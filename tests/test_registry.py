@@ -36,6 +36,8 @@ def canon(values, columns):
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, sql, name):
     df = driver.queries()[name](spark, str(DATA))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     got = canon([tuple(r) for r in df.collect()], df.columns)
     text = driver.oracle_sql().get(name)
     if text is None:
