@@ -67,7 +67,8 @@ def pair_agreement(items: DataFrame, keys: Sequence[str], vector: str | None = "
         similarity = F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
     else:
         left, right = F.array_distinct(tx.words(a_text)), F.array_distinct(tx.words(b_text))
-        similarity = F.size(F.array_intersect(left, right)) / F.size(F.array_union(left, right))
+        union = F.size(F.array_union(left, right))
+        similarity = F.when(union > 0, F.size(F.array_intersect(left, right)) / union).otherwise(0.0)
     measured = (
         pairs.withColumn("_same", a_text == b_text)
         .withColumn("_sim", F.round(similarity, 6))

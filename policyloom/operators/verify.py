@@ -437,7 +437,7 @@ def overview_labels(replies: DataFrame, keys: Sequence[str], text: str = "text",
     return found.select(
         *keys, F.col("_no").alias("marker_no"), F.explode(labels).alias("doc_no"),
         F.substring(claim, F.lit(1), F.lit(QUOTE_CHARS)).alias("claim"),
-    ).withColumn("doc_no", F.col("doc_no").cast("int")).withColumn("usable", F.length("claim") >= 8)
+    ).withColumn("doc_no", F.col("doc_no").try_cast("int")).withColumn("usable", F.length("claim") >= 8)
 
 
 def match_quotes(quotes: DataFrame, hits: DataFrame, keys: Sequence[str], similarity: bool = True) -> DataFrame:
@@ -451,7 +451,7 @@ def match_quotes(quotes: DataFrame, hits: DataFrame, keys: Sequence[str], simila
     terms = F.array_distinct(tx.words(F.lower(tx.strip(F.col("quote")))))
     long_terms = F.filter(terms, lambda t: F.length(t) > 3)
     used = F.when(F.size(long_terms) > 0, long_terms).otherwise(terms)
-    overlap = tx.count_contained(F.col("text"), used) / F.size(used)
+    overlap = F.when(F.size(used) > 0, tx.count_contained(F.col("text"), used) / F.size(used))
     scored = joined.withColumn("overlap", F.round(F.coalesce(overlap, F.lit(0.0)), 6)).withColumn(
         "_order", -F.col("overlap")
     )
