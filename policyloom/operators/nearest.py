@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policyloom.functions import text as tx
-from policyloom.functions.vectors import BatchEmbedder, HashingEmbedder, round_half_up, unit_rows
+from policyloom.functions.vectors import BatchEmbedder, HashingEmbedder, embed_with, round_half_up, unit_rows
 from policyloom.operators.ordering import top_k
 
 # --- fixed values -----------------------------------------------------------
@@ -89,10 +89,11 @@ def nearest(
     to the winners afterwards, so a text is never copied once per query.
     """
     embedder = None if stored_vectors else (embedder or HashingEmbedder())
-    queries = queries.select(*query_keys, source)
+    vector = F.col(source) if stored_vectors else embed_with(embedder)(F.col(source))
+    queries = queries.select(*query_keys, vector.alias(source))
     width = getattr(embedder, "dims", 1024) * 8
     limit = max(1, bytes_limit // width)
-    rows = queries.limit(limit + 1).collect()
+    frame = queries.limit(limit + 1).toArrow().to_pandas()  # vectors only, never the texts
     kept = list(dict.fromkeys([*([scope] if scope else []), id_column, *carry]))
     types = dict(chunks.dtypes) | {c: t for c, t in queries.dtypes if c in query_keys}
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*kept, *query_keys]) + ", similarity double"
@@ -100,14 +101,13 @@ def nearest(
     order = [F.desc("similarity"), F.asc(id_column)]
     keys = [*([scope] if scope else []), *query_keys]
 
-    if len(rows) > limit:
+    if len(frame) > limit:
         partial = _blockwise(chunks.select(*columns), queries, k, query_keys, source, id_column,
                              scope, kept, embedder, schema)
         found = top_k(partial, keys, order, k, spread_by=None if scope else id_column)
         return attach_columns(found, chunks, id_column, attach)
 
-    frame = pd.DataFrame([r.asDict() for r in rows], columns=[*query_keys, source])
-    query_matrix = _matrix(frame, source, embedder) if len(frame) else np.zeros((0, 1))
+    query_matrix = _matrix(frame, source, None) if len(frame) else np.zeros((0, 1))
     labels = {c: frame[c].to_numpy(dtype=object) for c in query_keys}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,7 +125,7 @@ def nearest(
 
     partial = chunks.select(*columns).mapInPandas(run, schema)
     found = top_k(partial, keys, order, k, spread_by=None if scope else id_column)
-    return attach_columns(found, chunks, id_column, attach, None if scope else len(rows) * k)
+    return attach_columns(found, chunks, id_column, attach, None if scope else len(frame) * k)
 
 
 def attach_columns(hits: DataFrame, chunks: DataFrame, id_column: str, columns: Sequence[str],
@@ -175,7 +175,7 @@ def _blockwise(chunks, queries, k, query_keys, source, id_column, scope, kept, e
         if not len(batch) or not len(asked):
             return pd.DataFrame(columns=names)
         labels = {c: asked[c].to_numpy(dtype=object) for c in query_keys}
-        found = _score(batch, _matrix(asked, source, embedder), labels, k, source, id_column, scope, kept, embedder)
+        found = _score(batch, _matrix(asked, source, None), labels, k, source, id_column, scope, kept, embedder)
         return found[names]
 
     return left.groupBy("_cb", "_qb").cogroup(right.groupBy("_cb", "_qb")).applyInPandas(run, schema)
@@ -243,12 +243,12 @@ def retrieve(
         return nearest(chunks, queries, k, query_keys=query_keys, id_column=id_column, scope=scope,
                        attach=carry, embedder=embedder)
     headroom = ROLE_HEADROOM if roles else DENSE_HEADROOM
-    asked = queries.select(*query_keys, "text", F.col("text").alias("query_text"))
     dense = nearest(
-        chunks, asked, k * headroom, query_keys=[*query_keys, "query_text"], id_column=id_column,
+        chunks, queries, k * headroom, query_keys=query_keys, id_column=id_column,
         scope=scope, attach=[c for c in dict.fromkeys(["text", *carry]) if c != scope], embedder=embedder,
     )
-    return hybrid_rerank(dense, keys, k, id_column=id_column)
+    worded = dense.join(queries.select(*query_keys, F.col("text").alias("query_text")), list(query_keys))
+    return hybrid_rerank(worded, keys, k, id_column=id_column)
 
 
 def rerank_pairs(candidates: DataFrame, keys: Sequence[str], k: int, scorer, threshold: float = 0.1,

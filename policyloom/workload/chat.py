@@ -78,7 +78,8 @@ def rolling_rate(spark, sf):
 
 
 def daily_budget(spark, sf):
-    return usage.daily_budget(b.read(spark, sf, "events"), ["event_type"], limit=80)
+    spent = usage.daily_budget(b.read(spark, sf, "events"), ["event_type"], limit=80)
+    return spent.withColumn("day", F.col("day").cast("string"))
 
 
 def _scratch(spark) -> str:
@@ -105,7 +106,8 @@ def stream_rolling_counts(spark, sf):
     """Sliding one-minute counts of an event stream; windows still open at the end are not emitted."""
     counts = stream_usage.rolling_counts(_event_stream(spark, sf, "events"), ["event_type"], late_by="0 seconds")
     closed = _run(counts, spark)
-    return closed.select("window_start", "window_end", "event_type", "requests")
+    plain = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")]
+    return closed.select(*plain, "event_type", "requests")
 
 
 def stream_session_state(spark, sf):
@@ -187,7 +189,7 @@ FROM asked a LEFT JOIN n USING (conv_id, turn)""",
   SELECT event_id, count(*) OVER z AS window_requests, (sum(length(props) * 500) OVER z)::BIGINT AS window_tokens FROM events
   WINDOW z AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1799999999 microseconds' PRECEDING AND CURRENT ROW))
 SELECT *, window_requests > 3 OR window_tokens > 20000 AS over_limit FROM w""",
-    "daily_budget": """SELECT event_type, ts::DATE AS day, count(*) AS requests,
+    "daily_budget": """SELECT event_type, ts::DATE::VARCHAR AS day, count(*) AS requests,
        CASE WHEN count(*) >= 80 THEN 'exhausted' WHEN count(*) / 80.0 >= 0.8 THEN 'warning' ELSE 'ok' END AS budget_state
 FROM events GROUP BY ALL""",
     "stream_rolling_counts": """WITH w AS (

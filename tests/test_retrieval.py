@@ -203,3 +203,14 @@ def test_routing_tiers(spark):
         "ASEAN Guide on AI Governance and Ethics", "Singapore Model AI Governance Framework for Generative AI"]
     practical = route.dimension_frameworks(default_catalog(spark), [lx.PRACTICAL]).filter("dimension = 'Fairness'")
     assert practical.count() == 2
+
+
+def test_text_queries_in_blocks_equal_broadcast(spark, monkeypatch):
+    texts = [f"{'alpha ' * (i % 5)}beta gamma{i % 7} delta{i}" for i in range(60)]
+    chunks = spark.createDataFrame([(f"c{i:02d}", t, f"f{i % 2}") for i, t in enumerate(texts)], "chunk_id string, text string, framework string")
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["alpha beta", "gamma3", "delta7 beta", ""])], "q int, text string")
+    monkeypatch.setattr(nn, "BLOCK_ROWS", 16)
+    one = nn.nearest(chunks, asked, 7, query_keys=["q"], attach=["text"])
+    cut = nn.nearest(chunks, asked, 7, query_keys=["q"], attach=["text"], bytes_limit=1)
+    assert rows(one, "q", "rank", "chunk_id", "similarity", "text") == rows(cut, "q", "rank", "chunk_id", "similarity", "text")
+    assert nn.retrieve(chunks, asked, 3, query_keys=["q"], frameworks=["f1"], carry=["framework"]).filter("framework <> 'f1'").count() == 0

@@ -23,6 +23,7 @@ def test_ingest_is_idempotent_over_batches(spark, tmp_path):
 def test_rolling_counts_stream_equals_table(spark):
     streamed = chat.stream_rolling_counts(spark, str(DATA))
     table = usage.rolling_counts(b.read(spark, str(DATA), "events"), ["event_type"])
+    table = table.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
     closed = table.join(streamed.select("window_start", "event_type"), ["window_start", "event_type"], "left_semi")
     columns = ("window_start", "event_type", "requests")
     assert rows(streamed, *columns) == rows(closed, *columns)
