@@ -24,7 +24,7 @@ def _vectors(spark, sf):
 def _evidence(spark, sf, k=BUDGET):
     """Retrieved evidence per label: the nearest vectors, with the text of the document of the same number."""
     texts = b.documents(spark, sf).select(
-        F.col("doc_id").alias("chunk_id"), F.substring_index("text", "\n", 1).alias("text"), "source"
+        F.col("doc_id").alias("chunk_id"), "text", "source"
     )
     hits = nn.nearest(_vectors(spark, sf), rq.label_centroids(spark, sf), k, query_keys=["label"], source="embedding",
                       stored_vectors=True, attach=["own_label", "embedding"])
@@ -232,11 +232,11 @@ QUERIES = {f.__name__: f for f in (
 
 _EV_SQL = f"""{rq._KNN_SQL},
 ev AS (
-  SELECT r.label::VARCHAR AS dimension, rank, r.vec_id AS chunk_id, coalesce(string_split(text, chr(10))[1], '') AS text,
+  SELECT r.label::VARCHAR AS dimension, rank, r.vec_id AS chunk_id, coalesce(text, '') AS text,
          coalesce(source, '') AS source, own_label = label AS is_document, similarity, e.embedding::DOUBLE[] AS vec
   FROM ranked r JOIN (SELECT vec_id, embedding FROM embeddings) e USING (vec_id) LEFT JOIN documents d ON d.doc_id = r.vec_id)"""
 
-_NEG = b.any_sql("{}", b.lx.PAIR_NEGATIONS)
+_NEG_A, _NEG_B = (b.any_sql(t, b.lx.PAIR_NEGATIONS) for t in ("ta", "tb"))
 
 
 def _pairs_sql(similarity: str) -> str:
@@ -247,7 +247,7 @@ pr AS (
   FROM ev a JOIN ev b ON a.dimension = b.dimension AND a.rank < b.rank WHERE a.rank <= {BUDGET} AND b.rank <= {BUDGET}),
 ps AS (SELECT *, round({similarity}, 6) AS s FROM pr),
 pj AS (
-  SELECT *, CASE WHEN ta = tb THEN 'duplicate' WHEN s >= 0.75 AND {_NEG.format(*['ta'] * 30) if False else b.any_sql('ta', b.lx.PAIR_NEGATIONS)} <> {b.any_sql('tb', b.lx.PAIR_NEGATIONS)} THEN 'conflicting'
+  SELECT *, CASE WHEN ta = tb THEN 'duplicate' WHEN s >= 0.75 AND {_NEG_A} <> {_NEG_B} THEN 'conflicting'
     WHEN s >= 0.75 AND da = db AND sa = sb THEN 'duplicate' WHEN s >= 0.75 THEN 'supporting'
     WHEN s >= 0.4 THEN 'independent' ELSE 'weak' END AS agreement, CASE WHEN ta = tb THEN 1.0::DOUBLE ELSE round(s, 3) END AS score
   FROM ps WHERE ta = tb OR least(length(ta), length(tb)) >= 30)"""

@@ -348,7 +348,7 @@ stated AS (
 
 _FALLBACK_SQL = """fb AS (
   SELECT *, line_no AS rank, CASE WHEN line_no % 4 = 0 THEN '' ELSE 's' || (line_no % 7) END AS framework FROM passages)"""
-_PASSAGES_ONLY = b.PASSAGES_SQL.split(",\n", 1)[1] if False else b.PASSAGES_SQL[len(b.KEYED_SQL) + 2:]
+_PASSAGES_ONLY = b.PASSAGES_SQL[len(b.KEYED_SQL) + 2:]
 _TOPIC = b.topic_sql("text", "dimension", b.LEXICON.topics)
 
 
@@ -415,7 +415,7 @@ quoted AS (
          WHEN contains(line, ':') AND contains(line, '"') THEN
            regexp_replace(regexp_replace({b.strip_sql(f"regexp_extract(line, '{_PROSE}', 1)")},
              '^(?:(?:{_FILLER})\s*)+', '', 'i'), '^(?:[\p{{Ll}}\d]\S*(?:\s+|$))+', '') END AS source,
-    CASE WHEN br THEN {b.strip_sql("regexp_replace(" + b.strip_sql("regexp_replace(regexp_replace(rest, '^[:,]', ''), '^\\s+', '')").replace("regexp_replace(regexp_replace(rest", "regexp_replace(regexp_replace(rest") + ", '^\"+|\"+$', '', 'g')")}
+    CASE WHEN br THEN {b.strip_sql("regexp_replace(" + b.strip_sql("regexp_replace(regexp_replace(rest, '^[:,]', ''), '^\\s+', '')") + ", '^\"+|\"+$', '', 'g')")}
          WHEN contains(line, ':') AND contains(line, '"') THEN
            {b.strip_sql("regexp_replace(" + b.strip_sql(f"regexp_extract(line, '{_PROSE}', 2)") + ", '\"+$', '')")} END AS quote,
     br
@@ -571,7 +571,7 @@ FROM c GROUP BY ALL""",
 SELECT conv_id, turn, line_no::INT AS line_no, source, quote FROM rc""",
     "overview_citations": rf"""WITH {_OVERVIEW_SQL}
 SELECT conv_id, turn, marker_no, doc_no, claim, length(claim) >= 8 AS usable FROM (
-  SELECT conv_id, turn, k + CASE WHEN false THEN 1 ELSE 0 END AS marker_no, claim,
+  SELECT conv_id, turn, k AS marker_no, claim,
          unnest(regexp_extract_all(grp, 'DOC-(\d+)', 1))::INT AS doc_no FROM cl)""",
     "known_sources": """SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'P') THEN c_name END AS known_source
 FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
