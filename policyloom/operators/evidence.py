@@ -87,7 +87,7 @@ def pair_agreement(items: DataFrame, keys: Sequence[str], vector: str | None = "
     )
     return measured.select(
         *keys, F.col("a.chunk_id").alias("item_a"), F.col("b.chunk_id").alias("item_b"),
-        agreement.alias("agreement"), F.when(F.col("_same"), 1.0).otherwise(F.round("_sim", 3)).alias("score"),
+        agreement.alias("agreement"), F.when(F.col("_same"), 1.0).otherwise(settled(F.col("_sim"), 3)).alias("score"),
     )
 
 

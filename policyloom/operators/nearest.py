@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policyloom.functions import text as tx
+from policyloom.functions.numbers import settled
 from policyloom.functions.vectors import BatchEmbedder, HashingEmbedder, embed_with, round_half_up, unit_rows
 from policyloom.operators.ordering import top_k
 
@@ -207,7 +208,7 @@ def hybrid_rerank(candidates: DataFrame, keys: Sequence[str], k: int, query: str
         scored.drop("rank"), keys, [F.desc("_combined"), F.desc("similarity"), F.asc(id_column)], k
     )
     return (
-        ranked.withColumn("dense_score", F.round("similarity", 4))
+        ranked.withColumn("dense_score", settled(F.col("similarity"), 4))
         .withColumn("similarity", F.round("_combined", 4))
         .drop("_combined")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from policyloom import lexicons as lx
 from policyloom.functions import text as tx
+from policyloom.functions.numbers import settled
 from policyloom.functions.vectors import HashingEmbedder, round_half_up
 from policyloom.operators.ordering import first_per_key, top_k
 
@@ -121,7 +122,7 @@ def verify_citations(
         checked.withColumn("text_supports_claim", supports)
         .withColumn("passed", supports & F.col("page_exists"))
         .withColumn("verification_method", F.when(~exists, "identity_check").otherwise(method))
-        .withColumn("verification_confidence", F.round(F.when(exists, confidence).otherwise(0.0), 4))
+        .withColumn("verification_confidence", settled(F.when(exists, confidence).otherwise(0.0), 4))
         .withColumn("failure_reason", F.nullif(reasons, F.lit("")))
         .drop("_text", "_page", "_exists")
     )
@@ -139,7 +140,7 @@ def support_status(claim: Column, text: Column, entailment: Column | None = None
 
     def verdict(status: str, confidence: Column, method: str) -> Column:
         return F.struct(
-            F.lit(status).alias("status"), F.round(confidence, 4).alias("confidence"), F.lit(method).alias("method")
+            F.lit(status).alias("status"), settled(confidence, 4).alias("confidence"), F.lit(method).alias("method")
         )
 
     nothing = verdict("irrelevant", F.lit(0.0), "none")
