@@ -122,7 +122,7 @@ def _set_rows(width: int):
         for frame in (part for whole in frames for part in split_frames(whole)):
             values, first = shingle_sets(frame["text"].tolist(), width)
             sets = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "family": frame["family"], "shingles": sets})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "family": frame["family"], "n": frame["n"], "shingles": sets})
 
     return run
 
@@ -241,19 +241,20 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) ->
 
 def _confirmed(texts: DataFrame, families: DataFrame, settings: NearSettings) -> DataFrame:
     """Edges between members of a family that are linked, enough to join all that links join."""
-    shape = "doc_id long, family long, shingles binary"
-    sets = materialize(texts.join(families, "doc_id").select("doc_id", "text", "family").mapInPandas(_set_rows(settings.words), shape))
     sizes = families.groupBy("family").agg(F.count("*").alias("n"))
-    sized = sets.join(sizes, "family")
+    numbered = materialize(families.join(sizes, "family"))
+    sets = materialize(texts.join(numbered, "doc_id").select("doc_id", "text", "family", "n").mapInPandas(
+        _set_rows(settings.words), "doc_id long, family long, n long, shingles binary"
+    ))
     edge, block = "a long, b long", settings.block
-    small = sized.where(F.col("n") <= block)
+    small = sets.where(F.col("n") <= block)
     total = small.count()
     bucket = F.pmod(F.xxhash64("family"), F.lit(max(1, total // block + 1)))
     edges = materialize(
-        small.withColumn("bucket", bucket).select("bucket", *sets.columns).groupBy("bucket")
+        small.withColumn("bucket", bucket).groupBy("bucket")
         .applyInPandas(_link_bucket(settings.percent), edge)
     )
-    large = sized.where(F.col("n") > block)
+    large = sets.where(F.col("n") > block)
     if large.isEmpty():
         return edges
     blocks = F.ceil(F.col("n") / block)
@@ -263,21 +264,23 @@ def _confirmed(texts: DataFrame, families: DataFrame, settings: NearSettings) ->
             large.withColumn("within", within).groupBy("family", "within").applyInPandas(_link_bucket(settings.percent), edge)
         ))
     labels = materialize(components(edges)).withColumnRenamed("id", "doc_id")
-    members = large.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    # numbers of members are joined by family without their sets, which then follow by id
+    members = numbered.where(F.col("n") > block).join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     parts = members.groupBy("family", "label").agg(F.count("*").alias("part"))
-    largest = parts.groupBy("family").agg(F.max(F.struct("part", "label")).alias("m")).select(
-        "family", F.col("m.label").alias("main")
+    largest = parts.groupBy("family").agg(
+        F.max(F.struct("part", "label")).alias("m"), F.sum("part").alias("n")
+    ).select("family", F.col("m.label").alias("main"), F.ceil((F.col("n") - F.col("m.part")) / block).alias("stray_blocks"))
+    members = materialize(members.join(largest, "family").where("stray_blocks > 0"))
+    members = large.select("doc_id", "shingles").join(members, "doc_id").select(
+        "doc_id", "family", "shingles", "label", (F.col("label") != F.col("main")).alias("outside"), blocks.alias("blocks"), "stray_blocks"
     )
-    members = members.join(largest, "family").withColumn("outside", F.col("label") != F.col("main"))
-    strays = members.where("outside").groupBy("family").agg(F.ceil(F.count("*") / block).alias("stray_blocks"))
-    members = members.join(strays, "family").select(*sets.columns, "label", "outside", blocks.alias("blocks"), "stray_blocks")
     at = F.xxhash64("doc_id", F.lit("last"))
     left = members.where("outside").select(
-        *sets.columns, "label", "outside", F.pmod(at, F.col("stray_blocks")).alias("stray_block"),
+        "doc_id", "family", "shingles", "label", "outside", F.pmod(at, F.col("stray_blocks")).alias("stray_block"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
     )
     right = members.select(
-        *sets.columns, "label", F.lit(False).alias("outside"),
+        "doc_id", "family", "shingles", "label", F.lit(False).alias("outside"),
         F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("stray_block"),
         F.pmod(at, F.col("blocks")).alias("block"),
     )

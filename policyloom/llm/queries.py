@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from policyloom.llm.ann import nearest_neighbours
+from policyloom.llm.licenses import scan_licenses
 from policyloom.llm.minhash import NearSettings, near_duplicates
+from policyloom.llm.mixing import mix_sources, sized_rows, words_taken
+from policyloom.llm.packing import pack
 from policyloom.llm.quality import quality
+from policyloom.llm.substrings import dedup_substrings
+from policyloom.llm.suffixes import dedup_suffixes
+from policyloom.llm.tokens import read_token_shards, scratch_folder, write_token_shards
 from policyloom.llm.urls import Rule, Vocabulary, url_verdict
 
 URL_RULES = (
@@ -20,10 +28,35 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), NearSettings(words=3, percent=85))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = write_token_shards(
+        _read(spark, sf_dir, "documents"), scratch_folder(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json")
+    )
+    return read_token_shards(shards)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_suffixes(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
     judged = pages.select("page_id", url_verdict(F.col("url"), URL_RULES, _VOCABULARY).alias("v"))
@@ -34,10 +67,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", quality(F.col("text")).alias("q")).select("doc_id", "q.*")
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(sized_rows(_read(spark, sf_dir, "documents")))
+    return words_taken(mix).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
-    "op2_near_duplicates": op2_near_duplicates,
-    "op7_url_filters": op7_url_filters,
-    "op8_quality_rules": op8_quality_rules,
+    query.__name__: query
+    for query in (
+        op1_license_scans, op2_near_duplicates, op3_token_files, op4_substring_dedup, op5_packing, op6_suffix_dedup,
+        op7_url_filters, op8_quality_rules, op9_source_mix, op10_nearest_neighbours,
+    )
 }
 
 
