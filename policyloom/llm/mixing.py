@@ -176,18 +176,20 @@ def mixed_documents(docs: DataFrame, settings: MixSettings = MixSettings()) -> D
     A document comes once for each epoch that takes words of it: unchanged if the epoch takes them all, else cut to
     the first words that it takes, joined by one space, with ``n_chars`` to match.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
     sized = materialize(numbered.select(
-        F.col("_row").alias("row"), "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")
+        "row", "doc.doc_id", F.col("doc.source").cast("string").alias("source"), word_count(F.col("doc.text")).alias("size")
     ))
     mix = mix_sources(sized, settings)
-    taken = mix.plan.groupBy("row", "epoch").agg(F.sum("n_words").alias("_taken"))
-    taken = taken.join(sized.select("row", F.col("size").alias("_size")), "row").select(F.col("row").alias("_row"), "_taken", "_size")
-    joined = numbered.join(taken, "_row")
-    words = F.slice(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), 1, F.col("_taken").cast("int"))
-    cut = F.col("_taken") < F.col("_size")
-    out = joined.withColumn("text", F.when(cut, F.array_join(words, " ")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mix.plan.groupBy("row", "epoch").agg(F.sum("n_words").alias("taken"))
+    joined = numbered.join(taken, "row").join(sized.select("row", "size"), "row")
+    words = F.slice(F.regexp_extract_all("doc.text", F.lit(_WORD), F.lit(0)), 1, F.col("taken").cast("int"))
+    cut = F.col("taken") < F.col("size")
+    text = F.when(cut, F.array_join(words, " ")).otherwise(F.col("doc.text"))
+    columns = []
+    for field in docs.schema:
+        value = text if field.name == "text" else F.col("doc").getField(field.name)
+        if field.name == "n_chars":
+            value = F.when(cut, F.length(text).cast(field.dataType)).otherwise(value)
+        columns.append(value.alias(field.name))
+    return joined.select(*columns)

@@ -49,6 +49,10 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
 
 
+def _ends(first: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return np.append(first[1:], len(of))[: len(first)]
+
+
 def _bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
@@ -88,7 +92,7 @@ class _Chunk:
 
     def _sent(self, of: np.ndarray, entries) -> pd.DataFrame:
         places, first = np.unique(of, return_index=True)
-        cuts = [slice(x, y) for x, y in zip(first, [*first[1:], len(of)], strict=True)]
+        cuts = [slice(x, y) for x, y in zip(first, _ends(first, of), strict=True)]
         return pd.DataFrame({"slice": places.astype(np.int32), "chunk": self.chunk, "entries": [entries(s) for s in cuts]})
 
     @property
@@ -136,7 +140,7 @@ def _flags(replies: pd.DataFrame, stage: int, of: np.ndarray) -> np.ndarray:
     out = np.zeros(len(of), bool)
     by_slice = {r.slice: r.flags for r in replies[replies["stage"] == stage].itertuples()}
     places, first = np.unique(of, return_index=True)
-    for place, x, y in zip(places, first, [*first[1:], len(of)], strict=True):
+    for place, x, y in zip(places, first, _ends(first, of), strict=True):
         out[x:y] = np.unpackbits(np.frombuffer(by_slice[place], np.uint8), count=y - x)
     return out
 

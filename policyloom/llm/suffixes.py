@@ -248,8 +248,12 @@ def _single_strings(length: int):
     return run
 
 
-def repeated_spans(texts: DataFrame, settings: SuffixSettings = SuffixSettings()) -> DataFrame:
-    """``(key, start, end)``: byte spans of ``texts (key, text)`` that strings found elsewhere cover; spans may overlap."""
+def repeated_spans(texts: DataFrame, dealt: DataFrame, settings: SuffixSettings = SuffixSettings()) -> DataFrame:
+    """``(key, start, end)``: byte spans of ``texts (key, text)`` that strings found elsewhere cover; spans may overlap.
+
+    ``dealt`` holds the same rows partitioned by key.  All its columns go where contexts are cut, so that the plan
+    there and the caller's share one exchange.
+    """
     length = settings.length
     found = texts.select("key", "text").mapInPandas(
         _anchor_rows(settings), "kgram long, context long, key long, start int, before int, strings int"
@@ -269,7 +273,7 @@ def repeated_spans(texts: DataFrame, settings: SuffixSettings = SuffixSettings()
     wanted = kinds.select("kgram", "one.*").groupBy("key").agg(
         F.collect_list(F.struct("kgram", "start", "before", "strings")).alias("wanted")
     )
-    contexts = texts.join(wanted, "key").select("key", "text", "wanted").mapInPandas(
+    contexts = dealt.join(wanted, "key").mapInPandas(
         _cut_contexts(length), "kgram long, key long, start int, before int, bytes binary"
     )
     whole = shared.where("not mixed").select(*span).unionByName(again.select(*span))
@@ -335,7 +339,7 @@ def dedup_suffixes(
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), cores)
     texts = texts.withColumn("key", _row_key(texts))
     dealt = texts.repartition(parts, "key")
-    spans = repeated_spans(dealt.select("key", "text"), settings)
+    spans = repeated_spans(texts, dealt, settings)
     code = F.col("start").cast("long") * F.lit(2**32) + F.col("end").cast("long")
     codes = spans.groupBy("key").agg(F.collect_set(code).alias("codes"))
     joined = dealt.join(codes, "key", "left").select("doc_id", "text", "codes", *([carry] if carry else []))
@@ -352,7 +356,7 @@ def without_repeats(docs: DataFrame, settings: SuffixSettings = SuffixSettings()
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "doc_id")]
     row = F.struct(F.col("text").isNull().alias("_null"), F.col("doc_id").alias("_id"), *others)
     out = dedup_suffixes(docs.select("doc_id", "text", row.alias("_row")), settings, whole_characters=True, carry="_row")
-    text = F.when(~F.col("_row._null"), F.decode("kept", F.lit("UTF-8")))
+    text = F.when(~F.col("_row._null"), F.decode("kept", "UTF-8"))
     columns = []
     for field in docs.schema:
         if field.name == "text":
