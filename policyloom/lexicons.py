@@ -359,55 +359,11 @@ REGION_COUNTRIES = {
     ),
 }
 
-# --- fixed values: framework catalog (name, version, roles, dimensions, regions, source type)
+# --- fixed values: roles of frameworks ---------------------------------------
 NORMATIVE = "module_1_normative"
 PRACTICAL = "module_2_practical"
 IMPLEMENTATION = "module_3_implementation"
 INCIDENT = "module_4_incident"
-FRAMEWORK_CATALOG = (
-    ("UNESCO Recommendation on the Ethics of AI", "2021", (NORMATIVE,), (), (), None),
-    ("OECD AI Principles", "2024", (NORMATIVE,), (), (), None),
-    ("UNDP Digital Strategy 2022-2025", "2022", (NORMATIVE,), (), (), None),
-    ("UN Roadmap for Digital Cooperation", "2020", (NORMATIVE,), (), (), None),
-    ("UN Global Digital Compact", "2024", (NORMATIVE,), (), (), None),
-    ("EU AI Act (Regulation (EU) 2024/1689)", "2024", (NORMATIVE,), (), (), None),
-    ("NIST AI Risk Management Framework 1.0", "1.0", (NORMATIVE,), (), (), None),
-    ("Keeping an Eye on AI: A Framework for Effective Human Oversight of AI Systems", "2026",
-     (NORMATIVE,), ("Human Autonomy",), ("Global",), None),
-    ("CDEI Review into Bias in Algorithmic Decision-Making", "2020", (PRACTICAL,), ("Fairness",), (), None),
-    ("ICO & Alan Turing: Explaining Decisions Made with AI", "2020", (PRACTICAL,), ("Transparency",), (), None),
-    ("UNESCO Ethical Impact Assessment", "2023", (PRACTICAL,), (), (), None),
-    ("OECD Catalogue of Tools and Metrics for Trustworthy AI", "2021", (PRACTICAL,), (), (), None),
-    ("NIST SP 1270: Bias Management in AI", "2025", (PRACTICAL,), ("Fairness",), (), None),
-    ("CIPL Privacy-Enhancing Technologies in AI", "2025", (PRACTICAL,), ("Privacy",), (), None),
-    ("Model Cards for Model Reporting", "2019", (PRACTICAL,), ("Transparency",), (), None),
-    ("Revisiting the Measurement of Digital Inclusion", "2024", (PRACTICAL,), ("Inclusivity",), (), None),
-    ("Toward Sustainable Generative AI: A Scoping Review of Carbon Footprint", "2025", (PRACTICAL,),
-     ("Environmental Sustainability",), (), None),
-    ("How Do Companies Manage the Environmental Sustainability of AI? An Interview Study", "2025",
-     (PRACTICAL,), ("Environmental Sustainability",), (), None),
-    ("UNESCO Policy Area 5 — Environment and Ecosystems", "2021", (NORMATIVE,),
-     ("Environmental Sustainability",), ("Global",), None),
-    ("AI for Environment and Ecosystems Toolkit for Policymakers", "2026", (NORMATIVE,),
-     ("Environmental Sustainability",), ("Global",), None),
-    ("ASEAN Guide on AI Governance and Ethics", "2024", (NORMATIVE,), (), ("ASEAN",), None),
-    ("Singapore Model AI Governance Framework for Generative AI", "2026", (NORMATIVE,), (), ("ASEAN",), None),
-    ("African Union Continental AI Strategy", "2024", (NORMATIVE,), (), ("AU",), None),
-    ("World Development Report 2026: The Promise of Artificial Intelligence", "2026", (NORMATIVE,),
-     ("Inclusivity",), ("Global",), None),
-    ("Digital Progress and Trends Report 2025: Strengthening AI Foundations", "2025", (NORMATIVE,),
-     ("Inclusivity",), ("Global",), None),
-    ("Mainstreaming Accessibility and Inclusivity in AI and Digital Technologies", "2024", (NORMATIVE,),
-     ("Inclusivity",), ("Global",), None),
-    ("OECD Digital Divides — Topic Overview", "2024", (NORMATIVE,), ("Inclusivity",), ("Global",), None),
-    ("AI Verify Assurance Pilot — Main Report", "2025", (IMPLEMENTATION,), ("Safety",), (), None),
-    ("G7 Hiroshima AI Process (HAIP) Reporting Framework", "2023", (IMPLEMENTATION,), (), (), None),
-    ("AI Cybersecurity Collaboration Playbook (CISA)", "2024", (IMPLEMENTATION,), ("Safety",), (), None),
-    ("AI Incident Database (Partnership on AI)", "2025", (INCIDENT,), (), (), "incident_record"),
-    ("Royal Commission into the Robodebt Scheme — Final Report", "2023", (INCIDENT,), (), (), "incident_record"),
-    ("Allegheny Family Screening Tool — Impact Evaluation Summary", "2019", (INCIDENT,), (), (),
-     "incident_record"),
-)
 
 # --- fixed values: document type rules, in order ----------------------------
 DOCUMENT_TYPE_RULES = (

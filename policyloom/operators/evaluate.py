@@ -11,7 +11,6 @@ from policyloom.functions.numbers import settled
 
 CUTOFFS = (1, 3, 5, 10)
 STABLE_AT = 0.5
-DUPLICATE_CHARS = 200
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -38,9 +37,11 @@ def qrels_by_first(ranked: DataFrame, keys: Sequence[str], n: int = 3) -> DataFr
     return ranked.filter(F.col("rank") <= n).select(*keys, "chunk_id", F.lit(2.0).alias("gain"))
 
 
-def ranking_metrics(ranked: DataFrame, qrels: DataFrame, keys: Sequence[str]) -> DataFrame:
+def ranking_metrics(ranked: DataFrame, qrels: DataFrame, keys: Sequence[str], queries: DataFrame | None = None) -> DataFrame:
     """Precision, recall, reciprocal rank and nDCG per query.
 
+    Every query of ``queries``, of the results or of the labels has a row; one
+    that found nothing has zeros.
     ``ranked(keys, rank, chunk_id)``, ranks from 1; ``qrels(keys, chunk_id, gain)``.
     Precision divides by the rows returned, and the gain at rank r > 1 is
     divided by log2(r).
@@ -58,11 +59,14 @@ def ranking_metrics(ranked: DataFrame, qrels: DataFrame, keys: Sequence[str]) ->
     aggregates.append(F.min(F.when(F.col("_rel"), F.col("rank"))).alias("_first"))
     found = judged.groupBy(*keys).agg(*aggregates)
     ideal = _ideal_gain(qrels, keys)
-    joined = found.join(ideal, list(keys), "left")
+    asked = ranked.select(*keys).unionByName(qrels.select(*keys))
+    if queries is not None:
+        asked = asked.unionByName(queries.select(*keys))
+    joined = asked.distinct().join(found, list(keys), "left").join(ideal, list(keys), "left")
     relevant = F.coalesce("_relevant", F.lit(0))
 
     def share(top: Column, bottom: Column) -> Column:
-        return F.when(bottom > 0, F.round(top / bottom, 6)).otherwise(0.0)
+        return F.coalesce(F.when(bottom > 0, F.round(top / bottom, 6)), F.lit(0.0))
 
     return joined.select(
         *keys,
@@ -94,17 +98,20 @@ def _ideal_gain(qrels: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def result_quality(ranked: DataFrame, keys: Sequence[str], relevant_total: DataFrame | None = None) -> DataFrame:
-    """Source diversity, repeated openings, mean similarity of each result list."""
-    opening = F.substring("text", 1, DUPLICATE_CHARS)
+    """Source diversity, repeated texts, mean similarity of each result list; with the
+    number of relevant passages per query also how many of them the list could hold."""
     measured = ranked.groupBy(*keys).agg(
         F.count("*").alias("returned"),
         F.round(F.count_distinct(F.nullif("framework", F.lit(""))) / F.count("*"), 6).alias("evidence_diversity"),
-        F.round((F.count("*") - F.count_distinct(opening)) / F.count("*"), 6).alias("duplicate_rate"),
+        F.round((F.count("*") - F.count_distinct(F.md5("text"))) / F.count("*"), 6).alias("duplicate_rate"),
         settled(F.avg("similarity"), 6).alias("avg_retrieval_similarity"),
     )
     if relevant_total is None:
         return measured
-    return measured.join(relevant_total, list(keys), "left")
+    return measured.join(relevant_total, list(keys), "left").withColumn(
+        "coverage_recall",
+        F.when(F.col("relevant") > 0, F.round(F.least(F.col("returned") / F.col("relevant"), F.lit(1.0)), 6)).otherwise(0.0),
+    )
 
 
 def error_rates(outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -176,7 +183,7 @@ def compare_configs(queries: DataFrame, retrievers: dict[str, Retriever], qrels:
     for name, retriever in retrievers.items():
         ranked = retriever(queries)
         judged = qrels if qrels is not None else qrels_by_first(ranked, keys)
-        metrics = ranking_metrics(ranked, judged, keys).withColumn("config", F.lit(name))
+        metrics = ranking_metrics(ranked, judged, keys, queries).withColumn("config", F.lit(name))
         per_query = metrics if per_query is None else per_query.unionByName(metrics)
     measures = [c for c in per_query.columns if c not in (*keys, "config")]
     return per_query, per_query.groupBy("config").agg(*[settled(F.avg(m), 4).alias(m) for m in measures])

@@ -91,7 +91,8 @@ def pair_agreement(items: DataFrame, keys: Sequence[str], vector: str | None = "
     )
 
 
-def agreement_score(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def agreement_score(pairs: DataFrame, keys: Sequence[str], groups: DataFrame | None = None) -> DataFrame:
+    """Agreement of each group from 0 to 1; a group of ``groups`` without a pair of items agrees fully."""
     value = (
         F.when(F.col("agreement") == "supporting", F.col("score"))
         .when(F.col("agreement") == "conflicting", -F.col("score"))
@@ -100,7 +101,12 @@ def agreement_score(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         .otherwise(0.1)
     )
     clamp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.avg(value) + 1) / 2))
-    return pairs.groupBy(*keys).agg(settled(clamp, 3).alias("agreement"), F.count("*").alias("pairs"))
+    scored = pairs.groupBy(*keys).agg(settled(clamp, 3).alias("agreement"), F.count("*").alias("pairs"))
+    if groups is None:
+        return scored
+    return groups.select(*keys).distinct().join(scored, list(keys), "left").select(
+        *keys, F.coalesce("agreement", F.lit(1.0)).alias("agreement"), F.coalesce("pairs", F.lit(0)).alias("pairs")
+    )
 
 
 def merge_near_duplicates(items: DataFrame, keys: Sequence[str], threshold: float = SAME_EVIDENCE) -> DataFrame:
@@ -218,9 +224,11 @@ def group_quality(items: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def graph_quality(items: DataFrame, groups: DataFrame, aspects: DataFrame, totals: DataFrame,
-                  keys: Sequence[str]) -> DataFrame:
+                  keys: Sequence[str], asked: DataFrame | None = None) -> DataFrame:
     """Roll aspect groups up to the dimension's evidence graph.
 
+    ``asked(keys)`` lists the graphs to report; by default those of all
+    dimensions with aspects, where the keys are the dimension alone.
     ``aspects(dimension, aspect)`` lists what could be covered; ``totals(keys,
     before, sources)`` describes the evidence before near-duplicates merged.
     """
@@ -237,7 +245,7 @@ def graph_quality(items: DataFrame, groups: DataFrame, aspects: DataFrame, total
         F.coalesce(F.max(F.col("score") > 1.0), F.lit(False)).alias("_reranked"),
         F.count("*").alias("after"),
     )
-    missing = F.array_except("_all", "_aspects")
+    missing = F.array_except("_all", F.coalesce("_aspects", F.array().cast("array<string>")))
     ratio = F.col("_groups") / (F.col("_groups") + F.size(missing))
     quality = (
         F.col("_avg") * 0.5 + ratio * 0.25
@@ -245,16 +253,18 @@ def graph_quality(items: DataFrame, groups: DataFrame, aspects: DataFrame, total
         + F.least(F.lit(0.1), F.col("_any") * 0.02) * 0.1
         + F.when(F.col("_reranked"), 0.05).otherwise(0.0) * 0.05
     )
-    return (
-        per_dimension.join(sources, list(keys)).join(totals, list(keys)).join(listed, "dimension", "left")
-        .select(
-            *keys,
-            F.round(F.least(F.lit(1.0), F.round(quality, 9)), 3).alias("evidence_quality_score"),
-            F.round(F.least(F.lit(1.0), F.col("sources") / 5.0), 3).alias("source_diversity"),
-            F.round(1 - F.col("after") / F.col("before"), 3).alias("redundancy_ratio"),
-            F.round(F.col("_covered") / F.size("_all"), 3).alias("coverage_completeness"),
-            F.array_join(missing, "; ").alias("missing_aspects"),
-        )
+    # a dimension without evidence has a graph as well: nothing covered, every aspect missing
+    graphs = per_dimension.join(sources, list(keys)).join(totals, list(keys))
+    if asked is None:
+        asked = listed.select("dimension") if list(keys) == ["dimension"] else graphs.select(*keys)
+    measured = lambda value: F.when(F.col("_groups").isNotNull(), value).otherwise(0.0)
+    return asked.join(listed, "dimension", "left").join(graphs, list(keys), "left").select(
+        *keys,
+        measured(F.round(F.least(F.lit(1.0), F.round(quality, 9)), 3)).alias("evidence_quality_score"),
+        measured(F.round(F.least(F.lit(1.0), F.col("sources") / 5.0), 3)).alias("source_diversity"),
+        measured(F.round(1 - F.col("after") / F.col("before"), 3)).alias("redundancy_ratio"),
+        measured(F.round(F.col("_covered") / F.size("_all"), 3)).alias("coverage_completeness"),
+        F.array_join(missing, "; ").alias("missing_aspects"),
     )
 
 

@@ -21,24 +21,46 @@ def rolling_usage(calls: DataFrame, keys: Sequence[str], ts: str = "ts", tokens:
                   seconds: int = WINDOW_SECONDS, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Requests and tokens in the ``seconds`` up to and including each call (half-open).
 
-    Keys are cut into blocks of time; the last ``seconds`` of a block are also
-    given to the next block as context.  A key with very many calls is thus
-    spread over tasks and the result is the same.
+    A window's value is the running sum at the call less the running sum at the
+    window's start, so the cost does not depend on how many calls a window holds
+    or on how the window relates to the block.  Running sums are taken inside
+    blocks of time and shifted by the sums of the earlier blocks: a key with very
+    many calls is spread over tasks.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     span, block = seconds * 1_000_000, block_seconds * 1_000_000
-    at = calls.withColumn("_us", micros).withColumn("_tokens", tokens if tokens is not None else F.lit(0))
-    own = F.floor(F.col("_us") / block).cast("long")
-    reaches = F.pmod(F.col("_us"), F.lit(block)) >= block - span
-    placed = at.withColumn("_own", own).withColumn(
-        "_block", F.explode(F.when(reaches, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own")))
+    counted = tokens if tokens is not None else F.lit(0)
+    ends = F.array(
+        F.struct(F.lit(1).alias("sign"), F.col("_us").alias("at")), F.struct(F.lit(-1).alias("sign"), (F.col("_us") - span).alias("at"))
     )
-    recent = Window.partitionBy(*keys, "_block").orderBy("_us").rangeBetween(-(span - 1), 0)
+    both = (
+        calls.select(F.struct("*").alias("_call"), *keys, micros.alias("_us"), counted.alias("_tokens"))
+        .withColumn("_id", F.monotonically_increasing_id())
+        .withColumn("_end", F.explode(ends))
+        .withColumn("_block", F.floor(F.col("_end.at") / block))
+        # a call counts at its own end only; the other end reads the sum there
+        .withColumn("_n", (F.col("_end.sign") > 0).cast("long"))
+        .withColumn("_tokens", F.col("_tokens") * F.col("_n"))
+    )
+    upto = Window.partitionBy(*keys, "_block").orderBy("_end.at").rangeBetween(Window.unboundedPreceding, 0)
+    blocks = both.groupBy(*keys, "_block").agg(F.sum("_n").alias("_block_n"), F.sum("_tokens").alias("_block_tokens"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    known = [F.col(k).alias(f"_{k}") for k in keys]
+    before = blocks.select(
+        *known, F.col("_block").alias("_of"), F.coalesce(F.sum("_block_n").over(earlier), F.lit(0)).alias("_n0"),
+        F.coalesce(F.sum("_block_tokens").over(earlier), F.lit(0)).alias("_tokens0"),
+    )
+    matched = F.col("_block") == F.col("_of")
+    for k in keys:
+        matched = matched & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    sums = both.withColumn("_n", F.sum("_n").over(upto)).withColumn("_tokens", F.sum("_tokens").over(upto)).join(before, matched)
+    sign = F.col("_end.sign")
     return (
-        placed.withColumn("window_requests", F.count(F.lit(1)).over(recent))
-        .withColumn("window_tokens", F.sum("_tokens").over(recent))
-        .filter(F.col("_block") == F.col("_own"))
-        .drop("_us", "_own", "_block", "_tokens")
+        sums.groupBy("_id").agg(
+            F.max(F.when(sign > 0, F.col("_call"))).alias("_call"),
+            F.sum(sign * (F.col("_n") + F.col("_n0"))).alias("window_requests"),
+            F.sum(sign * (F.col("_tokens") + F.col("_tokens0"))).alias("window_tokens"),
+        ).select("_call.*", "window_requests", "window_tokens")
     )
 
 

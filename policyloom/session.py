@@ -37,7 +37,9 @@ def build_session(app_name: str = "policyloom", master: str | None = None, **con
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the cluster's if it names one.
 
-    Only where the setting is absent (tests, a laptop) is a local folder used.
+    Only a session whose executors are threads of the driver may do without the
+    setting; it gets a folder of its own.  Elsewhere each executor would write to
+    its own disk, so a missing setting is an error.
     """
     named = spark.conf.get(CHECKPOINT_SETTING, None)
     if named:
@@ -46,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(local)
     return local

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policyloom import lexicons as lx
 from policyloom.operators.ordering import first_per_key
 
 CATALOG_SCHEMA = (
@@ -14,18 +13,6 @@ CATALOG_SCHEMA = (
 )
 
 
-def default_catalog(spark: SparkSession) -> DataFrame:
-    rows = [
-        (i, name, version, list(roles), list(dims), list(regions), source_type)
-        for i, (name, version, roles, dims, regions, source_type) in enumerate(lx.FRAMEWORK_CATALOG)
-    ]
-    return spark.createDataFrame(
-        rows,
-        "ord int, name string, version string, roles array<string>, dimensions array<string>, "
-        "regions array<string>, source_type string",
-    )
-
-
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Catalog from JSON lines; missing lists are empty, order is by line."""
     raw = spark.read.schema(CATALOG_SCHEMA).json(path)

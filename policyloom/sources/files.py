@@ -15,9 +15,22 @@ MIN_CHARS_PER_PAGE = 10
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files with length and content.  Spark's file scan leaves out files of zero
-    bytes; an upload table that lists them gets them judged as empty."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    """Files with path, time, length and content, empty ones included.
+
+    Spark's file scan leaves out files of zero bytes, so these come from a listing
+    of the same folder.
+    """
+    scanned = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.globStatus(jvm.org.apache.hadoop.fs.Path(folder, pattern)) if system.getFileStatus(folder).isDirectory() else []
+    empty = [
+        (f.getPath().toString(), f.getModificationTime() / 1000.0, 0, bytearray()) for f in found
+        if f.isFile() and f.getLen() == 0 and not f.getPath().getName().startswith(("_", "."))
+    ]
+    listed = spark.createDataFrame(empty, "path string, seconds double, length long, content binary")
+    return scanned.unionByName(listed.select("path", F.timestamp_seconds("seconds").alias("modificationTime"), "length", "content"))
 
 
 def with_hash(files: DataFrame) -> DataFrame:

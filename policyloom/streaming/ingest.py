@@ -6,37 +6,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from policyloom.operators.ordering import first_per_key
 from policyloom.operators.segment import ingest_pages
+from policyloom.session import materialize
 
 PAGES_SCHEMA = "doc_id long, page_number int, text string"
+BUCKETS = 64
 
 
 def read_pages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Page rows from arriving Parquet files; the pages of a document come in one file."""
+    """Page rows from arriving Parquet files."""
     reader = spark.readStream.schema(PAGES_SCHEMA)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
 
 
-def ingest_stream(pages: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Pages to chunks, each chunk written once.
+def ingest_stream(pages: DataFrame, target: str, checkpoint: str, available_now: bool = True,
+                  buckets: int = BUCKETS) -> StreamingQuery:
+    """Pages to chunks; a document whose pages change is cut again as a whole and replaced.
 
-    Pages seen before are dropped by streaming state, so a document that arrives
-    again adds nothing and the stored chunks are never searched.  A micro-batch
-    writes its own partition and overwrites it when it is replayed.
+    ``target`` gets the stored pages and their chunks, both partitioned by a
+    hash bucket of the document.  A micro-batch rewrites only the buckets that it
+    touches: its pages replace stored ones of the same number, documents that
+    stay as they were keep their chunks.  Replaying a batch gives the same rows,
+    and the stream itself keeps no state.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            ingest_pages(batch)
-            .withColumn("batch", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(target)
+        placed = batch.select(
+            "doc_id", "page_number", "text", F.lit(1).alias("age"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
         )
+        # a page that comes twice in a batch counts once: the first by its text
+        new = materialize(first_per_key(placed, ["bucket", "doc_id", "page_number"], ["text"]))
+        touched = new.select("bucket").distinct()
+        stored_pages, stored_chunks = _stored(target, "pages", batch), _stored(target, "chunks", batch)
+        old = None if stored_pages is None else stored_pages.join(touched, "bucket", "left_semi").withColumn("age", F.lit(2))
+        both = new if old is None else new.unionByName(old)
+        merged = materialize(first_per_key(both, ["bucket", "doc_id", "page_number"], ["age"]))
+        changed = new.select("bucket", "doc_id").distinct()
+        cut = ingest_pages(merged.join(changed, ["bucket", "doc_id"], "left_semi").select("doc_id", "page_number", "text")).withColumn(
+            "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+        )
+        if stored_chunks is not None:
+            kept = stored_chunks.join(touched, "bucket", "left_semi").join(changed, ["bucket", "doc_id"], "left_anti")
+            cut = cut.unionByName(kept)
+        # chunks first: if the batch is replayed, its pages are still new
+        _replace(materialize(cut), f"{target}/chunks")
+        _replace(merged.select("doc_id", "page_number", "text", "bucket"), f"{target}/pages")
 
-    fresh = pages.dropDuplicates(["doc_id", "page_number"])
-    writer = fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _stored(target: str, name: str, batch: DataFrame) -> DataFrame | None:
+    spark = batch.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.parquet(f"{target}/{name}") if system.exists(folder) else None
+
+
+def _replace(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

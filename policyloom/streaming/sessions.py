@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,31 +12,44 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from policyloom.operators.conversations import named_dimension
 
+KEPT_TURNS = 100
+
 
 def active_dimensions(messages: DataFrame, session: str = "conv_id", turn: str = "turn", text: str = "text",
-                      aliases: dict | None = None) -> DataFrame:
+                      aliases: dict | None = None, kept: int = KEPT_TURNS, idle_ms: int | None = None) -> DataFrame:
     """Each message with the dimension active before it.
 
-    The state of a session is one string.  Inside a micro-batch messages are
-    taken in turn order; batches are expected in order per session.
+    A session's state is its last ``kept`` turns that named a dimension, so a
+    message that arrives late gets the dimension of its own place; what was
+    emitted for later turns stays.  Sessions idle for ``idle_ms`` are forgotten: for
+    streams that run on; with it, a run that should end by itself would wait for
+    timeouts for ever.
     """
     named = messages.select(session, turn, named_dimension(F.col(text), aliases).alias("named_dimension"))
     types = dict(named.dtypes)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        places = list(zip(*state.get, strict=True)) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(turn)
-        before = []
-        for name in rows["named_dimension"]:
-            before.append(active)
-            active = name if isinstance(name, str) else active
-        state.update((active,))
+        for place, name in zip(rows[turn], rows["named_dimension"], strict=True):
+            if isinstance(name, str):
+                insort(places, (int(place), name))
+        turns = [place for place, _ in places]
+        at = [bisect_left(turns, int(place)) for place in rows[turn]]
+        before = [places[i - 1][1] if i else None for i in at]
+        places = places[-kept:]
+        state.update(([p for p, _ in places], [n for _, n in places]))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield rows.assign(active_dimension=before)[[session, turn, "named_dimension", "active_dimension"]]
 
     return named.groupBy(session).applyInPandasWithState(
         step,
         f"`{session}` {types[session]}, `{turn}` {types[turn]}, named_dimension string, active_dimension string",
-        "active string",
+        "turns array<long>, names array<string>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
     )

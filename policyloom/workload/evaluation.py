@@ -45,7 +45,11 @@ def evidence_pairs_by_words(spark, sf):
 
 
 def agreement_scores(spark, sf):
-    return ed.agreement_score(evidence_pairs(spark, sf), ["dimension"])
+    """Agreement per label; sources stand for groups without evidence."""
+    asked = b.read(spark, sf, "embeddings").select(F.col("label").cast("string").alias("dimension")).unionByName(
+        b.documents(spark, sf).select(F.col("source").alias("dimension"))
+    )
+    return ed.agreement_score(evidence_pairs(spark, sf), ["dimension"], asked)
 
 
 def evidence_items(spark, sf):
@@ -108,12 +112,14 @@ def evidence_graph(spark, sf):
     totals = _vectors(spark, sf).groupBy(F.col("own_label").cast("string").alias("dimension")).agg(
         F.count("*").alias("before"), F.count_distinct(F.pmod("chunk_id", F.lit(4))).alias("sources")
     )
-    listed = aspects(spark, sf).select("dimension", "aspect")
+    # the languages are dimensions with aspects and without evidence
+    others = b.documents(spark, sf).select(F.col("lang").alias("dimension"), F.col("source").alias("aspect")).distinct()
+    listed = aspects(spark, sf).select("dimension", "aspect").unionByName(others)
     return ed.graph_quality(items, groups, listed, totals, ["dimension"])
 
 
 def _requirements(spark, sf):
-    """Farther half of the retrieved vectors as requirements, nearer half as evidence."""
+    """Farther half of the retrieved vectors as requirements, nearer half as evidence, some of it with equal texts."""
     found = _evidence(spark, sf, 20)
     required = found.filter(F.col("rank") > 10).select(
         "dimension", F.concat(F.lit("fw"), F.pmod("rank", F.lit(3)).cast("string")).alias("framework"),
@@ -122,7 +128,7 @@ def _requirements(spark, sf):
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("strong", "explicit", "implicit", "weak", "policy")]),
                          F.pmod("rank", F.lit(5)) + 1)
     held = found.filter(F.col("rank") <= 10).select(
-        "dimension", "ord", kinds.alias("kind"), F.concat(F.lit("t"), F.col("chunk_id").cast("string")).alias("text"), "vector"
+        "dimension", "ord", kinds.alias("kind"), F.concat(F.lit("t"), F.pmod("rank", F.lit(7)).cast("string")).alias("text"), "vector"
     )
     return required, ed.matched_evidence(held, ["dimension"])
 
@@ -169,7 +175,9 @@ def _qrels(spark, sf):
 
 
 def retrieval_metrics(spark, sf):
-    return ev.ranking_metrics(_ranked(spark, sf), _qrels(spark, sf), ["label"])
+    """Metrics per label; the sources are queries that found nothing."""
+    silent = b.documents(spark, sf).select(F.col("source").alias("label")).distinct()
+    return ev.ranking_metrics(_ranked(spark, sf), _qrels(spark, sf), ["label"], silent)
 
 
 def result_quality(spark, sf):
@@ -286,7 +294,8 @@ gq AS (
 
 _MATCH_SQL = f"""{_EV_SQL},
 rq AS (SELECT dimension, 'fw' || (rank % 3) AS framework, chunk_id::VARCHAR AS requirement, vec FROM ev WHERE rank > 10 AND rank <= 20),
-hd AS (SELECT dimension, rank % 5 AS k, vec FROM ev WHERE rank <= 10),
+hd AS (SELECT dimension, rank % 5 AS k, vec FROM ev WHERE rank <= 10
+  QUALIFY row_number() OVER (PARTITION BY dimension, rank % 7 ORDER BY rank % 5, rank) = 1),
 cr AS (SELECT rq.dimension, framework, requirement, k, round(list_dot_product(rq.vec, hd.vec), 6) AS s FROM rq JOIN hd USING (dimension)),
 ag AS (
   SELECT dimension, framework, requirement, greatest(0.0::DOUBLE, max(s)) AS max_sim,
@@ -335,10 +344,12 @@ _MEASURES = [f"precision_at_{k}" for k in (1, 3, 5, 10)] + [f"recall_at_{k}" for
 ORACLE = {
     "evidence_pairs": f"WITH {_pairs_sql(_DOT)} SELECT dimension, item_a, item_b, agreement, score FROM pj",
     "evidence_pairs_by_words": f"WITH {_pairs_sql(_WORDS)} SELECT dimension, item_a, item_b, agreement, score FROM pj",
-    "agreement_scores": f"""WITH {_pairs_sql(_DOT)}
-SELECT dimension, round(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (avg(CASE agreement WHEN 'supporting' THEN score WHEN 'conflicting' THEN -score
+    "agreement_scores": f"""WITH {_pairs_sql(_DOT)},
+sc AS (SELECT dimension, round(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (avg(CASE agreement WHEN 'supporting' THEN score WHEN 'conflicting' THEN -score
   WHEN 'duplicate' THEN 0.5::DOUBLE WHEN 'independent' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END) + 1) / 2)), 9), 3) AS agreement, count(*) AS pairs
-FROM pj GROUP BY dimension""",
+FROM pj GROUP BY dimension),
+asked AS (SELECT label::VARCHAR AS dimension FROM embeddings UNION SELECT source FROM documents)
+SELECT dimension, coalesce(agreement, 1.0::DOUBLE) AS agreement, coalesce(pairs, 0) AS pairs FROM asked LEFT JOIN sc USING (dimension)""",
     "evidence_items": f"""WITH {b.PASSAGES_SQL},
 i AS (
   SELECT workspace_id, 'c' || (line_no % 9) AS chunk_id, {b.strip_sql('text')} AS text, doc_id % 2 = 1 AS is_document,
@@ -361,7 +372,8 @@ SELECT dimension, round(least(1.0::DOUBLE, round(q * 0.5::DOUBLE + k::DOUBLE / n
   round(least(1.0::DOUBLE, src / 5.0::DOUBLE), 3) AS source_diversity, round(1 - aft::DOUBLE / bef, 3) AS redundancy_ratio,
   round(c::DOUBLE / n, 3) AS coverage_completeness,
   coalesce(array_to_string(list_sort(list_filter(every, lambda x: NOT list_contains(have, x))), '; '), '') AS missing_aspects
-FROM g JOIN s USING (dimension) JOIN t USING (dimension) JOIN al USING (dimension)""",
+FROM g JOIN s USING (dimension) JOIN t USING (dimension) JOIN al USING (dimension)
+UNION ALL SELECT lang, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, array_to_string(list_sort(list(DISTINCT source)), '; ') FROM documents GROUP BY lang""",
     "requirement_match": f"""WITH {_MATCH_SQL}
 SELECT dimension, framework, requirement, max_sim, explicit_sim, implicit_sim, corroboration, match_score, match_class FROM mc""",
     "requirement_rollup": f"""WITH {_MATCH_SQL}
@@ -378,10 +390,11 @@ k AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY workspace_id, fram
 c AS (SELECT workspace_id, framework, substr(string_agg(substr(text, 1, 600), chr(10) ORDER BY r), 1, 2000) AS ctx FROM k GROUP BY ALL)
 SELECT workspace_id, framework, length(ctx) AS chars, md5(ctx) AS digest FROM c""",
     "retrieval_metrics": f"""WITH {rq._KNN_SQL}, {_QRELS_SQL}, top AS (SELECT * FROM ranked WHERE rank <= 10),
-{_metrics_sql('top', 'qr', 'label', 'vec_id')} SELECT * REPLACE (label::VARCHAR AS label) FROM met""",
+{_metrics_sql('top', 'qr', 'label', 'vec_id')} SELECT * REPLACE (label::VARCHAR AS label) FROM met
+UNION ALL SELECT DISTINCT source, {', '.join(['0'] * len(_MEASURES))} FROM documents""",
     "result_quality": f"""WITH {rq._CORPUS_DEFS}, {rq.hybrid_sql('f_sims', rq._ROLES.format(b.lx.PRACTICAL), 50, 10, 'h')}
 SELECT dimension, count(*) AS returned, round(count(DISTINCT framework)::DOUBLE / count(*), 6) AS evidence_diversity,
-       round((count(*) - count(DISTINCT substr(text, 1, 200)))::DOUBLE / count(*), 6) AS duplicate_rate,
+       round((count(*) - count(DISTINCT text))::DOUBLE / count(*), 6) AS duplicate_rate,
        round(round(avg(similarity), 9), 6) AS avg_retrieval_similarity FROM h GROUP BY dimension""",
     "error_rates": f"""WITH {rq._KNN_SQL},
 w AS (SELECT label, count(*) AS t, count(*) FILTER (own_label <> label) AS fp FROM ranked WHERE rank <= 10 GROUP BY 1),

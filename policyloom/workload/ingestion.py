@@ -19,7 +19,7 @@ def page_stats(spark, sf):
 
 
 def dup_chunk_rate(spark, sf):
-    return segment.duplicate_rate(b.documents(spark, sf))
+    return segment.duplicate_rate(b.chunks(spark, sf))
 
 
 def header_lines(spark, sf):
@@ -111,16 +111,21 @@ def sync_changed(spark, sf):
     docs = b.documents(spark, sf).withColumn("_sum", short_hash)
     labelled = docs.join(b.read(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     now = docs.groupBy(F.col("source").alias("name")).agg(
-        F.sum("_sum").cast("string").alias("checksum"), F.count_if(F.col("lang") == "fr").alias("chunk_count")
+        F.sum("_sum").cast("string").alias("checksum"), F.count("*").alias("chunk_count")
     )
     before = labelled.groupBy(F.col("source").alias("name")).agg(F.sum("_sum").cast("string").alias("checksum"))
     plan = store.sync_plan(now.select("name", "checksum"), before, now.select("name", "chunk_count"))
     return plan.select("name", "existing_chunks", "action")
 
 
+def _catalog(spark, sf):
+    """The sources, and the parts' brands as frameworks of which nothing is stored."""
+    brands = b.read(spark, sf, "part").select(F.col("p_brand").alias("name")).distinct()
+    return b.catalog(spark, sf).select("name", "ord").unionByName(brands.withColumn("ord", F.substring_index("name", "#", -1).cast("int")))
+
+
 def library_counts(spark, sf):
-    english = b.corpus(spark, sf).filter(F.col("lang") == "fr")
-    return store.library(b.catalog(spark, sf), english).select("name", "ord", "chunk_count", "indexed")
+    return store.library(_catalog(spark, sf), b.corpus(spark, sf)).select("name", "ord", "chunk_count", "indexed")
 
 
 def store_health(spark, sf):
@@ -128,8 +133,10 @@ def store_health(spark, sf):
 
 
 def sync_status(spark, sf):
-    listed = b.documents(spark, sf).filter(F.col("lang") == "es").select(F.col("source").alias("name")).distinct()
-    report = store.status_report(b.catalog(spark, sf), listed, _chunk_counts(spark, sf))
+    """Files are there for the sources with a labelled document; brands have neither files nor chunks."""
+    labelled = b.documents(spark, sf).join(b.read(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    listed = labelled.select(F.col("source").alias("name")).distinct()
+    report = store.status_report(_catalog(spark, sf), listed, _chunk_counts(spark, sf))
     return report.select("name", "downloaded", "chunk_count", "indexed")
 
 
@@ -259,7 +266,9 @@ judged AS (
               WHEN chars = 0 THEN 'scanned_document' END AS error_type
   FROM uploads)"""
 
-_CATALOG_SQL = f"catalog AS (SELECT DISTINCT source AS name, substr(source, 4)::INT AS ord FROM documents)"
+_CATALOG_SQL = """catalog AS (
+  SELECT DISTINCT source AS name, substr(source, 4)::INT AS ord FROM documents
+  UNION SELECT p_brand, string_split(p_brand, '#')[2]::INT FROM part)"""
 
 _type_cases = " ".join(
     f"WHEN {b.any_sql('t', words)} THEN '{label}'" for label, words in b.LEXICON.document_types
@@ -272,8 +281,9 @@ p AS (SELECT doc_id, (line_no - 1) // 40 AS page, string_agg(line, chr(10) ORDER
 s AS (SELECT doc_id, length({b.strip_sql('text')}) AS n FROM p)
 SELECT doc_id, count(*) AS total_pages, count(*) FILTER (n = 0) AS empty_pages, sum(n)::BIGINT AS total_chars,
        round(sum(n)::DOUBLE / count(*), 1) AS avg_chars_per_page FROM s GROUP BY doc_id""",
-    "dup_chunk_rate": """SELECT count(*) AS total_chunks, count(DISTINCT text) AS distinct_chunks,
-       round(1 - count(DISTINCT text)::DOUBLE / count(*), 4) AS duplicate_rate FROM documents""",
+    "dup_chunk_rate": f"""WITH {CHUNKS_SQL}
+SELECT count(*) AS total_chunks, count(DISTINCT text) AS distinct_chunks,
+       round(1 - count(DISTINCT text)::DOUBLE / count(*), 4) AS duplicate_rate FROM chunks""",
     "header_lines": f"""WITH {b.LINES_SQL}
 SELECT doc_id, count(*) FILTER (regexp_matches({b.strip_sql('line')}, '{_ANY_CASE}', 'i')) AS headers,
        count(*) FILTER (regexp_matches({b.strip_sql('line')}, '{_STRICT}', 'i')) AS strict_headers
@@ -320,18 +330,19 @@ SELECT chunk_id, source AS framework, length(text) AS chars, doc_id IS NOT NULL
 FROM asked LEFT JOIN documents ON doc_id = chunk_id""",
     "sync_changed": """WITH h AS (
   SELECT *, ('0x' || substr(md5(text), 1, 8))::BIGINT AS s FROM documents),
-now AS (SELECT source AS name, sum(s)::BIGINT AS c, count(*) FILTER (lang = 'fr') AS n FROM h GROUP BY 1),
+now AS (SELECT source AS name, sum(s)::BIGINT AS c, count(*) AS n FROM h GROUP BY 1),
 old AS (SELECT source AS name, sum(s)::BIGINT AS oc FROM h SEMI JOIN labels USING (doc_id) GROUP BY 1)
 SELECT name, n AS existing_chunks,
        CASE WHEN c = oc AND n > 0 THEN 'skip' WHEN n > 0 THEN 'replace' ELSE 'ingest' END AS action
 FROM now LEFT JOIN old USING (name)""",
     "library_counts": f"""WITH {_CATALOG_SQL},
-n AS (SELECT source AS name, count(*) AS c FROM documents WHERE lang = 'fr' GROUP BY 1)
+n AS (SELECT source AS name, count(*) AS c FROM documents GROUP BY 1)
 SELECT name, ord, coalesce(c, 0) AS chunk_count, coalesce(c, 0) > 0 AS indexed FROM catalog LEFT JOIN n USING (name)""",
     "store_health": """SELECT count(*) AS total_chunks,
        count(DISTINCT nullif(source, '')) AS frameworks FROM documents""",
-    "sync_status": """SELECT source AS name, count(*) FILTER (lang = 'es') > 0 AS downloaded, count(*) AS chunk_count,
-       true AS indexed FROM documents GROUP BY source""",
+    "sync_status": f"""WITH {_CATALOG_SQL},
+n AS (SELECT source AS name, count(*) AS c, count(l.doc_id) AS k FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1)
+SELECT name, coalesce(k, 0) > 0 AS downloaded, coalesce(c, 0) AS chunk_count, coalesce(c, 0) > 0 AS indexed FROM catalog LEFT JOIN n USING (name)""",
     "role_copies": f"""WITH {b.ROLE_SQL},
 c AS (SELECT framework, role1 AS role, chunk_id FROM corpus
       UNION ALL SELECT framework, role2, chunk_id FROM corpus WHERE role2 IS NOT NULL)

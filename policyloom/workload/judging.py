@@ -92,9 +92,9 @@ def tier_shapes(spark, sf):
 
 
 def timelines(spark, sf):
-    """Phase ranges; the number of steps is the length of the first two lines in words."""
+    """Ranges of two phases; their numbers of steps are the text's words and its lines, modulo 9."""
     judged = rules.with_maturity(b.verdicts(spark, sf), b.LEXICON).filter(F.col("coverage").isin("Partial", "Missing"))
-    counted = F.transform(F.slice("mechanisms", 1, 2), lambda l: F.pmod(F.size(tx.words(l)), F.lit(9)))
+    counted = F.array(F.pmod(F.size(tx.words(F.col("synthesis"))), F.lit(9)), F.pmod(F.size("mechanisms"), F.lit(9)))
     grounding = F.when(F.col("lang") == "en", "document_named").when(F.col("lang") == "fr", "document_implied").otherwise(
         "none_identified"
     )
@@ -133,10 +133,9 @@ def framework_synthesis(spark, sf):
     positions = lines.select(
         *KEYS, "chunk_id", F.col("line_no").alias("position_no"),
         F.concat(F.lit("f"), F.pmod("line_no", F.lit(3)).cast("string")).alias("framework"),
-        F.substring("text", 1, 20).alias("position"),
-        F.when(F.pmod("line_no", F.lit(2)) == 0, F.substring("text", 1, 5)).otherwise("").alias("supporting"),
+        F.col("text").alias("position"), F.when(F.pmod("line_no", F.lit(2)) == 0, F.col("text")).otherwise("").alias("supporting"),
     )
-    evidence = lines.filter(F.length("text") > 100).select(*KEYS, "chunk_id")
+    evidence = lines.select(*KEYS, "chunk_id")
     return rules.framework_synthesis(positions, evidence)
 
 
@@ -217,12 +216,10 @@ def confidence_penalty(spark, sf):
 
 
 def graph_closure(spark, sf):
-    """Ancestor pairs of the graph source -> line opening -> document ending, cycles included."""
+    """Ancestor pairs of a graph over document numbers, cycles included."""
     docs = b.documents(spark, sf)
     step = lambda c: F.concat(F.lit("n"), F.pmod(c, F.lit(97)).cast("string"))
-    edges = docs.groupBy(
-        step(F.col("doc_id")).alias("parent"), step(F.col("doc_id") * 5 + F.lit(1)).alias("child")
-    ).agg(F.max(F.length("text")).alias("n")).filter(F.col("n") > 6000)
+    edges = docs.select(step(F.col("doc_id")).alias("parent"), step(F.col("doc_id") * 5 + F.lit(1)).alias("child")).distinct()
     return consistency.closure(edges)
 
 
@@ -262,7 +259,7 @@ def risk_overview(spark, sf):
 def precedents(spark, sf):
     """Incident names per workspace, distinct and in order of mention."""
     named = b.passages(spark, sf).select(
-        "workspace_id", F.substring_index("text", " ", 1).alias("incident_name"),
+        "workspace_id", F.col("text").alias("incident_name"),
         (F.col("doc_id") * 10000 + F.col("line_no")).alias("ord"),
     )
     return analytics.precedents(named)
@@ -553,11 +550,11 @@ p AS (
     CASE lang WHEN 'en' THEN -2 WHEN 'fr' THEN -1 ELSE 3 END AS own
   FROM mech WHERE coverage IN ('Partial', 'Missing')),
 s AS (SELECT *, CASE WHEN stage IN ('Ad Hoc', 'Developing') THEN 3 WHEN stage IN ('Managed', 'Optimized') THEN -2 ELSE 0 END AS pace,
-        len({b.tokens_sql(b.strip_sql('ls[1]'))}) % 9 AS n1, len({b.tokens_sql(b.strip_sql("coalesce(ls[2], '')"))}) % 9 AS n2 FROM p),
+        len({b.tokens_sql(b.strip_sql('text'))}) % 9 AS n1, len(ls) % 9 AS n2 FROM p),
 a AS (SELECT *, greatest(3, base + pace + eased + own + CASE WHEN n1 >= 6 THEN 3 WHEN n1 <= 2 THEN -1 ELSE 0 END) AS h1 FROM s),
 bb AS (SELECT *, greatest(h1 + 3, h1 + base + pace + eased + CASE WHEN n2 >= 6 THEN 3 WHEN n2 <= 2 THEN -1 ELSE 0 END) AS h2 FROM a)
 SELECT workspace_id, dimension, 1 AS phase, 0 AS lo, h1 AS hi, '0-' || h1 || ' months' AS timeline FROM bb
-UNION ALL SELECT workspace_id, dimension, 2, h1, h2, h1 || '-' || h2 || ' months' FROM bb WHERE len(ls) >= 2""",
+UNION ALL SELECT workspace_id, dimension, 2, h1, h2, h1 || '-' || h2 || ' months' FROM bb""",
     "plausibility": f"""WITH {b.VERDICTS_SQL},
 c0 AS (
   SELECT workspace_id, dimension, (doc_id % 6)::INT AS l0, CASE WHEN coverage = 'Insufficient Evidence' THEN 'Missing' ELSE coverage END AS v0,
@@ -589,10 +586,9 @@ SELECT workspace_id, dimension, concat_ws(',', CASE WHEN f1 THEN 'doc_type' END,
   CASE WHEN b3 >= 0.7 THEN 'High' WHEN b3 >= 0.4 THEN 'Medium' ELSE 'Low' END AS confidence_in_assessment FROM c16""",
     "framework_synthesis": f"""WITH {b.PASSAGES_SQL},
 f AS (
-  SELECT workspace_id, dimension, 'f' || (line_no % 3) AS fw, min(line_no) AS l, arg_min(text, line_no) AS t FROM passages
-  WHERE length(text) > 100 GROUP BY ALL)
-SELECT workspace_id, dimension, string_agg(fw || ': ' || substr(t, 1, 20) ||
-  CASE WHEN l % 2 = 0 THEN ' ("' || substr(t, 1, 5) || '")' ELSE '' END, ' | ' ORDER BY l) AS synthesis FROM f GROUP BY ALL""",
+  SELECT workspace_id, dimension, 'f' || (line_no % 3) AS fw, min(line_no) AS l, arg_min(text, line_no) AS t FROM passages GROUP BY ALL)
+SELECT workspace_id, dimension, string_agg(fw || ': ' || t ||
+  CASE WHEN l % 2 = 0 THEN ' ("' || t || '")' ELSE '' END, ' | ' ORDER BY l) AS synthesis FROM f GROUP BY ALL""",
     "unfinished_dimensions": f"""WITH {b.VERDICTS_SQL}
 SELECT workspace_id, dimension FROM verdicts WHERE lang = 'de' OR analysis_error IS NOT NULL""",
     "missing_dimensions": f"""WITH {b.VERDICTS_SQL},
@@ -616,7 +612,7 @@ s2 AS (SELECT *, CASE WHEN e >= 2 AND a > 0.5 THEN round(a * 0.8::DOUBLE, 3) ELS
 s3 AS (SELECT *, CASE WHEN e >= 3 AND b2 > 0.5 THEN round(b2 * 0.8::DOUBLE, 3) ELSE b2 END AS c FROM s2)
 SELECT workspace_id, dimension, CASE WHEN e >= 4 AND c > 0.5 THEN round(c * 0.8::DOUBLE, 3) ELSE c END AS confidence_score FROM s3""",
     "graph_closure": """WITH RECURSIVE e AS (
-  SELECT 'n' || (doc_id % 97) AS parent, 'n' || ((doc_id * 5 + 1) % 97) AS child FROM documents GROUP BY ALL HAVING max(length(text)) > 6000),
+  SELECT 'n' || (doc_id % 97) AS parent, 'n' || ((doc_id * 5 + 1) % 97) AS child FROM documents GROUP BY ALL),
 c AS (SELECT parent AS ancestor, child AS descendant FROM e
       UNION SELECT c.ancestor, e.child FROM c JOIN e ON e.parent = c.descendant)
 SELECT * FROM c""",
@@ -664,7 +660,7 @@ SELECT workspace_id, high, medium, low, insufficient, 'The analysis assessed ' |
        WHEN u = 1 THEN ' Single highest-priority dimension — sequencing should begin there before related clusters are addressed.' ELSE '' END AS paragraph
 FROM r""",
     "precedents": f"""WITH {b.PASSAGES_SQL},
-f AS (SELECT workspace_id, string_split(text, ' ')[1] AS name, min(doc_id * 10000 + line_no) AS at_ FROM passages GROUP BY ALL),
+f AS (SELECT workspace_id, trim(text) AS name, min(doc_id * 10000 + line_no) AS at_ FROM passages GROUP BY ALL),
 n AS (SELECT workspace_id, count(*) AS k, string_agg(trim(name), ', ' ORDER BY at_) AS names FROM f WHERE trim(name) <> '' GROUP BY 1)
 SELECT workspace_id, CASE WHEN k = 1 THEN 'The analysis matched one real-world incident as illustrative context (' || names
   ELSE 'The analysis matched ' || k || ' real-world incidents as illustrative context (' || names END ||

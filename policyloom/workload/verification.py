@@ -28,7 +28,7 @@ def store(spark, sf):
 
 
 def citations(spark, sf):
-    """One citation per document: its own first line, or a benchmark claim; some ids are unknown."""
+    """One citation per document: its own text, or a benchmark claim; some ids are unknown."""
     items = b.read(spark, sf, "benchmark")
     n = items.agg(F.count("*").alias("n")).scalar()
     claims = items.select(F.col("item_id").alias("_item"), F.col("text").alias("_claim"))
@@ -38,7 +38,7 @@ def citations(spark, sf):
     return docs.join(claims, "_item").select(
         "doc_id", "workspace_id", "dimension", "lang", "source",
         F.when(F.col("lang") == "de", F.concat(F.lit("x"), ident)).otherwise(ident).alias("chunk_id"),
-        F.when(even, F.substring_index("text", "\n", 1)).otherwise(F.col("_claim")).alias("claim"),
+        F.when(even, F.col("text")).otherwise(F.col("_claim")).alias("claim"),
         F.pmod("doc_id", F.lit(5)).cast("int").alias("page_number"), F.lit(3).alias("total_pages"),
     )
 
@@ -153,7 +153,7 @@ def implementation_citations(spark, sf):
     ident = F.col("doc_id").cast("string")
     given = b.keyed_documents(spark, sf).select(
         *KEYS, "doc_id", F.when(F.col("lang") == "fr", "").otherwise(F.concat(ident, F.lit("-1"))).alias("chunk_id"),
-        F.lit("").alias("source"), F.substring("text", 1, 40).alias("claim"),
+        F.lit("").alias("source"), F.col("text").alias("claim"),
         F.when(F.col("lang") == "fr", "no_citation").otherwise("verified").alias("state"),
     )
     phases = given.select(*KEYS, F.pmod("doc_id", F.lit(3)).alias("phases"))
@@ -176,7 +176,7 @@ def international_examples(spark, sf):
 def incident_matches(spark, sf):
     given = b.keyed_documents(spark, sf).select(
         "doc_id", "workspace_id", "dimension", F.col("doc_id").cast("string").alias("chunk_id"),
-        F.substring("text", 1, 20).alias("claim"), F.when(F.col("lang") == "fr", "named").otherwise("").alias("source"),
+        F.col("text").alias("claim"), F.when(F.col("lang") == "fr", "named").otherwise("").alias("source"),
     )
     return vf.match_incidents(given, store(spark, sf), b.LEXICON.topics).select("doc_id", "dimension", "source")
 
@@ -299,7 +299,7 @@ _CITATIONS_SQL = f"""{b.KEYED_SQL},
 cit AS (
   SELECT doc_id, workspace_id, dimension, lang, source, k.text AS own_text,
          CASE WHEN lang = 'de' THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS chunk_id,
-         CASE WHEN doc_id % 2 = 0 THEN string_split(k.text, chr(10))[1] ELSE bm.text END AS claim,
+         CASE WHEN doc_id % 2 = 0 THEN k.text ELSE bm.text END AS claim,
          (doc_id % 5)::INT AS page_number, 3 AS total_pages
   FROM keyed k JOIN benchmark bm ON bm.item_id = doc_id % (SELECT count(*) FROM benchmark)),
 chk AS (
@@ -528,7 +528,7 @@ WHERE NOT EXISTS (SELECT 1 FROM att WHERE att.workspace_id = s.workspace_id AND
     "implementation_citations": f"""WITH {b.PASSAGES_SQL}, {_FALLBACK_SQL},
 given AS (
   SELECT workspace_id, dimension, doc_id % 3 AS phases, CASE WHEN lang = 'fr' THEN '' ELSE doc_id || '-1' END AS chunk_id,
-         substr(text, 1, 40) AS claim, CASE WHEN lang = 'fr' THEN 'no_citation' ELSE 'verified' END AS state FROM keyed),
+         text AS claim, CASE WHEN lang = 'fr' THEN 'no_citation' ELSE 'verified' END AS state FROM keyed),
 jn AS (
   SELECT g.*, f.text AS ct, CASE WHEN f.text IS NOT NULL THEN 'doc ' || g.workspace_id END AS source
   FROM given g LEFT JOIN fb f USING (chunk_id)),

@@ -71,6 +71,14 @@ def test_rolling_usage_in_blocks_equals_brute_force(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_rolling_usage_with_windows_longer_than_blocks(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "k", 1800 * (i // 2)) for i in range(40)], "id int, k string, s int")
+    timed = df.withColumn("ts", F.timestamp_seconds("s"))
+    got = rows(usage.rolling_usage(timed, ["k"], seconds=4 * 3600), "id", "window_requests")
+    assert got == sorted(((i, min(8, i // 2 + 1)) for i in range(40)), key=repr)
+    assert usage.rolling_usage(timed, []).count() == 40
+
+
 def test_daily_budget(spark):
     df = spark.createDataFrame([("2024-01-01",)] * 10 + [("2024-01-02",)] * 8 + [("2024-01-03",)], "ts string")
     got = [r.budget_state for r in usage.daily_budget(df, limit=10).orderBy("day").collect()]

@@ -151,3 +151,19 @@ def test_config_averages(spark):
 def test_error_rates(spark):
     df = spark.createDataFrame([("a", 1, 3, 10, 4), ("b", 0, 0, 10, 4)], "k string, false_positives int, false_negatives int, total_retrieved int, relevant int")
     assert rows(ev.error_rates(df, ["k"])) == [("a", 0.25, 0.75), ("b", 0.0, 0.0)]
+
+
+def test_groups_without_pairs_agree(spark):
+    pairs = spark.createDataFrame([("a", "supporting", 0.8)], "dimension string, agreement string, score double")
+    asked = spark.createDataFrame([("a",), ("b",)], "dimension string")
+    assert rows(ed.agreement_score(pairs, ["dimension"], asked)) == [("a", 0.9, 1), ("b", 1.0, 0)]
+
+
+def test_a_query_without_hits_has_zeros(spark):
+    ranked = spark.createDataFrame([("q1", 1, "x")], "q string, rank int, chunk_id string")
+    qrels = spark.createDataFrame([("q1", "x", 2.0), ("q2", "y", 1.0)], "q string, chunk_id string, gain double")
+    queries = spark.createDataFrame([("q1",), ("q3",)], "q string")
+    got = {r.q: r for r in ev.ranking_metrics(ranked, qrels, ["q"], queries).collect()}
+    assert got["q1"].mrr == 1.0 and got["q1"].ndcg_at_5 == 1.0
+    for q in ("q2", "q3"):
+        assert set(tuple(got[q])[1:]) == {0.0}

@@ -104,3 +104,14 @@ def test_renderings(spark):
                                 "workspace_id string, dimension string, coverage string, coverage_reasoning string, governance_maturity string, risk_level string, "
                                 "risk_reason string, confidence_method string, recommendations array<string>")
     assert render.drill_down(gap).collect()[0].trail.endswith("Recommendation: do")
+
+
+def test_empty_files_are_read(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1")
+    (tmp_path / "b.pdf").write_bytes(b"")
+    (tmp_path / "c.txt").write_bytes(b"")
+    found = files.read_files(spark, str(tmp_path), "*.pdf")
+    assert sorted((r.path.rpartition("/")[2], r.length) for r in found.collect()) == [("a.pdf", 6), ("b.pdf", 0)]
+    statistics = spark.createDataFrame([], "path string, total_pages long, total_chars long")
+    judged = {r.path.rpartition("/")[2]: r.error_type for r in files.triage(found, statistics).collect()}
+    assert judged["b.pdf"] == "empty_file"
