@@ -259,35 +259,35 @@ def repeated_spans(texts: DataFrame, dealt: DataFrame, settings: SuffixSettings
         _anchor_rows(settings), "kgram long, context long, key long, start int, before int, strings int"
     )
     # one row for each k-gram and task, so a hot one is small; most k-grams are seen once and end here
-    several = found.groupBy("kgram").agg(
+    several = materialize(found.groupBy("kgram").agg(
         F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")
-    ).where("n > 1").select("kgram", (F.col("c0") != F.col("c1")).alias("mixed"))
+    ).where("n > 1").select("kgram", (F.col("c0") != F.col("c1")).alias("mixed")))
     shared = materialize(found.join(several, "kgram"))
     span = ("key", "start", (F.col("start") + F.col("strings") + (length - 1)).alias("end"))
     mixed = shared.where("mixed")
-    kinds = materialize(mixed.groupBy("kgram", "context").agg(
+    kinds = mixed.groupBy("kgram", "context").agg(
         F.count("*").alias("n"), F.min(F.struct("key", "start", "before", "strings")).alias("one")
-    ))
-    again = mixed.join(kinds.where("n > 1").select("kgram", "context"), ["kgram", "context"], "left_semi")
-    groups = kinds.groupBy("kgram").agg(F.count("*").alias("kinds"))
-    wanted = kinds.select("kgram", "one.*").groupBy("key").agg(
-        F.collect_list(F.struct("kgram", "start", "before", "strings")).alias("wanted")
-    )
-    contexts = dealt.join(wanted, "key").mapInPandas(
-        _cut_contexts(length), "kgram long, key long, start int, before int, bytes binary"
     )
+    kinds = materialize(kinds)
+    sizes = materialize(kinds.groupBy("kgram").agg(F.count("*").alias("size")))
+    kinds = materialize(kinds.join(sizes, "kgram").withColumn("hot", F.col("size") > settings.group_rows))
+    again = mixed.join(kinds.where("n > 1").select("kgram", "context"), ["kgram", "context"], "left_semi")
+
+    def contexts(hot: bool) -> DataFrame:
+        wanted = kinds.where(F.col("hot") == hot).select("kgram", "one.*").groupBy("key").agg(
+            F.collect_list(F.struct("kgram", "start", "before", "strings")).alias("wanted")
+        )
+        return dealt.join(wanted, "key").mapInPandas(
+            _cut_contexts(length), "kgram long, key long, start int, before int, bytes binary"
+        )
+
     whole = shared.where("not mixed").select(*span).unionByName(again.select(*span))
-    buckets = max(1, kinds.count() // settings.bucket_rows)
-    hot = groups.where(F.col("kinds") > settings.group_rows).select("kgram")
-    compared, single = contexts, None
-    if not hot.isEmpty():
-        marked = materialize(contexts.join(hot.withColumn("hot", F.lit(True)), "kgram", "left"))
-        compared, single = marked.where("hot is null").drop("hot"), marked.where("hot").drop("hot")
-    spans = compared.groupBy(F.pmod(F.xxhash64("kgram"), F.lit(buckets))).applyInPandas(
+    buckets = max(1, kinds.where("not hot").count() // settings.bucket_rows)
+    spans = contexts(False).groupBy(F.pmod(F.xxhash64("kgram"), F.lit(buckets))).applyInPandas(
         _bucket_spans(length), "key long, start long, end long"
     ).unionByName(whole)
-    if single is not None:
-        strings = single.mapInPandas(_single_strings(length), "string long, key long, start int")
+    if not kinds.where("hot").isEmpty():
+        strings = contexts(True).mapInPandas(_single_strings(length), "string long, key long, start int")
         twice = strings.groupBy("string").count().where("count > 1").select("string")
         spans = spans.unionByName(
             strings.join(twice, "string").select("key", "start", (F.col("start") + length).alias("end"))
