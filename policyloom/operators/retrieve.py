@@ -71,17 +71,19 @@ def bucket_order(caps: dict[str, int]):
 
 
 def fill_buckets(candidates: DataFrame, caps: dict[str, int] | None = None,
-                 keys: Sequence[str] = ("workspace_id", "dimension")) -> DataFrame:
+                 keys: Sequence[str] = ("workspace_id", "dimension"), chars: int | None = PROMPT_CHARS) -> DataFrame:
     """First-pass budgets.
 
+    Whole texts decide what is a repeat or a fragment; the text that is returned
+    is cut to ``chars``.
+
     ``candidates``: keys, bucket, rank, chunk_id, text, ... .  A chunk id counts
     once over all buckets (in bucket order), a text once inside a bucket, and
     each bucket is cut to its cap with substantive passages first.
     """
     caps = FIRST_PASS_CAPS if caps is None else caps
     prepared = (
-        candidates.withColumn("text", F.substring("text", 1, PROMPT_CHARS))
-        .withColumn("_bucket", bucket_order(caps)[F.col("bucket")])
+        candidates.withColumn("_bucket", bucket_order(caps)[F.col("bucket")])
         .withColumn("_fragment", tx.is_fragment(F.col("text")))
         .withColumn("_text", tx.text_key(F.col("text")))
     )
@@ -93,6 +95,7 @@ def fill_buckets(candidates: DataFrame, caps: dict[str, int] | None = None,
     return (
         by_text.withColumn("slot", F.row_number().over(slot))
         .filter(F.col("slot") <= cap)
+        .withColumn("text", F.substring("text", 1, chars) if chars else F.col("text"))
         .drop("_bucket", "_fragment", "_text")
     )
 
@@ -108,11 +111,7 @@ def fill_buckets_in_turn(candidates: DataFrame, caps: dict[str, int] | None = No
     one small group.
     """
     caps = SECOND_PASS_CAPS if caps is None else caps
-    prepared = (
-        candidates.withColumn("text", F.substring("text", 1, PROMPT_CHARS))
-        .withColumn("_fragment", tx.is_fragment(F.col("text")))
-        .withColumn("_text", tx.text_key(F.col("text")))
-    )
+    prepared = candidates.withColumn("_fragment", tx.is_fragment(F.col("text"))).withColumn("_text", tx.text_key(F.col("text")))
     columns = candidates.columns
     schema = _schema(prepared.select(*columns)) + ", slot int"
 
@@ -135,7 +134,7 @@ def fill_buckets_in_turn(candidates: DataFrame, caps: dict[str, int] | None = No
                 slots.append(taken)
         return group.loc[picked, columns].assign(slot=slots)
 
-    return prepared.groupBy(*keys).applyInPandas(run, schema)
+    return prepared.groupBy(*keys).applyInPandas(run, schema).withColumn("text", F.substring("text", 1, PROMPT_CHARS))
 
 
 def _schema(df: DataFrame) -> str:
@@ -208,7 +207,7 @@ def topic_sweep(chunks: DataFrame, topics: DataFrame, top: int = OVERVIEW_K,
 
 def interleave(picks: DataFrame, sweep: DataFrame, top: int = OVERVIEW_K,
                scope: str = "workspace_id") -> DataFrame:
-    """Alternate section picks and sweep hits; ids and 220-character openings count once.
+    """Alternate section picks and sweep hits; ids and texts, but for case and outer blanks, count once.
 
     Inputs: scope, position, chunk_id, text (an id always has the same text).
     Repeats inside one list are dropped first; then at most two rows of a list can be blocked by each row
@@ -216,7 +215,7 @@ def interleave(picks: DataFrame, sweep: DataFrame, top: int = OVERVIEW_K,
     """
     def lead(df: DataFrame, side: int) -> DataFrame:
         keyed = df.select(scope, "position", "chunk_id", "text").withColumn(
-            "opening", F.lower(tx.strip(F.substring("text", 1, 220)))
+            "opening", F.md5(F.lower(tx.strip(F.col("text"))))
         )
         by_id = first_per_key(keyed, [scope, "chunk_id"], ["position"])
         by_text = first_per_key(by_id, [scope, "opening"], ["position", "chunk_id"])

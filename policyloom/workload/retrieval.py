@@ -147,7 +147,7 @@ def bucket_reserve(spark, sf):
     corpus = b.corpus(spark, sf)
     caps = {lx.PRACTICAL: CAPS[lx.PRACTICAL]}
     hits = analysis.bucket_candidates(corpus, b.definitions(spark), None, caps)
-    filled = rt.fill_buckets(hits, caps, keys=("dimension",)).withColumn("is_reserved", _tagged())
+    filled = rt.fill_buckets(hits, caps, keys=("dimension",), chars=None).withColumn("is_reserved", _tagged())
     dense = nn.nearest(
         corpus.filter(F.array_contains("roles", lx.PRACTICAL)),
         b.definitions(spark).withColumn("query_text", F.col("text")), 15,
@@ -155,7 +155,7 @@ def bucket_reserve(spark, sf):
     ).filter(_tagged())
     pool = nn.top_k(dense.drop("rank"), ["dimension"], [F.desc("similarity"), F.asc("chunk_id")], 15)
     reserved = nn.hybrid_rerank(pool, ["dimension"], 3).withColumn("bucket", F.lit(lx.PRACTICAL)).withColumn(
-        "text", F.substring("text", 1, rt.PROMPT_CHARS)).withColumn("slot", F.lit(0)).withColumn("is_reserved", F.lit(True))
+        "slot", F.lit(0)).withColumn("is_reserved", F.lit(True))
     reserved = rt.substantive_first(reserved).withColumn(
         "rank", F.col("rank") + F.when(F.col("_fragment"), 1000).otherwise(0)
     )
@@ -374,11 +374,11 @@ def filled_sql(candidates: str, keys: str, caps: dict, name: str) -> str:
     order = "CASE bucket " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(caps)) + " END"
     cap = "CASE bucket " + " ".join(f"WHEN '{x}' THEN {c}" for x, c in caps.items()) + " END"
     return f"""{name}_p AS (
-  SELECT * EXCLUDE (text), substr(text, 1, 800) AS text, {order} AS bo FROM {candidates}),
+  SELECT *, {order} AS bo FROM {candidates}),
 {name}_f AS (SELECT *, {b.fragment_sql('text')} AS frag, {_KEY} AS tk FROM {name}_p),
 {name}_i AS (SELECT * FROM {name}_f QUALIFY row_number() OVER (PARTITION BY {keys}, chunk_id ORDER BY bo, frag, rank) = 1),
 {name}_t AS (SELECT * FROM {name}_i QUALIFY row_number() OVER (PARTITION BY {keys}, bucket, tk ORDER BY frag, rank, chunk_id) = 1),
-{name} AS (SELECT * FROM (
+{name} AS (SELECT * REPLACE (substr(text, 1, 800) AS text) FROM (
   SELECT *, row_number() OVER (PARTITION BY {keys}, bucket ORDER BY frag, rank, chunk_id) AS slot FROM {name}_t)
   WHERE slot <= {cap})"""
 
@@ -420,7 +420,7 @@ cand AS (SELECT *, '{lx.PRACTICAL}' AS bucket FROM prac),
 {hybrid_sql('tagged', _ROLES.format(lx.PRACTICAL) + ' AND is_reserved', 15, 3, 'rsv')},
 state AS (SELECT dimension, count(*) FILTER (is_reserved) AS have, count(*) AS size FROM filled GROUP BY 1),
 rk AS (SELECT *, {_KEY} AS tk, {b.fragment_sql('text')} AS frag
-       FROM (SELECT * EXCLUDE (text), substr(text, 1, 800) AS text FROM rsv)),
+       FROM rsv),
 fresh AS (
   SELECT rk.*, coalesce(have, 0) AS have, coalesce(size, 0) AS size FROM rk LEFT JOIN state USING (dimension)
   WHERE NOT EXISTS (SELECT 1 FROM filled f WHERE f.dimension = rk.dimension AND f.tk = rk.tk)
@@ -441,13 +441,13 @@ defs AS (SELECT dimension, string_agg(text, ' | ' ORDER BY query_no) AS text FRO
 {hybrid_sql('f_sims', _ROLES.format(lx.INCIDENT), 30, 6, 'inc')},
 im2 AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY frag, rank, chunk_id) AS pos FROM (
   SELECT *, {b.fragment_sql('text')} AS frag, {_KEY} AS tk
-  FROM (SELECT * EXCLUDE (text), substr(text, 1, 800) AS text FROM im))),
+  FROM im)),
 im3 AS (SELECT * FROM im2 QUALIFY row_number() OVER (PARTITION BY dimension, tk ORDER BY pos) = 1),
 im4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY pos) AS slot FROM im3) WHERE slot <= 3),
 closed AS (SELECT dimension, CASE WHEN count(*) >= 3 THEN max(pos) END AS closed_at FROM im4 GROUP BY 1),
 looked AS (SELECT im2.dimension, chunk_id FROM im2 JOIN closed USING (dimension) WHERE closed_at IS NULL OR pos <= closed_at),
 inc2 AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY frag, rank, chunk_id) AS slot FROM (
-  SELECT *, {b.fragment_sql('substr(text, 1, 800)')} AS frag FROM inc ANTI JOIN looked USING (dimension, chunk_id)))"""
+  SELECT *, {b.fragment_sql('text')} AS frag FROM inc ANTI JOIN looked USING (dimension, chunk_id)))"""
 
 _SECTIONED_SQL = """sectioned AS (
   SELECT doc_id AS chunk_id, text, source AS workspace_id, CASE WHEN lang = 'es' THEN '(unsectioned)' ELSE lang END AS section_title,

@@ -157,10 +157,10 @@ def simulate(picks, sweep, top):
     while len(merged) < top and (a or b):
         source = (a or b) if len(merged) % 2 == 0 else (b or a)
         cid, text = source.pop(0)
-        if cid in ids or text[:220].strip().lower() in texts:
+        if cid in ids or text.strip().lower() in texts:
             continue
         ids.add(cid)
-        texts.add(text[:220].strip().lower())
+        texts.add(text.strip().lower())
         merged.append(cid)
     return merged
 
@@ -218,3 +218,12 @@ def test_text_queries_in_blocks_equal_broadcast(spark, monkeypatch):
     cut = nn.nearest(chunks, asked, 7, query_keys=["q"], attach=["text"], bytes_limit=1)
     assert rows(one, "q", "rank", "chunk_id", "similarity", "text") == rows(cut, "q", "rank", "chunk_id", "similarity", "text")
     assert nn.retrieve(chunks, asked, 3, query_keys=["q"], frameworks=["f1"], carry=["framework"]).filter("framework <> 'f1'").count() == 0
+
+
+def test_texts_equal_in_their_first_characters_both_stay(spark):
+    head = "A passage of some length. " * 40
+    found = [("w", "d", lx.PRACTICAL, i, f"c{i}", head + tail) for i, tail in enumerate(["one", "two", "two"])]
+    candidates = spark.createDataFrame(found, "workspace_id string, dimension string, bucket string, rank int, chunk_id string, text string")
+    filled = rt.fill_buckets(candidates, {lx.PRACTICAL: 5})
+    assert sorted(r.chunk_id for r in filled.collect()) == ["c0", "c1"]
+    assert {len(r.text) for r in filled.collect()} == {800}
