@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyloom.llm.ann import nearest_neighbours
-from policyloom.llm.licenses import scan_licenses
+from policyloom.llm.licenses import TEMPLATES, LicenseSettings, scan_licenses
 from policyloom.llm.minhash import NearSettings, near_duplicates
 from policyloom.llm.mixing import mix_sources, sized_rows, words_taken
 from policyloom.llm.packing import pack
@@ -96,7 +98,54 @@ def _hits(terms: tuple[str, ...]) -> str:
 
 
 _RULES_SQL = ", ".join(f"('{r.rule}', '{r.rule.partition('/')[0]}', '/{r.rule.partition('/')[2]}', '{r.verdict}')" for r in URL_RULES)
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def _notices() -> str:
+    """Rows (license, template, number of shingles, shingle) of all notices."""
+    width, rows = LicenseSettings().words, []
+    for name, texts in TEMPLATES.items():
+        for k, text in enumerate(texts):
+            words = re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower())
+            shingles = {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
+            rows += [f"('{name}', {k}, {len(shingles)}, '{s}')" for s in sorted(shingles)]
+    return ", ".join(rows)
+
+
 ORACLE = {
+    "op1_license_scans": rf"""
+WITH notices(license, template, n_shingles, s) AS (VALUES {_notices()}),
+w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
+sh AS (SELECT doc_id, i - 1 AS place, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w))
+SELECT doc_id, license, template, count(DISTINCT s) AS n_matched, n_shingles::BIGINT AS n_shingles, min(place) AS first_word
+FROM sh JOIN notices USING (s) GROUP BY doc_id, license, template, n_shingles
+HAVING 100 * count(DISTINCT s) >= {LicenseSettings().percent} * n_shingles
+""",
+    "op2_near_duplicates": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id, doc_id <= coalesce(y, doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least_of ON x = doc_id
+""",
+    "op4_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(ws[s : s + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)),
+later AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""",
     "op7_url_filters": f"""
 WITH cut AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
