@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from policyloom.llm.arrays import Words, expand, id_back, mix, split_frames, texts_of, windows
@@ -199,10 +199,18 @@ def _link_outsiders(percent: int):
 
 
 def _candidate_edges(members: DataFrame) -> DataFrame:
-    """An edge from each member of a band's bucket to the bucket's smallest id."""
+    """Edges that join what shares a bucket of some band: from each member to the smallest id of its buckets.
+
+    A member's other buckets are joined by edges between their smallest ids, of which all members of a group have the
+    same few, so a group has about one edge for each member and not one for each member and band.
+    """
     spread = members.select("doc_id", F.explode("bands").alias("key"))
     least = spread.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return spread.join(least, "key").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
+    met = spread.join(least, "key").select("a", F.col("doc_id").alias("b")).distinct()
+    # a member has at most as many rows here as there are bands
+    met = materialize(met.withColumn("head", F.min("a").over(Window.partitionBy("b"))))
+    edges = met.select(F.col("head").alias("a"), "b").unionByName(met.select(F.col("head").alias("a"), F.col("a").alias("b")))
+    return edges.where("a != b").distinct()
 
 
 def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) -> DataFrame:
