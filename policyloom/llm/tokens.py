@@ -8,6 +8,7 @@ number is found without reading the others.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import uuid
@@ -28,84 +29,99 @@ from policyloom.session import ensure_checkpoint_dir, materialize
 
 #: Words of these characters are cut by the rule below exactly as the tokenizer's own normalizer and splitter do.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÿ]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+| ")
+
+
+class Memory:
+    """Strings and the ids of each, one after the other."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.sizes, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.place)
+        self.place.update(zip(strings, range(first, first + len(strings)), strict=True))
+        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def read(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at the places, and how many each has."""
+        sizes = self.sizes[places]
+        return self.ids[expand(self.starts[places], sizes)], sizes
 
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library, which is asked once for each word that a task meets.
+    """Ids of texts by the tokenizers library, which is asked once for each piece of a word that a task meets.
 
     The vocabulary lower-cases, drops white space and never joins what a space parts, so the ids of a text are those
-    of its words.  Words of ASCII and Latin-1 are cut further into the pieces that the tokenizer would make.  Both
-    memories are emptied when they are full.
+    of its words.  Words of ASCII and Latin-1 are cut further into the pieces that the tokenizer would make; others go
+    to it whole.  Both memories are emptied when they are full.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, longest: int = 64) -> None:
+    def __init__(self, path: str, limit: int = 400_000, longest: int = 64) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.longest = limit, longest
         vocabulary = self.tokenizer.get_vocab()
         self.size = 1 + max(vocabulary.values())
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.pieces: dict[str, list[int]] = {}
-        self.forget()
+        self.pieces, self.words = self._no_pieces(), Memory()
 
-    def forget(self) -> None:
-        self.words: dict[str, int] = {"": 0}
-        self.ids: list[np.ndarray] = [np.zeros(0, np.int64)]
-        self.lengths: list[np.ndarray] = [np.zeros(1, np.int64)]
+    @staticmethod
+    def _no_pieces() -> Memory:
+        memory = Memory()
+        memory.add([" "], np.zeros(0, np.int32), np.zeros(1, np.int64))
+        return memory
 
     @property
     def kind(self) -> type:
         return np.uint16 if self.size <= 1 << 16 else np.uint32
 
-    def _ask(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _ask(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        sizes = np.array([len(ids) for ids in found], np.int64)
+        return np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         """Many pieces in one text; each ends with the token that carries the end of a word."""
-        for i in range(0, len(pieces), 400):
-            some = pieces[i : i + 400]
-            ids = np.array(self._ask([" ".join(some)])[0], np.int64)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            parts = np.split(ids, ends[:-1]) if len(ends) == len(some) else map(np.array, self._ask(some))
-            self.pieces.update((p, part.tolist()) for p, part in zip(some, parts, strict=True))
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self.limit:
-            self.forget()
-        if len(self.pieces) > self.limit:
-            self.pieces = {}
-        cut: dict[str, list[str]] = {}
-        whole = []
-        for word in words:
-            if len(word) <= self.longest and "<|" not in word and _PLAIN.fullmatch(word):
-                cut[word] = _PIECES.findall(word.lower())
-            else:
-                whole.append(word)
-        self._learn_pieces(list({p for pieces in cut.values() for p in pieces if p not in self.pieces}))
-        known = self.pieces
-        found = [[i for p in pieces for i in known[p]] for pieces in cut.values()] + self._ask(whole)
-        first = len(self.words)
-        self.words.update((w, first + k) for k, w in enumerate([*cut, *whole]))
-        self.ids.append(np.array([i for ids in found for i in ids], np.int64))
-        self.lengths.append(np.array([len(ids) for ids in found], np.int64))
-        self.ids, self.lengths = [np.concatenate(self.ids)], [np.concatenate(self.lengths)]
-        self.starts = np.cumsum(self.lengths[0]) - self.lengths[0]
+        for i in range(0, len(pieces), 2000):
+            some = pieces[i : i + 2000]
+            ids, _ = self._ask([" ".join(some)])
+            sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(sizes) != len(some) or sizes.sum() != len(ids):
+                ids, sizes = self._ask(some)
+            self.pieces.add(some, ids, sizes)
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.words.place) + len(words) > self.limit:
+            self.words = Memory()
+        if len(self.pieces.place) > self.limit:
+            self.pieces = self._no_pieces()
+        plain = [w for w in words if len(w) <= self.longest and _PLAIN.fullmatch(w) and "<|" not in w]
+        # one text of all words, whose spaces stand between the pieces of one word and the next
+        cut = _PIECES.findall(" ".join([*plain, ""]).lower())
+        self._learn_pieces(list(set(cut).difference(self.pieces.place)))
+        places = np.fromiter(map(self.pieces.place.__getitem__, cut), np.int64, len(cut))
+        ids, sizes = self.pieces.read(places)
+        total = np.cumsum(sizes)[places == self.pieces.place[" "]]
+        self.words.add(plain, ids, np.diff(total, prepend=0))
+        whole = list(set(words).difference(plain))
+        if whole:
+            self.words.add(whole, *self._ask(whole))
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``end`` after each, and how many each has."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*split) - self.words.keys() if split else set()
-        if fresh or len(self.ids) > 1 or not hasattr(self, "starts"):
-            if len(self.words) + len(fresh) > self.limit:
-                self.forget()
-                fresh = set().union(*split) - self.words.keys()
-            self.learn(fresh)
+        used = set().union(*split)
+        fresh = used.difference(self.words.place)
+        if len(self.words.place) + len(fresh) > self.limit:
+            self.words, fresh = Memory(), used
+        self._learn(list(fresh))
         counts = np.array([len(s) for s in split], np.int64)
-        known = self.words
-        word = np.fromiter((known[w] for s in split for w in s), np.int64, int(counts.sum()))
-        sizes = self.lengths[0][word]
-        ids = self.ids[0][expand(self.starts[word], sizes)]
+        places = np.fromiter(map(self.words.place.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts.sum()))
+        ids, sizes = self.words.read(places)
         total = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
         n = np.diff(total)
         out = np.full(len(ids) + len(texts), end, self.kind)
