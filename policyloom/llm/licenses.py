@@ -1,6 +1,7 @@
 """License scans: MinHash bands over text windows retrieve templates, and shingle containment verifies them.
 
-Texts and templates are cut into words of letters and digits (A-Z folded) and shingles of five words.  A window is
+Texts and templates are cut into words of letters and digits (A-Z folded) and shingles of five words; a template of
+fewer words is one shingle of all of them, and texts are cut into shingles of that width as well.  A window is
 eight consecutive shingles and begins every four, so each run of shingles lies well inside some window.  Every
 coordinate of a window's MinHash is a band of its own: a window that shares one shingle of eight with a template's
 window meets it in at least one of the bands with a probability above 0.99999.  What is retrieved is verified by
@@ -43,6 +44,8 @@ TEMPLATES = {
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+#: The templates, and notices that state no license: what a scan looks for unless told otherwise.
+NOTICES = TEMPLATES | {"all-rights-reserved": ("All rights reserved.",)}
 
 
 @dataclass(frozen=True)
@@ -62,23 +65,26 @@ _FOLD[65:91] += 32
 _NONE = np.uint32(2**32 - 1)
 
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts, and the number of each text's first word and of all words."""
+    source = Bytes.of(texts)
+    inside = _ALNUM[source.buffer]
+    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    hashes = span_hash(rolling(byte_values(_FOLD[source.buffer])), start, end)
+    return hashes, np.searchsorted(start, source.first)
+
+
 class Shingles:
     """Hashes of the shingles of a batch; each text's begin at a multiple of the block, with fillers behind."""
 
-    def __init__(self, texts: list[str], settings: LicenseSettings) -> None:
-        source = Bytes.of(texts)
-        inside = _ALNUM[source.buffer]
-        edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        hashes = span_hash(rolling(byte_values(_FOLD[source.buffer])), start, end)
-        first = np.searchsorted(start, source.first)
-        width, block = settings.words, settings.block
+    def __init__(self, hashes: np.ndarray, first: np.ndarray, width: int, block: int) -> None:
         counts = np.maximum(np.diff(first) - width + 1, 0)
         self.counts = counts
         self.first = np.concatenate(([0], np.cumsum(-(-counts // block) * block)))
         at = np.repeat(first[:-1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         self.place = np.repeat(self.first[:-1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        self.owner = np.repeat(np.arange(len(texts)), counts)
+        self.owner = np.repeat(np.arange(len(counts)), counts)
         self.values = windows(hashes, width)[at]
         self.padded = np.full(self.first[-1], _NONE, np.uint32)
         self.padded[self.place] = self.values.astype(np.uint32)
@@ -98,16 +104,15 @@ def _window_minima(padded: np.ndarray, filled: np.ndarray, row: int, block: int)
     return out
 
 
-class TemplateIndex:
-    """Templates by the coordinates of their windows."""
+class WidthIndex:
+    """Templates of one shingle width by the coordinates of their windows; ``numbers`` are those among all templates."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]], settings: LicenseSettings) -> None:
-        self.names = [name for name, _ in templates]
-        self.settings = settings
-        found = Shingles([text for _, text in templates], settings)
-        self.sets = [np.unique(found.values[found.owner == k]) for k in range(len(templates))]
+    def __init__(self, texts: list[str], numbers: np.ndarray, width: int, settings: LicenseSettings) -> None:
+        self.numbers, self.width, self.settings = numbers, width, settings
+        found = Shingles(*word_hashes(texts), width, settings.block)
+        self.sets = {n: np.unique(found.values[found.owner == k]) for k, n in enumerate(numbers.tolist())}
         block = settings.block
-        of_block = np.searchsorted(found.first, np.arange(0, found.first[-1], block), "right") - 1
+        of_block = numbers[np.searchsorted(found.first, np.arange(0, found.first[-1], block), "right") - 1]
         self.keys, self.owners, self.maybe = [], [], []
         for row in range(settings.coordinates):
             minima = _window_minima(found.padded, found.filled, row, block)
@@ -119,9 +124,9 @@ class TemplateIndex:
             flags[minima >> np.uint32(16)] = True
             self.maybe.append(flags)
 
-    def candidates(self, texts: Shingles) -> np.ndarray:
-        """Codes ``text * templates + template`` of what shares a band."""
-        n, block = len(self.names), self.settings.block
+    def candidates(self, texts: Shingles) -> list[tuple[int, int]]:
+        """(text, template) of what shares a band."""
+        n, block = int(self.numbers.max()) + 1, self.settings.block
         of_block = np.searchsorted(texts.first, np.arange(0, texts.first[-1], block), "right") - 1
         found = []
         for row, (keys, owners, maybe) in enumerate(zip(self.keys, self.owners, self.maybe, strict=True)):
@@ -130,30 +135,49 @@ class TemplateIndex:
             low, high = np.searchsorted(keys, minima[some], "left"), np.searchsorted(keys, minima[some], "right")
             some, low, high = some[high > low], low[high > low], high[high > low]
             found += [of_block[b] * n + owners[x:y] for b, x, y in zip(some, low, high, strict=True)]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return [divmod(code, n) for code in np.unique(np.concatenate(found)).tolist()] if found else []
 
-    def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+    def matches(self, shingles: Shingles) -> Iterator[tuple[int, int, int, int]]:
         """(text, template, shingles found, place of the first) for each verified candidate."""
-        shingles = Shingles(texts, self.settings)
         ends = np.cumsum(shingles.counts)
-        for code in self.candidates(shingles).tolist():
-            text, template = divmod(code, len(self.names))
+        for text, template in self.candidates(shingles):
             own = shingles.values[ends[text] - shingles.counts[text] : ends[text]]
             wanted = self.sets[template]
             hit = np.isin(own, wanted)
             common = len(np.unique(own[hit]))
-            if len(wanted) and 100 * common >= self.settings.percent * len(wanted):
+            if 100 * common >= self.settings.percent * len(wanted):
                 yield text, template, common, int(np.argmax(hit))
 
 
+class TemplateIndex:
+    """Templates by the width of their shingles: all their words if they have fewer than a shingle."""
+
+    def __init__(self, templates: Sequence[tuple[str, str]], settings: LicenseSettings) -> None:
+        self.settings = settings
+        texts = [text for _, text in templates]
+        widths = np.minimum(np.diff(word_hashes(texts)[1]), settings.words)
+        self.parts = []
+        for width in np.unique(widths[widths > 0]).tolist():
+            numbers = np.flatnonzero(widths == width)
+            self.parts.append(WidthIndex([texts[n] for n in numbers], numbers, width, settings))
+        self.sets = {n: own for part in self.parts for n, own in part.sets.items()}
+
+    def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, template, shingles found, place of the first) for each template that a text contains."""
+        hashes, first = word_hashes(texts)
+        for part in self.parts:
+            yield from part.matches(Shingles(hashes, first, part.width, self.settings.block))
+
+
 def scan_licenses(
-    docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, settings: LicenseSettings = LicenseSettings()
+    docs: DataFrame, templates: Mapping[str, Sequence[str]] = NOTICES, settings: LicenseSettings = LicenseSettings()
 ) -> DataFrame:
     """``(doc_id, license, template, n_matched, n_shingles, first_word)``: a row for each template that a text contains.
 
-    ``template`` numbers the notices of a license from 0, ``first_word`` is where its first shingle stands.  Templates
-    shorter than a shingle are never found.  Null, empty and shorter texts have no rows; repeated rows are judged
-    alike; null ids come back as null.  Templates are settings of the job and go to the tasks with its code.
+    ``template`` numbers the notices of a license from 0, ``first_word`` is where its first shingle stands.  A template
+    of fewer words than a shingle is found where all its words follow each other; one without words is never found.
+    Null and empty texts have no rows; repeated rows are judged alike; null ids come back as null.  Templates are
+    settings of the job and go to the tasks with its code.
     """
     flat = [(name, text) for name, texts in templates.items() for text in texts]
     numbers = [k for texts in templates.values() for k in range(len(texts))]

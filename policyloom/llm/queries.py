@@ -31,7 +31,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(_read(spark, sf_dir, "documents"))
+    # the notices of its SQL, which has none of fewer than five words
+    return scan_licenses(_read(spark, sf_dir, "documents"), TEMPLATES)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,3 +146,22 @@ def test_licenses_in_odd_documents(spark):
     assert sorted(found) == sorted(expected)
     assert {r[0] for r in found} >= {100 + k for k in range(len(notices))} | {200}
     assert scan_licenses(empty_documents(spark)).count() == 0
+
+
+def test_short_notices_are_found(spark):
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([
+        (1, "ALL RIGHTS  reserved"), (2, "a b c d e f g. All rights reserved. h"), (3, "all rights are reserved"), (4, "rights reserved all"),
+        (5, "all rights"), (6, "x " * 40_000 + "All rights, reserved."), (7, None), (8, "Copyleft"), (9, TEMPLATES["mit"][0] + " All rights reserved."),
+    ], schema)
+    found = sorted(tuple(r) for r in scan_licenses(docs).collect())
+    assert found == [
+        (1, "all-rights-reserved", 0, 1, 1, 0), (2, "all-rights-reserved", 0, 1, 1, 7), (6, "all-rights-reserved", 0, 1, 1, 40_000),
+        (9, "all-rights-reserved", 0, 1, 1, 5), (9, "mit", 0, 1, 1, 0),
+    ]
+    own = {"a": ("Copyleft", "rights reserved", "..."), "b": ("all rights are reserved",)}
+    found = sorted(tuple(r)[:3] for r in scan_licenses(docs, own).collect())
+    assert found == [(1, "a", 1), (2, "a", 1), (3, "b", 0), (4, "a", 1), (6, "a", 1), (8, "a", 0), (9, "a", 1)]
+    documents = spark.read.parquet(f"{DATA}/documents.parquet")
+    reserved = {i for i, t in pairs(documents) if re.search(r"(?i)\ball rights reserved\b", t)}
+    assert reserved and reserved == {r.doc_id for r in scan_licenses(documents).where("license = 'all-rights-reserved'").collect()}
