@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import pytest
 from plain import empty_documents, odd_documents, pairs, quality_base
@@ -42,6 +44,42 @@ def test_bands_reject_filler_and_noise_and_keep_prose(spark):
     assert found[2].n_chunks == len(noise.encode()) // 4096
 
 
+def test_noise_of_any_length_is_rejected(spark):
+    draw = random.Random(5)
+
+    def noise(letters, n, width=8):
+        return " ".join("".join(draw.choices(letters, k=width)) for _ in range(n // (width + 1)))
+
+    longest = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy(F.length("text"), "doc_id").collect():
+        if r.text and not quality_base(r.text)[5]:
+            longest[r.lang] = r.text
+    prose = sorted((longest[x] for x in ("en", "de", "fr", "es")), key=len, reverse=True)
+    assert len(prose[0]) > 16_000 and len(prose[-1]) > 4_000
+    sixty_four = string.ascii_letters + string.digits + "+/"
+    line = "Read more of our offers on the next page of this site today\n"
+    first = prose[0].encode()[: 3 * 4096].decode("utf-8", "ignore")
+    bad = [
+        noise("0123456789abcdef", 20_000), noise("0123456789abcdef", 7_000, 32), noise(sixty_four, 539), noise(sixty_four, 900),
+        noise(sixty_four, 20_000), noise(string.ascii_lowercase, 5_000), first + "\n" + line * 120, first + " " + noise(sixty_four, 3_500),
+        first + "\n" + line * 50, " ".join(prose) + " " + noise(sixty_four, 12_000),
+    ]
+    good = [*prose, *(p[:n] for p in prose for n in (700, 1_200, 2_000, 4_000, 5_000, 9_000)), prose[0][:16_000] + "\n" + line * 5]
+    docs = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")
+    found = {r.doc_id: r for r in judged(docs)}
+    assert not any(r.base_failed for r in found.values())
+    assert [k for k in range(len(bad)) if found[k].kept] == []
+    assert [k for k in range(len(bad), len(found)) if not found[k].kept] == []
+    assert found[7].n_chunks_outside == 0 and 3_000 < found[7].n_bytes_outside < 4_096
+
+
+def test_other_scripts_have_their_own_bands(spark):
+    draw = random.Random(6)
+    words = ["".join(draw.choices("अआइउकखगचजटडतदनपबमयरलवसह", k=draw.randint(2, 7))) for _ in range(300)]
+    docs = spark.createDataFrame([(1, " ".join(draw.choices(words, k=1500)))], "doc_id long, text string")
+    assert judged(docs)[0].kept
+
+
 def test_good_documents_keep_columns(spark):
     docs = odd_documents(spark)
     out = good_documents(docs)
