@@ -165,8 +165,9 @@ def sized_rows(docs: DataFrame) -> DataFrame:
 
 
 def words_taken(mix: Mix) -> DataFrame:
-    """``mix.rows`` with ``taken``: how many words of each row the mix takes, repeats counted."""
-    taken = mix.plan.groupBy("row").agg(F.sum("n_words").alias("taken"))
+    """``mix.rows`` with ``taken`` and ``first_slot``: how many words of each row the mix takes, repeats counted, and the
+    first slot that takes some, null if none does."""
+    taken = mix.plan.groupBy("row").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
     return mix.rows.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
 
 
@@ -174,14 +175,15 @@ def mixed_documents(docs: DataFrame, settings: MixSettings = MixSettings()) -> D
     """The documents as the mix takes them, with the columns of ``docs``.
 
     A document comes once for each epoch that takes words of it: unchanged if the epoch takes them all, else cut to
-    the first words that it takes, joined by one space, with ``n_chars`` to match.
+    the first words that it takes, joined by one space, with ``n_chars`` to match.  Partitions are ranges of slots, and
+    the rows in each are in the order of their first slots.
     """
     numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
     sized = materialize(numbered.select(
         "row", "doc.doc_id", F.col("doc.source").cast("string").alias("source"), word_count(F.col("doc.text")).alias("size")
     ))
     mix = mix_sources(sized, settings)
-    taken = mix.plan.groupBy("row", "epoch").agg(F.sum("n_words").alias("taken"))
+    taken = mix.plan.groupBy("row", "epoch").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("slot"))
     joined = numbered.join(taken, "row").join(sized.select("row", "size"), "row")
     words = F.slice(F.regexp_extract_all("doc.text", F.lit(_WORD), F.lit(0)), 1, F.col("taken").cast("int"))
     cut = F.col("taken") < F.col("size")
@@ -192,4 +194,5 @@ def mixed_documents(docs: DataFrame, settings: MixSettings = MixSettings()) -> D
         if field.name == "n_chars":
             value = F.when(cut, F.length(text).cast(field.dataType)).otherwise(value)
         columns.append(value.alias(field.name))
-    return joined.select(*columns)
+    # texts are cut behind the exchange, so that sampling its ranges cuts none
+    return joined.repartitionByRange("slot", "epoch", "row").sortWithinPartitions("slot", "epoch", "row").select(*columns)

@@ -72,7 +72,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(sized_rows(_read(spark, sf_dir, "documents")))
-    return words_taken(mix).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return words_taken(mix).select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

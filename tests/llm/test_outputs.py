@@ -262,6 +262,21 @@ def test_mixed_documents(spark, documents):
     assert mixed_documents(empty_documents(spark)).count() == 0
 
 
+def test_mixed_documents_follow_the_schedule(spark, documents):
+    small = MixSettings(block_words=32)
+    mix = mix_sources(sized_rows(documents), small)
+    first = mix.plan.groupBy("row", "epoch").agg(F.min("slot").alias("slot")).join(mix.rows.select("row", "doc_id", "source"), "row").collect()
+    expected = sorted(first, key=lambda r: (r.slot, r.epoch, r.row))
+    assert [r.doc_id for r in mixed_documents(documents, small).collect()] == [r.doc_id for r in expected]
+    least = {}
+    for r in expected:
+        least.setdefault(r.doc_id, r.slot)
+    found = words_taken(mix).collect()
+    assert {r.doc_id: r.first_slot for r in found if r.taken} == least
+    assert all((r.first_slot is None) == (r.taken == 0) for r in found)
+    assert "first_slot" in QUERIES["op9_source_mix"](spark, DATA).columns
+
+
 def test_mix_runs_without_python(spark):
     plan = QUERIES["op9_source_mix"](spark, DATA)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
