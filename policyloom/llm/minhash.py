@@ -297,6 +297,19 @@ def _confirmed(texts: DataFrame, families: DataFrame, settings: NearSettings) ->
 
 
 def drop_near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) -> DataFrame:
-    """One document of each component, with all its columns; rows that share a kept id stay together."""
-    kept = near_duplicates(docs, settings).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each component, with all its columns: that of the smallest id, and of those the first as read.
+
+    Rows are linked by their texts alone, so copies under one id or without an id go like any others, and different
+    texts under one id stay.  Rows without shingles stand alone and stay.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # the number of a row is fixed by writing it
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("doc")))
+    numbered = rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))
+    found = near_duplicates(numbered, settings).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select("row", F.col("doc.doc_id").alias("id"))
+    # rows of large components are combined before the shuffle
+    kept = found.join(ids, "row").groupBy("component_id").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")
+    ).select(F.col("m.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -70,6 +70,14 @@ def test_one_document_of_each_component_stays(documents, spark):
     assert drop_near_duplicates(empty_documents(spark)).count() == 0
 
 
+def test_rows_are_dropped_by_text_and_not_by_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(50)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (9, a), (7, c), (7, c), (None, c), (None, "d " * 9), (None, "d " * 9), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in drop_near_duplicates(docs).collect()]
+    assert sorted(found, key=repr) == sorted([(5, a), (3, b), (7, c), (None, "d " * 9), (None, None), (8, "")], key=repr)
+
+
 # --- substrings
 
 
