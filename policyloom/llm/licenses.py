@@ -3,13 +3,15 @@
 Texts and templates are cut into words of letters and digits (A-Z folded) and shingles of five words; a template of
 fewer words is one shingle of all of them, and texts are cut into shingles of that width as well.  A window is
 eight consecutive shingles and begins every four, so each run of shingles lies well inside some window.  Every
-coordinate of a window's MinHash is a band of its own: a window that shares one shingle of eight with a template's
-window meets it in at least one of the bands with a probability above 0.99999.  What is retrieved is verified by
-counting the template's distinct shingles in the whole document.
+coordinate of a window's MinHash is a band of its own.  Of a contained template, some window of a shingles has its
+percentage of them in the text; the text's windows hold at most eight, so they meet it in a band with a probability of at
+least ceil(percent * a / 100) / (a + 7), and the number of bands keeps the chance that none does below a set bound.  What
+is retrieved is verified by counting the template's distinct shingles in the whole document.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -50,19 +52,31 @@ NOTICES = TEMPLATES | {"all-rights-reserved": ("All rights reserved.",)}
 
 @dataclass(frozen=True)
 class LicenseSettings:
-    """``percent`` of a template's distinct shingles must be in the document; the rest shapes retrieval."""
+    """``percent`` of a template's distinct shingles must be in the document; the rest shapes retrieval.
+
+    A contained template is missed by all bands with a probability of at most ``miss``.
+    """
 
     words: int = 5
     percent: int = 80
-    coordinates: int = 96
+    miss: float = 1e-6
     block: int = 4
 
+    @property
+    def coordinates(self) -> int:
+        """The least number of bands that keeps the promise for windows of any size."""
+        window = 2 * self.block
+        least = min(max(1, -(-self.percent * a // 100)) / (a + window - 1) for a in range(1, window + 1))
+        return math.ceil(math.log(self.miss) / math.log1p(-least))
+
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _NONE = np.uint32(2**32 - 1)
+#: Two random words for each coordinate.
+_SEEDS = np.random.default_rng(96).integers(0, 2**64, 1024, dtype=np.uint64)
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,17 +104,20 @@ class Shingles:
         self.padded[self.place] = self.values.astype(np.uint32)
         self.filled = np.zeros(self.first[-1], bool)
         self.filled[self.place] = True
+        self.of_block = np.repeat(np.arange(len(counts)), -(-counts // block))
 
 
-def _window_minima(padded: np.ndarray, filled: np.ndarray, row: int, block: int) -> np.ndarray:
-    """One coordinate for each block: the least value among its shingles and those of the next block."""
-    h = (padded ^ (padded >> np.uint32(15))) * np.uint32((0x9E3779B1 + 0x85EBCA6A * row) % 2**32 | 1)
-    h = np.where(filled, h ^ (h >> np.uint32(13)), _NONE)
+def _window_minima(shingles: Shingles, row: int, block: int) -> np.ndarray:
+    """One coordinate for each block: the least value among its shingles and those of the text's next block."""
+    h = (shingles.padded ^ np.uint32(int(_SEEDS[row]) & 0xFFFFFFFF)) * np.uint32(int(_SEEDS[row]) >> 32 | 1)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = np.where(shingles.filled, h ^ (h >> np.uint32(13)), _NONE)
     least = h[0::block]
     for k in range(1, block):
         least = np.minimum(least, h[k::block])
     out = least.copy()
-    out[:-1] = np.minimum(least[:-1], least[1:])
+    joined = shingles.of_block[1:] == shingles.of_block[:-1]
+    out[:-1] = np.where(joined, np.minimum(least[:-1], least[1:]), least[:-1])
     return out
 
 
@@ -112,11 +129,10 @@ class WidthIndex:
         found = Shingles(*word_hashes(texts), width, settings.block)
         self.sets = {n: np.unique(found.values[found.owner == k]) for k, n in enumerate(numbers.tolist())}
         block = settings.block
-        of_block = numbers[np.searchsorted(found.first, np.arange(0, found.first[-1], block), "right") - 1]
+        of_block = numbers[found.of_block]
         self.keys, self.owners, self.maybe = [], [], []
         for row in range(settings.coordinates):
-            minima = _window_minima(found.padded, found.filled, row, block)
-            # a window across two templates stands for the first; the second has its own
+            minima = _window_minima(found, row, block)
             order = np.argsort(minima, kind="stable")
             self.keys.append(minima[order])
             self.owners.append(of_block[order])
@@ -126,11 +142,10 @@ class WidthIndex:
 
     def candidates(self, texts: Shingles) -> list[tuple[int, int]]:
         """(text, template) of what shares a band."""
-        n, block = int(self.numbers.max()) + 1, self.settings.block
-        of_block = np.searchsorted(texts.first, np.arange(0, texts.first[-1], block), "right") - 1
+        n, block, of_block = int(self.numbers.max()) + 1, self.settings.block, texts.of_block
         found = []
         for row, (keys, owners, maybe) in enumerate(zip(self.keys, self.owners, self.maybe, strict=True)):
-            minima = _window_minima(texts.padded, texts.filled, row, block)
+            minima = _window_minima(texts, row, block)
             some = np.flatnonzero(maybe[minima >> np.uint32(16)])
             low, high = np.searchsorted(keys, minima[some], "left"), np.searchsorted(keys, minima[some], "right")
             some, low, high = some[high > low], low[high > low], high[high > low]

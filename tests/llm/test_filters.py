@@ -2,11 +2,12 @@ import random
 import re
 import string
 
+import numpy as np
 import pytest
 from plain import empty_documents, odd_documents, pairs, quality_base
 from pyspark.sql import functions as F
 
-from policyloom.llm.licenses import TEMPLATES, scan_licenses
+from policyloom.llm.licenses import TEMPLATES, LicenseSettings, Shingles, _window_minima, scan_licenses, word_hashes
 from policyloom.llm.quality import BANDS, good_documents, quality
 from policyloom.llm.queries import QUERIES, URL_RULES
 from policyloom.llm.urls import Rule, Vocabulary, url_verdict
@@ -203,3 +204,18 @@ def test_short_notices_are_found(spark):
     documents = spark.read.parquet(f"{DATA}/documents.parquet")
     reserved = {i for i, t in pairs(documents) if re.search(r"(?i)\ball rights reserved\b", t)}
     assert reserved and reserved == {r.doc_id for r in scan_licenses(documents).where("license = 'all-rights-reserved'").collect()}
+
+
+def test_windows_meet_as_often_as_promised():
+    limits = LicenseSettings()
+    assert (7 / 8) ** limits.coordinates <= limits.miss < (7 / 8) ** (limits.coordinates - 1)
+    # notices of one shingle, each followed by another one, and texts that begin with them
+    notices = [f"work{k} under the MIT License" for k in range(2000)]
+    texts = [f"{notice} " + " ".join(f"w{k}x{j}" for j in range(40)) for k, notice in enumerate(notices)]
+    own, found = (Shingles(*word_hashes(t), 5, 4) for t in (notices, texts))
+    at, first = own.first[:-1] // 4, found.first[:-1] // 4
+    met = np.array([_window_minima(found, row, 4)[first] == _window_minima(own, row, 4)[at] for row in range(limits.coordinates)])
+    each = met.sum(axis=0)
+    assert abs(met.mean() - 1 / 8) < 0.004
+    assert each.min() > 0
+    assert abs(each.var() / (limits.coordinates * 7 / 64) - 1) < 0.25
