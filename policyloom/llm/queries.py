@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyloom.llm.ann import nearest_neighbours
+from policyloom.llm.audit import audit_filters, document_failures
+from policyloom.llm.dialogue import damage, repair_conversations
 from policyloom.llm.licenses import TEMPLATES, LicenseSettings, scan_licenses
 from policyloom.llm.minhash import NearSettings, near_duplicates
 from policyloom.llm.mixing import mix_sources, sized_rows, words_taken
@@ -18,6 +20,7 @@ from policyloom.llm.substrings import dedup_substrings
 from policyloom.llm.suffixes import dedup_suffixes
 from policyloom.llm.tokens import read_token_shards, scratch_folder, write_token_shards
 from policyloom.llm.urls import Rule, Vocabulary, url_verdict
+from policyloom.llm.warc import read_archives, write_archives
 
 URL_RULES = (
     Rule("com/", "allow"), Rule("example.com/en/", "block"), Rule("www.example.com/en/", "allow"),
@@ -79,11 +82,43 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each conversation before damage, a null one included; counts of none left are zeros."""
+    rows = _read(spark, sf_dir, "conversations")
+    repair = repair_conversations(damage(rows))
+    every = rows.groupBy("conv_id").agg(F.lit(0).alias("zero"))
+    counts, hashes = repair.summary().withColumnRenamed("conv_id", "c"), repair.hashes().withColumnRenamed("conv_id", "h")
+    found = every.join(counts, F.col("conv_id").eqNullSafe(F.col("c")), "left").join(hashes, F.col("conv_id").eqNullSafe(F.col("h")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        "conv_id", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of the five filters over all documents; see ``document_failures`` for nulls and ties."""
+    return audit_filters(document_failures(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written and read back; ``write_archives`` says what holds for nulls and repeated rows."""
+    records = read_archives(write_archives(_read(spark, sf_dir, "pages"), scratch_folder(spark, "warc")), payloads=False)
+
+    def page(record: str) -> Column:
+        return F.nullif(F.regexp_extract(record, "^<urn:row:([^:]*):", 1), F.lit("")).cast("long")
+
+    return records.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        page("refers_to").alias("refers_to"),
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_license_scans, op2_near_duplicates, op3_token_files, op4_substring_dedup, op5_packing, op6_suffix_dedup,
-        op7_url_filters, op8_quality_rules, op9_source_mix, op10_nearest_neighbours,
+        op7_url_filters, op8_quality_rules, op9_source_mix, op10_nearest_neighbours, op11_conversation_repair, op12_filter_audit, op13_warc,
     )
 }
 
@@ -164,5 +199,44 @@ SELECT p.page_id, host, path, rule,
   coalesce(f.verdict, CASE WHEN strict_hits > 0 OR soft_hits >= {_VOCABULARY.soft_hits} THEN 'block' ELSE 'allow' END) AS verdict,
   strict_hits, soft_hits
 FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id
+""",
+    "op12_filter_audit": rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, {_WORDS.format("t")} AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (
+  SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+    + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(least < doc_id, false)::INT AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, mask),
+x(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM x a
+  JOIN x b ON b.c <> a.c JOIN x c ON c.c NOT IN (a.c, b.c) JOIN x d ON d.c NOT IN (a.c, b.c, c.c) JOIN x e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+steps AS (SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS prior FROM orders, range(1, 6) r(step)),
+counted AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (prior | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & prior = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & prior > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & prior = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & prior = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+  FROM m, steps GROUP BY part, filter_order, step, bit, prior)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted
+""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+d AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(x, 5 * i::INT + 1, 5))::INT) AS v FROM s)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(v, lambda y: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((y >> k) & 31) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d
 """,
 }
