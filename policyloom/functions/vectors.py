@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 DIMENSIONS = 384
-_TOKEN = r"[a-z0-9ß-ÿ]+"
+_WORDS = re.compile(r"[a-z0-9ß-ÿ]+")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,25 +47,26 @@ def round_half_up(values: np.ndarray, digits: int = 6) -> np.ndarray:
     return np.floor(values * scale + 0.5) / scale
 
 
-def token_counts(texts, dims: int) -> np.ndarray:
+class _Slots(dict):
+    """The slot of each word, worked out when it is first asked for."""
+
+    def __init__(self, dims: int):
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, token: str) -> int:
+        slot = self[token] = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % self.dims
+        return slot
+
+
+def token_counts(texts, dims: int, slots: _Slots | None = None) -> np.ndarray:
     """Bag of hashed words: one row of counts per text."""
-    import hashlib
-    import re
-
-    pattern = re.compile(_TOKEN)
-    slots: dict[str, int] = {}
-    out = np.zeros((len(texts), dims))
-    for row, text in enumerate(texts):
-        picked = []
-        for token in pattern.findall((text or "").lower()):
-            slot = slots.get(token)
-            if slot is None:
-                slot = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dims
-                slots[token] = slot
-            picked.append(slot)
-        if picked:
-            out[row] = np.bincount(picked, minlength=dims)
-    return out
+    slots = _Slots(dims) if slots is None else slots
+    words = [_WORDS.findall((text or "").lower()) for text in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    picked = np.fromiter(map(slots.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(sizes.sum()))
+    rows = np.repeat(np.arange(len(words)), sizes)
+    return np.bincount(rows * dims + picked, minlength=len(words) * dims).reshape(len(words), dims).astype(float)
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -72,13 +78,25 @@ BatchEmbedder = Callable[[list], np.ndarray]
 
 
 class HashingEmbedder:
-    """Default embedder: deterministic, no model needed, unit length."""
+    """Default embedder: deterministic, no model needed, unit length.
 
-    def __init__(self, dims: int = DIMENSIONS):
-        self.dims = dims
+    Words it has met stay known between batches, up to ``limit`` of them.
+    """
+
+    def __init__(self, dims: int = DIMENSIONS, limit: int = 500_000):
+        self.dims, self.limit = dims, limit
+        self._slots = _Slots(dims)
+
+    def __getstate__(self) -> dict:
+        return {"dims": self.dims, "limit": self.limit}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
 
     def __call__(self, texts) -> np.ndarray:
-        return unit_rows(token_counts(texts, self.dims))
+        if len(self._slots) > self.limit:
+            self._slots = _Slots(self.dims)
+        return unit_rows(token_counts(texts, self.dims, self._slots))
 
 
 def embed_with(embedder: BatchEmbedder) -> Callable[[Column], Column]:
@@ -92,6 +110,20 @@ def embed_with(embedder: BatchEmbedder) -> Callable[[Column], Column]:
     return lambda text: run(text)
 
 
+def batch_embed(make_model: Callable[[], BatchEmbedder] = HashingEmbedder, batch_size: int = 256) -> Callable[[Column], Column]:
+    """A model as a Column function for batch inference: a worker builds it once and keeps it for all its tasks.
+
+    A null text counts as the empty one.
+    """
+
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        model = make_model()
+        return lambda texts: np.asarray(model(list(texts)), dtype=np.float64)
+
+    run = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch_size)
+    return lambda text: run(F.coalesce(text, F.lit("")))
+
+
 def embed(text: Column, dims: int = DIMENSIONS) -> Column:
     """Hashed bag-of-words embedding of a text column."""
     return embed_with(HashingEmbedder(dims))(text)

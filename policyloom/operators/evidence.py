@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from policyloom.functions import text as tx
 from policyloom.functions.numbers import settled
-from policyloom.functions.vectors import dot, l2_normalize, round_half_up, unit_rows
+from policyloom.functions.vectors import cosine, dot, l2_normalize, round_half_up, unit_rows
 from policyloom.operators.ordering import first_per_key, top_k
 
 # --- fixed values: thresholds -----------------------------------------------
@@ -113,30 +113,36 @@ def merge_near_duplicates(items: DataFrame, keys: Sequence[str], threshold: floa
     """Greedy merge in evidence order; the longer text and the higher score survive.
 
     Input ``items(keys, ord, chunk_id, text, similarity, vector, ...)``; the
-    survivor keeps the place and vector of the first.
+    survivor keeps the place and vector of the first.  An item goes to the first
+    earlier one that leads a group and is close enough, or else leads one: a
+    fold over the evidence of a key, which the retrieval budgets bound.  Only
+    places and vectors are folded; sums over the groups do the rest.
     """
-    rest = [c for c in items.columns if c != "vector"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*rest).schema) + ", merged int"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord").reset_index(drop=True)
-        matrix = unit_rows(np.vstack(group["vector"].to_numpy()).astype(float))
-        close = round_half_up(matrix @ matrix.T) >= threshold
-        open_, rows = np.ones(len(group), dtype=bool), []
-        for i in range(len(group)):
-            if not open_[i]:
-                continue
-            members = [i, *[j for j in np.flatnonzero(close[i]) if j > i and open_[j]]]
-            open_[members] = False
-            best = max(members, key=lambda m: (len(group.text[m]), -m))
-            row = group.loc[best, rest].copy()
-            row["ord"] = group.ord[i]
-            row["similarity"] = group.similarity[members].max()
-            row["merged"] = len(members)
-            rows.append(row)
-        return pd.DataFrame(rows, columns=[*rest, "merged"])
-
-    return items.groupBy(*keys).applyInPandas(run, schema)
+    item = F.struct("ord", F.col("vector").cast("array<double>").alias("vector"))
+    listed = items.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    place = dict(items.dtypes)["ord"]
+    start = F.struct(
+        F.array().cast(f"array<struct<ord:{place},vector:array<double>>>").alias("leads"),
+        F.array().cast(f"array<struct<ord:{place},lead:{place}>>").alias("placed"),
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        near = F.filter(acc["leads"], lambda lead: F.floor(cosine(lead["vector"], x["vector"]) * 10**6 + 0.5) / 10**6 >= threshold)
+        lead = F.coalesce(F.get(near, F.lit(0))["ord"], x["ord"])
+        return F.struct(
+            F.when(F.size(near) > 0, acc["leads"]).otherwise(F.array_append(acc["leads"], x)).alias("leads"),
+            F.array_append(acc["placed"], F.struct(x["ord"].alias("ord"), lead.alias("lead"))).alias("placed"),
+        )
+
+    placed = listed.select(*keys, F.explode(F.aggregate("_items", start, step)["placed"]).alias("_p")).select(
+        *keys, F.col("_p.ord").alias("ord"), F.col("_p.lead").alias("_lead")
+    )
+    rest = [c for c in items.columns if c not in ("vector", "ord", "similarity", *keys)]
+    best = F.max_by(F.struct(*rest), F.struct(F.length("text"), -F.col("ord"))).alias("_best")
+    merged = items.join(placed, [*keys, "ord"]).groupBy(*keys, "_lead").agg(
+        best, F.max("similarity").alias("similarity"), F.count("*").cast("int").alias("merged")
+    ).withColumnRenamed("_lead", "ord").select(*keys, "ord", "similarity", "merged", "_best.*")
+    return merged.select(*(c for c in items.columns if c != "vector"), "merged")
 
 
 def best_aspect(items: DataFrame, aspects: DataFrame, dimension: str = "dimension",

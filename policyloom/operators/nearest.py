@@ -23,6 +23,7 @@ from policyloom.operators.ordering import top_k
 
 # --- fixed values -----------------------------------------------------------
 RRF_OFFSET = 60
+VECTOR = "embedding"
 DENSE_WEIGHT = 0.7
 DENSE_HEADROOM = 3
 ROLE_HEADROOM = 5
@@ -64,6 +65,8 @@ def best_rows(scores: np.ndarray, ids: np.ndarray, scope: np.ndarray | None, k:
 def _matrix(frame: pd.DataFrame, column: str, embedder: BatchEmbedder | None) -> np.ndarray:
     if embedder is not None:
         return embedder(frame[column].tolist())
+    if not len(frame):
+        return np.zeros((0, 1))
     return unit_rows(np.vstack(frame[column].to_numpy()).astype(float))
 
 
@@ -85,13 +88,20 @@ def nearest(
     """Top ``k`` chunks per query, or per scope value and query.
 
     ``source`` names the column that holds the text (or, with
-    ``stored_vectors``, the vector) on both sides.  Narrow ``carry`` columns
+    ``stored_vectors``, the vector) on both sides.  Chunks that bring their
+    vectors in a column ``embedding`` (``sources.vectors``) are not embedded
+    again; only the queries are.  Narrow ``carry`` columns
     travel with the scores; wide ``attach`` columns (texts, vectors) are joined
     to the winners afterwards, so a text is never copied once per query.
     """
     embedder = None if stored_vectors else (embedder or HashingEmbedder())
     vector = F.col(source) if stored_vectors else embed_with(embedder)(F.col(source))
     queries = queries.select(*query_keys, vector.alias(source))
+    if not stored_vectors and VECTOR in chunks.columns:
+        embedder, texts = None, chunks
+        chunks = chunks.select(*dict.fromkeys([*([scope] if scope else []), id_column, *carry]), F.col(VECTOR).alias(source))
+    else:
+        texts = chunks
     width = getattr(embedder, "dims", 1024) * 8
     limit = max(1, bytes_limit // width)
     frame = queries.limit(limit + 1).toArrow().to_pandas()  # vectors only, never the texts
@@ -106,7 +116,7 @@ def nearest(
         partial = _blockwise(chunks.select(*columns), queries, k, query_keys, source, id_column,
                              scope, kept, embedder, schema)
         found = top_k(partial, keys, order, k, spread_by=None if scope else id_column)
-        return attach_columns(found, chunks, id_column, attach)
+        return attach_columns(found, texts, id_column, attach)
 
     query_matrix = _matrix(frame, source, None) if len(frame) else np.zeros((0, 1))
     labels = {c: frame[c].to_numpy(dtype=object) for c in query_keys}
@@ -126,7 +136,50 @@ def nearest(
 
     partial = chunks.select(*columns).mapInPandas(run, schema)
     found = top_k(partial, keys, order, k, spread_by=None if scope else id_column)
-    return attach_columns(found, chunks, id_column, attach, None if scope else len(frame) * k)
+    return attach_columns(found, texts, id_column, attach, None if scope else len(frame) * k)
+
+
+def nearest_in_groups(
+    rows: DataFrame, queries: DataFrame, group: str, k: int, *, query_keys: Sequence[str], id_column: str = "chunk_id",
+    carry: Sequence[str] = (), sizes: DataFrame | None = None, part_rows: int = 32_768, query_rows: int = 4096,
+) -> DataFrame:
+    """Best ``k`` rows of each query among the rows of the query's own group, by stored vectors.
+
+    ``rows(group, id, embedding, carry)`` and ``queries(keys, group, embedding)`` meet by group: a query never sees
+    rows of other groups, and groups without queries are not shuffled.  A group of very many rows or queries is cut
+    into parts and blocks, so that what meets is bounded.  ``sizes(group, n)`` spares the count of the rows.
+    Queries whose group has no rows have no result.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n")) if sizes is None else sizes
+    asks = queries.groupBy(group).agg(F.count("*").alias("asks"))
+    cuts = sizes.join(asks, group).select(
+        group, F.ceil(F.col("n") / part_rows).cast("long").alias("_parts"), F.ceil(F.col("asks") / query_rows).cast("long").alias("_blocks")
+    )
+    kept = list(dict.fromkeys([id_column, *carry]))
+
+    def each(column: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))
+
+    own = rows.select(group, *kept, VECTOR).join(cuts, group).withColumn(
+        "_part", F.pmod(F.xxhash64(id_column), F.col("_parts"))).withColumn("_block", each("_blocks")).drop("_parts", "_blocks")
+    asked = queries.select(*query_keys, F.col(group).alias("_group"), F.col(VECTOR).alias(VECTOR)).join(
+        cuts.withColumnRenamed(group, "_group"), "_group").withColumn(
+        "_block", F.pmod(F.xxhash64(*query_keys), F.col("_blocks"))).withColumn("_part", each("_parts")).drop("_parts", "_blocks")
+    types = dict(asked.dtypes) | dict(own.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*kept, *query_keys]) + ", similarity double"
+
+    def run(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(others):
+            return pd.DataFrame(columns=[*kept, *query_keys, "similarity"])
+        scores = similarities(_matrix(mine, VECTOR, None), _matrix(others, VECTOR, None))
+        row, column = best_rows(scores, mine[id_column].to_numpy(), None, k)
+        out = mine[kept].iloc[row].reset_index(drop=True)
+        for c in query_keys:
+            out[c] = others[c].to_numpy(dtype=object)[column]
+        return out.assign(similarity=scores[row, column])
+
+    met = own.groupBy(group, "_part", "_block").cogroup(asked.groupBy("_group", "_part", "_block")).applyInPandas(run, schema)
+    return top_k(met, query_keys, [F.desc("similarity"), F.asc(id_column)], k)
 
 
 def attach_columns(hits: DataFrame, chunks: DataFrame, id_column: str, columns: Sequence[str],

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policyloom import lexicons as lx
@@ -79,25 +78,25 @@ def fill_buckets(candidates: DataFrame, caps: dict[str, int] | None = None,
 
     ``candidates``: keys, bucket, rank, chunk_id, text, ... .  A chunk id counts
     once over all buckets (in bucket order), a text once inside a bucket, and
-    each bucket is cut to its cap with substantive passages first.
+    each bucket is cut to its cap with substantive passages first.  Candidates
+    may bring ``text_key`` and ``is_fragment`` in place of the text.
     """
     caps = FIRST_PASS_CAPS if caps is None else caps
+    known = "text_key" in candidates.columns
     prepared = (
         candidates.withColumn("_bucket", bucket_order(caps)[F.col("bucket")])
-        .withColumn("_fragment", tx.is_fragment(F.col("text")))
-        .withColumn("_text", tx.text_key(F.col("text")))
+        .withColumn("_fragment", F.col("is_fragment") if known else tx.is_fragment(F.col("text")))
+        .withColumn("_text", F.col("text_key") if known else tx.text_key(F.col("text")))
     )
     order = ["_bucket", "_fragment", "rank", "chunk_id"]
     by_id = first_per_key(prepared, [*keys, "chunk_id"], order[:-1])
     by_text = first_per_key(by_id, [*keys, "bucket", "_text"], order)
     slot = Window.partitionBy(*keys, "bucket").orderBy("_fragment", "rank", "chunk_id")
     cap = F.create_map(*[F.lit(v) for pair in caps.items() for v in pair])[F.col("bucket")]
-    return (
-        by_text.withColumn("slot", F.row_number().over(slot))
-        .filter(F.col("slot") <= cap)
-        .withColumn("text", F.substring("text", 1, chars) if chars else F.col("text"))
-        .drop("_bucket", "_fragment", "_text")
-    )
+    filled = by_text.withColumn("slot", F.row_number().over(slot)).filter(F.col("slot") <= cap)
+    if chars and "text" in candidates.columns:
+        filled = filled.withColumn("text", F.substring("text", 1, chars))
+    return filled.drop("_bucket", "_fragment", "_text")
 
 
 def fill_buckets_in_turn(candidates: DataFrame, caps: dict[str, int] | None = None,
@@ -107,38 +106,45 @@ def fill_buckets_in_turn(candidates: DataFrame, caps: dict[str, int] | None = No
 
     Ids looked at while filling a bucket are closed to later buckets; ids past
     a bucket's cap are not.  Only the listed buckets drop repeated texts.  A
-    key's candidates are its retrieval cuts, some twenty rows, so each key is
-    one small group.
+    key's candidates are its retrieval cuts, some twenty rows: their ids and the
+    hashes of their texts are folded in order, and the texts join the winners.
     """
     caps = SECOND_PASS_CAPS if caps is None else caps
-    prepared = candidates.withColumn("_fragment", tx.is_fragment(F.col("text"))).withColumn("_text", tx.text_key(F.col("text")))
-    columns = candidates.columns
-    schema = _schema(prepared.select(*columns)) + ", slot int"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        seen, picked, slots = set(), [], []
-        for bucket, cap in caps.items():
-            pool = group[group.bucket == bucket].sort_values(["_fragment", "rank", "chunk_id"])
-            texts, taken = set(), 0
-            for index, chunk, text in zip(pool.index, pool.chunk_id, pool._text):
-                if taken >= cap:
-                    break
-                if chunk in seen:
-                    continue
-                seen.add(chunk)
-                if bucket in text_unique and text in texts:
-                    continue
-                texts.add(text)
-                taken += 1
-                picked.append(index)
-                slots.append(taken)
-        return group.loc[picked, columns].assign(slot=slots)
-
-    return prepared.groupBy(*keys).applyInPandas(run, schema).withColumn("text", F.substring("text", 1, PROMPT_CHARS))
-
-
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    number = F.create_map(*[F.lit(v) for pair in zip(caps, range(len(caps))) for v in pair])[F.col("bucket")]
+    cap = F.create_map(*[F.lit(v) for pair in caps.items() for v in pair])[F.col("bucket")]
+    once = F.col("bucket").isin(*text_unique) if text_unique else F.lit(False)
+    row = F.struct(
+        number.alias("b"), tx.is_fragment(F.col("text")).alias("f"), "rank", "chunk_id", F.md5(tx.text_key(F.col("text"))).alias("t"),
+        cap.alias("cap"), once.alias("once"),
+    )
+    id_type = dict(candidates.dtypes)["chunk_id"]
+    listed = candidates.filter(number.isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    start = F.struct(
+        F.array().cast(f"array<{id_type}>").alias("seen"), F.array().cast("array<string>").alias("texts"), F.lit(0).alias("taken"),
+        F.lit(-1).alias("b"), F.array().cast(f"array<struct<b:int,chunk_id:{id_type},slot:int>>").alias("picks"),
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = acc["b"] != x["b"]
+        taken = F.when(fresh, F.lit(0)).otherwise(acc["taken"])
+        texts = F.when(fresh, F.array().cast("array<string>")).otherwise(acc["texts"])
+        looks = (taken < x["cap"]) & ~F.array_contains(acc["seen"], x["chunk_id"])
+        picks = looks & ~(x["once"] & F.array_contains(texts, x["t"]))
+        return F.struct(
+            F.when(looks, F.array_append(acc["seen"], x["chunk_id"])).otherwise(acc["seen"]).alias("seen"),
+            F.when(picks, F.array_append(texts, x["t"])).otherwise(texts).alias("texts"),
+            F.when(picks, taken + 1).otherwise(taken).alias("taken"), x["b"].alias("b"),
+            F.when(picks, F.array_append(acc["picks"], F.struct(x["b"].alias("b"), x["chunk_id"].alias("chunk_id"), (taken + 1).alias("slot"))))
+            .otherwise(acc["picks"]).alias("picks"),
+        )
+
+    found = listed.select(*keys, F.explode(F.aggregate("_rows", start, step)["picks"]).alias("_pick"))
+    names = F.element_at(F.array(*map(F.lit, caps)), F.col("_pick.b") + 1)
+    chosen = found.select(*keys, names.alias("bucket"), F.col("_pick.chunk_id").alias("chunk_id"), F.col("_pick.slot").alias("slot"))
+    rows = first_per_key(candidates, [*keys, "bucket", "chunk_id"], ["rank"])
+    return rows.join(chosen, [*keys, "bucket", "chunk_id"]).select(
+        *(F.substring("text", 1, PROMPT_CHARS).alias("text") if c == "text" else F.col(c) for c in candidates.columns), "slot"
+    )
 
 
 def enforce_reserve(filled: DataFrame, reserved: DataFrame, budget: int, reserve: int = 1,
@@ -148,40 +154,44 @@ def enforce_reserve(filled: DataFrame, reserved: DataFrame, budget: int, reserve
     ``filled`` is the budgeted bucket (with ``slot``), ``reserved`` the routed
     sources' candidates (with ``rank``); both carry ``is_reserved``.  A
     candidate whose text is not in the bucket yet takes the place of the last
-    row that is not reserved, or a free slot.
+    row that is not reserved, or a free slot.  Texts are compared by a column
+    ``text_key``, or else by ``text``.
+
+    Candidates are ranked from the head and rows that may go from the tail; the
+    n-th of the ones meets the n-th of the others, all in windows over the key.
     """
     columns = filled.columns
+    text = F.col("text_key") if "text_key" in columns else tx.text_key(F.col("text"))
     both = filled.withColumn("_place", F.col("slot")).withColumn("_new", F.lit(False)).unionByName(
         reserved.withColumn("_place", F.col("rank")).withColumn("_new", F.lit(True)).select(
             *columns, "_place", "_new")
-    ).withColumn("_text", tx.text_key(F.col("text")))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group[~group._new].sort_values("_place")
-        bucket, texts = list(rows.index), set(rows._text)
-        missing = reserve - int(rows.is_reserved.sum())
-        fresh = group[group._new].sort_values(["_place", "chunk_id"])
-        protected = set(rows.index[rows.is_reserved])
-        for index, text in zip(fresh.index, fresh._text):
-            if missing <= 0:
-                break
-            if text in texts:
-                continue
-            open_slots = [i for i, kept in enumerate(bucket) if kept not in protected]
-            if open_slots:
-                bucket[open_slots[-1]] = index
-            elif len(bucket) < budget:
-                bucket.append(index)
-            else:
-                break
-            texts.add(text)
-            protected.add(index)
-            missing -= 1
-        out = group.loc[bucket, columns].assign(slot=range(1, len(bucket) + 1))
-        out["is_reserved"] = [i in protected for i in bucket]
-        return out
-
-    return both.groupBy(*keys).applyInPandas(run, _schema(filled))
+    ).withColumn("_text", text)
+    every = Window.partitionBy(*keys)
+    same_text = Window.partitionBy(*keys, "_text")
+    first = F.row_number().over(Window.partitionBy(*keys, "_text", "_new").orderBy("_place", "chunk_id")) == 1
+    there = F.max((~F.col("_new")).cast("int")).over(same_text) == 1
+    marked = both.withColumn("_fresh", F.col("_new") & first & ~there).filter("_fresh or not _new")
+    kind = F.when(F.col("_fresh"), 0).when(~F.col("is_reserved"), 1).otherwise(2)
+    place = F.when(F.col("_fresh"), F.col("_place")).otherwise(-F.col("_place"))
+    marked = marked.withColumn("_kind", kind).withColumn(
+        "_nth", F.row_number().over(Window.partitionBy(*keys, "_kind").orderBy(place, "chunk_id"))
+    )
+
+    def count(kind: int) -> Column:
+        return F.count(F.when(F.col("_kind") == kind, 1)).over(every)
+
+    room = count(1) + F.greatest(F.lit(0), budget - count(1) - count(2))
+    swaps = F.least(reserve - count(2), count(0), room)
+    marked = marked.withColumn("_swaps", F.greatest(F.lit(0), swaps)).withColumn("_open", count(1)).withColumn("_size", count(1) + count(2))
+    pair = F.when(F.col("_kind") < 2, F.col("_nth"))
+    freed = F.max(F.when(F.col("_kind") == 1, F.col("slot"))).over(Window.partitionBy(*keys, pair))
+    slot = F.when(F.col("_kind") > 0, F.col("slot")).otherwise(
+        F.when(F.col("_nth") <= F.col("_open"), freed).otherwise(F.col("_size") + F.col("_nth") - F.col("_open")))
+    stays = ((F.col("_kind") == 0) & (F.col("_nth") <= F.col("_swaps"))) | (F.col("_kind") == 2) | (
+        (F.col("_kind") == 1) & (F.col("_nth") > F.col("_swaps")))
+    out = marked.withColumn("_slot", slot).filter(stays).withColumn("is_reserved", F.col("is_reserved") | F.col("_fresh"))
+    renumbered = F.row_number().over(Window.partitionBy(*keys).orderBy("_slot"))
+    return out.withColumn("slot", renumbered.cast(dict(filled.dtypes)["slot"])).select(*columns)
 
 
 # -- whole-document overview -------------------------------------------------
@@ -223,29 +233,33 @@ def interleave(picks: DataFrame, sweep: DataFrame, top: int = OVERVIEW_K,
                      spread_by="chunk_id").withColumn("side", F.lit(side))
 
     both = lead(picks, 0).unionByName(lead(sweep, 1))
-    scope_type = dict(picks.dtypes)[scope]
     id_type = dict(picks.dtypes)["chunk_id"]
+    entry = f"struct<rank:int,chunk_id:{id_type},opening:string>"
+    row = F.struct(F.col("rank").cast("int").alias("rank"), "chunk_id", "opening")
+    lists = both.groupBy(scope).agg(*(
+        F.array_sort(F.collect_list(F.when(F.col("side") == side, row))).cast(f"array<{entry}>").alias(name) for side, name in enumerate("ab")
+    ))
+    start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"), F.array().cast(f"array<{entry}>").alias("taken"))
+
+    def step(acc: Column, _: Column) -> Column:
+        """Look at the next row of the list whose turn it is, or of the other if that is used up."""
+        more_a, more_b = acc["i"] <= F.size("a"), acc["j"] <= F.size("b")
+        from_a = F.when(F.size(acc["taken"]) % 2 == 0, more_a).otherwise(~more_b)
+        x = F.when(from_a, F.get("a", acc["i"] - 1)).otherwise(F.get("b", acc["j"] - 1))
+        known = F.exists(acc["taken"], lambda t: (t["chunk_id"] == x["chunk_id"]) | (t["opening"] == x["opening"]))
+        picks = (F.size(acc["taken"]) < top) & ~known
+        return F.struct(
+            F.when(from_a, acc["i"] + 1).otherwise(acc["i"]).alias("i"), F.when(from_a, acc["j"]).otherwise(acc["j"] + 1).alias("j"),
+            F.when(picks, F.array_append(acc["taken"], x)).otherwise(acc["taken"]).alias("taken"),
+        )
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        queues = [
-            list(part.sort_values("rank")[["chunk_id", "opening", "text"]].itertuples(index=False))
-            for part in (group[group.side == 0], group[group.side == 1])
-        ]
-        taken, ids, openings = [], set(), set()
-        while len(taken) < top and (queues[0] or queues[1]):
-            side = len(taken) % 2
-            queue = queues[side] or queues[1 - side]
-            chunk, opening, text = queue.pop(0)
-            if chunk in ids or opening in openings:
-                continue
-            ids.add(chunk)
-            openings.add(opening)
-            taken.append((key[0], len(taken) + 1, chunk, text[:OVERVIEW_CHARS]))
-        return pd.DataFrame(taken, columns=[scope, "rank", "chunk_id", "text"])
-
-    return both.groupBy(scope).applyInPandas(
-        run, f"`{scope}` {scope_type}, rank int, chunk_id {id_type}, text string"
+    steps = F.when(F.size("a") + F.size("b") > 0, F.sequence(F.lit(1), F.size("a") + F.size("b"))).otherwise(F.array().cast("array<int>"))
+    taken = F.aggregate(steps, start, step)["taken"]
+    mixed = lists.select(scope, F.posexplode(taken).alias("_no", "_row")).select(
+        scope, (F.col("_no") + 1).alias("rank"), F.col("_row.chunk_id").alias("chunk_id")
     )
+    texts = first_per_key(picks.select(scope, "chunk_id", "text").unionByName(sweep.select(scope, "chunk_id", "text")), [scope, "chunk_id"], ["text"])
+    return mixed.join(texts, [scope, "chunk_id"]).select(scope, "rank", "chunk_id", F.substring("text", 1, OVERVIEW_CHARS).alias("text"))
 
 
 def merge_hits(framework_hits: DataFrame, document_hits: DataFrame, keys: Sequence[str], k: int = 10) -> DataFrame:

@@ -39,6 +39,12 @@ def regional_frameworks(catalog: DataFrame) -> DataFrame:
     return tagged.filter(F.col("region") != "Global")
 
 
+def regional_subset(countries: DataFrame, catalog: DataFrame, regions: DataFrame, roles: Sequence[str] | None = None) -> DataFrame:
+    """The regional frameworks of each country, optionally by role; countries of no region have none."""
+    chosen = catalog.filter(tx.has_role(F.col("roles"), roles)) if roles else catalog
+    return regions_of(countries, regions).join(regional_frameworks(chosen), "region")
+
+
 def route(
     requests: DataFrame, catalog: DataFrame, regions: DataFrame, core: Sequence[str] = lx.CORE_FRAMEWORKS,
 ) -> DataFrame:

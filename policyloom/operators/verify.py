@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from policyloom import lexicons as lx
 from policyloom.functions import text as tx
 from policyloom.functions.numbers import settled
-from policyloom.functions.vectors import HashingEmbedder, round_half_up
+from policyloom.functions.vectors import HashingEmbedder, batch_embed, round_half_up
+from policyloom.operators.nearest import DENSE_HEADROOM, VECTOR, attach_columns, hybrid_rerank, nearest_in_groups, retrieve
 from policyloom.operators.ordering import first_per_key, top_k
+from policyloom.session import materialize
 
 # --- fixed values: thresholds -----------------------------------------------
 SEMANTIC_MIN = 0.65
@@ -441,6 +443,23 @@ def overview_labels(replies: DataFrame, keys: Sequence[str], text: str = "text",
     ).withColumn("doc_no", F.col("doc_no").try_cast("int")).withColumn("usable", F.length("claim") >= 8)
 
 
+def scoped_hits(quotes: DataFrame, chunks: DataFrame, keys: Sequence[str], k: int = 5, make_model=HashingEmbedder) -> DataFrame:
+    """``(keys, rank, chunk_id, text, framework)``: each quote's best chunks inside its claimed source.
+
+    ``quotes(keys, source, quote)``; ``chunks(chunk_id, framework, text, embedding)``.  Quotes meet only the chunks of
+    the framework that they name; a quote whose source has none is searched for everywhere.
+    """
+    columns = [*keys, "rank", "chunk_id", "text", "framework"]
+    asked = quotes.select(*keys, F.col("source").alias("framework"), F.col("quote").alias("text"))
+    asked = materialize(asked.withColumn(VECTOR, batch_embed(make_model)(F.col("text"))))
+    dense = nearest_in_groups(chunks, asked, "framework", DENSE_HEADROOM * k, query_keys=keys, carry=["framework"])
+    worded = attach_columns(dense, chunks, "chunk_id", ["text"]).join(asked.select(*keys, F.col("text").alias("query_text")), list(keys))
+    own = materialize(hybrid_rerank(worded, keys, k).select(*columns))
+    rest = asked.join(own.select(*keys).distinct(), list(keys), "left_anti")
+    broad = retrieve(chunks, rest.select(*keys, "text"), k, query_keys=keys, carry=["framework"])
+    return own.unionByName(broad.select(*columns))
+
+
 def match_quotes(quotes: DataFrame, hits: DataFrame, keys: Sequence[str], similarity: bool = True) -> DataFrame:
     """Resolve quotes to their best retrieved chunk by term overlap and judge the match.
 

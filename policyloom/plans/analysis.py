@@ -35,32 +35,117 @@ def best_passages(chunks: DataFrame, queries: DataFrame, cap: int = 4, scope: st
     )
 
 
+def role_hits(chunks: DataFrame, requests: DataFrame, caps: dict[str, int], headroom: int = retrieve.BUCKET_HEADROOM) -> DataFrame:
+    """``(dimension, bucket, framework, chunk_id, similarity)``: what any framework bucket may take, in one scan.
+
+    Chunks are ranked inside their framework and set of roles, so that every later restriction to roles or frameworks
+    finds its best among them.
+    """
+    buckets = [b for b in caps if b != "document"]
+    k = max(caps[b] for b in buckets) * headroom * ROLE_HEADROOM
+    roles = F.array_intersect(F.coalesce("roles", F.array().cast("array<string>")), F.array(*map(F.lit, buckets)))
+    scoped = chunks.withColumn("_roles", F.array_join(F.array_sort(roles), ",")).filter("_roles <> ''").withColumn(
+        "_scope", F.concat_ws("|", F.coalesce("framework", F.lit("")), "_roles")
+    )
+    dense = nearest(scoped, requests.select("dimension", "text"), k, query_keys=["dimension"], scope="_scope", carry=["framework", "_roles"])
+    return materialize(dense.withColumn("bucket", F.explode(F.split("_roles", ","))).select("dimension", "bucket", "framework", "chunk_id", "similarity"))
+
+
+def reranked_pools(pools: DataFrame, chunks: DataFrame, requests: DataFrame, k: dict[str, int]) -> DataFrame:
+    """The best ``k[pool]`` of each ``(pool, dimension)`` by the hybrid score; texts are joined once for all pools."""
+    at_most = F.create_map(*[F.lit(v) for pair in k.items() for v in pair])[F.col("kind")]
+    keys = ["pool", "dimension"]
+    cut = top_k(pools, keys, [F.desc("similarity"), F.asc("chunk_id")], max(k.values()) * ROLE_HEADROOM, spread_by="chunk_id")
+    cut = cut.filter(F.col("rank") <= at_most * ROLE_HEADROOM)
+    worded = attach_columns(cut, chunks, "chunk_id", ["text"]).join(requests.select("dimension", F.col("text").alias("query_text")), "dimension")
+    return hybrid_rerank(worded, keys, max(k.values())).filter(F.col("rank") <= at_most).drop("query_text")
+
+
 def bucket_candidates(chunks: DataFrame, requests: DataFrame, routed: DataFrame | None, caps: dict[str, int],
                       headroom: int = retrieve.BUCKET_HEADROOM) -> DataFrame:
     """Role-scoped hits per dimension for the framework buckets.
 
     ``requests(dimension, text)`` are the query texts; ``routed(dimension,
-    name)`` restricts the normative bucket to the routed frameworks.  Chunks
-    are ranked inside their framework first, so the routing of each dimension
-    is applied before its final cut and costs no second scan.
+    name)`` restricts the normative bucket to the routed frameworks.
+    """
+    hits = _allowed(role_hits(chunks, requests, caps, headroom), routed)
+    pools = hits.withColumn("pool", F.col("bucket")).withColumn("kind", F.col("bucket"))
+    done = reranked_pools(pools, chunks, requests, {b: c * headroom for b, c in caps.items() if b != "document"})
+    return done.drop("pool", "kind")
+
+
+def _allowed(hits: DataFrame, routed: DataFrame | None) -> DataFrame:
+    if routed is None:
+        return hits
+    names = routed.select("dimension", F.col("name").alias("framework"), F.lit(lx.NORMATIVE).alias("bucket")).distinct()
+    free = hits.filter(F.col("bucket") != lx.NORMATIVE)
+    return hits.join(names, ["dimension", "framework", "bucket"], "left_semi").select(*hits.columns).unionByName(free)
+
+
+RESERVES = {lx.NORMATIVE: 1, lx.PRACTICAL: 1}
+RESERVE_POOL = 3
+
+
+def first_pass(
+    chunks: DataFrame, doc_chunks: DataFrame, requests: DataFrame, profiles: DataFrame, workspaces: DataFrame,
+    routed: DataFrame | None, regional: DataFrame, tagged: DataFrame, caps: dict[str, int] | None = None,
+) -> DataFrame:
+    """The budgeted passages of every workspace and dimension, with the slots kept for routed sources.
+
+    ``chunks`` are the frameworks' and ``doc_chunks`` the uploaded documents' stored chunks; ``requests(dimension,
+    text)``, ``profiles(dimension, query_no, text)``; ``workspaces(workspace_id, dimension, region)``; ``routed``,
+    ``tagged`` are ``(dimension, name)`` and ``regional`` is ``(region, name)``.  One normative slot goes to a
+    framework of the workspace's region and one practical slot to a framework tagged with the dimension, where the
+    general ranking has not given them any.
+
+    The vectors of frameworks and documents are scanned once each.  Framework pools are ranked once for each dimension
+    and region; only ids, text keys and scores are copied to the workspaces, and texts join the winners.
     """
-    asked = requests.select("dimension", "text", F.col("text").alias("query_text"))
-    n_requests = requests.count()
-    out = None
-    for bucket in [b for b in caps if b != "document"]:
-        k = caps[bucket] * headroom
-        scoped = chunks.filter(tx.has_role(F.col("roles"), [bucket]))
-        dense = nearest(
-            scoped, asked, k * ROLE_HEADROOM, query_keys=["dimension", "query_text"], scope="framework",
-        ).drop("rank")
-        if routed is not None and bucket == lx.NORMATIVE:
-            allowed = routed.select("dimension", F.col("name").alias("framework")).distinct()
-            dense = dense.join(allowed, ["dimension", "framework"], "left_semi")
-        cut = top_k(dense, ["dimension"], [F.desc("similarity"), F.asc("chunk_id")], k * ROLE_HEADROOM, spread_by="chunk_id")
-        worded = attach_columns(cut, scoped, "chunk_id", ["text"], n_requests * k * ROLE_HEADROOM)
-        hits = hybrid_rerank(worded, ["dimension"], k).withColumn("bucket", F.lit(bucket)).drop("query_text")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    caps = retrieve.FIRST_PASS_CAPS if caps is None else caps
+    hits = role_hits(chunks, requests, caps)
+    general = _allowed(hits, routed).select("*", F.col("bucket").alias("pool"), F.col("bucket").alias("kind"))
+    by_region = hits.filter(F.col("bucket") == lx.NORMATIVE).join(regional.select(F.col("name").alias("framework"), "region").distinct(), "framework")
+    by_region = by_region.withColumn("pool", F.concat(F.lit("region "), "region")).withColumn("kind", F.lit("reserve")).drop("region")
+    by_tag = hits.filter(F.col("bucket") == lx.PRACTICAL).join(
+        tagged.select("dimension", F.col("name").alias("framework")).distinct(), ["dimension", "framework"], "left_semi"
+    ).withColumn("pool", F.lit("tag")).withColumn("kind", F.lit("reserve"))
+    sizes = {b: c * retrieve.BUCKET_HEADROOM for b, c in caps.items() if b != "document"} | {"reserve": RESERVE_POOL}
+    pools = reranked_pools(general.unionByName(by_region).unionByName(by_tag), chunks, requests, sizes)
+    pools = materialize(_keyed(pools))
+    own = document_pool(doc_chunks, profiles, caps)
+
+    narrow = ["bucket", "rank", "chunk_id", "framework", "similarity", "is_fragment", "text_key"]
+    asked = workspaces.select("workspace_id", "dimension", "region").distinct()
+    shared = asked.select("workspace_id", "dimension").join(pools.filter(F.col("kind") != "reserve").select("dimension", *narrow), "dimension")
+    filled = retrieve.fill_buckets(shared.unionByName(own.select("workspace_id", "dimension", *narrow)), caps, chars=None)
+
+    near = asked.join(regional.select("region", F.col("name").alias("framework")).distinct(), "region").select(
+        "workspace_id", "dimension", F.lit(lx.NORMATIVE).alias("bucket"), "framework")
+    for_topic = asked.join(tagged.select("dimension", F.col("name").alias("framework")).distinct(), "dimension").select(
+        "workspace_id", "dimension", F.lit(lx.PRACTICAL).alias("bucket"), "framework")
+    keys = ["workspace_id", "dimension", "bucket"]
+    kept = near.unionByName(for_topic).distinct().withColumn("is_reserved", F.lit(True))
+    filled = filled.join(kept, [*keys, "framework"], "left").withColumn("is_reserved", F.coalesce("is_reserved", F.lit(False)))
+    pooled = asked.withColumn("pool", F.explode(F.array(F.concat(F.lit("region "), "region"), F.lit("tag")))).join(
+        pools.filter(F.col("kind") == "reserve"), ["pool", "dimension"])
+    weak = F.when(F.col("is_fragment"), 1000).otherwise(0)
+    reserved = pooled.select("workspace_id", "dimension", *narrow).withColumn("rank", F.col("rank") + weak).withColumn(
+        "slot", F.lit(0)).withColumn("is_reserved", F.lit(True))
+    cap = F.create_map(*[F.lit(v) for pair in caps.items() for v in pair])[F.col("bucket")]
+    done = retrieve.enforce_reserve(filled.select("workspace_id", "dimension", *narrow, "slot", "is_reserved"), reserved, cap, keys=keys)
+
+    texts = first_per_key(pools.select("chunk_id", "text").unionByName(own.select("chunk_id", "text")), ["chunk_id"], ["text"])
+    cut = F.substring("text", 1, retrieve.PROMPT_CHARS)
+    return done.join(texts, "chunk_id").withColumn("text", cut).drop("is_fragment", "text_key")
+
+
+def document_pool(doc_chunks: DataFrame, profiles: DataFrame, caps: dict[str, int]) -> DataFrame:
+    found = retrieve.document_candidates(doc_chunks, profiles, caps["document"] * retrieve.DOCUMENT_HEADROOM, carry=("text", "framework"))
+    return materialize(_keyed(found.withColumn("bucket", F.lit("document"))))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("is_fragment", tx.is_fragment(F.col("text"))).withColumn("text_key", F.md5(tx.text_key(F.col("text"))))
 
 
 @dataclass

@@ -11,11 +11,15 @@ it.  How the tables stand for the domain:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyloom import lexicons as lx
 from policyloom.operators.segment import ingest_pages, pages_from_lines
+from policyloom.session import ensure_checkpoint_dir
+from policyloom.sources import vectors
 from policyloom.sources.tables import spread
 
 DIMS = lx.DIMENSIONS
@@ -95,6 +99,31 @@ def corpus(spark, sf_dir) -> DataFrame:
     )
 
 
+_stores: dict[tuple, str] = {}
+
+
+def _stored(spark, sf_dir, name: str, make) -> DataFrame:
+    """A table with its vectors, written once for each state of the documents and read by all queries after that."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet")
+    state = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")), F.count("*")).first()
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf_dir, name, *state)
+    if key not in _stores:
+        path = f"{ensure_checkpoint_dir(spark)}/store/{uuid.uuid4()}"
+        vectors.create_store(make(), path)
+        _stores[key] = path
+    return vectors.read_store(spark, _stores[key])
+
+
+def embedded_corpus(spark, sf_dir) -> DataFrame:
+    """``corpus`` out of the chunk store, with vectors."""
+    return _stored(spark, sf_dir, "corpus", lambda: corpus(spark, sf_dir))
+
+
+def embedded_chunks(spark, sf_dir) -> DataFrame:
+    """The chunks of all pages out of the chunk store, with vectors."""
+    return _stored(spark, sf_dir, "chunks", lambda: chunks(spark, sf_dir))
+
+
 def catalog(spark, sf_dir) -> DataFrame:
     """Framework catalog derived from the sources of the documents."""
     sources = documents(spark, sf_dir).select("source").distinct()

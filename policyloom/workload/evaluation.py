@@ -350,6 +350,20 @@ sc AS (SELECT dimension, round(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (a
 FROM pj GROUP BY dimension),
 asked AS (SELECT label::VARCHAR AS dimension FROM embeddings UNION SELECT source FROM documents)
 SELECT dimension, coalesce(agreement, 1.0::DOUBLE) AS agreement, coalesce(pairs, 0) AS pairs FROM asked LEFT JOIN sc USING (dimension)""",
+    "near_duplicates": f"""WITH RECURSIVE {_EV_SQL},
+items AS (SELECT dimension, rank AS ord, chunk_id, text, similarity, vec FROM ev WHERE rank <= {BUDGET}),
+lists AS (SELECT dimension, list({{'ord': ord, 'vec': vec}} ORDER BY ord) AS xs FROM items GROUP BY dimension),
+f AS (
+  SELECT dimension, xs, 1 AS i, []::BIGINT[] AS leads, []::BIGINT[] AS own FROM lists
+  UNION ALL
+  SELECT dimension, xs, i + 1, CASE WHEN lead IS NULL THEN list_append(leads, i) ELSE leads END, list_append(own, coalesce(lead, i))
+  FROM (
+    SELECT *, list_filter(leads, lambda k: round(list_cosine_similarity(xs[k].vec, xs[i].vec), 6) >= 0.25)[1] AS lead FROM f WHERE i <= len(xs))),
+done AS (SELECT dimension, xs, own FROM f WHERE i > len(xs)),
+placed AS (SELECT dimension, unnest(range(1, len(own) + 1)) AS k, unnest(own) AS lead, xs FROM done),
+named AS (SELECT dimension, xs[k].ord AS ord, xs[lead].ord AS lead FROM placed)
+SELECT n.dimension, lead AS ord, arg_max(chunk_id, [length(text), -i.ord]) AS chunk_id, max(similarity) AS similarity, count(*)::INT AS merged
+FROM named n JOIN items i ON i.dimension = n.dimension AND i.ord = n.ord GROUP BY n.dimension, lead""",
     "evidence_items": f"""WITH {b.PASSAGES_SQL},
 i AS (
   SELECT workspace_id, 'c' || (line_no % 9) AS chunk_id, {b.strip_sql('text')} AS text, doc_id % 2 = 1 AS is_document,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -9,10 +11,13 @@ from pyspark.sql import functions as F
 
 from policyloom import lexicons as lx
 from policyloom.functions.vectors import l2_norm, l2_normalize, score_pairs_with
+from policyloom.operators import index
 from policyloom.operators import nearest as nn
 from policyloom.operators import retrieve as rt
 from policyloom.operators import route as routing
 from policyloom.plans import analysis, render
+from policyloom.session import ensure_checkpoint_dir
+from policyloom.sources import vectors
 from policyloom.workload import base as b
 
 CAPS = rt.FIRST_PASS_CAPS
@@ -45,6 +50,25 @@ def knn_topk(spark, sf):
     return knn_hits(spark, sf)
 
 
+def store_search(spark, sf):
+    """The chunk store written in two steps, read back and searched: each text is embedded when it comes in first."""
+    path = f"{ensure_checkpoint_dir(spark)}/store/{uuid.uuid4()}"
+    corpus = b.corpus(spark, sf)
+    vectors.create_store(corpus.where(F.pmod("chunk_id", F.lit(2)) == 0), path)
+    vectors.add_to_store(corpus, path)
+    hits = nn.nearest(vectors.read_store(spark, path), b.definitions(spark), 10, query_keys=["dimension"], carry=["framework"])
+    return hits.select("dimension", "rank", "chunk_id", "framework", "similarity")
+
+
+def index_search(spark, sf):
+    """Every twentieth vector against the inverted file of all vectors, in exact mode."""
+    path = f"{ensure_checkpoint_dir(spark)}/index/{uuid.uuid4()}"
+    rows = b.read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    index.build_index(rows, path, carry=["label"])
+    asked = rows.where(F.pmod("chunk_id", F.lit(20)) == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
+    return index.open_index(spark, path).search(asked, 10, query_keys=["query_id"], exact=True)
+
+
 def vector_norms(spark, sf):
     wide = b.read(spark, sf, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double") * 3))
     return wide.select(
@@ -54,10 +78,10 @@ def vector_norms(spark, sf):
 
 
 def uploaded_corpus(spark, sf):
-    """Documents as chunks; every fifth source is an uploaded document with no framework."""
+    """Documents as stored chunks; every fifth source is an uploaded document with no framework."""
     number = F.substring("framework", 4, 10).cast("int")
     uploaded = F.pmod(number, F.lit(5)) == 4
-    return b.corpus(spark, sf).withColumn("workspace_id", F.when(uploaded, F.col("framework"))).withColumn(
+    return b.embedded_corpus(spark, sf).withColumn("workspace_id", F.when(uploaded, F.col("framework"))).withColumn(
         "document_name", F.when(uploaded, F.col("framework"))
     ).withColumn("framework", F.when(uploaded, "").otherwise(F.col("framework"))).withColumn(
         "roles", F.when(uploaded, F.array().cast("array<string>")).otherwise(F.col("roles"))
@@ -71,13 +95,13 @@ def rrf_fused(spark, sf):
 
 def document_bucket(spark, sf):
     """Multi-query retrieval inside every source."""
-    found = rt.document_candidates(b.corpus(spark, sf), b.mini_profiles(spark), 20, scope="framework", carry=())
+    found = rt.document_candidates(b.embedded_corpus(spark, sf), b.mini_profiles(spark), 20, scope="framework", carry=())
     return found.select("framework", "dimension", "rank", "chunk_id", "rrf_score", "similarity")
 
 
 def hybrid_hits(spark, sf, k=5):
     return nn.retrieve(
-        b.corpus(spark, sf), b.definitions(spark), k, query_keys=["dimension"], roles=[lx.PRACTICAL], carry=["framework"],
+        b.embedded_corpus(spark, sf), b.definitions(spark), k, query_keys=["dimension"], roles=[lx.PRACTICAL], carry=["framework"],
     )
 
 
@@ -108,27 +132,26 @@ def routed(spark, sf):
 
 
 def requests(spark, sf):
+    """Every uploaded source asks about every dimension; its number gives its region."""
     workspaces = uploaded_corpus(spark, sf).filter(F.col("workspace_id").isNotNull()).select("workspace_id").distinct()
-    return workspaces.withColumn("dimension", F.explode(F.array(*[F.lit(d) for d in b.DIMS])))
+    number = F.substring("workspace_id", 4, 10).cast("int")
+    region = F.concat(F.lit("REGION_"), F.pmod(F.floor(number / 5), F.lit(5)).cast("string"))
+    return workspaces.withColumn("region", region).withColumn("dimension", F.explode(F.array(*[F.lit(d) for d in b.DIMS])))
 
 
 def first_pass(spark, sf):
-    """Budgeted buckets for every uploaded source and dimension."""
+    """Budgeted buckets for every uploaded source and dimension, with a regional and a tagged slot."""
     corpus = uploaded_corpus(spark, sf)
-    hits = analysis.bucket_candidates(
-        corpus.filter("workspace_id IS NULL"), b.definitions(spark), routed(spark, sf), CAPS
-    ).select("dimension", "bucket", "rank", "chunk_id", "text", "framework", "similarity")
-    own = rt.document_candidates(
-        corpus.filter("workspace_id IS NOT NULL"), b.mini_profiles(spark), CAPS["document"] * rt.DOCUMENT_HEADROOM,
-        carry=("text", "framework"),
-    ).withColumn("bucket", F.lit("document"))
-    columns = ["workspace_id", "dimension", "bucket", "rank", "chunk_id", "text", "framework", "similarity"]
-    both = hits.join(requests(spark, sf), "dimension").select(*columns).unionByName(own.select(*columns))
-    return rt.fill_buckets(both, CAPS)
+    catalog = b.catalog(spark, sf)
+    return analysis.first_pass(
+        corpus.filter("workspace_id IS NULL"), corpus.filter("workspace_id IS NOT NULL"), b.definitions(spark), b.mini_profiles(spark),
+        requests(spark, sf), routed(spark, sf), routing.regional_frameworks(catalog), routing.dimension_frameworks(catalog), CAPS,
+    )
 
 
 def bucket_budget(spark, sf):
-    return first_pass(spark, sf).select("workspace_id", "dimension", "bucket", "slot", "chunk_id", "similarity")
+    columns = ("workspace_id", "dimension", "bucket", "slot", "chunk_id", "similarity", "is_reserved")
+    return first_pass(spark, sf).select(*columns)
 
 
 def prompt_context(spark, sf):
@@ -144,17 +167,12 @@ def _tagged():
 
 def bucket_reserve(spark, sf):
     """One practical slot per dimension is kept for a source tagged with it."""
-    corpus = b.corpus(spark, sf)
+    corpus = b.embedded_corpus(spark, sf)
     caps = {lx.PRACTICAL: CAPS[lx.PRACTICAL]}
     hits = analysis.bucket_candidates(corpus, b.definitions(spark), None, caps)
     filled = rt.fill_buckets(hits, caps, keys=("dimension",), chars=None).withColumn("is_reserved", _tagged())
-    dense = nn.nearest(
-        corpus.filter(F.array_contains("roles", lx.PRACTICAL)),
-        b.definitions(spark).withColumn("query_text", F.col("text")), 15,
-        query_keys=["dimension", "query_text"], scope="framework", attach=["text"],
-    ).filter(_tagged())
-    pool = nn.top_k(dense.drop("rank"), ["dimension"], [F.desc("similarity"), F.asc("chunk_id")], 15)
-    reserved = nn.hybrid_rerank(pool, ["dimension"], 3).withColumn("bucket", F.lit(lx.PRACTICAL)).withColumn(
+    pool = analysis.role_hits(corpus, b.definitions(spark), caps).filter(_tagged()).withColumn("pool", F.lit("tag")).withColumn("kind", F.lit("reserve"))
+    reserved = analysis.reranked_pools(pool, corpus, b.definitions(spark), {"reserve": 3}).withColumn("bucket", F.lit(lx.PRACTICAL)).withColumn(
         "slot", F.lit(0)).withColumn("is_reserved", F.lit(True))
     reserved = rt.substantive_first(reserved).withColumn(
         "rank", F.col("rank") + F.when(F.col("_fragment"), 1000).otherwise(0)
@@ -171,7 +189,7 @@ def second_queries(spark):
 def second_pass_budget(spark, sf):
     caps = {k: v for k, v in rt.SECOND_PASS_CAPS.items() if k != "document"}
     hits = analysis.bucket_candidates(
-        b.corpus(spark, sf), second_queries(spark), None, caps, rt.SECOND_PASS_HEADROOM
+        b.embedded_corpus(spark, sf), second_queries(spark), None, caps, rt.SECOND_PASS_HEADROOM
     )
     filled = rt.fill_buckets_in_turn(hits, caps, keys=("dimension",))
     return filled.select("dimension", "bucket", "slot", "chunk_id")
@@ -215,7 +233,7 @@ def overview_mix(spark, sf):
 
 
 def chat_merge(spark, sf):
-    everything = b.corpus(spark, sf)
+    everything = b.embedded_corpus(spark, sf)
     asked = b.definitions(spark)
     broad = nn.retrieve(everything, asked, 8, query_keys=["dimension"])
     narrow = nn.retrieve(everything.filter(F.col("framework") == "src9"), asked, 4, query_keys=["dimension"])
@@ -268,6 +286,17 @@ def region_routing(spark, sf):
     return routing.route(asked, b.catalog(spark, sf), regions, CORE).select("c_custkey", "name", "tier", "ord")
 
 
+def regional_sources(spark, sf):
+    """The regional frameworks alone that apply to each customer's country."""
+    nations = b.read(spark, sf, "nation")
+    regions = nations.select(
+        F.concat(F.lit("REGION_"), F.col("n_regionkey").cast("string")).alias("region"), routing.normalize_country(F.col("n_name")).alias("country_key"),
+    )
+    asked = b.read(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("country"))
+    return routing.regional_subset(asked, b.catalog(spark, sf), regions, [lx.NORMATIVE]).select("c_custkey", "region", "name", "ord")
+
+
 def dimension_sources(spark, sf):
     """Sources tagged with a dimension, by role."""
     return routing.dimension_frameworks(b.catalog(spark, sf), [lx.PRACTICAL, lx.IMPLEMENTATION])
@@ -282,9 +311,9 @@ def best_passages(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    knn_topk, vector_norms, rrf_fused, document_bucket, hybrid_reranked, pair_rerank, bucket_budget, prompt_context,
+    knn_topk, store_search, index_search, vector_norms, rrf_fused, document_bucket, hybrid_reranked, pair_rerank, bucket_budget, prompt_context,
     bucket_reserve, second_pass_budget, section_sample, topic_sweep, overview_mix, chat_merge, latest_per_key,
-    name_list, workspace_children, status_filter, region_routing, dimension_sources, best_passages,
+    name_list, workspace_children, status_filter, region_routing, regional_sources, dimension_sources, best_passages,
 )}
 
 
@@ -402,7 +431,34 @@ cand AS (
   FROM prac JOIN requests r USING (dimension)
   UNION ALL
   SELECT workspace_id, dimension, 'document', rank, chunk_id, text, '', similarity FROM docs),
-{filled_sql('cand', 'workspace_id, dimension', CAPS, 'filled')}"""
+{filled_sql('cand', 'workspace_id, dimension', CAPS, 'gen')},
+regions AS (SELECT DISTINCT workspace_id, 'REGION_' || ((substr(workspace_id, 4)::INT // 5) % 5) AS region FROM own),
+near AS (SELECT *, 'REGION_' || (n % 5) AS region FROM f_sims WHERE n % 3 = 0 AND {_ROLES.format(lx.NORMATIVE)}),
+{hybrid_sql('near', 'true', 15, 3, 'rreg', 'defs', 'region, dimension', 'dimension')},
+topical AS (SELECT * FROM f_sims WHERE {_ROLES.format(lx.PRACTICAL)} AND ({b.sql_list(b.DIMS)})[(n % 8) + 1] = dimension),
+{hybrid_sql('topical', 'true', 15, 3, 'rtag')},
+kept AS (
+  SELECT g.*, CASE bucket WHEN '{lx.NORMATIVE}' THEN substr(framework, 4)::INT % 3 = 0 AND 'REGION_' || (substr(framework, 4)::INT % 5) = region
+    WHEN '{lx.PRACTICAL}' THEN ({b.sql_list(b.DIMS)})[(substr(framework, 4)::INT % 8) + 1] = dimension ELSE false END AS is_reserved
+  FROM gen g JOIN regions USING (workspace_id)),
+pool AS (
+  SELECT regions.workspace_id, dimension, '{lx.NORMATIVE}' AS bucket, rank, chunk_id, text, framework, similarity FROM rreg JOIN regions USING (region)
+  UNION ALL SELECT requests.workspace_id, dimension, '{lx.PRACTICAL}', rank, chunk_id, text, framework, similarity FROM rtag JOIN requests USING (dimension)),
+state AS (
+  SELECT workspace_id, dimension, bucket, count(*) FILTER (is_reserved) AS have, count(*) AS size, max(slot) FILTER (NOT is_reserved) AS freed
+  FROM kept GROUP BY ALL),
+ranked_pool AS (SELECT *, {_KEY} AS tk, {b.fragment_sql('text')} AS frag FROM pool),
+fresh AS (
+  SELECT p.*, coalesce(have, 0) AS have, coalesce(size, 0) AS size, freed FROM ranked_pool p LEFT JOIN state USING (workspace_id, dimension, bucket)
+  WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.workspace_id = p.workspace_id AND k.dimension = p.dimension AND k.bucket = p.bucket AND k.tk = p.tk)),
+placed AS (
+  SELECT *, coalesce(freed, size + 1) AS slot FROM fresh
+  QUALIFY row_number() OVER (PARTITION BY workspace_id, dimension, bucket ORDER BY frag, rank, chunk_id) = 1 AND have = 0
+    AND (freed IS NOT NULL OR size < CASE bucket WHEN '{lx.NORMATIVE}' THEN {CAPS[lx.NORMATIVE]} ELSE {CAPS[lx.PRACTICAL]} END)),
+filled AS (
+  SELECT workspace_id, dimension, bucket, slot, chunk_id, similarity, is_reserved, framework, text FROM kept k
+  WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.workspace_id = k.workspace_id AND p.dimension = k.dimension AND p.bucket = k.bucket AND p.slot = k.slot)
+  UNION ALL SELECT workspace_id, dimension, bucket, slot, chunk_id, similarity, true, framework, substr(text, 1, 800) FROM placed)"""
 
 
 def _block_sql(bucket: str, prefix: str, empty: str) -> str:
@@ -462,6 +518,18 @@ from policyloom.workload.ingestion import CHUNKS_SQL  # noqa: E402
 ORACLE = {
     "knn_topk": f"""WITH {_KNN_SQL}
 SELECT label, vec_id AS chunk_id, similarity, rank FROM ranked WHERE rank <= 10""",
+    "store_search": f"""WITH {_CORPUS_DEFS},
+r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY similarity DESC, chunk_id) AS rank FROM f_sims)
+SELECT dimension, rank, chunk_id, framework, similarity FROM r WHERE rank <= 10""",
+    "index_search": """WITH v AS (
+  SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+n AS (SELECT vec_id, any_value(label) AS label, sqrt(sum(x * x)) AS norm FROM v GROUP BY vec_id),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, any_value(cn.label) AS label,
+         round(greatest(0, (1 + sum(c.x * q.x) / (any_value(cn.norm) * any_value(qn.norm))) / 2), 6) AS similarity
+  FROM v q JOIN v c USING (i) JOIN n cn ON cn.vec_id = c.vec_id JOIN n qn ON qn.vec_id = q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s)
+SELECT query_id, rank, chunk_id, label, similarity FROM r WHERE rank <= 10""",
     "vector_norms": """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE * 3 AS x FROM embeddings)
 SELECT vec_id, round(sqrt(sum(x * x)), 6) AS norm, 1.0::DOUBLE AS unit_norm FROM v GROUP BY vec_id""",
     "rrf_fused": f"""WITH {b.PROFILE_SQL}, {_UPLOADED_SQL}, {sims_sql('up', 'profiles', 'dimension, query_no', 's')},
@@ -486,7 +554,7 @@ SELECT dimension, rank, chunk_id, round(s, 6) AS reranker_score FROM (
   SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY s DESC, chunk_id) AS rank FROM scored)
 WHERE rank <= 10 AND s >= 0.01""",
     "bucket_budget": f"""WITH {_FIRST_PASS_SQL}
-SELECT workspace_id, dimension, bucket, slot, chunk_id, similarity FROM filled""",
+SELECT workspace_id, dimension, bucket, slot, chunk_id, similarity, is_reserved FROM filled""",
     "prompt_context": f"""WITH {_FIRST_PASS_SQL},
 c AS (SELECT workspace_id, dimension,
   'Dimension: ' || dimension || chr(10) || chr(10) || '═══ [UPLOADED DOCUMENT] — primary evidence ═══' || chr(10) ||
@@ -511,6 +579,33 @@ SELECT workspace_id, section_title, pick, chunk_id FROM (
     "topic_sweep": f"""WITH {_TOPICS_SQL}, {_SECTIONED_SQL}, {sims_sql('sectioned', 'topics', 'query_no', 'f')},
 {hybrid_sql('f_sims', 'true', 45, 15, 'h', 'topics', 'workspace_id, query_no', 'query_no')}
 SELECT workspace_id, query_no, rank, chunk_id, similarity FROM h WHERE NOT {b.preamble_sql('text', 'page_number')}""",
+    "overview_mix": f"""WITH RECURSIVE {_TOPICS_SQL}, {_SECTIONED_SQL}, {sims_sql('sectioned', 'topics', 'query_no', 'f')},
+{hybrid_sql('f_sims', 'true', 45, 15, 'h', 'topics', 'workspace_id, query_no', 'query_no')},
+sp AS (
+  SELECT *, row_number() OVER (PARTITION BY workspace_id, section_title ORDER BY chunk_id) AS pick FROM sectioned
+  WHERE NOT {b.preamble_sql('text', 'page_number')} QUALIFY pick <= 2),
+picks AS (
+  SELECT workspace_id, chunk_id, text, 0 AS side, min(chunk_id) OVER (PARTITION BY workspace_id, section_title) * 2 + pick AS position FROM sp),
+sweep AS (SELECT workspace_id, chunk_id, text, 1 AS side, query_no * 1000 + rank AS position FROM h WHERE NOT {b.preamble_sql('text', 'page_number')}),
+keyed AS (SELECT *, md5({b.strip_sql('lower(text)')}) AS o FROM (FROM picks UNION ALL FROM sweep)),
+by_id AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY workspace_id, side, chunk_id ORDER BY position) = 1),
+by_text AS (SELECT * FROM by_id QUALIFY row_number() OVER (PARTITION BY workspace_id, side, o ORDER BY position, chunk_id) = 1),
+lists AS (
+  SELECT workspace_id, coalesce(list({{'c': chunk_id, 'o': o}} ORDER BY position, chunk_id) FILTER (side = 0), []) AS a,
+         coalesce(list({{'c': chunk_id, 'o': o}} ORDER BY position, chunk_id) FILTER (side = 1), []) AS b FROM by_text GROUP BY workspace_id),
+f AS (
+  SELECT workspace_id, a, b, 1 AS i, 1 AS j, []::BIGINT[] AS ids, []::VARCHAR[] AS texts FROM lists
+  UNION ALL
+  SELECT workspace_id, a, b, CASE WHEN l THEN i + 1 ELSE i END, CASE WHEN l THEN j ELSE j + 1 END,
+    CASE WHEN known THEN ids ELSE list_append(ids, x.c) END, CASE WHEN known THEN texts ELSE list_append(texts, x.o) END
+  FROM (
+    SELECT *, list_contains(ids, x.c) OR list_contains(texts, x.o) AS known FROM (
+      SELECT *, CASE WHEN l THEN a[i] ELSE b[j] END AS x FROM (
+        SELECT *, CASE WHEN len(ids) % 2 = 0 THEN i <= len(a) ELSE j > len(b) END AS l FROM f
+        WHERE len(ids) < 10 AND (i <= len(a) OR j <= len(b)))))),
+final AS (SELECT workspace_id, ids FROM f QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY i + j DESC) = 1),
+out AS (SELECT workspace_id, unnest(ids) AS chunk_id, generate_subscripts(ids, 1)::INT AS rank FROM final)
+SELECT out.workspace_id, rank, out.chunk_id, least(length(text), 900)::INT AS chars FROM out JOIN sectioned s ON s.chunk_id = out.chunk_id""",
     "chat_merge": f"""WITH {_CORPUS_DEFS}, {hybrid_sql('f_sims', 'true', 24, 8, 'broad')},
 {hybrid_sql('f_sims', "framework = 'src9'", 12, 4, 'narrow')},
 both_hits AS (SELECT dimension, chunk_id, rank, similarity, 0 AS src FROM broad
@@ -525,6 +620,11 @@ QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_o
     "workspace_children": """SELECT c_custkey, c_name, count(o_orderkey) AS orders, round(sum(o_totalprice), 2) AS total,
        max(o_orderdate) AS latest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""",
     "status_filter": "SELECT o_orderpriority, count(*) AS finished FROM orders WHERE o_orderstatus = 'F' GROUP BY 1",
+    "regional_sources": f"""WITH cat AS (
+  SELECT DISTINCT source AS name, substr(source, 4)::INT AS ord FROM documents)
+SELECT c_custkey, 'REGION_' || n_regionkey AS region, name, ord FROM customer JOIN nation ON n_nationkey = c_nationkey
+JOIN cat ON ord % 3 = 0 AND ord % 5 = n_regionkey
+WHERE ({b.sql_list(b.ROLES)})[(ord % 4) + 1] = '{lx.NORMATIVE}' OR (ord % 5 = 0 AND ({b.sql_list(b.ROLES)})[((ord + 1) % 4) + 1] = '{lx.NORMATIVE}')""",
     "region_routing": f"""WITH cat AS (
   SELECT *, ({b.sql_list(b.ROLES)})[(ord % 4) + 1] = '{lx.NORMATIVE}'
             OR (ord % 5 = 0 AND ({b.sql_list(b.ROLES)})[((ord + 1) % 4) + 1] = '{lx.NORMATIVE}') AS normative

@@ -118,16 +118,7 @@ def quote_match(spark, sf):
         .otherwise(F.concat(F.lit("src"), F.pmod(item, F.lit(20)).cast("string")))
     )
     quotes = b.read(spark, sf, "benchmark").select("item_id", claimed.alias("source"), F.col("text").alias("quote"))
-    asked = quotes.select("item_id", F.col("quote").alias("text"))
-    corpus = b.corpus(spark, sf)
-    columns = ["item_id", "rank", "chunk_id", "text", "framework"]
-    dense = nn.nearest(
-        corpus, asked.withColumn("query_text", F.col("text")), 15, query_keys=["item_id", "query_text"], scope="framework"
-    ).join(quotes.select("item_id", F.col("source").alias("framework")), ["item_id", "framework"], "left_semi")
-    worded = nn.attach_columns(dense, corpus, "chunk_id", ["text"])
-    own = nn.hybrid_rerank(worded, ["framework", "item_id"], 5)
-    broad = nn.retrieve(corpus, asked, 5, query_keys=["item_id"], carry=["framework"]).select(*columns)
-    hits = own.select(*columns).unionByName(broad.join(own.select("item_id").distinct(), "item_id", "left_anti"))
+    hits = vf.scoped_hits(quotes, b.embedded_corpus(spark, sf), ["item_id"])
     return vf.match_quotes(quotes, hits, ["item_id"]).select(
         "item_id", "chunk_id", "overlap", "semantic", "keyword_overlap", "verification_method", "passed"
     )
@@ -371,9 +362,10 @@ items AS (
   SELECT item_id, text, CASE item_id % 3 WHEN 0 THEN 'srcX' WHEN 1 THEN 'Uploaded Document'
          ELSE 'src' || (item_id % 20) END AS claimed FROM benchmark),
 {rq.sims_sql('corpus', 'items', 'item_id', 'q')},
-{rq.hybrid_sql('q_sims', 'true', 15, 5, 'inside', 'items', 'framework, item_id', 'item_id')},
-{rq.hybrid_sql('q_sims', 'true', 15, 5, 'broad', 'items', 'item_id', 'item_id')},
-own AS (SELECT i.* FROM inside i JOIN items ON items.item_id = i.item_id AND items.claimed = i.framework),
+q_own AS (SELECT s.* FROM q_sims s JOIN items ON items.item_id = s.item_id AND items.claimed = s.framework),
+{rq.hybrid_sql('q_own', 'true', 15, 5, 'own', 'items', 'item_id', 'item_id')},
+q_rest AS (SELECT * FROM q_sims ANTI JOIN q_own USING (item_id)),
+{rq.hybrid_sql('q_rest', 'true', 15, 5, 'broad', 'items', 'item_id', 'item_id')},
 hits AS (
   SELECT item_id, rank, chunk_id, text, framework FROM own
   UNION ALL SELECT item_id, rank, chunk_id, text, framework FROM broad ANTI JOIN own USING (item_id)),
