@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from policyloom.functions import text as tx
 from policyloom.operators.ordering import running_total
@@ -183,6 +185,42 @@ class SplitText:
                 yield kept, start, end, piece
 
 
+@udtf
+class SplitSections:
+    """``split_sections(TABLE(sections) PARTITION BY (doc_id) ORDER BY (section_no), max_chars, overlap)``.
+
+    Sections ``(doc_id, section_no, text, low, high)`` to chunks; ``position`` numbers them over the whole document,
+    which is what the partition is for.
+    """
+
+    @staticmethod
+    def analyze(sections: AnalyzeArgument, max_chars: AnalyzeArgument, overlap: AnalyzeArgument) -> AnalyzeResult:
+        ident = sections.dataType["doc_id"]
+        schema = StructType().add("doc_id", ident.dataType).add("section_no", "long")
+        for name in ("chunk_no", "position", "chunk_start", "chunk_end", "page_number"):
+            schema = schema.add(name, "integer")
+        return AnalyzeResult(schema.add("chunk_text", "string"))
+
+    def __init__(self):
+        self.position = 0
+
+    def eval(self, row, max_chars: int, overlap: int):
+        text, low, high = row["text"], row["low"], row["high"]
+        chunk_no = 0
+        for start, end in cut_points(text, max_chars, overlap, True):
+            piece = text[start:end].strip()
+            if not piece and len(text) > max_chars:
+                continue
+            chunk_no += 1
+            self.position += 1
+            page = low + int(start / max(len(text), 1) * (high - low))
+            yield row["doc_id"], row["section_no"], chunk_no, self.position, start, end, page, piece
+
+
+def register_split_sections(spark: SparkSession, name: str = "split_sections") -> None:
+    spark.udtf.register(name, SplitSections)
+
+
 def register_split_text(spark: SparkSession, name: str = "split_text") -> None:
     spark.udtf.register(name, SplitText)
 

@@ -12,8 +12,10 @@ from policyloom.functions import text as tx
 from policyloom.operators import analytics, consistency, retrieve, rules
 from policyloom.operators.nearest import ROLE_HEADROOM, attach_columns, hybrid_rerank, nearest
 from policyloom.operators.ordering import first_per_key, top_k
-from policyloom.operators.segment import ingest_pages
+from policyloom.operators.segment import expand_roles, ingest_pages
 from policyloom.session import cut_lineage, materialize
+from policyloom.sources import catalog
+from policyloom.sources.log import LogTable
 
 
 def passages_per_dimension(pages: DataFrame, workspaces: DataFrame, queries: DataFrame) -> DataFrame:
@@ -186,6 +188,29 @@ def judge(spark: SparkSession, verdicts: DataFrame, doc_chunks: DataFrame, evide
     return Judged(final, found, analytics.decision_analytics(final), analytics.summaries(final))
 
 
+def sync_store(log: LogTable, pages: DataFrame, catalog_files: DataFrame, roles: DataFrame) -> DataFrame:
+    """Bring a store keyed by framework up to date and return the plan that was followed.
+
+    ``catalog_files(name, checksum)`` says what there is now; ``pages`` and ``roles`` are those of
+    ``sync_framework_chunks``.  Frameworks whose checksum stayed and that have chunks are not read; others are cut
+    again, with one copy of each chunk for each role; frameworks that the catalog lost are removed.  All of it is one
+    write of the log, which is seen as a whole or not at all.
+    """
+    heads, stored = log.heads(), log.read()
+    if heads is None:
+        heads = catalog_files.select(F.col("name").alias("framework"), F.col("checksum").alias("content_hash")).limit(0)
+        counts = heads.select(F.col("framework").alias("name"), F.lit(0).cast("long").alias("chunk_count"))
+    else:
+        counts = stored.groupBy(F.col("framework").alias("name")).agg(F.count("*").alias("chunk_count"))
+    before = heads.select(F.col("framework").alias("name"), F.col("content_hash").alias("checksum"))
+    plan = materialize(catalog.sync_plan(catalog_files, before, counts))
+    due = plan.filter(F.col("action") != "skip").select(F.col("name").alias("framework"), F.col("checksum").alias("content_hash"))
+    lost = before.join(plan, "name", "left_anti").select(F.col("name").alias("framework"), F.lit(None).cast("string").alias("content_hash"))
+    fresh = expand_roles(sync_framework_chunks(pages, plan, roles))
+    log.put(fresh, due.unionByName(lost))
+    return plan
+
+
 def sync_framework_chunks(pages: DataFrame, plan: DataFrame, roles: DataFrame) -> DataFrame:
     """Re-chunk only the frameworks the sync plan does not skip.
 

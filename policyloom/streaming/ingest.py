@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from policyloom.operators.ordering import first_per_key
 from policyloom.operators.segment import ingest_pages
 from policyloom.session import materialize
+from policyloom.sources.log import LogTable
 
 PAGES_SCHEMA = "doc_id long, page_number int, text string"
-BUCKETS = 64
 
 
 def read_pages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -22,49 +22,46 @@ def read_pages(spark: SparkSession, path: str, files_per_trigger: int | None = N
     return reader.parquet(path)
 
 
-def ingest_stream(pages: DataFrame, target: str, checkpoint: str, available_now: bool = True,
-                  buckets: int = BUCKETS) -> StreamingQuery:
+def content_hash(text: Column, *order: str) -> Column:
+    """One hash of a group's texts in order: an aggregate, whose list holds hashes in place of texts."""
+    listed = F.array_sort(F.collect_list(F.struct(*order, F.sha2(F.coalesce(text, F.lit("")), 256).alias("h"))))
+    return F.sha2(F.to_json(listed), 256)
+
+
+def stored_pages(spark: SparkSession, target: str, **sizes) -> LogTable:
+    return LogTable(spark, f"{target}/pages", **sizes)
+
+
+def stored_chunks(spark: SparkSession, target: str, **sizes) -> LogTable:
+    return LogTable(spark, f"{target}/chunks", **sizes)
+
+
+def ingest_stream(pages: DataFrame, target: str, checkpoint: str, available_now: bool = True, **sizes) -> StreamingQuery:
     """Pages to chunks; a document whose pages change is cut again as a whole and replaced.
 
-    ``target`` gets the stored pages and their chunks, both partitioned by a
-    hash bucket of the document.  A micro-batch rewrites only the buckets that it
-    touches: its pages replace stored ones of the same number, documents that
-    stay as they were keep their chunks.  Replaying a batch gives the same rows,
-    and the stream itself keeps no state.
+    ``target`` gets the stored pages and their chunks as log-structured tables.  A micro-batch reads the stored pages
+    of its own documents, leaves out those whose content stays as it was, and adds one segment to each table: what it
+    writes grows with the batch and its documents, not with the store.  A batch that is replayed is not written twice,
+    and the stream itself keeps no state.  ``sizes`` are those of ``LogTable``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        placed = batch.select(
-            "doc_id", "page_number", "text", F.lit(1).alias("age"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
-        )
+        spark = batch.sparkSession
+        page_log, chunk_log = stored_pages(spark, target, **sizes), stored_chunks(spark, target, **sizes)
         # a page that comes twice in a batch counts once: the first by its text
-        new = materialize(first_per_key(placed, ["bucket", "doc_id", "page_number"], ["text"]))
-        touched = new.select("bucket").distinct()
-        stored_pages, stored_chunks = _stored(target, "pages", batch), _stored(target, "chunks", batch)
-        old = None if stored_pages is None else stored_pages.join(touched, "bucket", "left_semi").withColumn("age", F.lit(2))
-        both = new if old is None else new.unionByName(old)
-        merged = materialize(first_per_key(both, ["bucket", "doc_id", "page_number"], ["age"]))
-        changed = new.select("bucket", "doc_id").distinct()
-        cut = ingest_pages(merged.join(changed, ["bucket", "doc_id"], "left_semi").select("doc_id", "page_number", "text")).withColumn(
-            "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-        )
-        if stored_chunks is not None:
-            kept = stored_chunks.join(touched, "bucket", "left_semi").join(changed, ["bucket", "doc_id"], "left_anti")
-            cut = cut.unionByName(kept)
+        new = materialize(first_per_key(batch.select("doc_id", "page_number", "text", F.lit(1).alias("age")), ["doc_id", "page_number"], ["text"]))
+        old = page_log.read(new.select("doc_id"))
+        both = new if old is None else new.unionByName(old.withColumn("age", F.lit(2)))
+        merged = materialize(first_per_key(both, ["doc_id", "page_number"], ["age"]).drop("age"))
+        heads = merged.groupBy("doc_id").agg(content_hash(F.col("text"), "page_number").alias("content_hash"))
+        known = page_log.heads()
+        if known is not None:
+            heads = heads.join(known, ["doc_id", "content_hash"], "left_anti")
+        heads = materialize(heads)
+        changed = merged.join(heads.select("doc_id"), "doc_id", "left_semi")
         # chunks first: if the batch is replayed, its pages are still new
-        _replace(materialize(cut), f"{target}/chunks")
-        _replace(merged.select("doc_id", "page_number", "text", "bucket"), f"{target}/pages")
+        chunk_log.put(ingest_pages(changed), heads, batch_id)
+        page_log.put(changed, heads, batch_id)
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def _stored(target: str, name: str, batch: DataFrame) -> DataFrame | None:
-    spark = batch.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(f"{target}/{name}") if system.exists(folder) else None
-
-
-def _replace(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

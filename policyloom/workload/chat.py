@@ -122,8 +122,17 @@ def stream_rolling_counts(spark, sf):
 
 
 def stream_session_state(spark, sf):
-    messages = _event_stream(spark, sf, "conversations").filter(F.col("role") == "user")
-    return _run(stream_sessions.active_dimensions(messages, aliases=b.ALIASES), spark)
+    """Two waves of messages; those of the second are late, between turns that have been answered."""
+    scratch = _scratch(spark)
+    messages = _users(spark, sf).select("conv_id", "turn", "text")
+    late = F.pmod("turn", F.lit(4)) == 2
+    for wave in (messages.where(~late), messages.where(late)):
+        wave.write.mode("append").parquet(scratch + "/in")
+        arriving = spark.readStream.schema(messages.schema).parquet(scratch + "/in")
+        found = stream_sessions.active_dimensions(arriving, aliases=b.ALIASES)
+        found.writeStream.format("parquet").option("path", scratch + "/out").option(
+            "checkpointLocation", scratch + "/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(scratch + "/out")
 
 
 def stream_document_chunks(spark, sf):
@@ -135,8 +144,8 @@ def stream_document_chunks(spark, sf):
     for wave in waves:
         wave.write.mode("append").parquet(scratch + "/in")
         arriving = stream_ingest.read_pages(spark, scratch + "/in")
-        stream_ingest.ingest_stream(arriving, scratch + "/store", scratch + "/state", buckets=8).awaitTermination()
-    stored = spark.read.parquet(scratch + "/store/chunks")
+        stream_ingest.ingest_stream(arriving, scratch + "/store", scratch + "/state", bucket_rows=2000).awaitTermination()
+    stored = stream_ingest.stored_chunks(spark, scratch + "/store").read()
     return stored.select("doc_id", "section_no", "chunk_no", "chunk_id", F.md5("text").alias("digest"))
 
 
@@ -210,8 +219,11 @@ FROM events GROUP BY ALL""",
     "stream_rolling_counts": """WITH w AS (
   SELECT event_type, time_bucket(INTERVAL '10 seconds', ts) - INTERVAL '10 seconds' * k AS s FROM events, range(0, 6) r(k))
 SELECT s AS window_start, s + INTERVAL '60 seconds' AS window_end, event_type, count(*) AS requests FROM w GROUP BY ALL""",
-    "stream_session_state": f"""WITH m AS (SELECT conv_id, turn, {_named('text')} AS named FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, named AS named_dimension, {_CARRY} AS active_dimension FROM m""",
+    "stream_session_state": f"""WITH m AS (
+  SELECT conv_id, turn, {_named('text')} AS named, turn % 4 = 2 AS late FROM conversations WHERE role = 'user'),
+e AS (SELECT *, CASE WHEN NOT late THEN named END AS early FROM m)
+SELECT conv_id, turn, named AS named_dimension,
+       CASE WHEN late THEN {_CARRY} ELSE {_CARRY.replace('last_value(named', 'last_value(early')} END AS active_dimension FROM e""",
     "stream_document_chunks": f"""WITH {CHUNKS_SQL}
 SELECT doc_id, section_no, chunk_no::INT AS chunk_no, substr(sha256(doc_id || '|' || section_no || '|' || chunk_no), 1, 32) AS chunk_id,
        md5(text) AS digest FROM chunks""",

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from policyloom.functions import text as tx
 from policyloom.operators import evidence, segment
+from policyloom.operators.segment import pages_from_lines
+from policyloom.plans import analysis
+from policyloom.session import ensure_checkpoint_dir
 from policyloom.sources import catalog as store
-from policyloom.sources import files
+from policyloom.sources import files, reader
+from policyloom.sources.log import LogTable
 from policyloom.workload import base as b
 
 TRIAGE_LIMIT = 4000
@@ -140,6 +146,67 @@ def sync_status(spark, sf):
     return report.select("name", "downloaded", "chunk_count", "indexed")
 
 
+def chunks_by_function(spark, sf):
+    """The splitter as a table function: LATERAL for single texts, and over the sections of a document for positions."""
+    segment.register_split_text(spark)
+    segment.register_split_sections(spark)
+    merged = segment.merge_small(segment.sections(b.pages(spark, sf)))
+    sections = merged.select(
+        "doc_id", "section_no", "text", F.array_min("pages").cast("int").alias("low"), F.array_max("pages").cast("int").alias("high")
+    )
+    size, overlap = segment.MAX_CHUNK, segment.OVERLAP
+    single = spark.sql(
+        f"SELECT s.doc_id, s.section_no, c.chunk_no, c.chunk_start, md5(c.chunk_text) AS digest "
+        f"FROM {{sections}} s, LATERAL split_text(s.text, {size}, {overlap}) c", sections=sections,
+    )
+    placed = spark.sql(
+        f"SELECT * FROM split_sections(TABLE(SELECT * FROM {{sections}}) PARTITION BY (doc_id) ORDER BY (section_no), {size}, {overlap})", sections=sections,
+    )
+    keys = ["doc_id", "section_no", "chunk_no", "chunk_start"]
+    return placed.join(single, keys, "left").select(*keys, "chunk_end", "page_number", "position", "digest")
+
+
+def _content_checksums(docs):
+    """One checksum for each framework: the sum of short hashes of its texts, whatever their order."""
+    short_hash = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long")
+    return docs.groupBy(F.col("source").alias("name")).agg(F.sum(short_hash).cast("string").alias("checksum"))
+
+
+def framework_resync(spark, sf):
+    """Two syncs of a written store: some frameworks stay, some have new documents, some come or go."""
+    log = LogTable(spark, f"{ensure_checkpoint_dir(spark)}/store/{uuid.uuid4()}", key="framework", bucket_rows=2000)
+    docs = b.documents(spark, sf)
+    number = F.substring("source", 4, 10).cast("int")
+    labelled = docs.join(b.read(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    # first state: odd sources have their labelled documents only, every sixth is not there yet
+    first = docs.where(F.pmod(number, F.lit(2)) == 0).unionByName(labelled.where(F.pmod(number, F.lit(2)) == 1)).where(F.pmod(number, F.lit(6)) != 2)
+    then = docs.where(F.pmod(number, F.lit(7)) != 6)
+    for state in (first, then):
+        pages = pages_from_lines(state.withColumn("framework", F.col("source"))).select("doc_id", "framework", "page_number", "text")
+        roles = state.select(F.col("source").alias("framework")).distinct().withColumn("roles", b.roles_of(F.substring("framework", 4, 10).cast("int")))
+        analysis.sync_store(log, pages, _content_checksums(state), roles)
+    stored = log.read(version="written_by")
+    return stored.select("framework", "doc_id", "section_no", "chunk_no", "role", "chunk_id", "written_by", F.md5("text").alias("digest"))
+
+
+def catalog_files(spark, sf):
+    """A YAML catalog and a tree of files, written from the documents, read by the Python data sources and joined."""
+    folder = f"{ensure_checkpoint_dir(spark)}/uploads/{uuid.uuid4()}"
+    entry = F.concat(
+        F.lit("- name: '"), "name", F.lit("'\n  version: "), F.col("ord").cast("string"), F.lit("\n  checksum: null\n  roles: ["),
+        F.array_join("roles", ", "), F.lit("]\n  regions: "), F.array_join("regions", ", "),
+    )
+    b.catalog(spark, sf).select(entry.alias("value")).write.text(f"{folder}/catalog")
+    docs = b.documents(spark, sf).select("source", F.floor(F.col("doc_id") / 500).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    dealt = docs.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").drop("doc_id")
+    dealt.write.partitionBy("source", "part").text(f"{folder}/files")
+    found = reader.read_tree(spark, f"{folder}/files", "*.txt", depth=2).withColumn("name", F.regexp_extract("path", "source=([^/]*)/", 1)).withColumn(
+        "part", F.regexp_extract("path", "part=([0-9]+)/", 1).cast("long"))
+    entries = reader.read_catalog(spark, f"{folder}/catalog", "*.txt").select("name", "version", F.concat_ws(",", "roles").alias("roles"), F.concat_ws(",", "regions").alias("regions"))
+    return entries.join(found.select("name", "part", "length", "checksum"), "name", "left").select(
+        "name", "version", "roles", "regions", "part", "length", "checksum")
+
+
 def role_copies(spark, sf):
     copies = segment.expand_roles(b.corpus(spark, sf))
     return copies.groupBy("framework", "role").agg(
@@ -164,7 +231,7 @@ def document_types(spark, sf):
 QUERIES = {f.__name__: f for f in (
     page_stats, dup_chunk_rate, header_lines, sections_merged, chunks_stride, chunks_boundary, framework_chunks,
     preamble_pages, fragment_lines, foreign_documents, content_hashes, upload_triage, upload_outcomes, chunk_lookup,
-    sync_changed, library_counts, store_health, sync_status, role_copies, role_filter, document_types,
+    sync_changed, library_counts, store_health, sync_status, role_copies, role_filter, document_types, chunks_by_function, framework_resync, catalog_files,
 )}
 
 _HEADER = (
@@ -343,6 +410,30 @@ SELECT name, ord, coalesce(c, 0) AS chunk_count, coalesce(c, 0) > 0 AS indexed F
     "sync_status": f"""WITH {_CATALOG_SQL},
 n AS (SELECT source AS name, count(*) AS c, count(l.doc_id) AS k FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1)
 SELECT name, coalesce(k, 0) > 0 AS downloaded, coalesce(c, 0) AS chunk_count, coalesce(c, 0) > 0 AS indexed FROM catalog LEFT JOIN n USING (name)""",
+    "chunks_by_function": f"""WITH {CHUNKS_SQL}
+SELECT doc_id, section_no, chunk_no::INT AS chunk_no, chunk_start::INT AS chunk_start, chunk_end::INT AS chunk_end, floor(page)::INT AS page_number,
+       (row_number() OVER (PARTITION BY doc_id ORDER BY section_no, chunk_no))::INT AS position, md5(text) AS digest FROM chunks""",
+    "framework_resync": f"""WITH {CHUNKS_SQL},
+flagged AS ({foreign_sql('chunks', 'doc_id')}),
+src AS (SELECT doc_id, source, substr(source, 4)::INT AS n, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS labelled FROM documents d),
+plan AS (
+  SELECT source, CASE WHEN n % 6 <> 2 AND (n % 2 = 0 OR bool_and(labelled)) THEN 1 ELSE 2 END::BIGINT AS written_by
+  FROM src WHERE n % 7 <> 6 GROUP BY source, n),
+kept AS (
+  SELECT f.*, s.source, n, written_by, substr(sha256(f.doc_id || '|' || section_no || '|' || chunk_no), 1, 32) AS id
+  FROM flagged f JOIN src s ON s.doc_id = f.doc_id JOIN plan p ON p.source = s.source WHERE NOT is_foreign),
+copies AS (
+  SELECT *, ({b.sql_list(b.ROLES)})[(n % 4) + 1] AS role FROM kept
+  UNION ALL SELECT *, ({b.sql_list(b.ROLES)})[((n + 1) % 4) + 1] FROM kept WHERE n % 5 = 0)
+SELECT source AS framework, doc_id, section_no, chunk_no::INT AS chunk_no, role, substr(sha256(id || '|' || role), 1, 32) AS chunk_id, written_by,
+       md5(text) AS digest FROM copies""",
+    "catalog_files": f"""WITH f AS (
+  SELECT source AS name, doc_id // 500 AS part, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY ALL),
+c AS (SELECT DISTINCT name, substr(name, 4)::INT AS n FROM f)
+SELECT name, n::VARCHAR AS version,
+       ({b.sql_list(b.ROLES)})[(n % 4) + 1] || CASE WHEN n % 5 = 0 THEN ',' || ({b.sql_list(b.ROLES)})[((n + 1) % 4) + 1] ELSE '' END AS roles,
+       CASE WHEN n % 3 = 0 THEN 'REGION_' || (n % 5) ELSE 'Global' END AS regions,
+       part, strlen(body)::BIGINT AS length, sha256(body) AS checksum FROM f JOIN c USING (name)""",
     "role_copies": f"""WITH {b.ROLE_SQL},
 c AS (SELECT framework, role1 AS role, chunk_id FROM corpus
       UNION ALL SELECT framework, role2, chunk_id FROM corpus WHERE role2 IS NOT NULL)

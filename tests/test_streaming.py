@@ -14,8 +14,8 @@ def test_documents_grow_and_change_over_batches(spark, tmp_path):
 
     def arrive(rows_):
         spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(source)
-        ingest.ingest_stream(ingest.read_pages(spark, source, 1), target, state, buckets=4).awaitTermination()
-        return spark.read.parquet(target + "/chunks")
+        ingest.ingest_stream(ingest.read_pages(spark, source, 1), target, state, small_rows=2).awaitTermination()
+        return ingest.stored_chunks(spark, target).read()
 
     arrive([(d, 1, f"{d} {body}") for d in range(4)])
     # a second page, a changed page, the same page again, a new document
@@ -46,10 +46,15 @@ def test_a_late_message_gets_the_dimension_of_its_place(spark, tmp_path):
     assert got == {(1, 1): None, (1, 5): "A", (1, 3): "A", (1, 6): "B", (2, 1): None}
 
 
-def test_session_stream_equals_batch(spark):
+def test_session_stream_equals_batch(spark, tmp_path):
     from policyloom.operators.conversations import session_state
 
-    streamed = chat.stream_session_state(spark, str(DATA))
-    batch = session_state(b.read(spark, str(DATA), "conversations").filter(F.col("role") == "user"), aliases=b.ALIASES)
+    messages = b.read(spark, str(DATA), "conversations").filter(F.col("role") == "user")
+    messages.select("conv_id", "turn", "text").write.parquet(str(tmp_path / "in"))
+    found = sessions.active_dimensions(spark.readStream.schema("conv_id long, turn long, text string").parquet(str(tmp_path / "in")), aliases=b.ALIASES)
+    found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(
+        availableNow=True).start().awaitTermination()
+    streamed = spark.read.schema(found.schema).parquet(str(tmp_path / "out"))
+    batch = session_state(messages, aliases=b.ALIASES)
     columns = ("conv_id", "turn", "named_dimension", "active_dimension")
     assert rows(streamed, *columns) == rows(batch, *columns)
