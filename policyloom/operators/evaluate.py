@@ -97,20 +97,45 @@ def _ideal_gain(qrels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_query.drop("_gains")
 
 
-def result_quality(ranked: DataFrame, keys: Sequence[str], relevant_total: DataFrame | None = None) -> DataFrame:
-    """Source diversity, repeated texts, mean similarity of each result list; with the
-    number of relevant passages per query also how many of them the list could hold."""
-    measured = ranked.groupBy(*keys).agg(
+def result_quality(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Source diversity, repeated texts, mean similarity of each result list."""
+    return ranked.groupBy(*keys).agg(
         F.count("*").alias("returned"),
         F.round(F.count_distinct(F.nullif("framework", F.lit(""))) / F.count("*"), 6).alias("evidence_diversity"),
         F.round((F.count("*") - F.count_distinct(F.md5("text"))) / F.count("*"), 6).alias("duplicate_rate"),
         settled(F.avg("similarity"), 6).alias("avg_retrieval_similarity"),
     )
-    if relevant_total is None:
-        return measured
-    return measured.join(relevant_total, list(keys), "left").withColumn(
-        "coverage_recall",
-        F.when(F.col("relevant") > 0, F.round(F.least(F.col("returned") / F.col("relevant"), F.lit(1.0)), 6)).otherwise(0.0),
+
+
+def source_accuracy(ranked: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many hits come from expected sources, for frameworks and for uploaded documents.
+
+    ``ranked(keys, framework, document_name)``: a hit without a framework is a document's; ``expected(keys, kind,
+    name)`` lists the sources that were meant, of kind ``framework`` or ``policy``.  No hits of a kind give 0.
+    """
+    kind = F.when(F.coalesce("framework", F.lit("")) != "", "framework").otherwise("policy")
+    name = F.when(F.coalesce("framework", F.lit("")) != "", F.col("framework")).otherwise(F.coalesce("document_name", F.lit("")))
+    meant = expected.select(*keys, "kind", "name").distinct().withColumn("_meant", F.lit(True))
+    met = ranked.select(*keys, kind.alias("kind"), name.alias("name")).join(meant, [*keys, "kind", "name"], "left")
+
+    def share(which: str) -> Column:
+        total = F.count_if(F.col("kind") == which)
+        right = F.count_if((F.col("kind") == which) & F.coalesce("_meant", F.lit(False)))
+        return F.when(total > 0, F.round(right / total, 6)).otherwise(0.0)
+
+    return met.groupBy(*keys).agg(
+        share("framework").alias("framework_retrieval_accuracy"), share("policy").alias("policy_retrieval_accuracy")
+    )
+
+
+def coverage_recall(relevant: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Passages known to be relevant, as a share of all that the corpus holds.
+
+    ``relevant(keys, chunk_id)``; ``totals(keys, total)``.  An id counts once; without a total the share is 0.
+    """
+    known = relevant.groupBy(*keys).agg(F.count_distinct("chunk_id").alias("_n"))
+    return totals.join(known, list(keys), "left").select(
+        *keys, F.when(F.col("total") > 0, F.round(F.coalesce("_n", F.lit(0)) / F.col("total"), 6)).otherwise(0.0).alias("coverage_recall")
     )
 
 

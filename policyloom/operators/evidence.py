@@ -363,6 +363,99 @@ def framework_context(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+NO_FRAMEWORKS = "No framework requirements retrieved for this dimension."
+
+
+def framework_summary(hits: DataFrame, keys: Sequence[str], asked: DataFrame | None = None) -> DataFrame:
+    """The context of every framework under its header, frameworks in the order of their first hit.
+
+    ``asked(keys)`` lists the keys to report, those without hits as well; by default those of the hits.
+    """
+    first = hits.groupBy(*keys, "framework").agg(F.min("rank").alias("_first"))
+    blocks = framework_context(hits, keys).join(first, [*keys, "framework"])
+    block = F.concat(F.lit("[Framework: "), "framework", F.lit("]\n"), "context")
+    listed = F.array_sort(F.collect_list(F.struct("_first", "framework", block.alias("b"))))
+    joined = blocks.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["b"]), "\n\n---\n\n").alias("summary"))
+    every = hits.select(*keys).distinct() if asked is None else asked.select(*keys).distinct()
+    return every.join(joined, list(keys), "left").withColumn("summary", F.coalesce("summary", F.lit(NO_FRAMEWORKS)))
+
+
+def requirement_report(matched: DataFrame, strong: DataFrame, keys: Sequence[str], strength: Column, dimension: str = "dimension") -> DataFrame:
+    """Requirement texts by class in the order of frameworks and requirements, and what is said about them.
+
+    ``matched(keys, framework, ord, requirement, match_class)``; ``strong(keys, strong_count)`` counts the strong
+    evidence, more of which than there are implemented requirements goes beyond the frameworks.  The lists of a key
+    hold its requirements, which the frameworks bound.
+    """
+    text = F.trim(F.substring("requirement", 1, 120))
+    item = F.struct("framework", "ord", text.alias("text"))
+
+    def named(which: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.when(F.col("match_class") == which, item)))
+        return F.transform(listed, lambda x: x["text"]).alias(which)
+
+    met = F.struct("framework", F.when(F.col("match_class") == "implemented", 0).otherwise(1).alias("c"), "ord", text.alias("text"))
+    per_framework = matched.groupBy(*keys, "framework").agg(F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("match_class") != "missing", met))), lambda x: x["text"]).alias("items"))
+    specific = per_framework.groupBy(*keys).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("framework", "items")))).alias("framework_specific"))
+    lists = matched.groupBy(*keys).agg(*map(named, ("implemented", "partial", "missing")), F.array_sort(F.collect_set(text)).alias("universal"))
+    differing = framework_differences(matched, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.concat(F.lit("'"), "item", F.lit("' mentioned in "), "frameworks", F.lit(" but not others")))).alias("differences"))
+    none = F.array().cast("array<string>")
+    beyond_count = F.coalesce("strong_count", F.lit(0)) - F.size("implemented")
+    exceeds = (strength == "Strongly Operationalised") & (F.col("strong_count") > 1) & (beyond_count > 0)
+    line = F.concat(F.lit("Policy exceeds framework expectations on "), beyond_count.cast("string"), F.lit(" mechanism(s)"))
+
+    def part(label: str, name: str) -> Column:
+        shown = F.array_join(F.slice(name, 1, 5), "; ")
+        return F.when(F.size(name) > 0, F.concat(F.lit(f"{label} ("), F.size(name).cast("string"), F.lit("): "), shown))
+
+    joined = lists.join(specific, list(keys)).join(strong, list(keys), "left").join(differing, list(keys), "left")
+    return (
+        joined.withColumn("differences", F.coalesce("differences", none))
+        .withColumn("beyond", F.when(exceeds, F.array(line)).otherwise(none))
+        .withColumn("existing_mechanisms", F.concat("implemented", "beyond"))
+        .withColumn("synthesis", F.concat_ws(
+            " | ", F.concat(F.lit("Framework comparison for "), F.col(dimension), F.lit(":")), part("Already implemented", "implemented"),
+            part("Partially implemented", "partial"), part("Missing", "missing"),
+            F.when(F.size("beyond") > 0, F.concat(F.lit("Beyond framework expectations: "), F.array_join("beyond", "; ")))))
+        .drop("strong_count")
+    )
+
+
+def quality_factors(items: DataFrame, groups: DataFrame, aspects: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The parts of an evidence graph's quality, each to three places: groups, aspects covered, sources, diversity, reranker."""
+    per_key = groups.groupBy(*keys).agg(F.avg("coverage_quality").alias("_avg"), F.count("*").alias("_groups"), F.collect_set("aspect").alias("_have"))
+    listed = aspects.groupBy("dimension").agg(F.collect_set("aspect").alias("_all"))
+    name = F.coalesce("source", F.lit(""))
+    sources = items.groupBy(*keys).agg(
+        (F.count_distinct(F.when(F.col("is_document"), name)) + F.count_distinct(F.when(~F.col("is_document"), name))).alias("_sources"),
+        F.count_distinct(name).alias("_any"), F.coalesce(F.max(F.col("score") > 1.0), F.lit(False)).alias("_reranked"),
+    )
+    joined = per_key.join(sources, list(keys)).join(listed, "dimension")
+    ratio = F.col("_groups") / (F.col("_groups") + F.size(F.array_except("_all", "_have")))
+    return joined.select(
+        *keys, settled(F.col("_avg"), 3).alias("avg_group_quality"), settled(ratio, 3).alias("coverage_ratio"),
+        settled(F.least(F.lit(0.15), F.col("_sources") * 0.03), 3).alias("source_bonus"),
+        settled(F.least(F.lit(0.1), F.col("_any") * 0.02), 3).alias("diversity_bonus"),
+        F.when(F.col("_reranked"), 0.05).otherwise(0.0).alias("reranker_bonus"),
+    )
+
+
+CLAIM_CHARS = 800
+
+
+def group_claims(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first three texts of each group as one claim, cut past 800 characters."""
+    first = top_k(items, keys, [F.asc("ord"), F.asc("chunk_id")], 3, "_at", spread_by="chunk_id")
+    texts = F.array_sort(F.collect_list(F.struct("_at", F.coalesce("text", F.lit("")).alias("t"))))
+    whole = F.array_join(F.transform(texts, lambda x: x["t"]), " ")
+    said = first.groupBy(*keys).agg(whole.alias("_claim"))
+    cut = F.concat(F.substring("_claim", 1, CLAIM_CHARS), F.lit("..."))
+    return said.select(*keys, F.when(F.length("_claim") > CLAIM_CHARS, cut).otherwise(F.col("_claim")).alias("claim"))
+
+
 def document_types(chunks: DataFrame, by: str = "doc_id", first: int = 10, rules=None) -> DataFrame:
     """Document type from the keywords of the first ten chunks."""
     from policyloom import lexicons as lx

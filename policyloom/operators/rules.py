@@ -30,6 +30,11 @@ def normalize_coverage(label: Column) -> Column:
     return F.when(named.isin("Covered", "Partial", "Missing"), named).otherwise("Partial")
 
 
+def normalize_labels(verdicts: DataFrame) -> DataFrame:
+    """Raw coverage labels as one of the three tiers: blanks and case do not count, anything else is Partial."""
+    return verdicts.withColumn("coverage", normalize_coverage(F.col("coverage")))
+
+
 # -- commitment evidence and the ladder --------------------------------------
 
 def commitment_flags(chunks: DataFrame, lexicon: lx.Lexicon = lx.DEFAULT) -> DataFrame:
@@ -125,7 +130,10 @@ def downgrade_drift(verdicts: DataFrame, lexicon: lx.Lexicon = lx.DEFAULT) -> Da
 
 
 def shape_by_tier(verdicts: DataFrame) -> DataFrame:
-    """Covered: no recommendations, a best-practice block; otherwise the reverse."""
+    """Covered: no recommendations, a best-practice block; otherwise the reverse.
+
+    Labels are taken as ``normalize_labels`` leaves them; "Insufficient Evidence" is no answer of the model's.
+    """
     covered = F.col("coverage") == "Covered"
     none = F.array().cast("array<string>")
     return (

@@ -443,6 +443,40 @@ def overview_labels(replies: DataFrame, keys: Sequence[str], text: str = "text",
     ).withColumn("doc_no", F.col("doc_no").try_cast("int")).withColumn("usable", F.length("claim") >= 8)
 
 
+def verify_overview(labels: DataFrame, contexts: DataFrame, store: DataFrame, keys: Sequence[str], similarity=None) -> DataFrame:
+    """Check the claims of ``overview_labels`` against the passages that their labels stood for.
+
+    ``contexts(keys, doc_no, chunk_id, page_number, document_name)`` is what a reply was given; ``store`` is the chunk
+    store of ``verify_citations``.  A label without a passage, or with a claim that is too short, fails unchecked.
+    """
+    given = contexts.select(
+        *keys, "doc_no", F.col("chunk_id").alias("_chunk"), F.col("page_number").alias("_page_given"),
+        F.coalesce(F.nullif("document_name", F.lit("")), F.lit("Uploaded Document")).alias("source"),
+    )
+    met = labels.join(given, [*keys, "doc_no"], "left").withColumn("_checked", F.col("usable") & F.col("_chunk").isNotNull())
+    asked = met.select(
+        *labels.columns, "source", "_checked", F.when(F.col("_checked"), F.col("_chunk")).alias("chunk_id"),
+        F.col("_page_given").cast("int").alias("page_number"), F.lit(None).cast("int").alias("total_pages"),
+    )
+    done = verify_citations(asked, store, similarity)
+    return done.withColumn("passed", F.col("passed") & F.col("_checked")).withColumn(
+        "verification_method", F.when(F.col("_checked"), F.col("verification_method")).otherwise("unresolved")
+    ).drop("_checked", "page_number", "total_pages")
+
+
+def overview_tally(verified: DataFrame, replies: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per reply the citations that may be shown, in order, and how many passed and failed; replies without any too."""
+    shown = F.struct("marker_no", "doc_no", "source", F.col("claim").alias("quote"), "verification_method", "verification_confidence")
+    counted = verified.groupBy(*keys).agg(
+        F.count_if("passed").alias("pass_count"), F.count_if(~F.col("passed")).alias("fail_count"),
+        F.array_sort(F.collect_list(F.when(F.col("passed"), shown))).alias("citations"),
+    )
+    none = F.array().cast(counted.schema["citations"].dataType)
+    return replies.select(*keys).distinct().join(counted, list(keys), "left").select(
+        *keys, F.coalesce("citations", none).alias("citations"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("pass_count", "fail_count"))
+    )
+
+
 def scoped_hits(quotes: DataFrame, chunks: DataFrame, keys: Sequence[str], k: int = 5, make_model=HashingEmbedder) -> DataFrame:
     """``(keys, rank, chunk_id, text, framework)``: each quote's best chunks inside its claimed source.
 

@@ -114,23 +114,39 @@ def verdict_text(gaps: DataFrame) -> DataFrame:
     )
 
 
-def drill_down(gaps: DataFrame) -> DataFrame:
-    """Reasoning trail of one finding for a follow-up question."""
+def drill_down(gaps: DataFrame, evidence: DataFrame | None = None, keys: Sequence[str] = ("workspace_id", "dimension")) -> DataFrame:
+    """Reasoning trail of one finding for a follow-up question.
+
+    ``evidence(keys, ord, framework, page_number, similarity, text)`` is listed below it, 300 characters of each text.
+    """
     def line(label: str, name: str) -> Column:
         value = F.col(name).cast("string")
         return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(label), value))
 
-    return gaps.select(
-        "workspace_id", "dimension",
+    found = F.when(F.col("gap_found"), "True").when(~F.col("gap_found"), "False") if "gap_found" in gaps.columns else F.lit(None).cast("string")
+    trail = gaps.select(
+        *keys,
         F.concat_ws(
             "\n", line("Dimension: ", "dimension"), line("Coverage: ", "coverage"),
-            line("Coverage reasoning (deterministic ladder rules): ", "coverage_reasoning"),
+            line("Coverage reasoning (deterministic ladder rules): ", "coverage_reasoning"), F.concat(F.lit("Gap detected: "), found),
             line("Governance maturity: ", "governance_maturity"), line("Risk Level: ", "risk_level"),
             line("  Risk reason: ", "risk_reason"), line("Confidence method: ", "confidence_method"),
             F.when(F.size("recommendations") > 0,
                    F.concat(F.lit("Recommendation: "), F.array_join("recommendations", "; "))),
         ).alias("trail"),
     )
+    if evidence is None:
+        return trail
+    page = F.when(F.col("page_number") > 0, F.concat(F.lit(" (p. "), F.col("page_number").cast("string"), F.lit(")"))).otherwise("")
+    score = F.when(F.col("similarity").isNotNull(), F.concat(F.lit(" [similarity: "), F.col("similarity").cast("string"), F.lit("]"))).otherwise("")
+    item = F.concat(
+        F.lit("  • ["), F.coalesce(F.nullif("framework", F.lit("")), F.lit("Uploaded Document")), page, F.lit("]"), score,
+        F.lit("\n    "), F.substring(F.coalesce("text", F.lit("")), 1, 300),
+    )
+    listed = evidence.groupBy(*keys).agg(lines_in_order(F.col("ord"), item).alias("_items"))
+    return trail.join(listed, list(keys), "left").select(*keys, F.concat_ws(
+        "\n", "trail", F.lit(""), F.lit("Evidence used for this finding:"), F.coalesce("_items", F.lit("  (no retrieved evidence items)"))
+    ).alias("trail"))
 
 
 def executive_brief(gaps: DataFrame, headers: DataFrame, workspace: str = "workspace_id") -> DataFrame:

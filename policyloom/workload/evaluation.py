@@ -162,6 +162,41 @@ def framework_context(spark, sf):
     return done.select("workspace_id", "framework", F.length("context").alias("chars"), F.md5("context").alias("digest"))
 
 
+def framework_summary(spark, sf):
+    """The passages of all frameworks of a workspace under their headers; workspaces without any are told so."""
+    hits = b.passages(spark, sf).where("doc_id % 3 <> 0").select(
+        "workspace_id", F.concat(F.lit("f"), F.pmod("line_no", F.lit(2)).cast("string")).alias("framework"),
+        (F.col("doc_id") * 10000 + F.col("line_no")).alias("rank"), "chunk_id", "text",
+    )
+    asked = b.keyed_documents(spark, sf).select((F.col("doc_id") * 3).alias("workspace_id"))
+    summary = ed.framework_summary(hits, ["workspace_id"], asked)
+    return summary.select("workspace_id", F.length("summary").alias("chars"), F.md5("summary").alias("digest"))
+
+
+def requirement_report(spark, sf):
+    """Requirement lists by class, what goes beyond the frameworks, differences and the synthesis line of each label."""
+    matched = _matched(spark, sf).withColumn("ord", F.col("requirement").cast("int"))
+    strong = _evidence(spark, sf, 20).groupBy("dimension").agg(F.count_if(F.col("rank") > 12).alias("strong_count"))
+    done = ed.requirement_report(matched, strong, ["dimension"], F.lit("Strongly Operationalised"))
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return done.select(
+        "dimension", *map(joined, ("implemented", "partial", "missing", "beyond", "existing_mechanisms", "universal", "differences")), "synthesis",
+        F.to_json("framework_specific").alias("framework_specific"),
+    )
+
+
+def graph_factors(spark, sf):
+    """The parts that an evidence graph's quality is made of."""
+    items = _grouped_items(spark, sf)
+    return ed.quality_factors(items, ed.group_quality(items, ["dimension"]), aspects(spark, sf), ["dimension"])
+
+
+def group_claims(spark, sf):
+    """What the first three texts of each aspect say together."""
+    items = _grouped_items(spark, sf).withColumn("ord", F.col("chunk_id"))
+    return ed.group_claims(items, ["dimension", "aspect"]).select("dimension", "aspect", F.length("claim").alias("chars"), F.md5("claim").alias("digest"))
+
+
 def _ranked(spark, sf, k=10):
     return rq.knn_hits(spark, sf, k, carry=["own_label"]).withColumn("label", F.col("label").cast("string"))
 
@@ -185,6 +220,21 @@ def result_quality(spark, sf):
     return ev.result_quality(hits, ["dimension"])
 
 
+def retrieval_report(spark, sf):
+    """Accuracy by kind of source over uploaded documents and frameworks together, and recall over labelled documents."""
+    corpus = rq.uploaded_corpus(spark, sf)
+    hits = nn.retrieve(corpus, b.definitions(spark), 20, query_keys=["dimension"], carry=["framework", "document_name"])
+    dims = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(b.DIMS)])
+    number = F.substring("name", 4, 10).cast("int")
+    named = b.documents(spark, sf).select(F.col("source").alias("name")).distinct().withColumn("x", F.explode(dims))
+    expected = named.where(F.pmod(number + F.col("x.i"), F.lit(2)) == 0).select(
+        F.col("x.d").alias("dimension"), F.when(F.pmod(number, F.lit(5)) == 4, "policy").otherwise("framework").alias("kind"), "name")
+    keyed = b.keyed_documents(spark, sf).select("dimension", F.col("doc_id").alias("chunk_id"))
+    labels = b.read(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id"))
+    recall = ev.coverage_recall(keyed.join(labels, "chunk_id"), keyed.groupBy("dimension").agg(F.count("*").alias("total")), ["dimension"])
+    return ev.source_accuracy(hits, expected, ["dimension"]).join(recall, "dimension")
+
+
 def error_rates(spark, sf):
     """False positives and negatives of each label's first ten, and of a label with none."""
     ranked = _ranked(spark, sf)
@@ -232,7 +282,7 @@ def config_comparison(spark, sf):
 QUERIES = {f.__name__: f for f in (
     evidence_pairs, evidence_pairs_by_words, agreement_scores, evidence_items, aspect_argmax, near_duplicates, aspect_quality,
     evidence_graph, requirement_match, requirement_rollup, framework_differences, framework_context, retrieval_metrics,
-    result_quality, error_rates, rank_stability, config_comparison,
+    result_quality, retrieval_report, framework_summary, requirement_report, graph_factors, group_claims, error_rates, rank_stability, config_comparison,
 )}
 
 
@@ -403,6 +453,56 @@ t AS (SELECT workspace_id, 'f' || (line_no % 2) AS framework, doc_id * 10000 + l
 k AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY workspace_id, framework ORDER BY r) <= 3),
 c AS (SELECT workspace_id, framework, substr(string_agg(substr(text, 1, 600), chr(10) ORDER BY r), 1, 2000) AS ctx FROM k GROUP BY ALL)
 SELECT workspace_id, framework, length(ctx) AS chars, md5(ctx) AS digest FROM c""",
+    "framework_summary": f"""WITH {b.PASSAGES_SQL},
+t AS (SELECT workspace_id, 'f' || (line_no % 2) AS framework, doc_id * 10000 + line_no AS r, text FROM passages WHERE doc_id % 3 <> 0),
+k AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY workspace_id, framework ORDER BY r) <= 3),
+c AS (
+  SELECT workspace_id, framework, min(r) AS f, '[Framework: ' || framework || ']' || chr(10) || substr(string_agg(substr(text, 1, 600), chr(10) ORDER BY r), 1, 2000) AS block
+  FROM k GROUP BY workspace_id, framework),
+s AS (SELECT workspace_id, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY f) AS summary FROM c GROUP BY 1),
+a AS (SELECT DISTINCT doc_id * 3 AS workspace_id FROM documents),
+o AS (SELECT workspace_id, coalesce(summary, '{ed.NO_FRAMEWORKS}') AS summary FROM a LEFT JOIN s USING (workspace_id))
+SELECT workspace_id, length(summary)::INT AS chars, md5(summary) AS digest FROM o""",
+    "requirement_report": f"""WITH {_MATCH_SQL},
+m AS (SELECT *, requirement::INT AS o FROM mc),
+strong AS (SELECT dimension, count(*) FILTER (rank > 12 AND rank <= 20) AS k FROM ev GROUP BY 1),
+l AS (
+  SELECT dimension, coalesce(list(requirement ORDER BY framework, o) FILTER (match_class = 'implemented'), []) AS imp,
+         coalesce(list(requirement ORDER BY framework, o) FILTER (match_class = 'partial'), []) AS par,
+         coalesce(list(requirement ORDER BY framework, o) FILTER (match_class = 'missing'), []) AS mis, list_sort(list(DISTINCT requirement)) AS uni
+  FROM m GROUP BY 1),
+pf AS (
+  SELECT dimension, framework, coalesce(list('"' || requirement || '"' ORDER BY match_class <> 'implemented', o) FILTER (match_class <> 'missing'), []) AS items
+  FROM m GROUP BY ALL),
+fs AS (SELECT dimension, '{{' || string_agg('"' || framework || '":[' || array_to_string(items, ',') || ']', ',' ORDER BY framework) || '}}' AS spec, count(*) AS nf FROM pf GROUP BY 1),
+met AS (SELECT DISTINCT dimension, requirement AS item, framework FROM m WHERE match_class <> 'missing'),
+di AS (SELECT dimension, item, string_agg(framework, ', ' ORDER BY framework) AS fw, count(*) AS n FROM met GROUP BY ALL),
+df AS (SELECT dimension, string_agg(chr(39) || item || chr(39) || ' mentioned in ' || fw || ' but not others', '|' ORDER BY item) AS diffs FROM di JOIN fs USING (dimension) WHERE nf > 1 AND n < nf GROUP BY 1),
+x AS (
+  SELECT l.*, spec, coalesce(diffs, '') AS diffs,
+    CASE WHEN k > 1 AND k > len(imp) THEN ['Policy exceeds framework expectations on ' || (k - len(imp)) || ' mechanism(s)'] ELSE [] END AS beyond
+  FROM l JOIN fs USING (dimension) JOIN strong USING (dimension) LEFT JOIN df USING (dimension))
+SELECT dimension, array_to_string(imp, '|') AS implemented, array_to_string(par, '|') AS partial, array_to_string(mis, '|') AS missing, array_to_string(beyond, '|') AS beyond,
+  array_to_string(list_concat(imp, beyond), '|') AS existing_mechanisms, array_to_string(uni, '|') AS universal, diffs AS differences,
+  concat_ws(' | ', 'Framework comparison for ' || dimension || ':',
+    CASE WHEN len(imp) > 0 THEN 'Already implemented (' || len(imp) || '): ' || array_to_string(imp[1:5], '; ') END,
+    CASE WHEN len(par) > 0 THEN 'Partially implemented (' || len(par) || '): ' || array_to_string(par[1:5], '; ') END,
+    CASE WHEN len(mis) > 0 THEN 'Missing (' || len(mis) || '): ' || array_to_string(mis[1:5], '; ') END,
+    CASE WHEN len(beyond) > 0 THEN 'Beyond framework expectations: ' || array_to_string(beyond, '; ') END) AS synthesis, spec AS framework_specific
+FROM x""",
+    "graph_factors": f"""WITH {_QUALITY_SQL},
+g AS (SELECT dimension, round(round(avg(coverage_quality), 9), 3) AS avg_group_quality, count(*) AS k FROM gq GROUP BY 1),
+al AS (SELECT label::VARCHAR AS dimension, count(DISTINCT vec_id % 5) AS n FROM embeddings GROUP BY 1),
+s AS (
+  SELECT dimension, count(DISTINCT source) FILTER (is_document) + count(DISTINCT source) FILTER (NOT is_document) AS t, count(DISTINCT source) AS d, max(score) > 1 AS r FROM it GROUP BY 1)
+SELECT dimension, avg_group_quality, round(round(k::DOUBLE / n, 9), 3) AS coverage_ratio, round(least(0.15::DOUBLE, t * 0.03::DOUBLE), 3) AS source_bonus,
+       round(least(0.1::DOUBLE, d * 0.02::DOUBLE), 3) AS diversity_bonus, CASE WHEN r THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS reranker_bonus
+FROM g JOIN al USING (dimension) JOIN s USING (dimension)""",
+    "group_claims": f"""WITH {_QUALITY_SQL},
+k AS (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY dimension, aspect ORDER BY chunk_id) <= 3),
+c AS (SELECT dimension, aspect, string_agg(text, ' ' ORDER BY chunk_id) AS w FROM k GROUP BY ALL),
+o AS (SELECT dimension, aspect, CASE WHEN length(w) > 800 THEN substr(w, 1, 800) || '...' ELSE w END AS claim FROM c)
+SELECT dimension, aspect, length(claim)::INT AS chars, md5(claim) AS digest FROM o""",
     "retrieval_metrics": f"""WITH {rq._KNN_SQL}, {_QRELS_SQL}, top AS (SELECT * FROM ranked WHERE rank <= 10),
 {_metrics_sql('top', 'qr', 'label', 'vec_id')} SELECT * REPLACE (label::VARCHAR AS label) FROM met
 UNION ALL SELECT DISTINCT source, {', '.join(['0'] * len(_MEASURES))} FROM documents""",
@@ -410,6 +510,18 @@ UNION ALL SELECT DISTINCT source, {', '.join(['0'] * len(_MEASURES))} FROM docum
 SELECT dimension, count(*) AS returned, round(count(DISTINCT framework)::DOUBLE / count(*), 6) AS evidence_diversity,
        round((count(*) - count(DISTINCT text))::DOUBLE / count(*), 6) AS duplicate_rate,
        round(round(avg(similarity), 9), 6) AS avg_retrieval_similarity FROM h GROUP BY dimension""",
+    "retrieval_report": f"""WITH {b.PROFILE_SQL}, {rq._DEFINITIONS_SQL}, {rq._UPLOADED_SQL}, {rq.sims_sql('up', 'defs', 'dimension', 'f')},
+{rq.hybrid_sql('f_sims', 'true', 60, 20, 'h')},
+dims(dimension, i) AS (VALUES {b.values((d, i) for i, d in enumerate(b.DIMS))}),
+m AS (SELECT h.dimension, framework <> '' AS fw, (n + i) % 2 = 0 AS meant FROM h JOIN dims USING (dimension)),
+acc AS (
+  SELECT dimension, coalesce(round(count(*) FILTER (fw AND meant)::DOUBLE / nullif(count(*) FILTER (fw), 0), 6), 0.0) AS framework_retrieval_accuracy,
+         coalesce(round(count(*) FILTER (NOT fw AND meant)::DOUBLE / nullif(count(*) FILTER (NOT fw), 0), 6), 0.0) AS policy_retrieval_accuracy FROM m GROUP BY 1),
+{b.KEYED_SQL},
+rec AS (
+  SELECT dimension, round(count(DISTINCT CASE WHEN quality = 1 THEN k.doc_id END)::DOUBLE / count(DISTINCT k.doc_id), 6) AS coverage_recall
+  FROM keyed k LEFT JOIN labels l ON l.doc_id = k.doc_id GROUP BY 1)
+SELECT dimension, framework_retrieval_accuracy, policy_retrieval_accuracy, coverage_recall FROM acc JOIN rec USING (dimension)""",
     "error_rates": f"""WITH {rq._KNN_SQL},
 w AS (SELECT label, count(*) AS t, count(*) FILTER (own_label <> label) AS fp FROM ranked WHERE rank <= 10 GROUP BY 1),
 r AS (SELECT label, count(*) AS rel FROM embeddings GROUP BY 1),

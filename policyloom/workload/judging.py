@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from policyloom import lexicons as lx
 from policyloom.functions import text as tx
 from policyloom.operators import analytics, consistency, rules
-from policyloom.plans import render
+from policyloom.plans import brief, render
 from policyloom.workload import base as b
 
 KEYS = ["workspace_id", "dimension"]
@@ -304,6 +304,51 @@ def dimension_digest(spark, sf):
     return render.dimension_digest(gaps(spark, sf)).select("workspace_id", F.md5("digest").alias("digest"))
 
 
+def coverage_labels(spark, sf):
+    """Raw labels in odd spelling, normalised and shaped by tier."""
+    n = F.pmod("doc_id", F.lit(5))
+    raw = F.when(n == 0, F.upper("coverage")).when(n == 1, F.concat(F.lit("  "), F.lower("coverage"), F.lit("\n"))).when(
+        n == 2, F.lit(None).cast("string")).when(n == 3, F.concat("coverage", F.lit("!"))).otherwise(F.col("coverage"))
+    shaped = rules.shape_by_tier(rules.normalize_labels(b.verdicts(spark, sf).withColumn("coverage", raw)))
+    return shaped.select(*KEYS, "coverage", F.size("recommendations").alias("recommendations"), F.col("best_practices").isNotNull().alias("has_practices"))
+
+
+def drill_downs(spark, sf):
+    """The reasoning trail of every finding with the lines that are its evidence."""
+    lines = b.passages(spark, sf).where("line_no <= 3").select(
+        *KEYS, (F.col("doc_id") * 10000 + F.col("line_no")).alias("ord"), F.when(F.pmod("line_no", F.lit(2)) == 0, "src").alias("framework"),
+        F.col("line_no").cast("int").alias("page_number"), F.when(F.col("line_no") == 1, F.lit(None).cast("int")).otherwise(F.length("text")).alias("similarity"), "text",
+    )
+    # the confidence method is a string of rounded numbers with a query of its own
+    found = gaps(spark, sf).withColumn("confidence_method", F.lit(None).cast("string"))
+    return render.drill_down(found, lines).select(*KEYS, F.length("trail").alias("chars"), F.md5("trail").alias("digest"))
+
+
+def assembled_briefs(spark, sf):
+    """Structured briefs with their markdown; the dimensions stand for the model's narrative."""
+    rows = gaps(spark, sf)
+    names = lambda kept: F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("ord", "dimension")))), lambda x: x["dimension"])
+    urgent = F.col("priority").isin("Critical", "High")
+    advice = F.struct("ord", F.concat(F.lit(" "), F.coalesce("recommendation", F.lit(""))).alias("recommendation"), F.col("risk_reason").alias("rationale"))
+    narrative = rows.groupBy("workspace_id").agg(
+        F.concat(F.lit(" "), F.count("*").cast("string"), F.lit(" dimensions\n")).alias("executive_summary"),
+        F.concat(names(F.col("coverage") == "Covered"), F.array(F.lit("  "))).alias("strengths"), names(F.col("coverage") != "Covered").alias("attention"),
+        F.transform(F.array_sort(F.collect_list(F.when(urgent, advice))), lambda x: F.struct(x["recommendation"].alias("recommendation"), x["rationale"].alias("rationale"))).alias("recommendations"),
+    ).where(F.pmod("workspace_id", F.lit(5)) != 4)
+    docs = b.keyed_documents(spark, sf)
+    scoped = rules.scope_disclaimer(docs.select("workspace_id", F.when(F.col("lang") == "en", F.col("source")).otherwise("").alias("document_name")))
+    used = docs.groupBy("workspace_id").agg(F.array_sort(F.collect_set("lang")).alias("frameworks_used"))
+    headers = scoped.join(used, "workspace_id").select(
+        "workspace_id", F.lit("Utopia").alias("country"), F.concat(F.lit("Policy "), F.col("workspace_id").cast("string")).alias("policy_title"),
+        "documents", "frameworks_used", "disclaimer", F.lit("2024-01-01 00:00 UTC").alias("generated_at"),
+    )
+    incidents = b.passages(spark, sf).where("line_no = 1 and doc_id % 3 = 0").select("workspace_id", F.col("text").alias("incident_name"), F.col("doc_id").alias("ord"))
+    built = brief.assemble_briefs(headers, rows, narrative, incidents)
+    counts = ("covered", "partial", "missing", "insufficient_evidence", "analysis_failed", "num_dimensions")
+    return built.select("workspace_id", *counts).join(render.brief_markdown(built), "workspace_id").select(
+        "workspace_id", *counts, F.length("markdown").alias("chars"), F.md5("markdown").alias("digest"))
+
+
 def verdict_texts(spark, sf):
     return render.verdict_text(gaps(spark, sf)).select(*KEYS, F.md5("verdict_text").alias("digest"))
 
@@ -314,7 +359,7 @@ QUERIES = {f.__name__: f for f in (
     framework_synthesis, unfinished_dimensions, missing_dimensions, scope_texts, consistency_violations,
     consistency_report, confidence_penalty, graph_closure, graph_neighbours, decision_analytics, weakest_tier, radar,
     tier_statistics, summaries, risk_overview, precedents, methodology, run_telemetry, flat_findings, executive_briefs,
-    dimension_digest, verdict_texts,
+    dimension_digest, verdict_texts, coverage_labels, drill_downs, assembled_briefs,
 )}
 
 
@@ -708,6 +753,60 @@ ln AS (
     '  Recommendations (from the analysis):' || chr(10) || array_to_string(list_transform(list_slice(string_split(text, chr(10)), 1, 3), lambda x: '    - ' || x), chr(10)),
     CASE WHEN analysis_error IS NOT NULL THEN '  [Not analysed — ' || substr(analysis_error, 1, 100) || ']' END) AS l FROM ga)
 SELECT workspace_id, md5(string_agg(l, chr(10) ORDER BY ord)) AS digest FROM ln GROUP BY 1""",
+    "coverage_labels": f"""WITH {b.VERDICTS_SQL},
+raw AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN coverage WHEN 1 THEN coverage WHEN 4 THEN coverage ELSE 'Partial' END AS c FROM verdicts),
+n AS (SELECT *, CASE WHEN c IN ('Covered', 'Partial', 'Missing') THEN c ELSE 'Partial' END AS tier FROM raw)
+SELECT workspace_id, dimension, tier AS coverage, CASE WHEN tier = 'Covered' THEN 0 ELSE len(string_split(text, chr(10))) END::INT AS recommendations,
+       tier = 'Covered' AS has_practices FROM n""",
+    "drill_downs": f"""WITH {_GAPS_SQL},
+ev AS (
+  SELECT workspace_id, dimension, string_agg('  • [' || CASE WHEN line_no % 2 = 0 THEN 'src' ELSE 'Uploaded Document' END || ' (p. ' || line_no || ')]' ||
+    CASE WHEN line_no = 1 THEN '' ELSE ' [similarity: ' || length(text) || ']' END || chr(10) || '    ' || substr(text, 1, 300), chr(10) ORDER BY doc_id, line_no) AS items
+  FROM passages WHERE line_no <= 3 GROUP BY ALL),
+t AS (
+  SELECT g.workspace_id, g.dimension, concat_ws(chr(10), 'Dimension: ' || g.dimension, 'Coverage: ' || coverage,
+    'Gap detected: ' || CASE WHEN coverage IN ('Partial', 'Missing') THEN 'True' ELSE 'False' END, 'Governance maturity: ' || stage,
+    'Risk Level: ' || risk_level, CASE WHEN risk_reason <> '' THEN '  Risk reason: ' || risk_reason END,
+    'Recommendation: ' || array_to_string(string_split(text, chr(10)), '; '), '', 'Evidence used for this finding:',
+    coalesce(items, '  (no retrieved evidence items)')) AS trail
+  FROM ga g LEFT JOIN ev USING (workspace_id, dimension))
+SELECT workspace_id, dimension, length(trail)::INT AS chars, md5(trail) AS digest FROM t""",
+    "assembled_briefs": f"""WITH {_GAPS_SQL}, {_SCOPE_SQL[len(b.KEYED_SQL) + 2:]},
+c AS (
+  SELECT workspace_id, count(*) FILTER (coverage = 'Covered') AS covered, count(*) FILTER (coverage = 'Partial') AS partial,
+    count(*) FILTER (coverage = 'Missing') AS missing, count(*) FILTER (coverage = 'Insufficient Evidence') AS insufficient_evidence,
+    count(analysis_error) AS analysis_failed, count(*) AS n, count(*) FILTER (risk_level = 'High') AS high, count(*) FILTER (risk_level = 'Medium') AS medium,
+    count(*) FILTER (risk_level = 'Low') AS low, count(*) FILTER (risk_level = 'Insufficient Evidence') AS insufficient,
+    count(*) FILTER ({_URGENT}) AS u, {_names(_URGENT, 'pr, ord')} AS names,
+    coalesce(string_agg('- ' || dimension, chr(10) ORDER BY ord) FILTER (coverage = 'Covered'), '- None identified.') AS strengths,
+    coalesce(string_agg('- ' || dimension, chr(10) ORDER BY ord) FILTER (coverage <> 'Covered'), '- None identified.') AS attention
+  FROM ga GROUP BY 1),
+urgent AS (
+  SELECT workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY ord) AS k, {b.strip_sql("string_split(text, chr(10))[1]")} AS r, {b.strip_sql("risk_reason")} AS why
+  FROM ga WHERE {_URGENT} AND {b.strip_sql("string_split(text, chr(10))[1]")} <> ''),
+adv AS (SELECT workspace_id, string_agg(k || '. **' || r || '** — ' || why, chr(10) ORDER BY k) AS recs FROM urgent GROUP BY 1),
+inc AS (SELECT workspace_id, trim(text) AS name, min(doc_id) AS at_ FROM passages WHERE line_no = 1 AND doc_id % 3 = 0 GROUP BY ALL),
+pre AS (SELECT workspace_id, 'The analysis matched ' || CASE WHEN count(*) = 1 THEN 'one real-world incident' ELSE count(*) || ' real-world incidents' END ||
+  ' as illustrative context (' || string_agg(name, ', ' ORDER BY at_) || '); the full report carries the case-study detail.' AS precedent FROM inc WHERE name <> '' GROUP BY 1),
+fr AS (SELECT workspace_id, list_sort(list(DISTINCT lang)) AS f FROM keyed GROUP BY 1),
+md AS (
+  SELECT c.*, concat_ws(chr(10), '# Utopia — Policy ' || c.workspace_id, 'AI Governance Assessment Brief',
+    'Generated 2024-01-01 00:00 UTC · Based on analysis of ' || n || ' governance dimensions', chr(10) || '## EXECUTIVE SUMMARY',
+    CASE WHEN c.workspace_id % 5 <> 4 THEN n || ' dimensions' ELSE '' END, chr(10) || '## KEY FINDINGS' || chr(10) || '### Areas of Strength',
+    CASE WHEN c.workspace_id % 5 <> 4 THEN strengths ELSE '- None identified.' END, '### Areas Requiring Attention',
+    CASE WHEN c.workspace_id % 5 <> 4 THEN attention ELSE '- None identified.' END, chr(10) || '## RISK OVERVIEW',
+    'The analysis assessed ' || n || ' dimension(s). Risk distribution: ' || high || ' High, ' || medium || ' Medium, ' || low || ' Low, ' || insufficient || ' Insufficient Evidence.' ||
+      CASE WHEN u > 0 THEN ' High-priority dimensions: ' || names || '.' ELSE '' END ||
+      CASE WHEN u >= 2 THEN ' Multiple dimensions share the highest priority — compounding risk across these dimensions raises the urgency of coordinated, sequenced implementation.'
+           WHEN u = 1 THEN ' Single highest-priority dimension — sequencing should begin there before related clusters are addressed.' ELSE '' END,
+    chr(10) || '## PRIORITY RECOMMENDATIONS',
+    CASE WHEN c.workspace_id % 5 <> 4 AND recs IS NOT NULL THEN recs ELSE 'No critical gaps identified — no priority actions required.' END,
+    chr(10) || '## RELEVANT PRECEDENT' || chr(10) || precedent, chr(10) || '## SCOPE & METHODOLOGY',
+    concat_ws(chr(10) || chr(10), disclaimer, 'This brief synthesizes the already-computed analysis of ' || n || ' governance dimensions evaluated against ' || len(f) ||
+      ' reference framework(s): ' || array_to_string(f, ', ') || '.', CASE WHEN len(docs) > 0 THEN 'Source input(s): ' || array_to_string(docs, ', ') || '.' END), '') AS markdown
+  FROM c JOIN sc ON sc.workspace_id = c.workspace_id JOIN fr ON fr.workspace_id = c.workspace_id
+  LEFT JOIN adv ON adv.workspace_id = c.workspace_id LEFT JOIN pre ON pre.workspace_id = c.workspace_id)
+SELECT workspace_id, covered, partial, missing, insufficient_evidence, analysis_failed, n AS num_dimensions, length(markdown)::INT AS chars, md5(markdown) AS digest FROM md""",
     "verdict_texts": f"""WITH {_GAPS_SQL},
 t AS (
   SELECT workspace_id, dimension, array_to_string(list_slice(string_split(text, chr(10)), 1, 6), '; ') AS m, coverage, stage,

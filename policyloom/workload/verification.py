@@ -215,12 +215,31 @@ def reply_citations(spark, sf):
 
 def overview_citations(spark, sf):
     """Markers in replies with the sentence around them."""
+    return _overview_labels(spark, sf).select("conv_id", "turn", "marker_no", "doc_no", "claim", "usable")
+
+
+def _overview_labels(spark, sf):
     marker = F.concat(F.lit(" [DOC-"), (F.pmod("turn", F.lit(3)) + 1).cast("string"), F.lit(", DOC-7], "))
     marked = b.read(spark, sf, "conversations").filter(F.col("role") == "assistant").select(
         "conv_id", "turn", F.replace(F.col("text"), F.lit(", "), marker).alias("text")
     )
-    found = vf.overview_labels(marked, ["conv_id", "turn"])
-    return found.select("conv_id", "turn", "marker_no", "doc_no", "claim", "usable")
+    return vf.overview_labels(marked, ["conv_id", "turn"])
+
+
+def overview_audit(spark, sf):
+    """The markers' claims against the passages that each reply was given: three documents, labels past them stand for nothing."""
+    found = _overview_labels(spark, sf)
+    replies = b.read(spark, sf, "conversations").filter(F.col("role") == "assistant").select("conv_id", "turn").distinct()
+    number = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    contexts = replies.withColumn("doc_no", number).select(
+        "conv_id", "turn", "doc_no", F.pmod(F.col("conv_id") * 3 + F.col("doc_no"), F.lit(50)).cast("string").alias("chunk_id"),
+        F.lit(None).cast("int").alias("page_number"), F.lit("").alias("document_name"),
+    )
+    verified = vf.verify_overview(found, contexts, store(spark, sf), ["conv_id", "turn"])
+    return vf.overview_tally(verified, replies, ["conv_id", "turn"]).select(
+        "conv_id", "turn", "pass_count", "fail_count", F.size("citations").alias("shown"),
+        F.md5(F.array_join(F.transform("citations", lambda c: F.concat_ws("|", c["doc_no"].cast("string"), c["quote"], c["verification_method"])), "\n")).alias("digest"),
+    )
 
 
 def known_sources(spark, sf):
@@ -279,7 +298,7 @@ def reply_audit(spark, sf):
 QUERIES = {f.__name__: f for f in (
     citation_check, citation_keyword_only, citation_tally, citation_states, document_citation_states, visible_citations,
     support_tiers, quote_match, minimum_citations, implementation_citations, international_examples, incident_matches,
-    label_resolution, evidence_projection, reply_citations, overview_citations, known_sources, institutions,
+    label_resolution, evidence_projection, reply_citations, overview_citations, overview_audit, known_sources, institutions,
     agency_grounding, reply_audit,
 )}
 
@@ -565,6 +584,25 @@ SELECT conv_id, turn, line_no::INT AS line_no, source, quote FROM rc""",
 SELECT conv_id, turn, marker_no, doc_no, claim, length(claim) >= 8 AS usable FROM (
   SELECT conv_id, turn, k AS marker_no, claim,
          unnest(regexp_extract_all(grp, 'DOC-(\d+)', 1))::INT AS doc_no FROM cl)""",
+    "overview_audit": rf"""WITH {_OVERVIEW_SQL},
+ex AS (SELECT conv_id, turn, k AS marker_no, claim, unnest(regexp_extract_all(grp, 'DOC-(\d+)', 1))::INT AS doc_no FROM cl),
+claims AS (
+  SELECT row_number() OVER () AS id, e.*, d.doc_id, d.text AS chunk_text FROM ex e
+  LEFT JOIN documents d ON doc_no <= 3 AND length(claim) >= 8 AND d.doc_id = (conv_id * 3 + doc_no) % 50),
+asked AS (SELECT * FROM claims WHERE doc_id IS NOT NULL),
+{b.embed_sql('qt', 'asked', 'id', 'claim')},
+{b.embed_sql('dt', 'documents', 'doc_id', 'text')},
+dots AS (SELECT a.id, sum(qt.n * dt.n) AS d FROM asked a JOIN qt ON qt.id = a.id JOIN dt ON dt.doc_id = a.doc_id AND dt.b = qt.b GROUP BY 1),
+sims AS (
+  SELECT a.*, round(coalesce(d / (q.norm * n.norm), 0), 6) AS sim, {b.overlap_sql('claim', 'chunk_text')} AS ko
+  FROM asked a LEFT JOIN dots ON dots.id = a.id LEFT JOIN qt_norm q ON q.id = a.id LEFT JOIN dt_norm n ON n.doc_id = a.doc_id),
+ok AS (SELECT *, CASE WHEN sim < 0.65 AND ko >= 0.30 THEN 'hybrid_keyword_fallback' ELSE 'semantic' END AS method FROM sims WHERE sim >= 0.65 OR ko >= 0.30),
+kept AS (
+  SELECT conv_id, turn, count(*) AS n, string_agg(doc_no || '|' || claim || '|' || method, chr(10) ORDER BY marker_no, doc_no, claim) AS body FROM ok GROUP BY ALL),
+every AS (SELECT conv_id, turn, count(*) AS n FROM claims GROUP BY ALL)
+SELECT DISTINCT c.conv_id, c.turn, coalesce(k.n, 0) AS pass_count, coalesce(e.n, 0) - coalesce(k.n, 0) AS fail_count, coalesce(k.n, 0)::INT AS shown,
+       md5(coalesce(body, '')) AS digest
+FROM conversations c LEFT JOIN every e USING (conv_id, turn) LEFT JOIN kept k USING (conv_id, turn) WHERE role = 'assistant'""",
     "known_sources": """SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'P') THEN c_name END AS known_source
 FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
     "institutions": f"""WITH {b.PASSAGES_SQL}, {_INSTITUTION_SQL} SELECT workspace_id, dimension, name, place FROM inst""",
