@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from policyloom import lexicons as lx
 from policyloom.functions import text as tx
 from policyloom.functions.numbers import settled
-from policyloom.functions.vectors import HashingEmbedder, batch_embed, round_half_up
+from policyloom.functions.vectors import HashingEmbedder, batch_embed, dot, round_half_up
 from policyloom.operators.nearest import DENSE_HEADROOM, VECTOR, attach_columns, hybrid_rerank, nearest_in_groups, retrieve
 from policyloom.operators.ordering import first_per_key, top_k
 from policyloom.session import materialize
@@ -67,11 +67,14 @@ def verify_citations(
     """Check ``citations(chunk_id, claim, page_number, total_pages)`` against the chunk store.
 
     Adds the three checks, the method that decided, its confidence, the joined
-    failure reasons and ``passed``.
+    failure reasons and ``passed``.  Chunks with stored vectors are not embedded
+    again: a claim's vector meets that of its chunk.
     """
+    known = similarity is None and VECTOR in chunks.columns
     similarity = similarity or text_similarity()
     stored = chunks.select(
-        "chunk_id", F.col("text").alias("_text"), F.col("page_number").alias("_page"), F.lit(True).alias("_exists")
+        "chunk_id", F.col("text").alias("_text"), F.col("page_number").alias("_page"), F.lit(True).alias("_exists"),
+        *([F.col(VECTOR).alias("_vector")] if known and semantic else []),
     )
     found = citations.join(stored, "chunk_id", "left")
     exists = F.coalesce("_exists", F.lit(False))
@@ -84,10 +87,11 @@ def verify_citations(
         .withColumn("keyword_overlap", F.when(exists, tx.keyword_overlap(F.col("claim"), F.col("_text"))))
     )
     if semantic:
-        checked = checked.withColumn(
-            "semantic_similarity",
-            F.when(exists, similarity(F.coalesce("claim", F.lit("")), F.coalesce("_text", F.lit("")))),
-        )
+        if known:
+            met = F.floor(dot(batch_embed()(F.col("claim")), F.col("_vector")) * 10**6 + 0.5) / 10**6
+        else:
+            met = similarity(F.coalesce("claim", F.lit("")), F.coalesce("_text", F.lit("")))
+        checked = checked.withColumn("semantic_similarity", F.when(exists, met))
         by_meaning = F.col("semantic_similarity") >= SEMANTIC_MIN
         by_words = F.col("keyword_overlap") >= KEYWORD_MIN
         supports = by_meaning | by_words
@@ -126,7 +130,7 @@ def verify_citations(
         .withColumn("verification_method", F.when(~exists, "identity_check").otherwise(method))
         .withColumn("verification_confidence", settled(F.when(exists, confidence).otherwise(0.0), 4))
         .withColumn("failure_reason", F.nullif(reasons, F.lit("")))
-        .drop("_text", "_page", "_exists")
+        .drop("_text", "_page", "_exists", "_vector")
     )
 
 

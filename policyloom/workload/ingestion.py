@@ -25,7 +25,7 @@ def page_stats(spark, sf):
 
 
 def dup_chunk_rate(spark, sf):
-    return segment.duplicate_rate(b.chunks(spark, sf))
+    return segment.duplicate_rate(b.embedded_chunks(spark, sf))
 
 
 def header_lines(spark, sf):

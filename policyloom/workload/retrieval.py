@@ -187,12 +187,15 @@ def second_queries(spark):
 
 
 def second_pass_budget(spark, sf):
+    return _second_pass(spark, sf).select("dimension", "bucket", "slot", "chunk_id")
+
+
+def _second_pass(spark, sf):
     caps = {k: v for k, v in rt.SECOND_PASS_CAPS.items() if k != "document"}
     hits = analysis.bucket_candidates(
         b.embedded_corpus(spark, sf), second_queries(spark), None, caps, rt.SECOND_PASS_HEADROOM
     )
-    filled = rt.fill_buckets_in_turn(hits, caps, keys=("dimension",))
-    return filled.select("dimension", "bucket", "slot", "chunk_id")
+    return rt.fill_buckets_in_turn(hits, caps, keys=("dimension",))
 
 
 def sectioned(spark, sf):
@@ -221,6 +224,10 @@ def topic_sweep(spark, sf):
 
 def overview_mix(spark, sf):
     """Alternating mix of section sample and topic sweep per source."""
+    return _overview(spark, sf).select("workspace_id", "rank", "chunk_id", F.length("text").alias("chars"))
+
+
+def _overview(spark, sf):
     chunks = sectioned(spark, sf)
     picks = rt.section_sample(chunks)
     first = picks.groupBy("workspace_id", "section_title").agg(F.min("position").alias("_first"))
@@ -228,8 +235,33 @@ def overview_mix(spark, sf):
         "position", F.col("_first") * rt.SECTION_SAMPLE + F.col("pick")
     )
     sweep = rt.topic_sweep(chunks, topics(spark)).withColumn("position", F.col("query_no") * 1000 + F.col("rank"))
-    mixed = rt.interleave(ordered, sweep)
-    return mixed.select("workspace_id", "rank", "chunk_id", F.length("text").alias("chars"))
+    return rt.interleave(ordered, sweep)
+
+
+def chat_contexts(spark, sf):
+    """Numbered sources of the best eight documents for each definition."""
+    number = F.pmod("chunk_id", F.lit(4)).cast("int")
+    corpus = b.embedded_corpus(spark, sf).withColumn("section_title", F.when(F.col("lang") != "fr", F.col("lang"))).withColumn(
+        "page_number", F.when(number > 0, number)).withColumn("framework", F.when(F.col("framework") != "src3", F.col("framework")))
+    hits = nn.retrieve(corpus, b.definitions(spark), 8, query_keys=["dimension"], carry=["framework", "section_title", "page_number"])
+    found = render.chat_context(hits, ["dimension"])
+    return found.select("dimension", F.length("context").alias("chars"), F.md5("context").alias("digest"))
+
+
+def overview_contexts(spark, sf):
+    """The alternating mix of each source as numbered passages."""
+    named = b.documents(spark, sf).select(
+        F.col("doc_id").alias("chunk_id"), F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("source")).alias("document_name"),
+        F.when(F.col("lang") != "es", F.col("lang")).alias("section_title"), F.pmod("doc_id", F.lit(3)).cast("int").alias("page_number"),
+    )
+    found = render.overview_context(_overview(spark, sf).join(named, "chunk_id"), ["workspace_id"])
+    return found.select("workspace_id", F.length("context").alias("chars"), F.md5("context").alias("digest"))
+
+
+def second_contexts(spark, sf):
+    """Prompt of the second pass for each dimension."""
+    found = render.second_pass_context(_second_pass(spark, sf), ["dimension"])
+    return found.select("dimension", F.length("context").alias("chars"), F.md5("context").alias("digest"))
 
 
 def chat_merge(spark, sf):
@@ -304,15 +336,14 @@ def dimension_sources(spark, sf):
 
 def best_passages(spark, sf):
     """Pages to sections, chunks, fused retrieval and the best four passages per source and dimension."""
-    docs = b.documents(spark, sf)
-    owners = docs.select("doc_id", F.col("source").alias("workspace_id"))
-    found = analysis.passages_per_dimension(b.pages(spark, sf), owners, b.mini_profiles(spark))
+    owners = b.documents(spark, sf).select("doc_id", F.col("source").alias("workspace_id"))
+    found = analysis.best_passages(b.embedded_chunks(spark, sf).join(owners, "doc_id"), b.mini_profiles(spark))
     return found.select("workspace_id", "dimension", "slot", "chunk_id", "page_number", "rrf_score", "similarity")
 
 
 QUERIES = {f.__name__: f for f in (
     knn_topk, store_search, index_search, vector_norms, rrf_fused, document_bucket, hybrid_reranked, pair_rerank, bucket_budget, prompt_context,
-    bucket_reserve, second_pass_budget, section_sample, topic_sweep, overview_mix, chat_merge, latest_per_key,
+    bucket_reserve, second_pass_budget, section_sample, topic_sweep, overview_mix, chat_contexts, overview_contexts, second_contexts, chat_merge, latest_per_key,
     name_list, workspace_children, status_filter, region_routing, regional_sources, dimension_sources, best_passages,
 )}
 
@@ -511,6 +542,33 @@ _SECTIONED_SQL = """sectioned AS (
 
 _TOPICS_SQL = "topics(query_no, text) AS (VALUES " + b.values(enumerate(lx.OVERVIEW_TOPICS)) + ")"
 
+_OVERVIEW_MIX_SQL = f"""WITH RECURSIVE {_TOPICS_SQL}, {_SECTIONED_SQL}, {sims_sql('sectioned', 'topics', 'query_no', 'f')},
+{hybrid_sql('f_sims', 'true', 45, 15, 'h', 'topics', 'workspace_id, query_no', 'query_no')},
+sp AS (
+  SELECT *, row_number() OVER (PARTITION BY workspace_id, section_title ORDER BY chunk_id) AS pick FROM sectioned
+  WHERE NOT {b.preamble_sql('text', 'page_number')} QUALIFY pick <= 2),
+picks AS (
+  SELECT workspace_id, chunk_id, text, 0 AS side, min(chunk_id) OVER (PARTITION BY workspace_id, section_title) * 2 + pick AS position FROM sp),
+sweep AS (SELECT workspace_id, chunk_id, text, 1 AS side, query_no * 1000 + rank AS position FROM h WHERE NOT {b.preamble_sql('text', 'page_number')}),
+keyed AS (SELECT *, md5({b.strip_sql('lower(text)')}) AS o FROM (FROM picks UNION ALL FROM sweep)),
+by_id AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY workspace_id, side, chunk_id ORDER BY position) = 1),
+by_text AS (SELECT * FROM by_id QUALIFY row_number() OVER (PARTITION BY workspace_id, side, o ORDER BY position, chunk_id) = 1),
+lists AS (
+  SELECT workspace_id, coalesce(list({{'c': chunk_id, 'o': o}} ORDER BY position, chunk_id) FILTER (side = 0), []) AS a,
+         coalesce(list({{'c': chunk_id, 'o': o}} ORDER BY position, chunk_id) FILTER (side = 1), []) AS b FROM by_text GROUP BY workspace_id),
+f AS (
+  SELECT workspace_id, a, b, 1 AS i, 1 AS j, []::BIGINT[] AS ids, []::VARCHAR[] AS texts FROM lists
+  UNION ALL
+  SELECT workspace_id, a, b, CASE WHEN l THEN i + 1 ELSE i END, CASE WHEN l THEN j ELSE j + 1 END,
+    CASE WHEN known THEN ids ELSE list_append(ids, x.c) END, CASE WHEN known THEN texts ELSE list_append(texts, x.o) END
+  FROM (
+    SELECT *, list_contains(ids, x.c) OR list_contains(texts, x.o) AS known FROM (
+      SELECT *, CASE WHEN l THEN a[i] ELSE b[j] END AS x FROM (
+        SELECT *, CASE WHEN len(ids) % 2 = 0 THEN i <= len(a) ELSE j > len(b) END AS l FROM f
+        WHERE len(ids) < 10 AND (i <= len(a) OR j <= len(b)))))),
+final AS (SELECT workspace_id, ids FROM f QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY i + j DESC) = 1),
+out AS (SELECT workspace_id, unnest(ids) AS chunk_id, generate_subscripts(ids, 1)::INT AS rank FROM final)"""
+
 _CORPUS_DEFS = f"""{b.PROFILE_SQL}, {_DEFINITIONS_SQL}, {b.ROLE_SQL}, {sims_sql('corpus', 'defs', 'dimension', 'f')}"""
 
 from policyloom.workload.ingestion import CHUNKS_SQL  # noqa: E402
@@ -579,33 +637,28 @@ SELECT workspace_id, section_title, pick, chunk_id FROM (
     "topic_sweep": f"""WITH {_TOPICS_SQL}, {_SECTIONED_SQL}, {sims_sql('sectioned', 'topics', 'query_no', 'f')},
 {hybrid_sql('f_sims', 'true', 45, 15, 'h', 'topics', 'workspace_id, query_no', 'query_no')}
 SELECT workspace_id, query_no, rank, chunk_id, similarity FROM h WHERE NOT {b.preamble_sql('text', 'page_number')}""",
-    "overview_mix": f"""WITH RECURSIVE {_TOPICS_SQL}, {_SECTIONED_SQL}, {sims_sql('sectioned', 'topics', 'query_no', 'f')},
-{hybrid_sql('f_sims', 'true', 45, 15, 'h', 'topics', 'workspace_id, query_no', 'query_no')},
-sp AS (
-  SELECT *, row_number() OVER (PARTITION BY workspace_id, section_title ORDER BY chunk_id) AS pick FROM sectioned
-  WHERE NOT {b.preamble_sql('text', 'page_number')} QUALIFY pick <= 2),
-picks AS (
-  SELECT workspace_id, chunk_id, text, 0 AS side, min(chunk_id) OVER (PARTITION BY workspace_id, section_title) * 2 + pick AS position FROM sp),
-sweep AS (SELECT workspace_id, chunk_id, text, 1 AS side, query_no * 1000 + rank AS position FROM h WHERE NOT {b.preamble_sql('text', 'page_number')}),
-keyed AS (SELECT *, md5({b.strip_sql('lower(text)')}) AS o FROM (FROM picks UNION ALL FROM sweep)),
-by_id AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY workspace_id, side, chunk_id ORDER BY position) = 1),
-by_text AS (SELECT * FROM by_id QUALIFY row_number() OVER (PARTITION BY workspace_id, side, o ORDER BY position, chunk_id) = 1),
-lists AS (
-  SELECT workspace_id, coalesce(list({{'c': chunk_id, 'o': o}} ORDER BY position, chunk_id) FILTER (side = 0), []) AS a,
-         coalesce(list({{'c': chunk_id, 'o': o}} ORDER BY position, chunk_id) FILTER (side = 1), []) AS b FROM by_text GROUP BY workspace_id),
-f AS (
-  SELECT workspace_id, a, b, 1 AS i, 1 AS j, []::BIGINT[] AS ids, []::VARCHAR[] AS texts FROM lists
-  UNION ALL
-  SELECT workspace_id, a, b, CASE WHEN l THEN i + 1 ELSE i END, CASE WHEN l THEN j ELSE j + 1 END,
-    CASE WHEN known THEN ids ELSE list_append(ids, x.c) END, CASE WHEN known THEN texts ELSE list_append(texts, x.o) END
-  FROM (
-    SELECT *, list_contains(ids, x.c) OR list_contains(texts, x.o) AS known FROM (
-      SELECT *, CASE WHEN l THEN a[i] ELSE b[j] END AS x FROM (
-        SELECT *, CASE WHEN len(ids) % 2 = 0 THEN i <= len(a) ELSE j > len(b) END AS l FROM f
-        WHERE len(ids) < 10 AND (i <= len(a) OR j <= len(b)))))),
-final AS (SELECT workspace_id, ids FROM f QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY i + j DESC) = 1),
-out AS (SELECT workspace_id, unnest(ids) AS chunk_id, generate_subscripts(ids, 1)::INT AS rank FROM final)
+    "overview_mix": f"""{_OVERVIEW_MIX_SQL}
 SELECT out.workspace_id, rank, out.chunk_id, least(length(text), 900)::INT AS chars FROM out JOIN sectioned s ON s.chunk_id = out.chunk_id""",
+    "chat_contexts": f"""WITH {_CORPUS_DEFS}, {hybrid_sql('f_sims', 'true', 24, 8, 'h')}
+SELECT dimension, length(c)::INT AS chars, md5(c) AS digest FROM (
+  SELECT dimension, string_agg('[' || rank || '] Source: ' || CASE WHEN framework = 'src3' THEN 'Uploaded Document' ELSE framework END ||
+    CASE WHEN lang <> 'fr' THEN ', ' || lang ELSE '' END || CASE WHEN chunk_id % 4 > 0 THEN ' (p. ' || (chunk_id % 4) || ')' ELSE '' END ||
+    chr(10) || text || chr(10), chr(10) ORDER BY rank) AS c FROM h GROUP BY dimension)""",
+    "overview_contexts": f"""{_OVERVIEW_MIX_SQL}
+SELECT workspace_id, length(c)::INT AS chars, md5(c) AS digest FROM (
+  SELECT out.workspace_id, string_agg('[DOC-' || rank || '] (' || CASE WHEN doc_id % 2 = 0 THEN source ELSE 'Uploaded Document' END ||
+    CASE WHEN lang <> 'es' THEN ', ' || lang ELSE '' END || CASE WHEN doc_id % 3 > 0 THEN ', p. ' || (doc_id % 3) ELSE '' END || ')' ||
+    chr(10) || substr(text, 1, 900) || chr(10), chr(10) ORDER BY rank) AS c
+  FROM out JOIN documents d ON d.doc_id = out.chunk_id GROUP BY out.workspace_id)""",
+    "second_contexts": f"""WITH {_SECOND_SQL},
+rows2 AS (
+  SELECT dimension, '{lx.IMPLEMENTATION}' AS bucket, slot, chunk_id, framework, substr(text, 1, 800) AS text FROM im4
+  UNION ALL SELECT dimension, '{lx.INCIDENT}', slot, chunk_id, framework, substr(text, 1, 800) FROM inc2 WHERE slot <= 3)
+SELECT dimension, length(context)::INT AS chars, md5(context) AS digest FROM (SELECT dimension,
+  'Dimension: ' || dimension || chr(10) || chr(10) || '═══ [MODULE 3 — IMPLEMENTATION SOURCES] ═══' || chr(10) ||
+  {_block_sql(lx.IMPLEMENTATION, 'IMPL', '(no Module 3 implementation chunks retrieved)')} || chr(10) || chr(10) ||
+  '═══ [MODULE 4 — INCIDENT RECORDS] ═══' || chr(10) || {_block_sql(lx.INCIDENT, 'INC', '(no curated incident records retrieved)')} || chr(10) || chr(10) ||
+  '═══ [UPLOADED DOCUMENT — for responsible-agency grounding] ═══' || chr(10) || '(no document chunks retrieved)' AS context FROM rows2 GROUP BY dimension)""",
     "chat_merge": f"""WITH {_CORPUS_DEFS}, {hybrid_sql('f_sims', 'true', 24, 8, 'broad')},
 {hybrid_sql('f_sims', "framework = 'src9'", 12, 4, 'narrow')},
 both_hits AS (SELECT dimension, chunk_id, rank, similarity, 0 AS src FROM broad

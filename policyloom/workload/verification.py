@@ -17,13 +17,12 @@ AGENCY_WORDS = ("license", "apache")
 
 
 def store(spark, sf):
-    """Documents as stored chunks with string ids."""
-    return b.documents(spark, sf).select(
-        F.col("doc_id").cast("string").alias("chunk_id"), "text",
+    """Documents as stored chunks with string ids and vectors."""
+    return b.embedded_corpus(spark, sf).select(
+        F.col("chunk_id").cast("string").alias("chunk_id"), "text", "embedding",
         F.pmod(F.length("text"), F.lit(5)).cast("int").alias("page_number"),
-        F.when(F.col("lang") == "en", F.col("source")).otherwise("").alias("framework"),
-        F.concat(F.lit("doc "), F.col("source")).alias("document_name"),
-        b.roles_of(b.source_number()).alias("roles"),
+        F.when(F.col("lang") == "en", F.col("framework")).otherwise("").alias("framework"),
+        F.concat(F.lit("doc "), F.col("framework")).alias("document_name"), "roles",
     )
 
 
