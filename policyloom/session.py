@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,11 +64,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``materialize`` writes inside, once the job that needed them has written its own result.
+
+    What is left of the job's shuffles is let go as well: Spark deletes their files when nothing refers to them.
+    """
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        jvm = spark.sparkContext._jvm
+        for path in own:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        gc.collect()
+        jvm.java.lang.System.gc()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table that is read more than once to the shared folder, and read it back.
 
-    Unlike a checkpoint the result is columnar, so later scans are pruned.
+    Unlike a checkpoint the result is columnar, so later scans are pruned.  Inside
+    ``temporary_tables`` the table is removed at the end.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4()}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
