@@ -25,6 +25,8 @@ from policyloom.llm.arrays import Bytes, byte_values, covered, expand, id_back,
 from policyloom.session import materialize
 
 _LOW = np.uint64(2**32 - 1)
+#: Characters whose anchors are found at once: a byte costs some 60 bytes of arrays, or a hundred while they change.
+_ANCHOR_CHARS = 256 << 10
 
 
 @dataclass(frozen=True)
@@ -188,7 +190,7 @@ def anchors(texts: list[str], settings: SuffixSettings) -> tuple[pd.DataFrame, B
 
 def _anchor_rows(settings: SuffixSettings):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in (part for whole in frames for part in split_frames(whole)):
+        for frame in (part for whole in frames for part in split_frames(whole, size=_ANCHOR_CHARS)):
             found, _ = anchors(frame["text"].tolist(), settings)
             found["key"] = frame["key"].to_numpy()[found["row"].to_numpy(np.int64)]
             yield found[["kgram", "context", "key", "start", "before", "strings"]]
@@ -354,15 +356,17 @@ def without_repeats(docs: DataFrame, settings: SuffixSettings = SuffixSettings()
     A null text stays null.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "doc_id")]
-    row = F.struct(F.col("text").isNull().alias("_null"), F.col("doc_id").alias("_id"), *others)
+    # the input's columns in a struct of their own, so that any name may occur among them
+    own = F.struct(F.col("text").isNull().alias("null"), F.col("doc_id").alias("id"))
+    row = F.struct(own.alias("own"), F.struct(*others).alias("more")) if others else F.struct(own.alias("own"))
     out = dedup_suffixes(docs.select("doc_id", "text", row.alias("_row")), settings, whole_characters=True, carry="_row")
-    text = F.when(~F.col("_row._null"), F.decode("kept", "UTF-8"))
+    text = F.when(~F.col("_row.own.null"), F.decode("kept", "UTF-8"))
     columns = []
     for field in docs.schema:
         if field.name == "text":
             value = text
         else:
-            value = F.col("_row").getField("_id" if field.name == "doc_id" else field.name)
+            value = F.col("_row.own.id") if field.name == "doc_id" else F.col("_row.more").getField(field.name)
         if field.name == "n_chars":
             value = F.when(F.col("n_removed") > 0, F.length(text).cast(field.dataType)).otherwise(value)
         columns.append(value.alias(field.name))

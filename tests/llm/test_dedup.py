@@ -167,6 +167,17 @@ def test_documents_without_repeats(spark):
     assert without_repeats(empty_documents(spark)).count() == 0
 
 
+def test_any_column_may_come_along(spark):
+    row = ("the same passage " * 30, 5, "a", 1.5, "n", "i")
+    docs = spark.createDataFrame([(k, *row) for k in range(3)], "doc_id long, text string, n_chars int, own string, more double, _null string, _id string")
+    docs = docs.withColumn("_row", F.struct("own", "_id")).withColumn("kept", F.lit("k")).withColumn("n_removed", F.lit(7))
+    out = without_repeats(docs)
+    assert out.dtypes == docs.dtypes
+    assert out.drop("text", "n_chars", "doc_id").distinct().collect() == docs.drop("text", "n_chars", "doc_id").distinct().collect()
+    bare = docs.select("doc_id", "text")
+    assert without_repeats(bare).columns == ["doc_id", "text"]
+
+
 @pytest.mark.parametrize(("name", "plain"), [("op4_substring_dedup", substring_result), ("op6_suffix_dedup", suffix_result)])
 def test_queries(spark, documents, name, plain):
     same(QUERIES[name](spark, DATA).collect(), plain(pairs(documents)))
