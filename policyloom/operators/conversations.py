@@ -175,8 +175,16 @@ def guardrail(message: Column, hits: Column | None = None, similar: Column | Non
     )
 
 
+def to_be_searched(messages: DataFrame, text: str = "text") -> DataFrame:
+    """The messages that the patterns let pass: only they need to be compared with the chunks."""
+    return messages.filter(guardrail(F.col(text), F.lit(1), F.lit(MIN_SIMILAR_CHUNKS)).isNull())
+
+
 def check_messages(messages: DataFrame, hits: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """Strict guardrail over a message table; ``hits(keys, similarity)`` are its top five chunks."""
+    """Strict guardrail over a message table; ``hits(keys, similarity)`` are its top five chunks.
+
+    Messages that ``to_be_searched`` leaves out need no hits: their reason comes first.
+    """
     counts = hits.groupBy(*keys).agg(
         F.count("*").alias("_hits"), F.count_if(F.col("similarity") >= MIN_SIMILARITY).alias("_similar")
     )

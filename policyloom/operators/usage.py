@@ -25,8 +25,10 @@ def rolling_usage(calls: DataFrame, keys: Sequence[str], ts: str = "ts", tokens:
     window's start, so the cost does not depend on how many calls a window holds
     or on how the window relates to the block.  Running sums are taken inside
     blocks of time and shifted by the sums of the earlier blocks: a key with very
-    many calls is spread over tasks.
+    many calls is spread over tasks.  A call without a time is in no window: it
+    is returned with null sums.
     """
+    untimed, calls = calls.where(F.col(ts).isNull()), calls.where(F.col(ts).isNotNull())
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     span, block = seconds * 1_000_000, block_seconds * 1_000_000
     counted = tokens if tokens is not None else F.lit(0)
@@ -55,13 +57,15 @@ def rolling_usage(calls: DataFrame, keys: Sequence[str], ts: str = "ts", tokens:
         matched = matched & F.col(k).eqNullSafe(F.col(f"_{k}"))
     sums = both.withColumn("_n", F.sum("_n").over(upto)).withColumn("_tokens", F.sum("_tokens").over(upto)).join(before, matched)
     sign = F.col("_end.sign")
-    return (
+    found = (
         sums.groupBy("_id").agg(
             F.max(F.when(sign > 0, F.col("_call"))).alias("_call"),
             F.sum(sign * (F.col("_n") + F.col("_n0"))).alias("window_requests"),
             F.sum(sign * (F.col("_tokens") + F.col("_tokens0"))).alias("window_tokens"),
         ).select("_call.*", "window_requests", "window_tokens")
     )
+    types = dict(found.dtypes)
+    return found.unionByName(untimed.select("*", *(F.lit(None).cast(types[c]).alias(c) for c in ("window_requests", "window_tokens"))))
 
 
 def over_limit(requests: int = REQUESTS_PER_WINDOW, tokens: int = TOKENS_PER_WINDOW) -> Column:

@@ -415,8 +415,12 @@ def known_source(claims: DataFrame, known: DataFrame, keys: Sequence[str], sourc
     best = first_per_key(
         inside_claim.select(*columns).unionByName(inside_name.select(*columns)), ["_claimed_name"], ["ord"]
     )
-    joined = claims.join(best, claims[source] == best["_claimed_name"], "left")
-    return joined.drop("_claimed_name", "ord").withColumnRenamed("name", "known_source")
+    # names that are too short for any match are spread: a very common one is not one task's
+    spread = F.concat(F.lit("\u0000"), F.xxhash64(*keys).cast("string"))
+    name = F.when(F.length(_letters(F.coalesce(source, F.lit("")))) >= 8, F.col(source)).otherwise(spread)
+    joined = claims.withColumn("_name_key", name).join(
+        best.select(F.col("_claimed_name").alias("_name_key"), F.col("name").alias("_known")), "_name_key", "left")
+    return joined.select(*claims.columns, F.col("_known").alias("known_source"))
 
 
 def overview_labels(replies: DataFrame, keys: Sequence[str], text: str = "text", compound: bool = True) -> DataFrame:

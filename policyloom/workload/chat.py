@@ -59,8 +59,8 @@ def guardrails(spark, sf):
         F.when(F.pmod("conv_id", F.lit(5)) == 0, F.concat(F.lit("Hello "), F.col("text")))
         .when(F.pmod("conv_id", F.lit(5)) == 1, F.concat(F.col("text"), F.lit(" and the weather"))).otherwise(F.col("text")),
     )
-    queries = asked.select("conv_id", "turn", "text")
-    hits = nn.retrieve(b.corpus(spark, sf), queries, 5, query_keys=["conv_id", "turn"])
+    queries = cv.to_be_searched(asked).select("conv_id", "turn", "text")
+    hits = nn.retrieve(b.embedded_corpus(spark, sf), queries, 5, query_keys=["conv_id", "turn"])
     done = cv.check_messages(asked, hits.select("conv_id", "turn", "similarity"), ["conv_id", "turn"])
     return done.select("conv_id", "turn", "rejected_for")
 

@@ -199,11 +199,11 @@ def _second_pass(spark, sf):
 
 
 def sectioned(spark, sf):
-    """Documents as the chunks of one source, their language as section."""
-    return b.documents(spark, sf).select(
-        F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("workspace_id"),
+    """Documents as the stored chunks of one source, their language as section."""
+    return b.embedded_corpus(spark, sf).select(
+        "chunk_id", "text", "embedding", F.col("framework").alias("workspace_id"),
         F.when(F.col("lang") == "es", " ").otherwise(F.col("lang")).alias("section_title"),
-        F.pmod("doc_id", F.lit(3)).cast("int").alias("page_number"), F.col("doc_id").alias("position"),
+        F.pmod("chunk_id", F.lit(3)).cast("int").alias("page_number"), F.col("chunk_id").alias("position"),
         F.lit("").alias("framework"), F.array().cast("array<string>").alias("roles"),
     )
 
