@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from policyloom.llm.arrays import id_back, id_of, split_frames
-from policyloom.llm.tokens import WordEncoder, crc_of
+from policyloom.llm.tokens import crc_of, encoder_of
 from policyloom.session import materialize
 
 
@@ -111,7 +111,7 @@ class Schedule:
 
 def _encode(tokenizer: str, end: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for frame in (p for whole in frames for p in split_frames(whole)):
             ids, n = encoder.encode(frame["text"].tolist(), end)
             cuts = np.concatenate(([0], np.cumsum(n)))

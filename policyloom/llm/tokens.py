@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyarrow import NativeFile
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,53 +28,72 @@ from tokenizers import Tokenizer
 from policyloom.llm.arrays import expand, id_back, split_frames, texts_of
 from policyloom.session import ensure_checkpoint_dir, materialize
 
-#: Words of these characters are cut by the rule below exactly as the tokenizer's own normalizer and splitter do.
-_PLAIN = re.compile(r"[\x21-\x7eÀ-ÿ]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+| ")
+#: Texts of these characters are cut by the rule below exactly as the tokenizer's own normalizer and splitter do.
+_PLAIN = re.compile(r"[\x09-\x0d\x20-\x7eÀ-ÿ]*")
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+"
+_PIECES = re.compile(_CUT)
 
 
 class Memory:
-    """Strings and the ids of each, one after the other."""
+    """Strings and the ids of each, one after the other; ``used`` counts how often each was read."""
 
     def __init__(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.sizes, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.chars = 0
+        self.ids, self.sizes, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.used, self.filled = np.zeros(0, np.int32), 0
+
+    def _room(self, strings: int, ids: int) -> None:
+        """Arrays at least double when they grow."""
+        if strings > len(self.sizes):
+            more = max(strings, 2 * len(self.sizes)) - len(self.sizes)
+            self.sizes, self.starts, self.used = (np.concatenate((x, np.zeros(more, x.dtype))) for x in (self.sizes, self.starts, self.used))
+        if ids > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(ids, 2 * len(self.ids)) - len(self.ids), np.int32)))
 
     def add(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first = len(self.place)
-        self.place.update(zip(strings, range(first, first + len(strings)), strict=True))
-        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        first, last = len(self.place), len(self.place) + len(strings)
+        self._room(last, self.filled + len(ids))
+        self.place.update(zip(strings, range(first, last), strict=True))
+        self.chars += sum(map(len, strings))
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.sizes[first:last] = sizes
+        self.starts[first:last] = self.filled + np.cumsum(sizes) - sizes
+        self.filled += len(ids)
 
     def read(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the strings at the places, and how many each has."""
-        sizes = self.sizes[places]
+        if len(places):
+            counts = np.bincount(places)
+            self.used[: len(counts)] += counts.astype(np.int32)
+        sizes = self.sizes[places].astype(np.int64)
         return self.ids[expand(self.starts[places], sizes)], sizes
 
+    def often(self, least: int = 2) -> Memory:
+        """What was read at least so many times."""
+        out, strings = Memory(), list(self.place)
+        kept = np.flatnonzero(self.used[: len(strings)] >= least)
+        sizes = self.sizes[kept].astype(np.int64)
+        out.add([strings[k] for k in kept.tolist()], self.ids[expand(self.starts[kept], sizes)], sizes)
+        return out
+
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library, which is asked once for each piece of a word that a task meets.
+    """Ids of texts by the tokenizers library, which is asked once for each piece of text that a worker remembers.
 
     The vocabulary lower-cases, drops white space and never joins what a space parts, so the ids of a text are those
     of its words.  Words of ASCII and Latin-1 are cut further into the pieces that the tokenizer would make; others go
-    to it whole.  Both memories are emptied when they are full.
+    to it whole.  A full memory keeps what was read twice, and is emptied if that is more than half of it.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, path: str, limit: int = 600_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.longest = limit, longest
+        self.limit = limit
         vocabulary = self.tokenizer.get_vocab()
         self.size = 1 + max(vocabulary.values())
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.pieces, self.words = self._no_pieces(), Memory()
-
-    @staticmethod
-    def _no_pieces() -> Memory:
-        memory = Memory()
-        memory.add([" "], np.zeros(0, np.int32), np.zeros(1, np.int64))
-        return memory
+        self.pieces = Memory()
 
     @property
     def kind(self) -> type:
@@ -84,44 +104,37 @@ class WordEncoder:
         sizes = np.array([len(ids) for ids in found], np.int64)
         return np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        """Many pieces in one text; each ends with the token that carries the end of a word."""
-        for i in range(0, len(pieces), 2000):
-            some = pieces[i : i + 2000]
+    def _learn(self, pieces: list[str]) -> None:
+        """Plain pieces many in one text, where each ends with the token that carries the end of a word; others by themselves."""
+        plain = [p for p in pieces if _PLAIN.fullmatch(p) and "<|" not in p]
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
             ids, _ = self._ask([" ".join(some)])
             sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
             if len(sizes) != len(some) or sizes.sum() != len(ids):
                 ids, sizes = self._ask(some)
             self.pieces.add(some, ids, sizes)
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words.place) + len(words) > self.limit:
-            self.words = Memory()
-        if len(self.pieces.place) > self.limit:
-            self.pieces = self._no_pieces()
-        plain = [w for w in words if len(w) <= self.longest and _PLAIN.fullmatch(w) and "<|" not in w]
-        # one text of all words, whose spaces stand between the pieces of one word and the next
-        cut = _PIECES.findall(" ".join([*plain, ""]).lower())
-        self._learn_pieces(list(set(cut).difference(self.pieces.place)))
-        places = np.fromiter(map(self.pieces.place.__getitem__, cut), np.int64, len(cut))
-        ids, sizes = self.pieces.read(places)
-        total = np.cumsum(sizes)[places == self.pieces.place[" "]]
-        self.words.add(plain, ids, np.diff(total, prepend=0))
-        whole = list(set(words).difference(plain))
+        whole = list(set(pieces).difference(plain))
         if whole:
-            self.words.add(whole, *self._ask(whole))
+            self.pieces.add(whole, *self._ask(whole))
+
+    def _full(self) -> bool:
+        return len(self.pieces.place) > self.limit or self.pieces.chars > 16 * self.limit
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``end`` after each, and how many each has."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [pieces_of(t) for t in texts]
         used = set().union(*split)
-        fresh = used.difference(self.words.place)
-        if len(self.words.place) + len(fresh) > self.limit:
-            self.words, fresh = Memory(), used
+        fresh = used.difference(self.pieces.place)
+        if fresh and self._full():
+            self.pieces = self.pieces.often()
+            if 2 * len(self.pieces.place) > self.limit or 2 * self.pieces.chars > 16 * self.limit:
+                self.pieces = Memory()
+            fresh = used.difference(self.pieces.place)
         self._learn(list(fresh))
         counts = np.array([len(s) for s in split], np.int64)
-        places = np.fromiter(map(self.words.place.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts.sum()))
-        ids, sizes = self.words.read(places)
+        places = np.fromiter(map(self.pieces.place.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts.sum()))
+        ids, sizes = self.pieces.read(places)
         total = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
         n = np.diff(total)
         out = np.full(len(ids) + len(texts), end, self.kind)
@@ -129,6 +142,29 @@ class WordEncoder:
         return out, n + 1
 
 
+def pieces_of(text: str) -> list[str]:
+    """The parts of a text that have ids of their own."""
+    if _PLAIN.fullmatch(text) and "<|" not in text:
+        return _PIECES.findall(text.lower())
+    out = []
+    for word in text.replace("\n", " ").split(" "):
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            out += _PIECES.findall(word.lower())
+        else:
+            out.append(word)
+    return out
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for each worker process and vocabulary, so that tasks go on with what earlier ones have learnt."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -228,13 +264,53 @@ def parse_shard(data: bytes) -> tuple[EliasFano, EliasFano, np.ndarray]:
     return EliasFano.from_bytes(data[at : at + names]), EliasFano.from_bytes(data[at + names : at + names + bounds]), ids
 
 
+@dataclass
+class Shard:
+    """A written shard: its lists stay coded, ids are read where they are asked for."""
+
+    source: NativeFile
+    names: EliasFano
+    bounds: EliasFano
+    kind: np.dtype
+    first: int
+
+    @classmethod
+    def open(cls, source: NativeFile) -> Shard:
+        size = struct.calcsize(_HEAD)
+        magic, width, _, names, bounds = struct.unpack(_HEAD, source.read_at(size, 0))
+        if magic != _MAGIC:
+            raise ValueError("not a token shard")
+        lists = source.read_at(names + bounds, size)
+        return cls(source, EliasFano.from_bytes(lists[:names]), EliasFano.from_bytes(lists[names:]), np.dtype(f"<u{width}"), size + names + bounds)
+
+    def ids(self, start: int, end: int) -> np.ndarray:
+        """The ids of a range of places, by one seek."""
+        width = self.kind.itemsize
+        return np.frombuffer(self.source.read_at(width * (end - start), self.first + width * start), self.kind)
+
+    def document(self, k: int) -> tuple[int, np.ndarray]:
+        """Id and token ids of the k-th document: three selects and one seek."""
+        return self.names[k], self.ids(self.bounds[k], self.bounds[k + 1])
+
+    def runs(self, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Consecutive documents of some ids together: document ids, boundaries and ids; boundaries come by select."""
+        k = 0
+        while k < self.names.count:
+            cuts = [self.bounds[k]]
+            while k + len(cuts) - 1 < self.names.count and cuts[-1] - cuts[0] < most:
+                cuts.append(self.bounds[k + len(cuts)])
+            docs = [self.names[i] for i in range(k, k + len(cuts) - 1)]
+            yield np.array(docs, np.int64), np.array(cuts, np.int64), self.ids(cuts[0], cuts[-1])
+            k += len(docs)
+
+
 def _store(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(path)
 
 
 def _write_shards(folder: str, tokenizer: str, end: int, shard_ids: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, number = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, number = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         store, root = _store(folder)
         docs, lengths, ids, held = [], [], [], 0
 
@@ -290,13 +366,14 @@ def _read_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for path, base in zip(frame["path"], frame["before"], strict=True):
             store, place = _store(path)
-            with store.open_input_stream(place) as source:
-                names, bounds, ids = parse_shard(source.read())
-            cuts = bounds.all()
-            yield pd.DataFrame({
-                "doc_id": names.all(), "start": base + cuts[:-1], "n_tokens": np.diff(cuts),
-                "ids_crc32": [crc_of(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-            })
+            with store.open_input_file(place) as source:
+                shard = Shard.open(source)
+                for docs, cuts, ids in shard.runs():
+                    own = cuts - cuts[0]
+                    yield pd.DataFrame({
+                        "doc_id": docs, "start": base + cuts[:-1], "n_tokens": np.diff(cuts),
+                        "ids_crc32": [crc_of(ids[a:b]) for a, b in zip(own[:-1], own[1:], strict=True)],
+                    })
 
 
 def read_token_shards(shards: DataFrame) -> DataFrame:
