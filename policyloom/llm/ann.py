@@ -9,7 +9,6 @@ have been projected nearer with at least that probability, and the search ends.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from policyloom.llm.arrays import expand
 from policyloom.session import materialize
 
 
@@ -61,6 +61,7 @@ class KdTree:
     """Median splits down to leaves; boxes of the points bound the distance to each node."""
 
     def __init__(self, points: np.ndarray, leaf: int) -> None:
+        self.points = points
         self.rows: list[np.ndarray] = []
         self.low: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
@@ -75,28 +76,42 @@ class KdTree:
                 self.low.append(low)
                 self.high.append(high)
                 continue
-            half = len(rows) // 2
-            split = np.argpartition(own[:, axis], half)
-            todo += [rows[split[:half]], rows[split[half:]]]
+            # by value, so that equal points stay together
+            line = own[:, axis]
+            middle = np.partition(line, len(rows) // 2)[len(rows) // 2]
+            left = line < middle if middle > low[axis] else line <= middle
+            todo += [rows[left], rows[~left]]
         self.lows, self.highs = np.array(self.low), np.array(self.high)
 
-    def by_distance(self, point: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """Leaves in the order of the least squared distance that a point in them can have."""
+    def by_distance(self, point: np.ndarray, most: int = 1024, leaves: int = 16) -> Iterator[tuple[float, np.ndarray]]:
+        """Points in the order of their squared distance, up to ``most`` at a time, each time with the least of theirs.
+
+        Leaves are opened in the order of the least distance that they can have, ``leaves`` at a time; a point comes
+        out once no leaf that is still closed can hold a nearer one.
+        """
         gap = np.maximum(np.maximum(self.lows - point, point - self.highs), 0.0)
         bound = (gap * gap).sum(axis=1)
-        heap = list(zip(bound.tolist(), range(len(bound)), strict=True))
-        heapq.heapify(heap)
-        while heap:
-            distance, k = heapq.heappop(heap)
-            yield distance, self.rows[k]
+        order = np.argsort(bound, kind="stable")
+        far, known = np.zeros(0), np.zeros(0, np.int64)
+        for i in range(0, len(order), leaves):
+            rows = np.concatenate([self.rows[k] for k in order[i : i + leaves]])
+            apart = self.points[rows] - point
+            far, known = np.concatenate((far, np.einsum("ij,ij->i", apart, apart))), np.concatenate((known, rows))
+            ready = far <= bound[order[i + leaves]] if i + leaves < len(order) else np.ones(len(far), bool)
+            distance, out = far[ready], known[ready]
+            nearest = np.argsort(distance, kind="stable")
+            for j in range(0, len(nearest), most):
+                yield float(distance[nearest[j]]), out[nearest[j : j + most]]
+            far, known = far[~ready], known[~ready]
 
 
-def _cosines(vectors: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return (vectors @ one) / (np.sqrt((vectors * vectors).sum(axis=1)) * math.sqrt(one @ one))
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(axis=1))
 
 
 def _search(settings: AnnSettings):
-    limit = chi_square_limit(settings.confidence, settings.dimensions)
+    # with a margin, so that rounding does not end a search before a point as near as the last one
+    limit = chi_square_limit(settings.confidence, settings.dimensions) * (1 + 1e-9)
     k = settings.neighbours
 
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -106,22 +121,35 @@ def _search(settings: AnnSettings):
         if len(vectors):
             # scaled before norms are taken, so that no square overflows
             full /= np.abs(full).max(axis=1)[:, None]
-            unit = full / np.sqrt((full * full).sum(axis=1))[:, None]
+            # of equal vectors, one stands in the tree for the rows with the k + 1 smallest ids: no others can be found
+            order = np.lexsort((vectors["vec_id"], *full.T[::-1]))
+            full, ids, own = full[order], vectors["vec_id"].to_numpy()[order], vectors["row"].to_numpy()[order]
+            first = np.flatnonzero(np.concatenate(([True], (full[1:] != full[:-1]).any(axis=1))))
+            last = np.minimum(np.append(first[1:], len(full)), first + k + 1)
+            different = full[first]
+            norms, copies = _norms(different), last - first
+            unit = different / norms[:, None]
             plane = np.random.default_rng(settings.seed).standard_normal((full.shape[1], settings.dimensions))
             tree = KdTree(unit @ plane, settings.leaf)
-            ids, own = vectors["vec_id"].to_numpy(), vectors["row"].to_numpy()
         for query_id, row, vector in zip(queries["vec_id"], queries["row"], queries["v"], strict=True):
             if plane is None:
                 break
             asked = np.asarray(vector, np.float64) / np.abs(vector).max()
-            direction = asked / math.sqrt(asked @ asked)
+            length = math.sqrt(asked @ asked)
+            direction = asked / length
             best_score, best, reach = np.zeros(0), np.zeros(0, np.int64), math.inf
-            for distance, members in tree.by_distance(direction @ plane):
-                if distance >= limit * reach:
+            for distance, found in tree.by_distance(direction @ plane):
+                if distance > limit * reach + 1e-12:
                     break
-                members = members[own[members] != row]
-                best_score = np.concatenate((best_score, _cosines(full[members], asked)))
-                best = np.concatenate((best, members))
+                scores = (different[found] @ asked) / (norms[found] * length)
+                if len(best) == k:
+                    # what is below the last of the best changes nothing
+                    near = scores >= best_score[-1]
+                    scores, found = scores[near], found[near]
+                members, scores = expand(first[found], copies[found]), np.repeat(scores, copies[found])
+                others = own[members] != row
+                best_score = np.concatenate((best_score, scores[others]))
+                best = np.concatenate((best, members[others]))
                 keep = np.lexsort((ids[best], -best_score))[:k]
                 best_score, best = best_score[keep], best[keep]
                 if len(best) == k:

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from plain import WORD, crc, empty_documents, encoded, odd_documents, order, pairs, targets
+from pyarrow import fs as pa_fs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -13,7 +14,7 @@ from policyloom.llm.ann import AnnSettings, KdTree, chi_square_cdf, chi_square_l
 from policyloom.llm.mixing import MixSettings, mix_sources, mixed_documents, sized_rows, source_targets, words_taken
 from policyloom.llm.packing import Schedule, pack
 from policyloom.llm.queries import QUERIES
-from policyloom.llm.tokens import EliasFano, WordEncoder, parse_shard, read_token_shards, shard_bytes, write_token_shards
+from policyloom.llm.tokens import EliasFano, Shard, WordEncoder, encoder_of, parse_shard, read_token_shards, shard_bytes, write_token_shards
 
 DATA = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +52,18 @@ def test_words_encode_as_whole_texts_do(texts):
     check_encoder(encoder, tokenizer, texts)
 
 
+def test_encoder_keeps_what_it_reads_twice():
+    encoder = WordEncoder(VOCABULARY, limit=8)
+    encoder.encode(["often seen words here", "often seen"], 2)
+    encoder.encode(["a b c d e f"], 2)
+    encoder.encode(["some more"], 2)
+    assert {"often", "seen"} <= set(encoder.pieces.place) and "b" not in encoder.pieces.place
+
+
+def test_one_encoder_for_each_worker():
+    assert encoder_of(VOCABULARY) is encoder_of(VOCABULARY)
+
+
 def test_encoder_forgets_without_changing_ids(documents, tokenizer):
     texts = [t for _, t in pairs(documents)]
     small = WordEncoder(VOCABULARY, limit=50)
@@ -81,6 +94,23 @@ def test_shard_round_trip():
         parse_shard(b"x" * 64)
 
 
+def test_shard_reads_single_documents(tmp_path):
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(0, 40, 700)
+    ids, names = rng.integers(0, 60_000, int(lengths.sum())).astype(np.uint16), np.sort(rng.integers(-(2**63), 2**62, 700))
+    (tmp_path / "s.tok").write_bytes(shard_bytes(names, lengths, ids))
+    cuts = np.concatenate(([0], np.cumsum(lengths)))
+    with pa_fs.LocalFileSystem().open_input_file(str(tmp_path / "s.tok")) as source:
+        shard = Shard.open(source)
+        for k in (0, 1, 63, 64, 65, 500, 699):
+            name, own = shard.document(k)
+            assert (name, own.tolist()) == (names[k], ids[cuts[k] : cuts[k + 1]].tolist())
+        found = list(shard.runs(most=100))
+    assert np.concatenate([d for d, _, _ in found]).tolist() == names.tolist()
+    assert np.concatenate([i for _, _, i in found]).tolist() == ids.tolist()
+    assert [c for _, cs, _ in found for c in cs[:-1]] == cuts[:-1].tolist()
+
+
 @pytest.mark.parametrize("odd", [False, True])
 def test_files_hold_every_document_in_order(spark, documents, tokenizer, tmp_path, odd):
     docs = odd_documents(spark) if odd else documents
@@ -302,16 +332,19 @@ def test_chi_square():
     assert chi_square_limit(0.95, 8) == pytest.approx(15.507, abs=1e-3)
 
 
-def test_tree_gives_leaves_by_distance():
+def test_tree_gives_points_by_distance():
     points = np.random.default_rng(0).standard_normal((500, 4))
+    points[100:300] = points[100]
     tree, at = KdTree(points, 16), np.zeros(4)
-    seen, last = [], 0.0
+    seen = []
     for bound, rows in tree.by_distance(at):
-        assert bound >= last
+        assert len(rows) <= 1024
         assert ((points[rows] ** 2).sum(axis=1) >= bound - 1e-12).all()
         seen += rows.tolist()
-        last = bound
+    far = (points[seen] ** 2).sum(axis=1)
+    assert (np.diff(far) >= -1e-12).all()
     assert sorted(seen) == list(range(500))
+    assert sum(len(np.intersect1d(rows, np.arange(100, 300))) > 0 for rows in tree.rows) == 1
 
 
 @pytest.mark.parametrize("limits", [AnnSettings(), AnnSettings(shard_rows=100, query_rows=3, leaf=8)])
@@ -330,6 +363,32 @@ def test_neighbours_have_the_recall(spark, limits):
     assert hits >= 0.9 * 5 * len(expected)
 
 
+@pytest.mark.parametrize("limits", [AnnSettings(), AnnSettings(shard_rows=150, query_rows=7, leaf=8)])
+def test_ties_go_to_the_smaller_id(spark, limits):
+    """Half of the rows hold one vector, others lie in pairs of opposite offsets that tie."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(1200):
+        if k % 2:
+            rows.append((k, [1.0, 2.0, 0.0, 0.0, 0.0, 0.0]))
+        elif k % 4 == 0:
+            rows.append((k, [1.0, 1.0, 4.0 if k % 8 else -4.0, 0.0, 0.0, 0.0]))
+        else:
+            rows.append((k, rng.standard_normal(6).tolist()))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = defaultdict(list)
+    for r in nearest_neighbours(table, F.col("vec_id") % 25 == 0, limits).collect():
+        found[r.query_id].append((r["rank"], r.vec_id))
+    expected = brute_neighbours(rows, lambda i: i % 25 == 0)
+    for i in range(0, 1200, 25):
+        own = [j for _, j in sorted(found[i])]
+        if i % 2 or i % 4 == 0:
+            assert own == [j for _, j in expected[i][0]]
+        else:
+            assert len(own) == 5
+    assert sorted(found[25]) == [(1, 1), (2, 3), (3, 5), (4, 7), (5, 9)]
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
