@@ -416,7 +416,7 @@ def known_source(claims: DataFrame, known: DataFrame, keys: Sequence[str], sourc
         inside_claim.select(*columns).unionByName(inside_name.select(*columns)), ["_claimed_name"], ["ord"]
     )
     # names that are too short for any match are spread: a very common one is not one task's
-    spread = F.concat(F.lit("\u0000"), F.xxhash64(*keys).cast("string"))
+    spread = F.concat(F.lit("\u0000"), F.xxhash64(*(keys or claims.columns)).cast("string"))
     name = F.when(F.length(_letters(F.coalesce(source, F.lit("")))) >= 8, F.col(source)).otherwise(spread)
     joined = claims.withColumn("_name_key", name).join(
         best.select(F.col("_claimed_name").alias("_name_key"), F.col("name").alias("_known")), "_name_key", "left")
