@@ -79,14 +79,14 @@ class Memory:
 
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library, which is asked once for each piece of text that a worker remembers.
+    """Ids of texts by the tokenizers library, which is asked once for each piece of text that a task remembers.
 
     The vocabulary lower-cases, drops white space and never joins what a space parts, so the ids of a text are those
     of its words.  Words of ASCII and Latin-1 are cut further into the pieces that the tokenizer would make; others go
     to it whole.  A full memory keeps what was read twice, and is emptied if that is more than half of it.
     """
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         vocabulary = self.tokenizer.get_vocab()
@@ -155,16 +155,6 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder_of(path: str) -> WordEncoder:
-    """One encoder for each worker process and vocabulary, so that tasks go on with what earlier ones have learnt."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
 def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -310,7 +300,7 @@ def _store(path: str) -> tuple[arrow_fs.FileSystem, str]:
 
 def _write_shards(folder: str, tokenizer: str, end: int, shard_ids: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, number = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, number = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
         store, root = _store(folder)
         docs, lengths, ids, held = [], [], [], 0
 

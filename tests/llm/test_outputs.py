@@ -14,7 +14,7 @@ from policyloom.llm.ann import AnnSettings, KdTree, chi_square_cdf, chi_square_l
 from policyloom.llm.mixing import MixSettings, mix_sources, mixed_documents, sized_rows, source_targets, words_taken
 from policyloom.llm.packing import Schedule, pack
 from policyloom.llm.queries import QUERIES
-from policyloom.llm.tokens import EliasFano, Shard, WordEncoder, encoder_of, parse_shard, read_token_shards, shard_bytes, write_token_shards
+from policyloom.llm.tokens import EliasFano, Shard, WordEncoder, parse_shard, read_token_shards, shard_bytes, write_token_shards
 
 DATA = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -60,10 +60,6 @@ def test_encoder_keeps_what_it_reads_twice():
     assert {"often", "seen"} <= set(encoder.pieces.place) and "b" not in encoder.pieces.place
 
 
-def test_one_encoder_for_each_worker():
-    assert encoder_of(VOCABULARY) is encoder_of(VOCABULARY)
-
-
 def test_encoder_forgets_without_changing_ids(documents, tokenizer):
     texts = [t for _, t in pairs(documents)]
     small = WordEncoder(VOCABULARY, limit=50)
