@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policyloom.functions import text as tx
+from policyloom.functions.vectors import BatchEmbedder, HashingEmbedder
+from policyloom.operators import nearest as nn
+from policyloom.session import materialize
 
 # --- fixed values: message patterns -----------------------------------------
 GREETING = (
@@ -55,6 +60,8 @@ DIMENSION_ALIASES = {
 }
 MIN_SIMILARITY = 0.3
 MIN_SIMILAR_CHUNKS = 2
+TOP_CHUNKS = 5
+WITNESSES = 2048
 KEPT_MESSAGES = 6
 RENDERED_MESSAGES = 4
 RENDERED_CHARS = 400
@@ -180,6 +187,47 @@ def to_be_searched(messages: DataFrame, text: str = "text") -> DataFrame:
     return messages.filter(guardrail(F.col(text), F.lit(1), F.lit(MIN_SIMILAR_CHUNKS)).isNull())
 
 
+def similar_enough(texts: Column, chunks: DataFrame, make_model: Callable[[], BatchEmbedder] = HashingEmbedder, witnesses: int = WITNESSES) -> Column:
+    """True where some chunks prove that a search would find enough similar ones; elsewhere only the search can tell.
+
+    A chunk's score is at least the dense share of its similarity.  If ``MIN_SIMILAR_CHUNKS`` chunks lie above the
+    bar by that share alone, then so do the text's nearest ones, whichever they are.  Chunks without a text have no
+    score; they are as near as the empty text, so that a witness has to be nearer than that one.
+    """
+    rows = chunks.where(F.col("text").isNotNull()).select(nn.VECTOR).limit(witnesses).toArrow()
+    held = nn.arrow_rows(rows.column(nn.VECTOR), slice(0, len(rows)))
+    bar = MIN_SIMILARITY / nn.DENSE_WEIGHT + 1e-3
+
+    def prove(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make_model()
+        empty = model([""])
+        for batch in batches:
+            out = np.zeros(len(batch), bool)
+            for part in nn.tiles(len(batch), max(1, len(held))) if len(held) else ():
+                vectors = model(batch.iloc[part].tolist())
+                needed = np.maximum(bar, nn.similarities(vectors, empty))
+                out[part] = (nn.similarities(vectors, held) > needed).sum(axis=1) >= MIN_SIMILAR_CHUNKS
+            yield pd.Series(out)
+
+    prove.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(prove, "boolean")(F.coalesce(texts, F.lit("")))
+
+
+def guarded(messages: DataFrame, chunks: DataFrame, text: str = "text") -> DataFrame:
+    """The strict guardrail of each message against the chunk store, as ``rejected_for``.
+
+    Equal texts are searched for once, and only those that the patterns let pass and that ``similar_enough`` does not
+    settle: the guardrail asks whether there are enough similar chunks, which two of them can show.
+    """
+    key = F.coalesce(F.sha2(text, 256), F.lit(""))
+    asked = to_be_searched(messages, text).select(key.alias("_text"), F.col(text).alias("text")).distinct()
+    asked = materialize(asked.withColumn("_settled", F.col("text").isNotNull() & similar_enough(F.col("text"), chunks)))
+    rest = asked.where(~F.col("_settled")).select("_text", "text")
+    searched = nn.retrieve(chunks, rest, TOP_CHUNKS, query_keys=["_text"]).select("_text", "similarity")
+    proven = asked.where("_settled").select("_text", F.explode(F.array_repeat(F.lit(MIN_SIMILARITY), MIN_SIMILAR_CHUNKS)).alias("similarity"))
+    return check_messages(messages.withColumn("_text", key), proven.unionByName(searched), ["_text"], text).drop("_text")
+
+
 def check_messages(messages: DataFrame, hits: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Strict guardrail over a message table; ``hits(keys, similarity)`` are its top five chunks.
 

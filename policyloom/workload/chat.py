@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from policyloom.functions import text as tx
 from policyloom.operators import conversations as cv
-from policyloom.operators import nearest as nn
 from policyloom.operators import usage
 from policyloom.session import ensure_checkpoint_dir
 from policyloom.streaming import ingest as stream_ingest
@@ -59,9 +58,7 @@ def guardrails(spark, sf):
         F.when(F.pmod("conv_id", F.lit(5)) == 0, F.concat(F.lit("Hello "), F.col("text")))
         .when(F.pmod("conv_id", F.lit(5)) == 1, F.concat(F.col("text"), F.lit(" and the weather"))).otherwise(F.col("text")),
     )
-    queries = cv.to_be_searched(asked).select("conv_id", "turn", "text")
-    hits = nn.retrieve(b.embedded_corpus(spark, sf), queries, 5, query_keys=["conv_id", "turn"])
-    done = cv.check_messages(asked, hits.select("conv_id", "turn", "similarity"), ["conv_id", "turn"])
+    done = cv.guarded(asked, b.embedded_corpus(spark, sf))
     return done.select("conv_id", "turn", "rejected_for")
 
 

@@ -1,8 +1,12 @@
+import numpy as np
+import pyarrow as pa
 from conftest import rows
 from pyspark.sql import functions as F
 
 from policyloom.operators import conversations as cv
+from policyloom.operators import nearest as nn
 from policyloom.operators import usage
+from policyloom.sources import vectors
 
 
 def log(spark, texts, session=1):
@@ -83,3 +87,31 @@ def test_daily_budget(spark):
     df = spark.createDataFrame([("2024-01-01",)] * 10 + [("2024-01-02",)] * 8 + [("2024-01-03",)], "ts string")
     got = [r.budget_state for r in usage.daily_budget(df, limit=10).orderBy("day").collect()]
     assert got == ["exhausted", "warning", "ok"]
+
+
+def test_guardrail_searches_only_what_two_chunks_do_not_settle(spark, tmp_path):
+    texts = [(k, f"word{k % 5} and rules of {k}") for k in range(30)] + [(30, None), (31, "alone"), (32, "")]
+    vectors.create_store(spark.createDataFrame(texts, "chunk_id long, text string"), str(tmp_path / "s"))
+    store = vectors.read_store(spark, str(tmp_path / "s"))
+    asked = [(0, "rules and word3"), (1, "rules and word3"), (2, "alone"), (3, ""), (4, None), (5, "hello rules"), (6, "zebra")]
+    messages = spark.createDataFrame(asked, "id long, text string")
+    hits = nn.retrieve(store, cv.to_be_searched(messages).select("id", "text"), 5, query_keys=["id"])
+    searched = cv.check_messages(messages, hits.select("id", "similarity"), ["id"])
+    assert rows(cv.guarded(messages, store), "id", "rejected_for") == rows(searched, "id", "rejected_for")
+    settled = messages.withColumn("settled", cv.similar_enough(F.col("text"), store)).where("settled")
+    assert rows(settled, "id") == [(0,), (1,), (5,)]
+
+
+def test_scores_are_held_in_tiles(monkeypatch):
+    rng, sizes = np.random.default_rng(1), []
+    similar = nn.similarities
+    monkeypatch.setattr(nn, "similarities", lambda a, b: sizes.append(len(a) * len(b)) or similar(a, b))
+    points = rng.normal(size=(3000, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(points.tolist())], names=["chunk_id", "v"])
+    asked = nn.arrow_rows(pa.array(rng.normal(size=(5000, 4)).tolist()), slice(0, 5000))
+    out = pa.Table.from_batches(nn._score([batch], asked, pa.table({"q": range(5000)}), 3, "v", "chunk_id", None, ["chunk_id"], None))
+    assert max(sizes) <= nn.TILE_SCORES and len(out) == 15000
+    plain = similar(points / np.linalg.norm(points, axis=1, keepdims=True), asked)
+    best = np.lexsort((np.broadcast_to(np.arange(3000)[:, None], plain.shape), -plain), axis=0)[:3]
+    got = out.to_pandas().groupby("q")["chunk_id"].agg(list)
+    assert all(got[q] == best[:, q].tolist() for q in range(0, 5000, 97))
