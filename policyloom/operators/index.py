@@ -13,18 +13,22 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyloom.functions.vectors import unit_rows
-from policyloom.operators.nearest import VECTOR, nearest_in_groups
+from policyloom.operators.nearest import VECTOR, arrow_rows, nearest_in_groups, tiles
 from policyloom.operators.ordering import top_k
 from policyloom.session import materialize
 
 
+#: Rows with vectors that a search hands on at once.
+SENT_ROWS = 8192
+
+
 @dataclass(frozen=True)
 class IndexSettings:
     """``sample_rows`` bounds what centres are fitted on, ``most_cells`` their number (they go to every task).
@@ -62,12 +66,14 @@ def fit_centres(rows: DataFrame, settings: IndexSettings, id_column: str = "chun
 
 
 def _assign(centres: np.ndarray, columns: list[str]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                angles = _angles(unit_rows(np.vstack(frame[VECTOR].to_numpy()).astype(float)), centres)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tiles(batch.num_rows, len(centres)):
+                angles = _angles(arrow_rows(batch.column(VECTOR), part), centres)
                 cell = angles.argmin(axis=1)
-                yield frame[columns].assign(cell=cell, angle=angles[np.arange(len(frame)), cell])
+                rows = batch.slice(part.start, part.stop - part.start).select(columns)
+                near = [pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell])]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *near], names=[*columns, "cell", "angle"])
 
     return run
 
@@ -88,7 +94,7 @@ def build_index(
         centres = np.ones((1, 1)) if given.isEmpty() else unit_rows(np.ones((1, len(given.first()[VECTOR]))))
     types = dict(given.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", cell int, angle double"
-    placed = materialize(given.mapInPandas(_assign(centres, columns), schema))
+    placed = materialize(given.mapInArrow(_assign(centres, columns), schema))
     table = rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
     filled = placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("angle").alias("radius"))
     table.join(filled, "cell").coalesce(1).write.parquet(f"{path}/cells")
@@ -132,23 +138,30 @@ class VectorIndex:
         centres, radii, numbers, probes = self.centres, self.radii, self.numbers, self.settings.probes
         types = dict(asked.dtypes)
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if not len(frame) or not len(numbers):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not len(numbers):
                     continue
-                angles = _angles(unit_rows(np.vstack(frame[VECTOR].to_numpy()).astype(float)), centres)
-                order = np.argsort(angles, axis=1, kind="stable")
-                first = np.zeros(angles.shape, bool)
-                np.put_along_axis(first, order[:, :probes], True, axis=1)
-                if bar is not None:
-                    # the rounding of a similarity is half a millionth
-                    bound = (1.0 + np.cos(np.maximum(0.0, angles - radii))) / 2.0
-                    first = ~first & (bound >= frame[bar].to_numpy()[:, None] - 1e-6)
-                row, cell = np.nonzero(first)
-                yield frame[[*keys, VECTOR]].iloc[row].assign(cell=numbers[cell])
+                for part in tiles(batch.num_rows, len(numbers)):
+                    angles = _angles(arrow_rows(batch.column(VECTOR), part), centres)
+                    order = np.argsort(angles, axis=1, kind="stable")
+                    first = np.zeros(angles.shape, bool)
+                    np.put_along_axis(first, order[:, :probes], True, axis=1)
+                    rows = batch.slice(part.start, part.stop - part.start)
+                    if bar is not None:
+                        # the rounding of a similarity is half a millionth
+                        bound = (1.0 + np.cos(np.maximum(0.0, angles - radii))) / 2.0
+                        first = ~first & (bound >= rows.column(bar).to_numpy()[:, None] - 1e-6)
+                    row, cell = np.nonzero(first)
+                    rows = rows.select([*keys, VECTOR])
+                    # a query may look into every cell: its vector is copied for a bounded number of them at a time
+                    for at in range(0, len(row), SENT_ROWS):
+                        sent = rows.take(pa.array(row[at:at + SENT_ROWS]))
+                        found = pa.array(numbers[cell[at:at + SENT_ROWS]].astype(np.int32))
+                        yield pa.RecordBatch.from_arrays([*sent.columns, found], names=[*keys, VECTOR, "cell"])
 
         schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, VECTOR]) + ", cell int"
-        return asked.mapInPandas(run, schema)
+        return asked.mapInArrow(run, schema)
 
     def _score(self, probed: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
         """The best rows of each query in the cells that it probes; only their folders are read."""

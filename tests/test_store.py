@@ -1,6 +1,7 @@
 """Stored vectors, the inverted file, search inside groups, and budgets with reserves."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -156,3 +157,16 @@ def test_reserves_take_the_last_open_places(spark):
         ("full", 1, "w", True), ("full", 2, "b", True), ("full", 3, "y", True), ("short", 1, "a", True), ("short", 2, "x", True), ("short", 3, "y", True),
         ("none", 1, "a", False), ("all", 1, "a", True), ("all", 2, "b", True), ("all", 3, "x", True), ("fresh", 1, "x", True),
     ], key=repr)
+
+
+def test_angles_are_held_in_tiles(monkeypatch):
+    rng, sizes = np.random.default_rng(2), []
+    angles = index._angles
+    monkeypatch.setattr(index, "_angles", lambda v, c: sizes.append(len(v) * len(c)) or angles(v, c))
+    points, centres = rng.normal(size=(3000, 4)), rng.normal(size=(2000, 4))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(points.tolist())], names=["chunk_id", "embedding"])
+    out = pa.Table.from_batches(index._assign(centres, ["chunk_id", "embedding"])([batch]))
+    assert max(sizes) <= nn.TILE_SCORES and out.column("chunk_id").to_pylist() == list(range(3000))
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    assert out.column("cell").to_pylist() == angles(unit, centres).argmin(axis=1).tolist()
