@@ -10,6 +10,7 @@ from policyloom.functions.vectors import HashingEmbedder, batch_embed, embed
 from policyloom.operators import index
 from policyloom.operators import nearest as nn
 from policyloom.operators import retrieve as rt
+from policyloom.session import BATCH_SETTING, small_batches
 from policyloom.sources import vectors
 
 CHUNKS = "chunk_id long, text string, framework string, roles array<string>"
@@ -170,3 +171,36 @@ def test_angles_are_held_in_tiles(monkeypatch):
     assert max(sizes) <= nn.TILE_SCORES and out.column("chunk_id").to_pylist() == list(range(3000))
     unit = points / np.linalg.norm(points, axis=1, keepdims=True)
     assert out.column("cell").to_pylist() == angles(unit, centres).argmin(axis=1).tolist()
+
+
+def test_embedders_share_the_words_they_know():
+    texts = ["one two two", None, "", "three"]
+    first, second = HashingEmbedder(16), HashingEmbedder(16, limit=2)
+    assert np.array_equal(first(texts), second(texts))
+    assert first._known[16].keys() >= {"one", "two", "three"} and first._known is second._known
+    second(["four"])
+    assert set(first._known[16]) == {"four"}
+
+
+def test_a_store_is_written_in_small_batches(spark, tmp_path):
+    log, before = str(tmp_path / "sizes"), spark.conf.get(BATCH_SETTING)
+
+    def make():
+        model = HashingEmbedder()
+
+        def run(texts):
+            with open(log, "a") as f:
+                f.write(f"{len(texts)}\n")
+            return model(texts)
+
+        return run
+
+    spark.conf.set(BATCH_SETTING, "10000")
+    try:
+        with small_batches(spark, 100):
+            spark.range(1000).coalesce(1).select("id", batch_embed(make)(F.col("id").cast("string")).alias("v")).write.parquet(str(tmp_path / "t"))
+        assert spark.conf.get(BATCH_SETTING) == "10000"
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    with open(log) as f:
+        assert [int(x) for x in f] == [100] * 10
