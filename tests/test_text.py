@@ -1,3 +1,6 @@
+import random
+import time
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -114,3 +117,21 @@ def test_negation_is_substring_unless_whole_word(spark):
 def test_document_types(spark):
     assert flags(spark, ["A national roadmap", "The regulation", "Ethics code", "guideline", "Framework X", "poem"],
                  tx.document_type(F.col("t"))) == ["strategy", "legislation", "code_of_conduct", "standard", "standard", "other"]
+
+
+def test_many_terms_are_found_like_few(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abÀ") for _ in range(rng.randint(1, n)))
+    cases = [(" ".join(word(5) for _ in range(rng.randint(33, 90))), " ".join(word(7) for _ in range(rng.randint(0, 60)))) for _ in range(60)]
+    cases += [(cases[0][0], cases[0][0]), (cases[0][0], None), (cases[0][0], "")]
+    df = spark.createDataFrame(cases, "claim string, text string")
+    terms = tx.words(F.lower("claim"))
+    got = df.select(tx._count_many(F.col("text"), terms), tx.count_contained(F.col("text"), terms)).collect()
+    assert all(a == b for a, b in got) and len({a for a, _ in got}) > 9
+
+
+def test_own_text_takes_no_quadratic_time(spark):
+    text = " ".join(f"word{k}" for k in range(60_000))
+    started = time.monotonic()
+    assert spark.createDataFrame([(text,)], "t string").select(tx.keyword_overlap(F.col("t"), F.col("t"))).first()[0] == 1.0
+    assert time.monotonic() - started < 6
