@@ -17,8 +17,9 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-_SEQ, _HASH, _BUCKET = "_seq", "_hash", "_bucket"
+_SEQ, _HASH, _BUCKET, _PART = "_seq", "_hash", "_bucket", "_part"
 MOST_BUCKETS = 4096
 
 
@@ -29,6 +30,19 @@ class Segment:
     rows: int
     heads: int
     buckets: int
+    #: number of the last write that it holds, below zero for a merge; 0 if not known
+    write: int = 0
+
+
+@dataclass(frozen=True)
+class Staged:
+    """Rows that lie in the table's folder, but are not seen before they are put."""
+
+    name: str
+    buckets: int
+    seq: int
+    n: int
+    rows: DataFrame
 
 
 class LogTable:
@@ -73,34 +87,69 @@ class LogTable:
     def _bucket(self, buckets: int) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, heads: DataFrame) -> Segment:
-        name, buckets = str(uuid.uuid4()), 1
-        rows.write.parquet(f"{self.path}/data/{name}/rows")
-        n = self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/{name}/rows").count()
+    def buckets_for(self, n: int) -> int:
+        buckets = 1
         while buckets * self.bucket_rows < n and buckets < MOST_BUCKETS:
             buckets *= 2
+        return buckets
+
+    def deal(self, rows: DataFrame, buckets: int) -> DataFrame:
+        """Rows in the partitions from which buckets are written, the rows of a key together; the columns say where."""
+        part = F.pmod(F.xxhash64(self.key, F.lit(3)), F.lit(4)).cast("int")
+        return rows.withColumns({_BUCKET: self._bucket(buckets), _PART: part}).repartition(_BUCKET, _PART)
+
+    def stage(self, rows: DataFrame, buckets: int, seq: int | None = None) -> Staged:
+        """Write rows, those of ``deal`` as they lie, for a ``put`` to come; without one they are as good as not there."""
+        name, seq = str(uuid.uuid4()), self.state()[1] + 1 if seq is None else seq
+        if _SEQ not in rows.columns:
+            rows = rows.withColumn(_SEQ, F.lit(seq).cast("long"))
         if buckets > 1:
-            placed = self.spark.read.parquet(f"{self.path}/data/{name}/rows").withColumn(_BUCKET, self._bucket(buckets))
-            placed.repartition(_BUCKET, F.floor(F.rand(3) * 4)).write.partitionBy(_BUCKET).parquet(f"{self.path}/data/{name}/dealt")
-            place, system = self._folder(f"data/{name}/rows")
-            system.delete(place, True)
+            path = f"{self.path}/data/{name}/dealt"
+            dealt = rows if _BUCKET in rows.columns else self.deal(rows, buckets)
+            dealt.drop(_PART).write.partitionBy(_BUCKET).parquet(path)
+        else:
+            path = f"{self.path}/data/{name}/rows"
+            rows.write.parquet(path)
+        kept = [f for f in rows.schema if f.name not in (_BUCKET, _PART)]
+        # without any row there are no folders from which the type of the bucket could be read
+        written = self.spark.read.schema(StructType([*kept, StructField(_BUCKET, IntegerType())] if buckets > 1 else kept)).parquet(path)
+        n = written.count()
+        if buckets > 1 and not n:
+            return self.stage(self.spark.createDataFrame([], StructType(kept)), 1, seq)
+        return Staged(name, buckets, seq, n, written.drop(_BUCKET))
+
+    def unstage(self, staged: Staged) -> None:
+        place, system = self._folder(f"data/{staged.name}")
+        system.delete(place, True)
+
+    def _write(self, rows: DataFrame | Staged, heads: DataFrame, expect: int | None, seq: int) -> Segment:
+        """A segment: in one pass if ``expect`` says about how many rows there will be, which gives the buckets."""
+        staged = rows if isinstance(rows, Staged) else self.stage(rows, 1 if expect is None else self.buckets_for(expect), seq)
+        if expect is None and staged is not rows and self.buckets_for(staged.n) > 1:
+            plain, staged = staged, self.stage(staged.rows, self.buckets_for(staged.n), seq)
+            self.unstage(plain)
+        name = staged.name
         heads.write.parquet(f"{self.path}/data/{name}/heads")
         keys = self.spark.read.schema(heads.schema).parquet(f"{self.path}/data/{name}/heads").count()
         level = 0
-        while max(n, keys) >= self.small_rows * self.fan ** (level + 1):
+        while max(staged.n, keys) >= self.small_rows * self.fan ** (level + 1):
             level += 1
-        return Segment(name, level, n, keys, buckets)
+        return Segment(name, level, staged.n, keys, staged.buckets, seq)
 
-    def put(self, rows: DataFrame, heads: DataFrame, batch: int | None = None) -> bool:
+    def put(self, rows: DataFrame | Staged, heads: DataFrame, batch: int | None = None, expect: int | None = None) -> bool:
         """Replace the keys of ``heads (key, content_hash)`` by ``rows``; a null hash removes a key.
 
-        A batch number that is not above the last one has been written before, and is left out: False.
+        ``expect`` is about how many rows there are; without it rows are written twice, to be counted first.  Staged
+        rows must be those of all ``heads``, staged since the last write.  A batch number that is not above the last
+        one has been written before, and is left out: False.
         """
         version, seq, segments = self.state()
         if batch is not None and version and (self.last_batch() or -1) >= batch:
             return False
         marked = heads.select(self.key, F.lit(seq + 1).cast("long").alias(_SEQ), F.col("content_hash").cast("string").alias(_HASH))
-        segment = self._write(rows.withColumn(_SEQ, F.lit(seq + 1).cast("long")), marked)
+        if isinstance(rows, Staged) and rows.seq != seq + 1:
+            raise ValueError("the table was written after these rows were staged")
+        segment = self._write(rows, marked, expect, seq + 1)
         if segment.heads:
             segments = [*segments, segment]
         self._commit(version + 1, seq + 1, batch if batch is not None else self.last_batch(), segments)
@@ -120,9 +169,10 @@ class LogTable:
             # a tombstone is needed as long as an older segment may hold rows of its key
             if len(chosen) == len(segments):
                 heads = heads.where(f"{_HASH} is not null")
-            merged = self._write(self._live(chosen, None), heads)
+            last = max(abs(s.write) for s in chosen) if all(s.write for s in chosen) else 0
+            merged = self._write(self._live(chosen, None), heads, sum(s.rows for s in chosen), last)
             # a merge may stay on its level, as keys are replaced; it counts as the next one, or merging would not end
-            merged = Segment(merged.name, max(merged.level, level + 1), merged.rows, merged.heads, merged.buckets)
+            merged = Segment(merged.name, max(merged.level, level + 1), merged.rows, merged.heads, merged.buckets, -last)
             kept = [s for s in segments if s.level != level]
             self._commit(version + 1, seq, self.last_batch(), [*kept, merged])
             merges += 1
@@ -150,6 +200,17 @@ class LogTable:
         return newest.select(self.key, f"_head.{_SEQ}", f"_head.{_HASH}")
 
     def _live(self, segments: list[Segment], keys: DataFrame | None) -> DataFrame:
+        last = max(segments, key=lambda s: abs(s.write))
+        # no head is newer than those of the last write, so its rows need not meet any
+        newest = [last] if last.write > 0 and all(s.write for s in segments) else []
+        rest = self._latest([s for s in segments if s not in newest], segments, keys)
+        if not newest:
+            return rest
+        rows = self._rows(newest, keys)
+        return rows if rest is None else rest.unionByName(rows, allowMissingColumns=True)
+
+    def _rows(self, segments: list[Segment], keys: DataFrame | None) -> DataFrame | None:
+        """All rows, or those of some keys."""
         out = None
         for s in segments:
             part = self.spark.read.parquet(f"{self.path}/data/{s.name}/{'dealt' if s.buckets > 1 else 'rows'}")
@@ -160,8 +221,15 @@ class LogTable:
                     part = part.where(F.col(_BUCKET).isin(wanted))
                 part = part.drop(_BUCKET)
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-        if keys is not None:
+        if keys is not None and out is not None:
             out = out.join(keys.select(self.key).distinct(), self.key, "left_semi")
+        return out
+
+    def _latest(self, chosen: list[Segment], segments: list[Segment], keys: DataFrame | None) -> DataFrame | None:
+        """The rows of the chosen segments that no head of any segment replaces."""
+        out = self._rows(chosen, keys)
+        if out is None:
+            return None
         # only keys that were written twice or removed have dead rows
         heads = None
         for s in segments:

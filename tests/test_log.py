@@ -61,6 +61,27 @@ def test_a_batch_is_written_once_and_alone(spark, tmp_path):
     assert rows(log.read().where("k = 'k1'"), "text") == [("changed",)]
 
 
+def test_rows_are_written_once_and_the_last_write_meets_no_heads(spark, tmp_path):
+    log = LogTable(spark, str(tmp_path / "log"), key="k", fan=9, bucket_rows=20)
+    content = {f"k{i}": ["x"] * 3 for i in range(50)}
+    new = spark.createDataFrame([(k, n, t) for k, texts in content.items() for n, t in enumerate(texts)], ROWS)
+    heads = spark.createDataFrame([(k, "h") for k in content], HEADS)
+    staged = log.stage(new, log.buckets_for(150))
+    assert log.read() is None and staged.n == 150 and staged.buckets == 8
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "log" / "data").rglob("*.parquet")}
+    assert log.put(staged, heads)
+    assert all(p.stat().st_mtime_ns == t for p, t in files.items())
+    assert "Join" not in log.read()._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        log.put(staged, heads)
+    # an estimate that is far off only gives other buckets
+    assert log.put(new.where("k = 'k1'").withColumn("text", F.lit("y")), heads.where("k = 'k1'"), expect=1000)
+    assert log.put(new.limit(0), heads.where("k = 'k2'").withColumn("content_hash", F.lit(None).cast("string")), expect=1000)
+    expected = [(k, n, "y" if k == "k1" else t) for k, texts in content.items() for n, t in enumerate(texts) if k != "k2"]
+    assert rows(log.read(), "k", "n", "text") == sorted(expected)
+    assert rows(log.read(heads.where("k in ('k1', 'k2', 'k3')")), "k", "text") == [("k1", "y")] * 3 + [("k3", "x")] * 3
+
+
 def test_yaml_catalog(spark, tmp_path):
     (tmp_path / "c.yaml").write_text(
         "frameworks:\n  - name: \"A: one\"\n    version: 2021\n    roles: [x, y]\n    checksum: null\n  - website: no name\n  - name: B\n    roles: z\n    regions: [Global]\n    other: 1\n")

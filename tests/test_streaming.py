@@ -26,6 +26,25 @@ def test_documents_grow_and_change_over_batches(spark, tmp_path):
     assert rows(stored, *columns) == rows(expected, *columns)
 
 
+def test_buckets_hold_what_stays_and_what_changes(spark, tmp_path):
+    """Many buckets; a batch that repeats most documents and changes some, with a page twice."""
+    schema = "doc_id long, page_number int, text string"
+    source, target, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    first = [(d, p, f"{d} {p} word. " * 90) for d in range(30) for p in (1, 2)]
+    second = [(d, 1, f"new {d}" if d % 3 == 0 else f"{d} 1 word. " * 90) for d in range(30)] + [(0, 1, "later than new")]
+    for wave in (first, second):
+        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(source)
+        ingest.ingest_stream(ingest.read_pages(spark, source), target, state, bucket_rows=4).awaitTermination()
+    final = [(d, p, f"new {d}" if p == 1 and d % 3 == 0 else t) for d, p, t in first if (d, p) != (0, 1)] + [(0, 1, "later than new")]
+    pages = ingest.stored_pages(spark, target)
+    assert rows(pages.read(), "doc_id", "page_number", "text") == sorted(final, key=repr)
+    assert [s.rows for s in pages.state()[2]] == [60, 20] and all(s.buckets > 1 for s in pages.state()[2])
+    columns = ("doc_id", "section_no", "chunk_no", "chunk_id", "text")
+    assert rows(ingest.stored_chunks(spark, target).read(), *columns) == rows(ingest_pages(spark.createDataFrame(final, schema)), *columns)
+    # what was staged and not taken over is gone
+    assert len(list((tmp_path / "out" / "pages" / "data").iterdir())) == 2
+
+
 def test_rolling_counts_stream_equals_table(spark):
     streamed = chat.stream_rolling_counts(spark, str(DATA))
     table = usage.rolling_counts(b.read(spark, str(DATA), "events"), ["event_type"])
