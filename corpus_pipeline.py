@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from policyloom.llm.arrays import file_row, numbers_rows
 from policyloom.llm.minhash import drop_near_duplicates
 from policyloom.llm.mixing import mixed_documents
 from policyloom.llm.packing import pack
@@ -17,6 +18,12 @@ from policyloom.llm.suffixes import without_repeats
 from policyloom.session import ensure_checkpoint_dir, temporary_tables
 
 
+def _row(docs: DataFrame) -> Column | None:
+    """Rows of files are known by their places in them, so their texts need not be written again with numbers."""
+    row = file_row()
+    return row if numbers_rows(docs, row) else None
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; null and empty texts fail, repeated rows share their verdict."""
     return good_documents(docs)
@@ -24,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, repeated rows included; texts without words are no one's copy."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, row=_row(docs))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +41,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, a null source being a source; texts without words are not taken."""
-    return mixed_documents(docs)
+    return mixed_documents(docs, row=_row(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

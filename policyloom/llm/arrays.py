@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,25 @@ def id_back(column: str) -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
 
 
+def file_row() -> Column:
+    """A number for each row of a table that is read from Parquet files as it is, the same whenever it is read.
+
+    Two of a hundred million rows get the same number with a probability of about one in four thousand;
+    ``numbers_rows`` finds out.
+    """
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+
+
+def numbers_rows(docs: DataFrame, row: Column) -> bool:
+    """Has each row a number of its own?  One pass over the numbers; False for a table that is not read from files."""
+    try:
+        numbered = docs.select(row.alias("row"))
+    except AnalysisException:
+        return False
+    found = numbered.agg(F.count("*"), F.count_distinct("row")).first()
+    return found[0] == found[1]
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """``(doc_id, text, more)``: ids without nulls, a null text as the empty one, other columns left out."""
     return docs.select(id_of().alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

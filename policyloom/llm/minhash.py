@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policyloom.llm.arrays import Words, expand, id_back, mix, split_frames, texts_of, windows
@@ -296,15 +296,19 @@ def _confirmed(texts: DataFrame, families: DataFrame, settings: NearSettings) ->
     return edges.unionByName(materialize(more))
 
 
-def drop_near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest id, and of those the first as read.
+def drop_near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings(), row: Column | None = None) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id, and of those the one with the smallest number.
 
     Rows are linked by their texts alone, so copies under one id or without an id go like any others, and different
-    texts under one id stay.  Rows without shingles stand alone and stay.
+    texts under one id stay.  Rows without shingles stand alone and stay.  ``row`` numbers the rows, with longs that
+    stay the same whenever ``docs`` is read; without it the rows are written with numbers, in the order in which they
+    are read.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    # the number of a row is fixed by writing it
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("doc")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    if row is None:
+        rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), whole))
+    else:
+        rows = docs.select(row.alias("row"), whole)
     numbered = rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))
     found = near_duplicates(numbered, settings).select(F.col("doc_id").alias("row"), "component_id")
     ids = rows.select("row", F.col("doc.doc_id").alias("id"))

@@ -171,14 +171,19 @@ def words_taken(mix: Mix) -> DataFrame:
     return mix.rows.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
 
 
-def mixed_documents(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
+def mixed_documents(docs: DataFrame, settings: MixSettings = MixSettings(), row: Column | None = None) -> DataFrame:
     """The documents as the mix takes them, with the columns of ``docs``.
 
     A document comes once for each epoch that takes words of it: unchanged if the epoch takes them all, else cut to
     the first words that it takes, joined by one space, with ``n_chars`` to match.  Partitions are ranges of slots, and
-    the rows in each are in the order of their first slots.
+    the rows in each are in the order of their first slots.  ``row`` numbers the rows, with longs that stay the same
+    whenever ``docs`` is read; without it the rows are written with numbers.
     """
-    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    if row is None:
+        numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), whole))
+    else:
+        numbered = docs.select(row.alias("row"), whole)
     sized = materialize(numbered.select(
         "row", "doc.doc_id", F.col("doc.source").cast("string").alias("source"), word_count(F.col("doc.text")).alias("size")
     ))

@@ -82,6 +82,32 @@ def test_run_applies_all_stages(spark, stages):
     assert {k[0] for k in keys} == {r.doc_id for r in stages["packing"].collect()}
 
 
+@pytest.mark.parametrize("stage", ["near_duplicates", "source_mix"])
+def test_texts_of_files_are_not_written_again(spark, tmp_path, monkeypatch, stage):
+    from policyloom.llm import minhash, mixing
+    from policyloom.session import materialize
+
+    written = []
+    for module in (minhash, mixing):
+        monkeypatch.setattr(module, "materialize", lambda df: written.append(df.columns) or materialize(df))
+    plain = odd_documents(spark)
+    plain.write.parquet(str(tmp_path / "odd"))
+    stored = spark.read.parquet(str(tmp_path / "odd"))
+    run = dict(corpus_pipeline.STAGES)[stage]
+
+    def result(docs):
+        written.clear()
+        return Counter((r.doc_id, r.source, len(r.text or "")) for r in run(spark, docs, DATA).collect())
+
+    found = result(stored)
+    assert not any("doc" in columns for columns in written)
+    # rows that files do not tell apart are written with numbers
+    if stage == "near_duplicates":
+        assert found == result(plain) and any("doc" in columns for columns in written)
+    twice = spark.read.parquet(str(tmp_path / "odd"), str(tmp_path / "odd"))
+    assert sum(result(twice).values()) >= sum(found.values()) and any("doc" in columns for columns in written)
+
+
 def test_odd_documents_pass_through(spark, tmp_path):
     docs = odd_documents(spark)
     for name, stage in corpus_pipeline.STAGES:
