@@ -52,6 +52,20 @@ def test_words_encode_as_whole_texts_do(texts):
     check_encoder(encoder, tokenizer, texts)
 
 
+def test_plain_pieces_do_not_pass_the_normalizer(documents, tokenizer):
+    encoder = WordEncoder(VOCABULARY)
+    asked = []
+    ask = encoder._ask
+    encoder._ask = lambda strings: asked.append(strings) or ask(strings)
+    check_encoder(encoder, tokenizer, ["It's Déjà-vu: ÀÉÎÕÜ ß×÷ÿ, 12 % of #1!", "ǅ word ｶﾞ"])
+    assert sorted(asked[0]) == ["ǅ", "ｶﾞ"] and len(asked) == 1
+    # where a model wants other strings, pieces go to the tokenizer
+    encoder = WordEncoder(VOCABULARY)
+    assert encoder.direct
+    encoder.direct = False
+    check_encoder(encoder, tokenizer, ["It's Déjà-vu: ÀÉÎÕÜ ß×÷ÿ, 12 % of #1!"])
+
+
 def test_encoder_keeps_what_it_reads_twice():
     encoder = WordEncoder(VOCABULARY, limit=8)
     encoder.encode(["often seen words here", "often seen"], 2)
