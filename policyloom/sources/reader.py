@@ -86,8 +86,9 @@ class _CatalogReader(DataSourceReader):
 class FilesSource(DataSource):
     """Files of a folder and all folders below: path, time, length and content, empty files included.
 
-    Option ``pattern`` picks names, ``depth`` says how many levels of folders are listed to find partitions (1); each
-    partition lists what is below its folder by itself, so that large trees are listed in many tasks.
+    Option ``pattern`` picks names, ``depth`` says how many levels of folders are listed to find partitions (1), of
+    which there are at most ``partitions`` (400), with a run of folders each.  A partition lists what is below its
+    folders by itself, so that large trees are listed in many tasks, and small folders do not cost a task each.
     """
 
     @classmethod
@@ -98,33 +99,35 @@ class FilesSource(DataSource):
         return "path string, modificationTime timestamp, length long, content binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _FilesReader(self.options["path"], self.options.get("pattern", "*"), int(self.options.get("depth", 1)))
+        return _FilesReader(self.options["path"], self.options.get("pattern", "*"), int(self.options.get("depth", 1)), int(self.options.get("partitions", 400)))
 
 
 class _FilesReader(DataSourceReader):
-    def __init__(self, path: str, pattern: str, depth: int):
-        self.path, self.pattern, self.depth = path, pattern, depth
+    def __init__(self, path: str, pattern: str, depth: int, most: int):
+        self.path, self.pattern, self.depth, self.most = path, pattern, depth, max(1, most)
 
     def partitions(self) -> list[InputPartition]:
-        """Folders with a flag: is everything below included, or only the folder's own files."""
+        """Runs of folders with a flag: is everything below included, or only the folder's own files."""
         store, place = _store(self.path)
         level, out = [place], []
         for _ in range(self.depth):
             below = []
             for folder in level:
-                out.append(InputPartition((folder, False)))
+                out.append((folder, False))
                 below += [f.path for f in _listed(store, folder, False) if f.type == arrow_fs.FileType.Directory]
             level = below
-        return out + [InputPartition((folder, True)) for folder in level]
+        out += [(folder, True) for folder in level]
+        run = -(-len(out) // self.most)
+        return [InputPartition(out[i : i + run]) for i in range(0, len(out), run)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        folder, whole = partition.value
         store, _ = _store(self.path)
-        for info in _listed(store, folder, whole):
-            if info.is_file and fnmatch.fnmatch(info.base_name, self.pattern):
-                with store.open_input_stream(info.path) as source:
-                    content = source.read()
-                yield info.path, info.mtime or datetime.fromtimestamp(0, UTC), info.size, content
+        for folder, whole in partition.value:
+            for info in _listed(store, folder, whole):
+                if info.is_file and fnmatch.fnmatch(info.base_name, self.pattern):
+                    with store.open_input_stream(info.path) as source:
+                        content = source.read()
+                    yield info.path, info.mtime or datetime.fromtimestamp(0, UTC), info.size, content
 
 
 def register(spark: SparkSession) -> None:

@@ -96,6 +96,17 @@ def test_yaml_catalog(spark, tmp_path):
     assert reader.read_catalog(spark, str(tmp_path / "none.yaml")).count() == 0
 
 
+def test_small_folders_share_a_task(spark, tmp_path):
+    for n in range(30):
+        (tmp_path / f"d{n:02d}").mkdir()
+        (tmp_path / f"d{n:02d}" / "f.txt").write_text(str(n))
+    (tmp_path / "own.txt").write_text("own")
+    reader.register(spark)
+    files = spark.read.format("folder_files").option("partitions", 4).load(str(tmp_path))
+    assert files.rdd.getNumPartitions() == 4
+    assert sorted(bytes(r.content).decode() for r in files.collect()) == sorted([*map(str, range(30)), "own"])
+
+
 @pytest.mark.parametrize("depth", [0, 2])
 def test_tree_of_files(spark, tmp_path, depth):
     content = {"a.pdf": b"x", "b.txt": b"y", "d/c.pdf": b"", "d/e/f.pdf": b"deep", "d/e/g/h.pdf": b"deeper", "_temporary/z.pdf": b"no", ".hid.pdf": b"no"}
