@@ -12,7 +12,7 @@ from policyloom.functions import text as tx
 from policyloom.operators import analytics, consistency, retrieve, rules
 from policyloom.operators.nearest import ROLE_HEADROOM, attach_columns, hybrid_rerank, nearest
 from policyloom.operators.ordering import first_per_key, top_k
-from policyloom.operators.segment import expand_roles, ingest_pages
+from policyloom.operators.segment import MAX_CHUNK, OVERLAP, expand_roles, ingest_pages
 from policyloom.session import cut_lineage, materialize
 from policyloom.sources import catalog
 from policyloom.sources.log import LogTable
@@ -207,7 +207,11 @@ def sync_store(log: LogTable, pages: DataFrame, catalog_files: DataFrame, roles:
     due = plan.filter(F.col("action") != "skip").select(F.col("name").alias("framework"), F.col("checksum").alias("content_hash"))
     lost = before.join(plan, "name", "left_anti").select(F.col("name").alias("framework"), F.lit(None).cast("string").alias("content_hash"))
     fresh = expand_roles(sync_framework_chunks(pages, plan, roles))
-    log.put(fresh, due.unionByName(lost))
+    # about one chunk for each page and each stride, one copy for each role: cheap to know, unlike the chunks themselves
+    sizes = pages.groupBy("framework").agg(F.sum(1 + F.coalesce(F.length("text"), F.lit(0)) / (MAX_CHUNK - OVERLAP)).alias("n"))
+    copies = sizes.join(due, "framework", "left_semi").join(roles, "framework")
+    expect = copies.agg(F.coalesce(F.sum(F.size("roles") * F.col("n")), F.lit(0)).cast("long")).first()[0]
+    log.put(fresh, due.unionByName(lost), expect=expect)
     return plan
 
 

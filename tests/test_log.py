@@ -82,6 +82,21 @@ def test_rows_are_written_once_and_the_last_write_meets_no_heads(spark, tmp_path
     assert rows(log.read(heads.where("k in ('k1', 'k2', 'k3')")), "k", "text") == [("k1", "y")] * 3 + [("k3", "x")] * 3
 
 
+def test_a_sync_cuts_and_writes_its_chunks_once(spark, tmp_path, monkeypatch):
+    from policyloom.plans import analysis
+
+    log = LogTable(spark, str(tmp_path / "log"), key="framework", bucket_rows=5)
+    pages = spark.createDataFrame([(d, f"f{d % 3}", 1, "The words of a page. " * 300) for d in range(12)], "doc_id long, framework string, page_number int, text string")
+    roles = spark.createDataFrame([(f"f{n}", ["x", "y"]) for n in range(3)], "framework string, roles array<string>")
+    sums = spark.createDataFrame([(f"f{n}", "1") for n in range(3)], "name string, checksum string")
+    staged, stage = [], LogTable.stage
+    monkeypatch.setattr(LogTable, "stage", lambda self, *a: staged.append(a[1]) or stage(self, *a))
+    analysis.sync_store(log, pages, sums, roles)
+    assert len(staged) == 1 and staged[0] > 1
+    stored = log.read()
+    assert stored.count() == log.state()[2][0].rows > 24 and stored.select("framework", "role").distinct().count() == 6
+
+
 def test_yaml_catalog(spark, tmp_path):
     (tmp_path / "c.yaml").write_text(
         "frameworks:\n  - name: \"A: one\"\n    version: 2021\n    roles: [x, y]\n    checksum: null\n  - website: no name\n  - name: B\n    roles: z\n    regions: [Global]\n    other: 1\n")
