@@ -4,6 +4,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from policyloom import lexicons as lx
+from policyloom.functions import text as tx
+from policyloom.functions.vectors import batch_embed
 from policyloom.operators import agency
 from policyloom.operators import verify as vf
 
@@ -118,6 +120,52 @@ def test_overview_markers(spark):
     assert vf.overview_labels(df, ["id"], compound=False).count() == 2
 
 
+def overview_parts(spark):
+    """Two replies: cited and unknown passages, a label past those given, a claim too short; many passages that none cites."""
+    labels = spark.createDataFrame([
+        (1, 1, 1, "States must act on model risk now", True), (1, 1, 7, "States must act on model risk now", True),
+        (1, 3, 2, "Nothing like the passage here", True), (1, 5, 1, "short", False),
+        (2, 1, 3, "An unknown passage is meant by this", True), (2, 3, 1, " ".join(f"word{k}" for k in range(40)), True),
+    ], "id int, marker_no int, doc_no int, claim string, usable boolean")
+    contexts = spark.createDataFrame([(i, n, {3: "none"}.get(n, f"c{n + i}"), None, "") for i in (1, 2) for n in (1, 2, 3)],
+                                     "id int, doc_no int, chunk_id string, page_number int, document_name string")
+    texts = [("c2", "All STATES must act on model risk now, it says"), ("c3", " ".join(f"word{k}x" for k in range(25)) + " word30 prefixword39"), ("c4", None)]
+    store = spark.createDataFrame([(c, t, 1) for c, t in texts + [(f"d{k}", "other text") for k in range(50)]], "chunk_id string, text string, page_number int")
+    return labels, contexts, store.withColumn("embedding", batch_embed()(F.col("text")))
+
+
+def test_overview_is_checked_as_citations_are(spark):
+    labels, contexts, store = overview_parts(spark)
+    got = vf.verify_overview(labels, contexts, store, ["id"])
+    columns = ["id", "marker_no", "doc_no", "chunk_exists", "passed", "keyword_overlap", "semantic_similarity", "verification_method", "verification_confidence", "failure_reason"]
+    given = contexts.select("id", "doc_no", "chunk_id", "page_number").withColumn("total_pages", F.lit(None).cast("int"))
+    plain = vf.verify_citations(labels.filter("usable").join(given, ["id", "doc_no"]), store)
+    failed = [(1, 1, 7), (1, 5, 1)]
+    found = {r[:3]: r[3:] for r in rows(got, *columns)}
+    assert len(found) == got.count() == 6
+    assert {k: v for k, v in found.items() if k not in failed} == {r[:3]: r[3:] for r in rows(plain, *columns)}
+    assert all(found[k] == (False, False, None, None, "unresolved", 0.0, vf.NO_CHUNK) for k in failed)
+    assert found[2, 1, 3][4] == "identity_check" and found[1, 1, 1][1]
+
+
+def test_overview_reads_only_cited_passages(spark, monkeypatch):
+    labels, contexts, store = overview_parts(spark)
+    kept, met = [], []
+    write, verify = vf.materialize, vf.verify_citations
+    monkeypatch.setattr(vf, "materialize", lambda df: kept.append(write(df)) or kept[-1])
+    monkeypatch.setattr(vf, "verify_citations", lambda c, s, *a: met.append((c.count(), s.count())) or verify(c, s, *a))
+    assert vf.verify_overview(labels, contexts, store, ["id"]).count() == 6
+    assert met == [(4, 2)]
+
+
+def test_known_words_give_the_same_overlap(spark):
+    long = " ".join(f"Term{k}" for k in range(40))
+    pairs = [(c, t) for c in ("a Few words here", long, "", None) for t in ("Here: few words", "xterm1 " + long[:150], "", None)]
+    df = spark.createDataFrame(pairs, "c string, t string").withColumn("w", tx.lowered_words(F.col("t")))
+    got = df.select(tx.keyword_overlap(F.col("c"), F.col("t")).alias("x"), tx.keyword_overlap(F.col("c"), F.col("t"), F.col("w")).alias("y")).collect()
+    assert [r.x for r in got] == [r.y for r in got] and len({r.x for r in got}) > 3
+
+
 def test_known_sources(spark):
     known = spark.createDataFrame([("Model-AI-Governance-Framework-for-Agentic-AI.pdf", 0), ("UNESCO Recommendation on the Ethics of AI", 1)], "name string, ord int")
     claims = spark.createDataFrame([("Model AI Governance Framework for Agentic AI",), ("For instance, the UNESCO Recommendation on the Ethics of AI",),
