@@ -11,6 +11,7 @@ from policyloom import lexicons as lx
 from policyloom.functions import text as tx
 from policyloom.operators.nearest import attach_columns, nearest, reciprocal_rank_fusion, retrieve
 from policyloom.operators.ordering import first_per_key, top_k
+from policyloom.session import materialize
 
 # --- fixed values: budgets --------------------------------------------------
 FIRST_PASS_CAPS = {lx.NORMATIVE: 4, lx.PRACTICAL: 3, "document": 4}
@@ -36,18 +37,19 @@ def profile_queries(spark: SparkSession, profiles: dict | None = None) -> DataFr
 
 def document_candidates(
     chunks: DataFrame, queries: DataFrame, candidates: int, scope: str = "workspace_id",
-    carry: Sequence[str] = ("text",), id_column: str = "chunk_id",
+    carry: Sequence[str] = ("text",), id_column: str = "chunk_id", texts: DataFrame | None = None,
 ) -> DataFrame:
     """Multi-query retrieval inside each workspace: one ranked list per profile text, fused.
 
     Keeps the fused best ``candidates`` per workspace and dimension, each with
-    its best similarity over the queries.
+    its best similarity over the queries.  They are written first, so that
+    ``carry`` is read for them alone, from ``texts`` (one row for each id) or else ``chunks``.
     """
     ranked = nearest(chunks, queries, candidates, query_keys=["dimension", "query_no"], scope=scope, id_column=id_column)
     keys = [scope, "dimension"]
     fused = reciprocal_rank_fusion(ranked, keys, id_column).withColumnRenamed("best_similarity", "similarity")
     best = top_k(fused, keys, [F.desc("rrf_score"), F.asc(id_column)], candidates)
-    return attach_columns(best, chunks, id_column, carry)
+    return attach_columns(materialize(best) if carry else best, chunks if texts is None else texts, id_column, carry)
 
 
 def full_profile(chunks: DataFrame, queries: DataFrame, id_column: str = "chunk_id") -> DataFrame:

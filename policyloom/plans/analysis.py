@@ -27,10 +27,14 @@ def passages_per_dimension(pages: DataFrame, workspaces: DataFrame, queries: Dat
     return best_passages(chunks, queries)
 
 
-def best_passages(chunks: DataFrame, queries: DataFrame, cap: int = 4, scope: str = "workspace_id") -> DataFrame:
+def best_passages(
+    chunks: DataFrame, queries: DataFrame, cap: int = 4, scope: str = "workspace_id", texts: DataFrame | None = None,
+) -> DataFrame:
+    """``texts`` is the chunk store, if ``chunks`` are rows of it to which their scope was joined: ids are unique there."""
     usable = chunks.filter(~tx.is_preamble(F.col("text"), F.col("page_number")))
     candidates = retrieve.document_candidates(
         usable, queries, cap * retrieve.DOCUMENT_HEADROOM, scope=scope, carry=("text", "page_number"),
+        texts=chunks if texts is None else texts,
     )
     return retrieve.fill_buckets(
         candidates.withColumn("bucket", F.lit("document")), {"document": cap}, keys=(scope, "dimension")

@@ -337,7 +337,8 @@ def dimension_sources(spark, sf):
 def best_passages(spark, sf):
     """Pages to sections, chunks, fused retrieval and the best four passages per source and dimension."""
     owners = b.documents(spark, sf).select("doc_id", F.col("source").alias("workspace_id"))
-    found = analysis.best_passages(b.embedded_chunks(spark, sf).join(owners, "doc_id"), b.mini_profiles(spark))
+    stored = b.embedded_chunks(spark, sf)
+    found = analysis.best_passages(stored.join(owners, "doc_id"), b.mini_profiles(spark), texts=stored)
     return found.select("workspace_id", "dimension", "slot", "chunk_id", "page_number", "rrf_score", "similarity")
 
 

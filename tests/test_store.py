@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from policyloom.functions import vectors as embedding
 from policyloom.functions.vectors import HashingEmbedder, batch_embed, embed
 from policyloom.operators import index
 from policyloom.operators import nearest as nn
@@ -204,3 +205,47 @@ def test_a_store_is_written_in_small_batches(spark, tmp_path):
         spark.conf.set(BATCH_SETTING, before)
     with open(log) as f:
         assert [int(x) for x in f] == [100] * 10
+
+
+def test_words_are_found_in_batches_of_texts(monkeypatch):
+    texts = ["One two TWO", None, "", "naïve ÀÉ×÷ÿ_x9 µ", "Œuvre one Kelvin 漢字", "three, one"] * 3
+    plain = np.zeros((len(texts), 16))
+    for k, text in enumerate(texts):
+        for word in embedding._WORDS.findall((text or "").lower()):
+            plain[k, embedding._Slots(16)[word]] += 1
+    looked = []
+
+    class Slots(embedding._Slots):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word) if word in self else self.__missing__(word)
+
+    assert np.array_equal(embedding.token_counts(texts, 16, Slots(16)), plain)
+    # a word of a batch is looked up once, but for those of texts beyond Latin-1
+    assert looked.count("two") == 1 and looked.count("kelvin") == 3
+    monkeypatch.setattr(embedding, "GROUP_CHARS", 12)
+    assert np.array_equal(embedding.token_counts(texts, 16), plain)
+
+
+def test_texts_are_read_for_the_winners_alone(spark, monkeypatch):
+    chunks = spark.createDataFrame(chunk_rows(), CHUNKS).filter("framework is not null").withColumn("embedding", batch_embed()(F.col("text")))
+    asked = spark.createDataFrame([("d", 0, "word3 and word5"), ("d", 1, "of 7")], "dimension string, query_no int, text string")
+    scoped = chunks.join(spark.createDataFrame([("f0", "w0"), ("f1", "w1"), ("f2", "w2")], "framework string, workspace_id string"), "framework")
+    plain = rows(rt.document_candidates(scoped, asked, 4), "workspace_id", "dimension", "chunk_id", "text", "rank")
+    held = []
+    attach = rt.attach_columns
+    monkeypatch.setattr(rt, "attach_columns", lambda hits, *a: held.append(hits) or attach(hits, *a))
+    found = rt.document_candidates(scoped, asked, 4, texts=chunks.select("chunk_id", "text"))
+    assert rows(found, "workspace_id", "dimension", "chunk_id", "text", "rank") == plain and len(plain) == 12
+    # the winners are a written table, whose size Spark knows, so texts need not be shuffled to them
+    assert len(held[0].inputFiles()) > 0 and "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_of_vectors_have_no_dictionary(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    vectors.create_store(spark.createDataFrame(chunk_rows(), CHUNKS).coalesce(1), str(tmp_path / "s"))
+    files = list((tmp_path / "s").glob("*.parquet"))
+    group = pq.ParquetFile(files[0]).metadata.row_group(0)
+    encodings = {group.column(i).path_in_schema: group.column(i).encodings for i in range(group.num_columns)}
+    assert all("DICTIONARY" not in e for p, es in encodings.items() if p.startswith("embedding") for e in es)
