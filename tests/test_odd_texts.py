@@ -17,6 +17,7 @@ TEXTS = (
     *(f"{blank}# Title{blank}\n{blank}{LINE}{blank}\nSECOND part\n{LINE}.{blank}{LONG}!{blank}{blank}{LONG}{blank}" for blank in ("\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u3000")),
     # letters beside A-Z that count as such
     f"12 a\n\u017fection 1 {LINE}\n\u212aelvin {LINE}\n\u0130stanbul {LINE}\nBac\u212aground:\n{LINE}",
+    "le les des une " + "\u0130s " * 4 + "12 " + "lorem " * 60,
     f"{LINE}\nPlain Part\n{LONG}",
 )
 
@@ -33,7 +34,7 @@ def odd(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["page_stats", "header_lines", "sections_merged", "chunks_boundary", "chunks_by_function"])
+@pytest.mark.parametrize("name", ["page_stats", "header_lines", "sections_merged", "chunks_boundary", "chunks_by_function", "foreign_documents", "framework_resync"])
 def test_odd_texts_are_cut_as_in_sql(spark, odd, name):
     folder, sql = odd
     df = driver.queries()[name](spark, folder)
