@@ -34,7 +34,7 @@ def odd(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["page_stats", "header_lines", "sections_merged", "chunks_boundary", "chunks_by_function", "foreign_documents", "framework_resync", "dup_chunk_rate"])
+@pytest.mark.parametrize("name", ["page_stats", "header_lines", "sections_merged", "chunks_boundary", "chunks_by_function", "foreign_documents", "framework_resync", "dup_chunk_rate", "stream_document_chunks"])
 def test_odd_texts_are_cut_as_in_sql(spark, odd, name):
     folder, sql = odd
     df = driver.queries()[name](spark, folder)
